@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyroom.llm import exact_dedup, packing, token_file, word_bpe
+from tallyroom.llm import byte_bpe, exact_dedup, html_text, mips, packing, token_file, word_bpe
 from tallyroom.llm.common import Scratch
 
 
@@ -26,7 +26,19 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_files, op5_packing, op7_exact_dedup)}
+def op6_mips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mips.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.encode(documents(spark, sf_dir))
+
+
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op2_token_files, op5_packing, op6_mips, op7_exact_dedup, op8_byte_bpe, op10_html_text)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
