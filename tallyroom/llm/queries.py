@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyroom.llm import byte_bpe, exact_dedup, html_text, mips, packing, token_file, word_bpe
+from tallyroom.llm import byte_bpe, exact_dedup, html_text, mips, packing, quality, token_file, toxicity, word_bpe
 from tallyroom.llm.common import Scratch
 
 
@@ -18,6 +18,14 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.read_tokens(spark, folder)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), word_bpe.default_path(), 1)
 
@@ -38,7 +46,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_files, op5_packing, op6_mips, op7_exact_dedup, op8_byte_bpe, op10_html_text)}
+QUERIES = {f.__name__: f for f in (op2_token_files, op3_toxicity, op4_quality, op5_packing, op6_mips, op7_exact_dedup, op8_byte_bpe, op10_html_text)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
