@@ -120,34 +120,27 @@ def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -
     """Connected components of the undirected edges (a, b): rows (node, component), component the smallest node.
 
     Alternates the large-star and small-star steps, each one grouped minimum and one join, and writes each
-    round to the shared folder. Nodes with a third of all edges are spread by the join's skew handling.
-    Rounds grow with the logarithm of the number of nodes.
+    round to the shared folder, until the edges stay the same: then each node but the smallest of its component has
+    one edge, to that. A node with a third of all edges is spread by the join's skew handling. Rounds grow with the
+    logarithm of the number of nodes.
     """
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    e = scratch.keep(e, "edges")
+    e = scratch.keep(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
+    before = None
     while True:
-        both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         parent = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(parent, "u")
-            .select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
-            .select("x.u", "x.v")
-            .where("u <> v")
-            .distinct()
-        )
+        ends = F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        small = large.join(parent, "u").select(F.explode(ends).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
         new = scratch.keep(small, "edges")
-        # A forest of stars does not change any more: no parent has a parent, and each node has one.
-        parents = new.select("v").distinct()
-        unsettled = new.join(parents, new.u == parents.v, "left_semi").limit(1).count()
-        many = new.groupBy("u").count().where("count > 1").limit(1).count() if not unsettled else 1
+        state = tuple(new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         scratch.drop(e)
         e = new
-        if not unsettled and not many:
+        if state == before:
             break
-    nodes = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return nodes.union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+        before = state
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
 def byte_rows(batches: Iterable, *names: str) -> Iterator[tuple]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyroom.llm import byte_bpe, exact_dedup, html_text, mips, packing, quality, token_file, toxicity, word_bpe
+from tallyroom.llm import byte_bpe, exact_dedup, html_text, mips, ngram_jaccard, packing, quality, token_file, toxicity, word_bpe
 from tallyroom.llm.common import Scratch
 
 
@@ -12,6 +12,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.groups(documents(spark, sf_dir), 3, "0.9")
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{Scratch(spark, 'token-files').base}/data"
     token_file.write_tokens(documents(spark, sf_dir), folder, word_bpe.default_path(), 2)
@@ -46,7 +50,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_files, op3_toxicity, op4_quality, op5_packing, op6_mips, op7_exact_dedup, op8_byte_bpe, op10_html_text)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_token_files, op3_toxicity, op4_quality, op5_packing, op6_mips, op7_exact_dedup, op8_byte_bpe, op10_html_text)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
