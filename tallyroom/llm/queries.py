@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyroom.llm import byte_bpe, exact_dedup, html_text, mips, ngram_jaccard, packing, quality, token_file, toxicity, word_bpe
+from tallyroom.llm import byte_bpe, exact_dedup, html_text, mips, ngram_jaccard, packing, quality, suffix_tree, token_file, toxicity, word_bpe
 from tallyroom.llm.common import Scratch
 
 
@@ -46,11 +46,15 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(documents(spark, sf_dir))
 
 
+def op9_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score(documents(spark, sf_dir))
+
+
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_token_files, op3_toxicity, op4_quality, op5_packing, op6_mips, op7_exact_dedup, op8_byte_bpe, op10_html_text)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_token_files, op3_toxicity, op4_quality, op5_packing, op6_mips, op7_exact_dedup, op8_byte_bpe, op9_suffix_tree, op10_html_text)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
