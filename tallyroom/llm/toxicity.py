@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,7 @@ from tallyroom.llm.labelled import Calibration, bounded_sample, training_labels
 #: Labelled rows of each class from which terms are chosen, and examples in the index.
 TERM_SAMPLE, EXAMPLES = 3_072, 16_384
 VOCABULARY = 4_096
+LIFT = 4.0
 PREFIXES = (4, 5, 6)
 NEIGHBOURS = 15
 BLOCK = 64
@@ -57,7 +59,8 @@ def _families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def choose_terms(docs: DataFrame, labels: DataFrame, vocabulary: int = VOCABULARY, least_docs: int = 4) -> list[str]:
-    """Terms whose presence goes with the label: a log-likelihood ratio of over 20, the largest first, vocabulary at most.
+    """Terms whose presence goes with the label: LIFT times as frequent with one of its values as with the other, and a
+    log-likelihood ratio of over 20; the largest first, vocabulary at most.
 
     Near copies count once, or every rare word of a much-copied labelled text would seem to go with its label.
     """
@@ -73,7 +76,9 @@ def choose_terms(docs: DataFrame, labels: DataFrame, vocabulary: int = VOCABULAR
     has, lacks = a + b, F.lit(n) - a - b
     cells = [(a, has * n0 / n), (b, has * n1 / n), (n0 - a, lacks * n0 / n), (n1 - b, lacks * n1 / n)]
     ratio = 2 * sum((part(x, e) for x, e in cells), F.lit(0.0))
-    best = counts.select("term", ratio.alias("g")).where("g > 20").orderBy(F.desc("g"), "term").limit(vocabulary).collect()
+    rate0, rate1 = (a + 0.5) / (n0 + 1), (b + 0.5) / (n1 + 1)
+    marks = (rate1 >= LIFT * rate0) | (rate0 >= LIFT * rate1)
+    best = counts.where(marks).select("term", ratio.alias("g")).where("g > 20").orderBy(F.desc("g"), "term").limit(vocabulary).collect()
     rows.unpersist()
     return sorted(r.term for r in best)
 
@@ -159,33 +164,35 @@ class BlockMaxIndex:
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Positions and similarities of the k nearest examples with a similarity over 0; ties go to the smaller id."""
-        bound = np.zeros(self.blocks)
-        ranges = [(self.block_start[t], self.block_start[t + 1], w) for t, w in zip(terms.tolist(), weights.tolist(), strict=True)]
-        for a, b, w in ranges:
-            bound[self.block[a:b]] += w * self.bound[a:b]
+        first, last = self.block_start[terms], self.block_start[terms + 1]
+        n = last - first
+        entries = np.repeat(first, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)  # of (term, block)
+        weight = np.repeat(weights, n)
+        block = self.block[entries]
+        bound = np.bincount(block, weight * self.bound[entries], self.blocks)
         best_at, best = np.zeros(0, np.int64), np.zeros(0)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        step = 8
-        for s in range(0, len(order), step):
-            some = order[s : s + step]
-            if len(best) >= k and bound[some[0]] < best[-1] - 1e-12:
+        at, step = 0, 8
+        while at < len(order):
+            if len(best) >= k and bound[order[at]] < best[-1] - 1e-12:
                 break
-            score = np.zeros((len(some), BLOCK))
+            some = order[at : at + step]
+            at, step = at + step, step * 2
             place = np.full(self.blocks, -1)
             place[some] = np.arange(len(some))
-            for a, b, w in ranges:
-                for j in (np.flatnonzero(place[self.block[a:b]] >= 0) + a).tolist():
-                    of = slice(self.at[j], self.at[j + 1])
-                    score[place[self.block[j]], self.example[of] % BLOCK] += w * self.weight[of]
-            at = (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            flat = score.ravel()
-            good = flat > 0
-            at, flat = at[good], flat[good]
+            of = np.flatnonzero(place[block] >= 0)
+            start, size = self.at[entries[of]], self.at[entries[of] + 1] - self.at[entries[of]]
+            postings = np.repeat(start, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            example = self.example[postings]
+            score = np.bincount(place[example // BLOCK] * BLOCK + example % BLOCK, np.repeat(weight[of], size) * self.weight[postings], len(some) * BLOCK)
+            found = np.flatnonzero(score > 0)
+            where = some[found // BLOCK] * BLOCK + found % BLOCK
+            score = score[found]
             if without is not None:
-                other = self.ids[at] != without
-                at, flat = at[other], flat[other]
-            best_at, best = np.concatenate([best_at, at]), np.concatenate([best, flat])
+                other = self.ids[where] != without
+                where, score = where[other], score[other]
+            best_at, best = np.concatenate([best_at, where]), np.concatenate([best, score])
             rank = np.lexsort((self.ids[best_at], -best))[:k]
             best_at, best = best_at[rank], best[rank]
         return best_at, best
@@ -204,51 +211,61 @@ def vote(index: BlockMaxIndex, at: np.ndarray, similarity: np.ndarray) -> float:
     return float((weight * index.labels[at]).sum() / weight.sum())
 
 
+@dataclass
 class Model:
-    """What a task needs to score vectors."""
+    """What a task needs to find a vector's neighbours and vote."""
 
-    def __init__(self, idf: np.ndarray, index: BlockMaxIndex, empty: float, k: int):
-        self.idf, self.index, self.empty, self.k = idf, index, empty, k
-        self.calibrate = lambda raw: raw
+    idf: np.ndarray
+    index: BlockMaxIndex
+    empty: float  # score of texts without terms
+    k: int
 
     def raw(self, doc_id: int | None, terms, tf) -> tuple[float | None, np.ndarray, np.ndarray]:
-        at, similarity = self.index.search(*unit_vector(terms, tf, self.idf), self.k, doc_id) if len(terms) else (np.zeros(0, np.int64), np.zeros(0))
+        """The vote of the neighbours, itself excepted; None without any."""
+        if not len(terms):
+            return None, np.zeros(0, np.int64), np.zeros(0)
+        at, similarity = self.index.search(*unit_vector(terms, tf, self.idf), self.k, doc_id)
         return (vote(self.index, at, similarity) if len(at) else None), at, similarity
 
 
-def fit(vectors: DataFrame, train: DataFrame, terms: list[str], k: int = NEIGHBOURS, examples: int = EXAMPLES) -> Model:
-    """Document frequencies of all rows, an index over at most examples labelled ones, and votes calibrated on these, each left out in turn."""
+def fit(vectors: DataFrame, sample: DataFrame, terms: list[str], k: int = NEIGHBOURS) -> Model:
+    """Document frequencies of all rows, and an index over the sample's vectors."""
     n = vectors.count()
     df = np.zeros(len(terms))
     for r in vectors.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # one row per term
         df[r["t"]] = r["count"]
     idf = np.log((1 + n) / (1 + df)) + 1
-    sample = bounded_sample(train, examples)
     rows = vectors.join(F.broadcast(sample), "doc_id").select("doc_id", "label", "terms", "tf").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
     used = [r for r in rows if r.terms]
     index = BlockMaxIndex(np.array([r.doc_id for r in used], np.int64), np.array([r.label for r in used], float), [unit_vector(r.terms, r.tf, idf) for r in used], len(terms))
-    positives = sum(r.label for r in rows)
-    none = [r.label for r in rows if not r.terms]
-    empty = (sum(none) + 0.5) / (len(none) + 1) if none else (positives + 0.5) / (len(rows) + 1)
-    model = Model(idf, index, empty, k)
-    raw = [(model.raw(r.doc_id, r.terms, r.tf)[0], r.label) for r in used]
-    raw = [(x, y) for x, y in raw if x is not None]
-    if raw:
-        model.calibrate = Calibration(np.array([x for x, _ in raw]), np.array([y for _, y in raw]))
-    return model
-
-
-def _score(model: Model):
+    none = [r.label for r in rows if not r.terms] or [r.label for r in rows]
+    return Model(idf, index, (sum(none) + 0.5) / (len(none) + 1), k)
+
+
+VOTES = "doc_id long, raw double, evidence_ids array<long>, evidence_similarity array<double>"
+
+
+def _votes(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            scores, near, similar = [], [], []
-            for doc_id, terms, tf in zip(ids, batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            raws, near, similar = [], [], []
+            for doc_id, terms, tf in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 raw, at, similarity = model.raw(doc_id, terms, tf)
-                scores.append(model.empty if raw is None else float(model.calibrate(raw)))
+                raws.append(raw)
                 near.append(model.index.ids[at].tolist())
                 similar.append(similarity.tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array(near, pa.list_(pa.int64())), pa.array(similar, pa.list_(pa.float64()))], names=["doc_id", "score", "evidence_ids", "evidence_similarity"])
+            columns = [batch.column(0), pa.array(raws, pa.float64()), pa.array(near, pa.list_(pa.int64())), pa.array(similar, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "raw", "evidence_ids", "evidence_similarity"])
+
+    return run
+
+
+def _calibrated(calibrate: Calibration, empty: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = batch.column(1).to_numpy(zero_copy_only=False)
+            scores = np.where(np.isnan(raw), empty, calibrate(np.nan_to_num(raw)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), *batch.columns[2:]], names=["doc_id", "score", "evidence_ids", "evidence_similarity"])
 
     return run
 
@@ -263,12 +280,18 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
     """
     scratch = Scratch(docs.sparkSession, "toxicity")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    # Examples, votes and their calibration are of the training labels alone.
     train = scratch.keep(training_labels(labels, label, MODULUS, HELD_OUT), "labels")
     chosen = bounded_sample(train.where("label = 0"), TERM_SAMPLE).union(bounded_sample(train.where("label = 1"), TERM_SAMPLE))
     terms = choose_terms(rows, chosen)
     vectors = scratch.keep(rows.mapInArrow(_vectors(terms), "doc_id long, terms array<int>, tf array<int>"), "vectors")
-    model = fit(vectors, train, terms)
-    out = vectors.mapInArrow(_score(model), "doc_id long, score double, evidence_ids array<long>, evidence_similarity array<double>")
+    sample = bounded_sample(train, EXAMPLES)
+    model = fit(vectors, sample, terms)
+    votes = scratch.keep(vectors.mapInArrow(_votes(model), VOTES), "votes")
+    # No example is its own neighbour, so the examples' votes are what each gets when left out.
+    seen = votes.where("raw is not null").join(F.broadcast(sample), "doc_id").select("raw", "label").collect()
+    calibrate = Calibration(np.array([r.raw for r in seen]), np.array([r.label for r in seen]))
+    out = votes.mapInArrow(_calibrated(calibrate, model.empty), "doc_id long, score double, evidence_ids array<long>, evidence_similarity array<double>")
     return out.select(
         "doc_id", (crc_mod(F.col("doc_id"), MODULUS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence_ids", "evidence_similarity"
     )

@@ -50,7 +50,7 @@ def corpus(spark):
     words = ["".join(rng.choice(list("aeioulnrst"), rng.integers(2, 8))) for _ in range(400)]
     rows, labels = [], []
     for i in range(1200):
-        toxic, bad = int(i % 6 == 0), int(i % 5 == 1)
+        toxic, bad = int(i % 7 == 0), int(i % 5 == 1)
         text = list(rng.choice(words, rng.integers(20, 60)))
         for _ in range(3 * toxic):
             text.insert(int(rng.integers(0, len(text))), rng.choice(["vilest", "Scumbag!", "grimble"]))
@@ -59,10 +59,10 @@ def corpus(spark):
         rows.append((i, " ".join(text)))
         if i % 3:
             labels.append((i, 1 - bad, toxic))
-    rows += [(2000, None), (2001, ""), (2002, rows[6][1]), (2002, rows[6][1]), (None, "grimble"), (2003, "x " * 50_000)]
+    rows += [(2000, None), (2001, ""), (2002, rows[7][1]), (2002, rows[7][1]), (None, "grimble"), (2003, "x " * 50_000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({n: F.lit("clash") for n in ("label", "score", "terms", "tf", "x")})
     labels += [(5, None, None), (2000, 1, 0), (4, 1, None)]
-    return docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int").withColumn("text", F.lit("clash")), {i: (int(i % 6 == 0), int(i % 5 != 1)) for i in range(1200)}
+    return docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int").withColumn("text", F.lit("clash")), {i: (int(i % 7 == 0), int(i % 5 != 1)) for i in range(1200)}
 
 
 def test_held_out_accuracy(spark):
