@@ -61,7 +61,7 @@ def back_chain(returns: DataFrame, anchor_date, anchor_level: float, floor: floa
     usable = F.when(F.col("ret").isNull() | (F.col("ret") <= floor), 1.0).otherwise(1 + F.col("ret"))
     later = Window.partitionBy(F.lit(0)).orderBy(F.desc("date")).rowsBetween(Window.unboundedPreceding, -1)
     rows = returns.where(F.col("date") <= F.lit(anchor_date))
-    return rows.select("date", F.round(F.lit(anchor_level) / F.coalesce(F.product(usable).over(later), F.lit(1.0)), 4).alias("level"))
+    return rows.select("date", (F.lit(anchor_level) / F.coalesce(F.product(usable).over(later), F.lit(1.0))).alias("level"))
 
 
 def join_series(bars: DataFrame, idx: DataFrame, sector: DataFrame) -> DataFrame:

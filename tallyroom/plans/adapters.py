@@ -12,18 +12,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _mean_cents(col: str):
+    """Mean in whole cents, rounded down: integer sums are the same in any order."""
+    return F.floor(F.sum(F.round(F.col(col) * 100).cast("long")) / F.count(F.lit(1))) / 100
+
+
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ticker, date, close, volume."""
     return (
         table(spark, sf_dir, "orders")
         .groupBy(F.col("o_orderpriority").alias("ticker"), F.to_date("o_orderdate").alias("date"))
-        .agg(F.round(F.avg("o_totalprice"), 4).alias("close"), F.count(F.lit(1)).alias("volume"))
+        .agg(_mean_cents("o_totalprice").alias("close"), F.count(F.lit(1)).alias("volume"))
     )
 
 
 def index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """date, close of the market index."""
-    return table(spark, sf_dir, "lineitem").groupBy(F.to_date("l_shipdate").alias("date")).agg(F.round(F.avg("l_extendedprice"), 4).alias("close"))
+    return table(spark, sf_dir, "lineitem").groupBy(F.to_date("l_shipdate").alias("date")).agg(_mean_cents("l_extendedprice").alias("close"))
 
 
 def news(spark: SparkSession, sf_dir: str, days: int = 365) -> DataFrame:
@@ -82,8 +87,8 @@ def news_sql(days: int = 365) -> str:
 
 
 SQL = {
-    "bars": "bars AS (SELECT o_orderpriority AS ticker, CAST(o_orderdate AS DATE) AS date, round(avg(o_totalprice), 4) AS close, count(*) AS volume FROM orders GROUP BY ALL)",
-    "idx": "idx AS (SELECT CAST(l_shipdate AS DATE) AS date, round(avg(l_extendedprice), 4) AS close FROM lineitem GROUP BY ALL)",
+    "bars": "bars AS (SELECT o_orderpriority AS ticker, CAST(o_orderdate AS DATE) AS date, floor(sum(CAST(round(o_totalprice * 100) AS BIGINT))::DOUBLE / count(*)) / 100 AS close, count(*) AS volume FROM orders GROUP BY ALL)",
+    "idx": "idx AS (SELECT CAST(l_shipdate AS DATE) AS date, floor(sum(CAST(round(l_extendedprice * 100) AS BIGINT))::DOUBLE / count(*)) / 100 AS close FROM lineitem GROUP BY ALL)",
     "news": news_sql(),
     "news30": news_sql(30),
     "runs": "runs AS (SELECT event_id AS id, ts AS started_at, event_type <> 'error' AS ok, 's' || (user_id % 7) AS source, CAST(floor(value) AS INTEGER) AS rows_added FROM events)",

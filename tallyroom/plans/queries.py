@@ -31,9 +31,10 @@ _RET = ", b AS (SELECT *, close / lag(close) OVER (PARTITION BY ticker ORDER BY
 _ALL = _RET + ", a AS (SELECT * FROM d WHERE members = (SELECT count(DISTINCT ticker) FROM b WHERE r IS NOT NULL))"
 
 
-@register("bars", _ALL + " SELECT date, round(100 * product(1 + ret) OVER (ORDER BY date), 4) AS level FROM a")
+@register("bars", _ALL + " SELECT date, round(log10(round(100 * product(1 + ret) OVER (ORDER BY date), 4)), 6) AS log_level FROM a")
 def sector_index(spark, sf):
-    return prices.chain_index(prices.basket_returns(bars(spark, sf)))
+    """The logarithm of the level: the given prices are so wild that levels reach 1e69."""
+    return prices.chain_index(prices.basket_returns(bars(spark, sf))).select("date", F.round(F.log10("level"), 6).alias("log_level"))
 
 
 @register("bars", _ALL + " SELECT date, round(ret, 8) AS ret, members FROM a")
@@ -46,10 +47,10 @@ def basket_returns_dynamic(spark, sf):
     return prices.basket_returns(bars(spark, sf), 3).select("date", F.round("ret", 8).alias("ret"), "members")
 
 
-@register("bars", _RET + """ SELECT date, round(50 / coalesce(product(CASE WHEN ret IS NULL OR ret <= -0.95 THEN 1 ELSE 1 + ret END)
-    OVER (ORDER BY date DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1), 4) AS level FROM d WHERE date <= DATE '1996-06-30'""")
+@register("bars", _RET + """ SELECT date, round(log10(50 / coalesce(product(CASE WHEN ret IS NULL OR ret <= -0.95 THEN 1 ELSE 1 + ret END)
+    OVER (ORDER BY date DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1)), 4) AS log_level FROM d WHERE date <= DATE '1996-06-30'""")
 def back_chained_index(spark, sf):
-    return prices.back_chain(prices.basket_returns(bars(spark, sf), 1), "1996-06-30", 50.0)
+    return prices.back_chain(prices.basket_returns(bars(spark, sf), 1), "1996-06-30", 50.0).select("date", F.round(F.log10("level"), 4).alias("log_level"))
 
 
 @register("bars", "SELECT ticker, date, close, volume, round((close - lag(close) OVER w) / lag(close) OVER w * 100, 4) AS change FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY date)")
@@ -67,11 +68,12 @@ def peer_change(spark, sf):
 
 @register("bars idx", _ALL + """, s AS (SELECT date, round(100 * product(1 + ret) OVER (ORDER BY date), 4) AS level FROM a),
     spine AS (SELECT date FROM bars UNION SELECT date FROM idx UNION SELECT date FROM s)
-    SELECT t.ticker, x.date, b0.close, b0.volume, i.close AS idx, s.level AS sector FROM spine x CROSS JOIN (SELECT DISTINCT ticker FROM bars) t
+    SELECT t.ticker, x.date, b0.close, b0.volume, i.close AS idx, round(log10(s.level), 6) AS log_sector FROM spine x CROSS JOIN (SELECT DISTINCT ticker FROM bars) t
     LEFT JOIN bars b0 ON b0.ticker = t.ticker AND b0.date = x.date LEFT JOIN idx i ON i.date = x.date LEFT JOIN s ON s.date = x.date""")
 def joined_series(spark, sf):
     b = bars(spark, sf)
-    return prices.join_series(b, index(spark, sf), prices.chain_index(prices.basket_returns(b)))
+    out = prices.join_series(b, index(spark, sf), prices.chain_index(prices.basket_returns(b)))
+    return out.withColumn("sector", F.round(F.log10("sector"), 6)).withColumnRenamed("sector", "log_sector")
 
 
 @register("bars idx", "SELECT date FROM bars UNION SELECT date FROM idx")
