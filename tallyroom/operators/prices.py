@@ -146,6 +146,38 @@ def big_day(rows: DataFrame, least: float = 2.0) -> DataFrame:
     return last_rows(rows.where("close is not null")).select("ticker", "date", "change", F.coalesce(F.abs("change") >= least, F.lit(False)).alias("big"))
 
 
+#: Texts of the rule summary's lines.
+SUMMARY = {
+    "big": "Closed with a change of %.2f%%",
+    "volume": "Volume %.1f times its 30-day mean",
+    "event": "Largest move around: %s",
+    "range": "At %.0f%% of its 52-week range",
+    "wins": "%d events of the kind %s",
+    "none": "No events",
+}
+
+
+def rule_summary(rows: DataFrame) -> DataFrame:
+    """ticker, bullets: the lines of the rules that fire, in order, five at most.
+
+    rows: ticker, date, close, change, volume, idx, remark. Tickers without a price have no row.
+    """
+    from tallyroom.operators.feed import top_event_type
+
+    out = rows.where("close is not null").select("ticker").distinct()
+    parts = [
+        big_day(rows).where("big").select("ticker", F.format_string(SUMMARY["big"], F.col("change").cast("double")).alias("big")),
+        volume_surge(rows).where("surge").select("ticker", F.format_string(SUMMARY["volume"], F.col("volume") / F.col("mean_volume")).alias("volume")),
+        event_impact(rows).select("ticker", F.format_string(SUMMARY["event"], "remark").alias("event")),
+        range_position(rows).where("position is not null").select("ticker", F.format_string(SUMMARY["range"], "position").alias("range")),
+        top_event_type(rows.where("close is not null")).select("ticker", F.format_string(SUMMARY["wins"], "n", "event").alias("wins")),
+    ]
+    for part in parts:
+        out = out.join(part, "ticker", "left")
+    lines = F.filter(F.array("big", "volume", "event", "range", "wins"), lambda x: x.isNotNull())
+    return out.select("ticker", F.when(F.size(lines) > 0, lines).otherwise(F.array(F.lit(SUMMARY["none"]))).alias("bullets"))
+
+
 def latest_per_key(bars: DataFrame) -> DataFrame:
     """Latest priced row per ticker, with the newest date of all alongside."""
     priced = bars.where("close is not null")

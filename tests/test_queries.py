@@ -1,5 +1,6 @@
 import pytest
 
+import tallyroom.plans.more_queries  # noqa: F401
 from tallyroom.plans.queries import ORACLE_SQL, QUERIES
 from tests.compare import compare, connect
 
