@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyroom.functions import classify, rules, text
-from tallyroom.operators import linkjobs, prices
+from tallyroom.operators import audits, linkjobs, prices
 from tallyroom.operators import feed as feed_ops
 from tallyroom.plans.adapters import bars, crawl, index, news, table
 from tallyroom.plans.queries import QUERIES, register
@@ -184,3 +184,43 @@ def rule_summary(spark, sf):
 
 
 QUERIES |= {f.__name__: f for f in (candidates, ranked_candidates, rule_events, rule_summary)}
+
+
+@register("news", """, n AS (SELECT id, title FROM news WHERE length(title) >= 60) SELECT id, 'match' AS verdict FROM n""")
+def title_verdicts(spark, sf):
+    """Headlines against pages with the same title and a site's name after it."""
+    rows = news(spark, sf).where(F.length("title") >= 60).select("id", F.col("title").alias("headline"), F.concat("title", F.lit(" | Bangkok Post")).alias("page_title"), F.lit("bangkokpost.com").alias("host"))
+    return audits.title_verdicts(rows).select("id", "verdict")
+
+
+def title_mismatches(spark, sf):
+    n = news(spark, sf)
+    other = n.select((F.col("id") + 1).alias("id"), F.col("title").alias("page_title"))
+    return audits.title_verdicts(n.join(other, "id").select("id", F.col("title").alias("headline"), "page_title", F.lit("a.co").alias("host")))
+
+
+@register("news", """, n AS (SELECT id % 4 AS k FROM news) SELECT CASE k WHEN 0 THEN 'unsafe' WHEN 1 THEN 'homepage' WHEN 2 THEN 'mismatch' ELSE 'ok' END AS reason, count(*) AS n, count(*) FILTER (k = 3) AS kept FROM n GROUP BY ALL""")
+def link_vet_report(spark, sf):
+    k = F.col("id") % 4
+    path = F.concat(F.lit("news/1000"), F.col("id").cast("string"))
+    url = F.when(k == 0, "http://10.0.0.1/x").when(k == 1, "https://bangkokpost.com/").otherwise(F.concat(F.lit("https://bangkokpost.com/"), path))
+    rows = news(spark, sf).select("id", "panel", "title", url.alias("url"), F.when(k == 2, "Naewna").otherwise("Bangkok Post").alias("source_label"))
+    aliases = spark.createDataFrame([("bangkokpost.com", "Bangkok Post"), ("naewna.com", "Naewna")], "host string, alias string")
+    return audits.vet_report(audits.link_vet(rows, aliases, spark.createDataFrame([("msn.com",)], "host string")))
+
+
+@register("news", "SELECT id, CASE WHEN id % 2 = 0 THEN 'https://m.b.co/news/1000' || id END AS url_kept FROM news")
+def grounded_links(spark, sf):
+    url = F.concat(F.lit("https://m.b.co/news/1000"), F.col("id").cast("string"))
+    rows = news(spark, sf).select("id", url.alias("url"), F.when(F.col("id") % 2 == 0, F.array(F.lit("b.co"))).otherwise(F.array(F.lit("c.co"))).alias("cited_hosts"))
+    return audits.grounded_links(rows).select("id", "url_kept")
+
+
+@register("news", "SELECT id, CASE WHEN id % 2 = 0 THEN 1 ELSE 0 END AS position FROM news")
+def best_chunks(spark, sf):
+    items = news(spark, sf).select("id", F.when(F.col("id") % 2 == 0, "Bangkok Post Online").otherwise("Nobody").alias("source"))
+    chunks = items.select("id", F.posexplode(F.array(F.lit("Naewna"), F.lit("Bangkok Post"))).alias("position", "title")).withColumn("uri", F.lit("u"))
+    return audits.best_chunk(items, chunks).select("id", "position")
+
+
+QUERIES["title_mismatches"] = title_mismatches

@@ -185,3 +185,45 @@ def test_crawl_verdicts(spark):
     df = spark.createDataFrame(rows, "s int, e string, t string, u string")
     got = [r[0] for r in df.select(linkjobs.crawl_verdict(F.col("s"), F.col("e"), F.col("u"), F.col("t"))).collect()]
     assert got == ["valid", "dead", "soft_404", "homepage", "unsafe", "network_error"]
+
+
+def test_longest_common_run(spark):
+    import random
+
+    from tallyroom.operators.audits import lcs_containment
+
+    def brute(a, b):
+        a, b = sorted((a, b), key=len)
+        return max((k for i in range(len(a)) for k in range(len(a) - i + 1) if a[i : i + k] in b), default=0) / len(a) if a else 0.0
+
+    rng = random.Random(1)
+    rows = [(i, "".join(rng.choice("abc1") for _ in range(rng.randint(0, 12))), "".join(rng.choice("abc1") for _ in range(rng.randint(0, 20)))) for i in range(200)]
+    got = {r.id: r.containment for r in lcs_containment(spark.createDataFrame(rows, "id int, a string, b string")).collect()}
+    assert got == pytest.approx({i: brute(*((a, b) if len(a) <= len(b) else (b, a))) for i, a, b in rows})
+
+
+def test_title_verdicts(spark):
+    from tallyroom.operators.audits import title_verdicts
+
+    rows = [
+        (1, "ASW โชว์กำไร Q2/69 โต 36%", "ASW โชว์กำไร Q2/69 โต 36% | Bangkok Post", "bangkokpost.com"),
+        (2, "ASW โชว์กำไร Q2/69 โต 36%", "MSN", "msn.com"),
+        (3, "qqqq wwww", "ผลฟุตบอลเมื่อคืน", "a.co"),
+        (4, "", "x title", "a.co"),
+    ]
+    got = {r.id: r.verdict for r in title_verdicts(spark.createDataFrame(rows, "id int, headline string, page_title string, host string")).collect()}
+    assert got == {1: "match", 2: "title_unknown", 3: "title_mismatch_high", 4: "title_unknown"}
+
+
+def test_url_claims_last_over_batches(spark):
+    from tallyroom.operators.audits import claim_urls
+
+    claims = spark.createDataFrame([], "panel string, url string, title string, claimed_on date")
+    batch = lambda *rows: spark.createDataFrame(rows, "id int, panel string, url string, title string")
+    u = "https://a.co/news/12345"
+    out, claims = claim_urls(batch((1, "p", u, "alpha beta gamma"), (2, "p", u, "delta epsilon zeta"), (3, "q", u, "delta epsilon zeta")), claims, "2026-01-01")
+    assert {r.id: r.url_kept for r in out.collect()} == {1: u, 2: None, 3: u}
+    out, later = claim_urls(batch((4, "p", u, "delta epsilon zeta"), (5, "p", u, "alpha beta gamma again")), claims, "2026-01-10")
+    assert {r.id: r.url_kept for r in out.collect()} == {4: None, 5: u} and later.count() == 2
+    out, later = claim_urls(batch((6, "p", u, "delta epsilon zeta")), claims, "2026-03-01")
+    assert [r.url_kept for r in out.collect()] == [u]
