@@ -48,6 +48,13 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def rows_by_id(docs: DataFrame, id_col: str, ids: DataFrame, how: str) -> DataFrame:
+    """docs with (left_semi) or without (left_anti) the ids of a one-column table; null ids match each other. No column of docs can clash."""
+    name = f"_id_{uuid.uuid4().hex}"
+    ids = ids.toDF(name).distinct()
+    return docs.join(ids, docs[id_col].eqNullSafe(ids[name]), how)
+
+
 def input_partitions(df: DataFrame) -> int:
     """Partitions of a scan; follows the input's size, as spark.sql.files.maxPartitionBytes cuts it."""
     return max(1, df.rdd.getNumPartitions())
@@ -143,6 +150,18 @@ def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def release_memory() -> None:
+    """Gives what a task has freed back to the system: the worker process lives on, next to its executor's heap."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def byte_rows(batches: Iterable, *names: str) -> Iterator[tuple]:
     """Rows of Arrow batches as tuples; strings come as their UTF-8 bytes."""
     import pyarrow as pa

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyroom.llm.common import Scratch, byte_rows, fan_out
+from tallyroom.llm.common import Scratch, byte_rows, fan_out, rows_by_id
 
 DIGEST_SCHEMA = "doc_id long, digest binary"
 
@@ -96,5 +96,4 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose text no row with a larger id has; all columns of docs. Rows without an id stay if one of them does."""
-    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
+    return rows_by_id(docs, id_col, exact_groups(docs, id_col, text_col).where("kept").select("doc_id"), "left_semi")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyroom.llm import blocks
-from tallyroom.llm.common import Scratch, components, mix, shingle_keys
+from tallyroom.llm.common import Scratch, components, mix, rows_by_id, shingle_keys
 
 #: Documents that are compared in one group.
 GROUP = 512
@@ -243,5 +243,5 @@ def groups(docs: DataFrame, words: int = 5, threshold: float | str | Fraction =
 
 def drop_near_copies(docs: DataFrame, words: int = 5, threshold: float | str | Fraction = "0.8", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose id names their component: one document of each group. Rows without an id stay."""
-    gone = groups(docs, words, threshold, id_col, text_col).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone_id"))
-    return docs.join(gone, F.col(id_col) == F.col("_gone_id"), "left_anti")
+    gone = groups(docs, words, threshold, id_col, text_col).where("component_id <> doc_id").select("doc_id")
+    return rows_by_id(docs, id_col, gone, "left_anti")
