@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tallyroom.llm import exact_dedup, ngram_jaccard, packing, quality, toxicity, word_bpe
-from tallyroom.llm.common import Scratch
+from tallyroom.llm.common import Scratch, rows_by_id
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +14,7 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     """docs but the rows whose ids are rejected; rows without an id stay."""
-    ids = rejected.select(F.col("doc_id").alias("_rejected_id")).distinct()
-    return docs.join(ids, docs.doc_id == F.col("_rejected_id"), "left_anti")
+    return rows_by_id(docs, "doc_id", rejected.where("doc_id is not null").select("doc_id"), "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
