@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyroom.llm.common import hash_words, words_of
+from tallyroom.llm.common import hash_words, release_memory, words_of
 
 BLOCK_BYTES = 8_000_000
 BLOCK_SCHEMA = "block long, doc_ids binary, sizes binary, words binary"
@@ -76,6 +76,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 number, size, ids, words = number + 1, 0, [], []
     if ids:
         yield _block(number, ids, words)
+    release_memory()
 
 
 def build(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 #: White space of the tokenizer's pattern: the Unicode property, which Python's \s is not.
 SPACE = "\t-\r \x85\xa0  -     　"
-SLICE_BYTES = 12_000_000
+SLICE_BYTES = 6_000_000
 
 
 def default_path() -> str:
@@ -84,7 +84,7 @@ class RankQueue:
 class ByteBpe:
     """Ids of whole texts, each match of the pattern separately, as a rank-file tokenizer without special tokens gives them."""
 
-    LIMIT = 400_000
+    LIMIT = 300_000
 
     def __init__(self, path: str, pattern: str):
         self.ranks = read_ranks(path)

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyroom.llm.common import Scratch, crc_mod
+from tallyroom.llm.common import Scratch, crc_mod, release_memory
 from tallyroom.llm.labelled import bounded_sample, training_labels
 from tallyroom.llm.toxicity import slices
 
@@ -20,6 +20,7 @@ MODULUS, HELD_OUT, THRESHOLD = 5, 0, 0.3
 FEATURES = (
     "log_chars log_words word_length upper digits signs rare_signs exclamations spaces non_ascii distinct_words repeated_words top_word line_length repeated_lines short_words long_words sign_words sentence_ends"
 ).split()
+SLICE_BYTES = 2_000_000
 BINS, PAIR_BINS, PAIRS = 32, 8, 10
 ROUNDS, PAIR_ROUNDS, RATE, LEAVES = 300, 100, 0.08, 3
 
@@ -218,10 +219,11 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, pair_rounds: int = P
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a, b in slices(batch.column(1)):
+        for a, b in slices(batch.column(1), SLICE_BYTES):
             x = features(batch.column(1).slice(a, b - a))
             lists = pa.ListArray.from_arrays(pa.array((np.arange(len(x) + 1) * x.shape[1]).astype(np.int32)), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], names=["doc_id", "x"])
+    release_memory()
 
 
 def _score(model: Gam):

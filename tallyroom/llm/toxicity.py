@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyroom.llm.common import Scratch, chain, crc_mod, hash_words, mix, words_of
+from tallyroom.llm.common import Scratch, chain, crc_mod, hash_words, mix, release_memory, words_of
 from tallyroom.llm.labelled import Calibration, bounded_sample, training_labels
 
 #: Labelled rows of each class from which terms are chosen, and examples in the index.
@@ -25,7 +25,7 @@ NEIGHBOURS = 15
 BLOCK = 64
 MODULUS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 _LETTERS = re.compile(r"[^\W\d_]+")
-SLICE_BYTES = 12_000_000
+SLICE_BYTES = 6_000_000
 
 
 def terms_of(chunk: str) -> list[str]:
@@ -139,6 +139,8 @@ def _vectors(terms: list[str]):
                 offsets = pa.array(np.searchsorted(rows, np.arange(b - a + 1)).astype(np.int32))
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (term, tf)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *lists], names=["doc_id", "terms", "tf"])
+        del vectoriser
+        release_memory()
 
     return run
 
