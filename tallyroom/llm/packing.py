@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyroom.llm.common import Scratch
+from tallyroom.llm.common import Scratch, release_memory
 from tallyroom.llm.token_file import NULL_ID, ordered, with_end
 from tallyroom.llm.word_bpe import load
 
@@ -21,7 +21,7 @@ WINDOW = 2048
 SENTENCE_CUT, INNER_CUT = 24, 96
 #: Inside a sentence, a cut may lie at every so many ids.
 INNER_STEP = 64
-SEGMENT_TOKENS = 1 << 17
+SEGMENT_TOKENS = 1 << 19
 SENTENCE_END = r"^[^\w]*[.!?…。！？][^\w]*</w>$"
 
 
@@ -124,7 +124,7 @@ def _pack(path: str, end_id: int, window: int):
             return pa.RecordBatch.from_arrays(out, names=[x.split()[0] for x in PIECES.split(", ")])
 
         for batch in batches:
-            for part, new, sizes in encoder.encode_slices(batch, limit=SEGMENT_TOKENS * 3):
+            for part, new, sizes in encoder.encode_slices(batch):
                 new, sizes = with_end(new, sizes, end_id)
                 docs = np.concatenate([docs, part.column(0).fill_null(NULL_ID).to_numpy()])
                 left, whole, ids = np.concatenate([left, sizes]), np.concatenate([whole, sizes]), np.concatenate([ids, new])
@@ -132,6 +132,7 @@ def _pack(path: str, end_id: int, window: int):
                     yield out
         if len(ids) and (out := emit(True)) is not None:
             yield out
+        release_memory()
 
     return run
 

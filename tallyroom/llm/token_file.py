@@ -185,14 +185,16 @@ def _tokenize(path: str, end_id: int):
         counts = np.zeros(encoder.n_ids(end_id), np.int64)
         narrow = np.uint16 if len(counts) <= 1 << 16 else np.uint32
         for batch in batches:
-            for part, ids, sizes in encoder.encode_slices(batch, limit=BLOCK_TOKENS * 3):
+            for part, ids, sizes in encoder.encode_slices(batch):
                 ids, sizes = with_end(ids, sizes, end_id)
                 counts += np.bincount(ids, minlength=len(counts))
-                doc_ids = part.column(0).fill_null(NULL_ID).to_numpy()
-                packed = squeeze.compress(ids.astype(narrow).tobytes())
-                yield _raw(file_no, block_no, first, doc_ids.tobytes(), sizes.astype("<u4").tobytes(), packed)
-                first += len(ids)
-                block_no += 1
+                doc_ids, ends, start = part.column(0).fill_null(NULL_ID).to_numpy(), np.cumsum(sizes), 0
+                while start < len(ends):  # whole documents until a block is full
+                    at = int(ends[start] - sizes[start])
+                    stop = min(len(ends), int(np.searchsorted(ends, at + BLOCK_TOKENS)) + 1)
+                    some = ids[at : int(ends[stop - 1])]
+                    yield _raw(file_no, block_no, first, doc_ids[start:stop].tobytes(), sizes[start:stop].astype("<u4").tobytes(), squeeze.compress(some.astype(narrow).tobytes()))
+                    first, block_no, start = first + len(some), block_no + 1, stop
         if block_no:
             yield _raw(file_no, -1, first, None, None, squeeze.compress(counts.tobytes()))
 

@@ -31,7 +31,7 @@ class WordBpe:
     that Python and the library disagree about as white space, go through the library whole.
     """
 
-    LIMIT = 700_000
+    LIMIT = 500_000
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -70,7 +70,7 @@ class WordBpe:
         ends = total[np.asarray(lists.offsets)]
         return ids.take(coded.indices).flatten().to_numpy(), np.diff(ends)
 
-    def encode_slices(self, batch: pa.RecordBatch, name: str = "text", limit: int = 12_000_000) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    def encode_slices(self, batch: pa.RecordBatch, name: str = "text", limit: int = 6_000_000) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
         """Slices of a batch with about limit bytes of text each (one row at least), their ids and their counts."""
         texts = batch.column(batch.schema.get_field_index(name))
         size = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy())
