@@ -26,8 +26,8 @@ from tallyroom.llm.common import Scratch, chain, crc_mod, fan_out, mix
 
 DEPTH = 2
 MODULUS, HELD_OUT = 5, 1
-#: A context must have been seen so often.
-LEAST = 2
+#: A context must have been seen so often: those seen less hardly ever pass the test, and would be most of what is asked for.
+LEAST = 4
 #: Strengths of smoothing that a state may have, in words; and by how many nats it must be better than its fallback.
 STRENGTHS = np.array([2.0, 30.0, 400.0, 6000.0])
 MARGIN = 1.0
