@@ -26,8 +26,8 @@ from tallyroom.llm.common import Scratch, chain, crc_mod, fan_out, mix
 
 DEPTH = 2
 MODULUS, HELD_OUT = 5, 1
-#: A context must have been seen so often: those seen less hardly ever pass the test, and would be most of what is asked for.
-LEAST = 4
+#: A context must have been seen so often. That drops no state: one seen once, left out, has no counts and gains nothing.
+LEAST = 2
 #: Strengths of smoothing that a state may have, in words; and by how many nats it must be better than its fallback.
 STRENGTHS = np.array([2.0, 30.0, 400.0, 6000.0])
 MARGIN = 1.0
@@ -131,6 +131,12 @@ class Positions:
         sums = np.zeros((len(keys), len(STRENGTHS)), np.float32)
         for k, s in enumerate(STRENGTHS.tolist()):
             sums[:, k] = np.bincount(place, np.log((count + s * fallback) / (seen + s) / fallback), len(keys))
+        # No other block adds to contexts that occur here alone: their verdict is known, and is sent as zeros and one mark.
+        own = np.zeros(len(keys), bool)
+        own[place] = np.bincount(place, minlength=len(keys))[place] == seen + 1
+        best = sums[own].argmax(axis=1)
+        marks = (np.arange(len(STRENGTHS)) == best[:, None]) & (sums[own].max(axis=1) > MARGIN)[:, None]
+        sums[own] = marks * np.float32(2 * MARGIN)
         # Seven bits of mantissa are plenty for a sum of sums, and the planes of zeros below cost nothing.
         sums = (sums.view(np.uint32) & np.uint32(0xFFFF0000)).view(np.float32)
         yield _ask(VERDICT + depth, self.block, keys, sums, buckets)

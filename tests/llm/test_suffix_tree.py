@@ -90,3 +90,18 @@ def test_odd_tables(spark):
 def test_held_out_texts_are_likelier_than_by_words_alone(spark, sf):
     rows = suffix_tree.score(spark.read.parquet(f"{sf}/documents.parquet")).where("held_out").collect()
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
+def test_no_context_is_too_rare(spark, monkeypatch):
+    """Equals the tree that tests every context, however seldom it was seen. One block: sums of several are rounded."""
+    rng = np.random.default_rng(5)
+    passages = [" ".join(rng.choice([f"w{i}" for i in range(60)], 15)) for _ in range(12)]
+    rows = [(i, f"{passages[i % 12]} t{i} {passages[i * 5 % 12]}", "", "") for i in range(30)]
+    monkeypatch.setattr(suffix_tree, "LEAST", 1)
+    want, strength = brute(rows)
+    monkeypatch.undo()
+    seen = Counter(c for i, w in ((i, tokens(t)) for i, t, *_ in rows) if not is_held(i) for s in [[START, *w]] for k in range(2, len(s)) for c in [tuple(s[k - 2 : k])])
+    assert any(seen[c] in (2, 3) for c in strength)
+    got = sorted(tuple(r) for r in suffix_tree.score(cases.docs(spark, rows).coalesce(1)).collect())
+    for g, w in zip(got, sorted(want), strict=True):
+        assert g[:5] == w[:5] and g[5:] == pytest.approx(w[5:], rel=1e-6), (g, w)
