@@ -30,27 +30,42 @@ NEVER = frozenset(
 )
 UNLESS_CONTENT = frozenset("header footer head foot site top bottom aside side rail links tags meta byline".split())
 CONTENT = frozenset("article content main post entry story body text".split())
+#: Attributes that have one of these as a whole name are never dropped for another name.
+CONTENT_NAMES = frozenset("article content main".split())
+#: Words that a name may have besides: with any other word (has-sidebar, no-comments, a slug) it says nothing.
+PARTS = CONTENT | frozenset(
+    "list lists button buttons box bar area section wrapper wrap container block group row col column inner outer left right primary secondary page posts articles title form link item items icon icons unit slot zone region panel header footer head foot site top bottom side aside rail links tags meta byline global local mobile desktop sticky fixed this and user email wp js module holder toggle count thread author info message messages".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SIGMA, RADIUS = 1.0, 2
 
 
 class _Element:
-    __slots__ = ("number", "skip", "tag")
+    __slots__ = ("article", "named", "number", "skip", "tag")
 
-    def __init__(self, tag: str, number: int, skip: str | None):
-        self.tag, self.number, self.skip = tag, number, skip
+    def __init__(self, tag: str, number: int, skip: str | None, named: tuple[int, ...], article: bool):
+        self.tag, self.number, self.skip, self.named, self.article = tag, number, skip, named, article
 
 
 class _Line:
-    __slots__ = ("heading", "links", "parts", "path", "skip", "tags")
+    __slots__ = ("article", "heading", "links", "named", "parts", "path", "skip", "tags")
 
-    def __init__(self, path, skip, heading):
+    def __init__(self, path, skip, heading, named, article):
         self.parts, self.tags, self.links, self.path, self.skip, self.heading = [], 0, 0, path, skip, heading
+        self.named, self.article = named, article
 
 
 def _words(value: str) -> list[str]:
     return re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower())
 
 
+def _names(given: dict) -> list[set[str]]:
+    """The words of each name in an element's attributes; a label is one name."""
+    values = [v for name in ("class", "id", "role", "itemprop") for v in (given.get(name) or "").split()]
+    values += [given.get("aria-label") or "", (given.get("itemtype") or "").rsplit("/", 1)[-1]]
+    return [words for v in values if (words := {w for w in _words(v) if len(w) > 1})]
+
+
 class LineParser(HTMLParser):
     """Turns a page's events into lines: the text between two block tags, with the tags and link characters in it.
 
@@ -58,8 +73,10 @@ class LineParser(HTMLParser):
     match nothing are ignored; an end tag closes what its element has left open.
     """
 
-    def __init__(self):
+    def __init__(self, by_name: bool = True, lifted: frozenset[int] = frozenset()):
+        """by_name: names drop elements; but not those whose numbers are lifted."""
         super().__init__(convert_charrefs=True)
+        self.by_name, self.lifted = by_name, lifted
         self.lines: list[_Line] = []
         self.tags: list[str] = []  # of each element, by number
         self.stack: list[_Element] = []
@@ -109,13 +126,17 @@ class LineParser(HTMLParser):
             skip = None  # a wrapper that nobody closed
         if tag in ("article", "main"):
             self.seen_article = self.seen_article or not (own or skip)
-        self.stack.append(_Element(tag, len(self.tags), skip or own))
+        number, above = len(self.tags), self.stack[-1] if self.stack else None
+        named = above.named if above else ()
+        if own == "div":
+            named = (*named, number)
+        self.stack.append(_Element(tag, number, skip or own, named, tag in ("article", "main") or bool(above and above.article)))
         self.tags.append(tag)
         if tag == "a":
             self.in_link += 1
 
     def _reason(self, tag: str, attrs) -> str | None:
-        inside = any(e.tag in ("article", "main") for e in self.stack)
+        inside = bool(self.stack) and self.stack[-1].article
         if tag in SKIP or tag == "header" and not inside:
             return tag
         if tag in ("html", "body"):
@@ -123,10 +144,15 @@ class LineParser(HTMLParser):
         given = dict(attrs)
         if "hidden" in given or (given.get("aria-hidden") or "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", given.get("style") or "", re.I):
             return "hidden"
-        words = {w for name in ("class", "id", "role", "aria-label", "itemprop", "itemtype") if given.get(name) for w in _words(given[name])}
-        if words & NEVER:
-            return "comment" if words & {"comment", "comments", "commentlist", "disqus", "replies", "discussion"} else "div"
-        if words & UNLESS_CONTENT and not words & CONTENT and not inside:
+        if not self.by_name or tag in HEADINGS or len(self.tags) in self.lifted:
+            return None
+        names = _names(given)
+        if any(len(words) == 1 and words & CONTENT_NAMES for words in names):
+            return None
+        never = [words for words in names if words & NEVER and words <= NEVER | PARTS]
+        if never:
+            return "comment" if set().union(*never) & {"comment", "comments", "commentlist", "disqus", "replies", "discussion"} else "div"
+        if not inside and not any(words & CONTENT for words in names) and any(words & UNLESS_CONTENT and words <= NEVER | PARTS for words in names):
             return "div"
         return None
 
@@ -162,7 +188,8 @@ class LineParser(HTMLParser):
                 return
             top = self.stack[-1].skip if self.stack else None
             path = tuple(e.number for e in self.stack if e.tag in SCOPES)
-            self.line = _Line(path, top, any(e.tag in ("h1", "h2", "h3", "h4", "h5", "h6") for e in self.stack[-3:]))
+            named, article = (self.stack[-1].named, self.stack[-1].article) if self.stack else ((), False)
+            self.line = _Line(path, top, any(e.tag in HEADINGS for e in self.stack[-3:]), named, article)
             self.line.tags, self.pending = self.pending, 0
             self.lines.append(self.line)
         self.line.parts.append(data)
@@ -177,6 +204,31 @@ def smooth(ratios: np.ndarray, sigma: float = SIGMA, radius: int = RADIUS) -> np
     return wide / np.convolve(np.ones(len(ratios)), weights)[radius : radius + len(ratios)]
 
 
+def _parse(html: str, **rules) -> tuple[LineParser, list[tuple[_Line, str]]]:
+    parser = LineParser(**rules)
+    parser.feed(html)
+    parser.close()
+    lines = [(x, " ".join("".join(x.parts).split())) for x in parser.lines]
+    return parser, [(x, text) for x, text in lines if text]
+
+
+def _lines(html: str) -> tuple[LineParser, list[tuple[_Line, str]]]:
+    """Names don't drop what holds most of the text of a page without text in an article, nor all that a page has."""
+    parser, lines = _parse(html)
+    if not any(x.skip is None and x.article for x, _ in lines):
+        mass: dict[int, int] = {}
+        for x, text in lines:
+            for number in x.named if x.skip == "div" else ():
+                mass[number] = mass.get(number, 0) + len(text)
+        total = sum(len(text) for x, text in lines if x.skip in (None, "div"))
+        lifted = frozenset(number for number, m in mass.items() if 2 * m > total)
+        if lifted:
+            parser, lines = _parse(html, lifted=lifted)
+    if not any(x.skip is None for x, _ in lines):
+        parser, lines = _parse(html, by_name=False)
+    return parser, lines
+
+
 def main_text(html: str | None) -> str:
     """The article of a page; white space inside a block is one space, and so is what joins blocks.
 
@@ -188,11 +240,7 @@ def main_text(html: str | None) -> str:
     """
     if not html:
         return ""
-    parser = LineParser()
-    parser.feed(html)
-    parser.close()
-    lines = [(x, " ".join("".join(x.parts).split())) for x in parser.lines]
-    lines = [(x, text) for x, text in lines if text]
+    parser, lines = _lines(html)
     free = np.array([x.skip is None for x, _ in lines], bool)
     if not free.any():
         return ""

@@ -67,3 +67,28 @@ def test_given_pages(spark, sf):
     for r in extract(spark.read.parquet(f"{sf}/pages.parquet")).join(spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html"), "page_id").collect():
         inner = re.search(r"<article>(.*?)(</article>|$)", r.html, re.S)[1]
         assert r.text == " ".join(entities.unescape(re.sub(r"<[^>]*>", " ", inner)).split())
+
+
+BODY = "<p>A first paragraph that has quite a few words in it.</p><p>A second paragraph, which is just as long as the first one.</p>"
+PLAIN = "A first paragraph that has quite a few words in it. A second paragraph, which is just as long as the first one."
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        f'<body><div class="layout has-sidebar">{BODY}</div>',
+        f'<body><div id="content" class="with-sidebar">{BODY}</div>',
+        f'<body><main class="with-sidebar">{BODY}</main>',
+        f'<body><div class="wrap no-comments">{BODY}</div>',
+        f'<body><article class="post tag-menu no-comments">{BODY}</article>',
+        f'<body><article><div id="how-to-share-a-notice">{BODY}</div></article>',
+        f'<body><div class="widget">{BODY}<div class="sidebar">Other text.</div></div>',
+        f'<body><div class="site-wrapper">{BODY}<div class="share-buttons">Share</div></div>',
+    ],
+)
+def test_names_do_not_drop_articles(html):
+    assert main_text(html) == PLAIN
+
+
+def test_headings_are_not_dropped_by_name():
+    assert main_text(f'<body><article><h2 id="comments">Title</h2>{BODY}<div class="comments">More</div></article>') == "Title " + PLAIN
