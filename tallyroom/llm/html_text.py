@@ -233,10 +233,10 @@ def main_text(html: str | None) -> str:
     """The article of a page; white space inside a block is one space, and so is what joins blocks.
 
     Lines whose smoothed text-to-tag ratio reaches the threshold (half the mean, over lines that may hold main text)
-    form clusters. The innermost container that holds at least three quarters of the clusters' text is the article, and
+    form clusters. An article or main element with at least three quarters of the clusters' text is the article, and
     all its lines count that no menu, header, footer, sidebar, notice, advert, form or comment section
-    holds. Where that container is the whole page, what counts is the lines from the first cluster to the last, without
-    lines that are links alone, and a heading right before them.
+    holds. Elsewhere all clusters count, with all such lines of the innermost container that holds them; of the containers
+    around it, and between the first cluster and the last, those that aren't links alone; and headings right before them.
     """
     if not html:
         return ""
@@ -255,19 +255,23 @@ def main_text(html: str | None) -> str:
         for number in lines[i][0].path:
             mass[number] = mass.get(number, 0) + size[i]
     total = size[chosen].sum()
-    holders = [number for number, m in mass.items() if m >= 0.75 * total]
-    best = max(holders, default=None)  # of nested elements the innermost opened last
-    # An article or main element that holds it beats containers inside.
-    for number in holders:
-        if parser.tags[number] in ("article", "main") and (best is None or parser.tags[best] not in ("article",)):
-            best = number
-    if best is not None and parser.tags[best] not in ("html", "body"):
+    articles = [number for number, m in mass.items() if m >= 0.75 * total and parser.tags[number] in ("article", "main")]
+    if articles:  # the innermost article, or else the innermost main element
+        best = max(articles, key=lambda number: (parser.tags[number] == "article", number))
         return " ".join(text for k, (x, text) in enumerate(lines) if free[k] and best in x.path)
     where = np.flatnonzero(chosen)
-    first, last = int(where[0]), int(where[-1])
+    worth = [bool(free[k]) and (x.heading or x.links < 0.8 * len(text)) for k, (x, text) in enumerate(lines)]
+    # All clusters lie in these, outermost first; the page itself is none of them.
+    holders = [number for number in lines[where[0]][0].path if mass[number] >= total and parser.tags[number] not in ("html", "body")]
+    inner = holders[-1] if holders else None
+    best = set(where.tolist())
+    if inner is not None:
+        best |= {k for k, (x, _) in enumerate(lines) if free[k] and inner in x.path}
+        best |= {k for k, (x, _) in enumerate(lines) if worth[k] and holders[0] in x.path}
+    first, last = min(best), max(best)
     while first and free[first - 1] and lines[first - 1][0].heading:
         first -= 1
-    return " ".join(text for k, (x, text) in enumerate(lines) if first <= k <= last and free[k] and (x.heading or x.links < 0.8 * len(text)))
+    return " ".join(text for k, (x, text) in enumerate(lines) if k in best or first <= k <= last and worth[k])
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -92,3 +92,19 @@ def test_names_do_not_drop_articles(html):
 
 def test_headings_are_not_dropped_by_name():
     assert main_text(f'<body><article><h2 id="comments">Title</h2>{BODY}<div class="comments">More</div></article>') == "Title " + PLAIN
+
+
+LEAD = "This lead stands before the body and tells in some more words what the whole page is going to be about."
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        (f'<body><div class="post"><h1>Title</h1><p>{LEAD}</p><div class="body">{BODY * 6}</div></div>', f"Title {LEAD} " + " ".join([PLAIN] * 6)),
+        (f"<body><div><h1>Title</h1><p>By line</p><div>{BODY * 6}</div><p>Tail.</p></div>", "Title By line " + " ".join([PLAIN] * 6) + " Tail."),
+        (f"<body><h1>Title</h1><p>{LEAD}</p><blockquote>{BODY * 6}</blockquote><p>{LEAD}</p>", f"Title {LEAD} " + " ".join([PLAIN] * 6) + f" {LEAD}"),
+        (f'<body><div><ul><li><a href="/">A link</a></ul><div>{BODY}</div></div>', PLAIN),
+    ],
+)
+def test_what_stands_beside_the_largest_container_counts(html, text):
+    assert main_text(html) == text
