@@ -52,20 +52,21 @@ def _families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A key that near copies share most times: the smallest hash of a text's pairs of neighbouring words."""
     for batch in batches:
         keys = []
-        for text in batch.column(0).to_pylist():
+        for text in batch.column(1).to_pylist():
             h = mix(hash_words(words_of((text or "").encode())))
             keys.append(int(chain(h[:-1], h[1:]).min() if len(h) > 1 else h.sum()) >> 1)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=["text", "label", "family"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=["doc_id", "text", "label", "family"])
 
 
 def choose_terms(docs: DataFrame, labels: DataFrame, vocabulary: int = VOCABULARY, least_docs: int = 4) -> list[str]:
     """Terms whose presence goes with the label: LIFT times as frequent with one of its values as with the other, and a
     log-likelihood ratio of over 20; the largest first, vocabulary at most.
 
-    Near copies count once, or every rare word of a much-copied labelled text would seem to go with its label.
+    Near copies count once, by the row with the smallest id, or every rare word of a much-copied labelled text would seem to go with its label.
     """
-    rows = docs.join(F.broadcast(labels), "doc_id").select("text", "label")
-    rows = rows.mapInArrow(_families, "text string, label int, family long").dropDuplicates(["family", "label"]).select("text", "label").persist()
+    rows = docs.join(F.broadcast(labels), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("label").cast("int").alias("label"))
+    families = rows.mapInArrow(_families, "doc_id long, text string, label int, family long").groupBy("family", "label")
+    rows = families.agg(F.min(F.struct("doc_id", "text")).alias("first")).select("first.text", "label").persist()
     sizes = {r.label: r.n for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     if not n0 or not n1:

@@ -100,3 +100,17 @@ def test_interactions_are_learnt():
     y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
     model = quality.fit(x[:3000], y[:3000], rounds=30)
     assert ((model.score(x[3000:]) > 0.5) == y[3000:]).mean() > 0.9 and (1, 0) in model.pairs
+
+
+def test_row_with_the_smallest_id_stands_for_near_copies(spark):
+    """In any order of rows; near copies are texts that share their smallest pair of words."""
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 7))
+    pairs = [f"{word()} {word()}" for _ in range(300)]
+    family = lambda text: next(toxicity._families([pa.RecordBatch.from_arrays([pa.array([x]) for x in (0, text, 1)], names=["doc_id", "text", "label"])])).column("family")[0].as_py()
+    pairs = [p for p in pairs if family(f"{p} zgood") == family(f"{p} zbad")]
+    texts = [(i, f"{p} zgood", 1) for i, p in enumerate(pairs)] + [(1000 + i, f"{p} zbad", 1) for i, p in enumerate(pairs)] + [(2000 + i, f"{word()} {word()}", 0) for i in range(100)]
+    for rows in (texts, texts[::-1]):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, label int").coalesce(1)
+        terms = toxicity.choose_terms(docs.drop("label"), docs.select("doc_id", "label"))
+        assert "zgood" in terms and "zbad" not in terms
