@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -41,28 +39,41 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class RankQueue:
     """Positions by merge rank. Three levels of 64-bit words say which ranks have any; find-first-set gives the lowest.
 
-    Each rank's positions are a heap, so that equal ranks come from left to right. Entries are not removed when
-    a merge makes them stale: the caller skips those.
+    A rank's bucket is a list of position arrays. Entries are not removed when a merge makes them stale: the caller
+    skips those.
     """
 
-    def __init__(self):
-        self.top, self.middle, self.low, self.buckets = 0, {}, {}, {}
+    def __init__(self, ranks: int):
+        self.top, self.middle, self.low = 0, [0] * ((ranks >> 12) + 1), [0] * ((ranks >> 6) + 1)
+        self.buckets: dict[int, list[np.ndarray]] = {}
 
-    def push(self, rank: int, position: int) -> None:
+    def push(self, rank: int, positions: np.ndarray) -> None:
         bucket = self.buckets.get(rank)
-        if bucket:
-            heappush(bucket, position)
+        if bucket is not None:
+            bucket.append(positions)
             return
-        if bucket is None:
-            self.buckets[rank] = [position]
-        else:
-            bucket.append(position)
+        self.buckets[rank] = [positions]
         word = rank >> 6
-        self.low[word] = self.low.get(word, 0) | 1 << (rank & 63)
-        self.middle[word >> 6] = self.middle.get(word >> 6, 0) | 1 << (word & 63)
+        self.low[word] |= 1 << (rank & 63)
+        self.middle[word >> 6] |= 1 << (word & 63)
         self.top |= 1 << (word >> 6)
 
-    def pop(self) -> tuple[int, int] | None:
+    def push_all(self, ranks: np.ndarray, positions: np.ndarray) -> None:
+        """Each position to its rank's bucket."""
+        if len(ranks) > 1:
+            order = ranks.argsort(kind="stable")
+            ranks, positions = ranks[order], positions[order]
+            ends = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
+            if len(ends):
+                starts = [0, *ends.tolist()]
+                for rank, a, b in zip(ranks[starts].tolist(), starts, [*starts[1:], len(ranks)], strict=True):
+                    self.push(rank, positions[a:b])
+                return
+        if len(ranks):
+            self.push(int(ranks[0]), positions)
+
+    def pop(self) -> tuple[int, np.ndarray] | None:
+        """The lowest rank with positions, and these from left to right."""
         if not self.top:
             return None
         a = (self.top & -self.top).bit_length() - 1
@@ -70,94 +81,166 @@ class RankQueue:
         word = a << 6 | (bits & -bits).bit_length() - 1
         bits = self.low[word]
         rank = word << 6 | (bits & -bits).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            self.low[word] = bits = bits & (bits - 1)
+        self.low[word] = bits = bits & (bits - 1)
+        if not bits:
+            self.middle[a] = bits = self.middle[a] & (self.middle[a] - 1)
             if not bits:
-                self.middle[a] = bits = self.middle[a] & (self.middle[a] - 1)
-                if not bits:
-                    self.top &= self.top - 1
-        return rank, position
+                self.top &= self.top - 1
+        bucket = self.buckets.pop(rank)
+        return rank, np.sort(bucket[0] if len(bucket) == 1 else np.concatenate(bucket))
+
+
+class Remembered:
+    """Values of strings in two generations: when the young one is full, it becomes the old one, whose entries go."""
+
+    def __init__(self, limit: int):
+        self.limit, self.young, self.old = limit, {}, {}
+
+    def get(self, key: str) -> bytes | None:
+        found = self.young.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key: str, value: bytes) -> None:
+        if len(self.young) >= self.limit:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
+#: ASCII signs: those at a chunk's end are one match of the default pattern.
+SIGNS = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum())
 
 
 class ByteBpe:
     """Ids of whole texts, each match of the pattern separately, as a rank-file tokenizer without special tokens gives them."""
 
-    LIMIT = 300_000
+    LIMIT = 400_000
 
     def __init__(self, path: str, pattern: str):
         self.ranks = read_ranks(path)
         self.pattern = regex.compile(pattern.replace(r"\S", f"[^{SPACE}]").replace(r"[^\s", f"[^{SPACE}").replace(r"\s", f"[{SPACE}]"))
-        self.chunks: dict[str, bytes] = {}
-        self.matches: dict[str, bytes] = {}
-        tokens = [b""] * (max(self.ranks.values()) + 1)
+        self.known = Remembered(self.LIMIT)
+        self.n = max(self.ranks.values()) + 1
+        tokens = [b""] * self.n
         for token, rank in self.ranks.items():
             tokens[rank] = token
         self.tokens = pa.array(tokens, pa.large_binary())
+        # Id n stands between matches: it has no pair.
+        self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
+        pairs = {}
+        for token, rank in self.ranks.items():
+            for k in range(1, len(token)):
+                left, right = self.ranks.get(token[:k]), self.ranks.get(token[k:])
+                if left is not None and right is not None:
+                    pairs[left * (self.n + 1) + right] = rank
+        self.pairs = pairs
+        self.pair_keys = np.array(sorted(pairs), np.int64)
+        self.pair_ranks = np.array([pairs[k] for k in self.pair_keys.tolist()], np.int32)
         # Chunks between spaces stand alone unless the pattern is another one: its matches start before a space, not across it.
         self.by_space = pattern == default_pattern()
         #: A space inside or at the end of a run of white space, where a match may go on over it.
         self.bad_space = f"[{SPACE}] (?:[{SPACE}]|\\z)"
 
-    def merge(self, piece: bytes) -> list[int]:
-        """Ids of one match: the adjacent pair of lowest rank merges, the leftmost first, until none has a rank."""
-        ranks = self.ranks
-        if (whole := ranks.get(piece)) is not None:
-            return [whole]
-        n = len(piece)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        here: list[int | None] = [None] * n
-        queue = RankQueue()
-        for i in range(n - 1):
-            here[i] = rank = ranks.get(piece[i : i + 2])
-            if rank is not None:
-                queue.push(rank, i)
+    def pair_rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Merge ranks of pairs of ids; -1 where they don't merge."""
+        keys = left.astype(np.int64) * (self.n + 1) + right
+        if len(keys) <= 16:
+            get = self.pairs.get
+            return np.array([get(k, -1) for k in keys.tolist()], np.int32)
+        at = np.minimum(self.pair_keys.searchsorted(keys), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], np.int32(-1))
+
+    def merge(self, pieces: list[bytes], exact: bool = False) -> list[bytes]:
+        """Ids (32-bit) of each piece: its adjacent pair of lowest rank merges, the leftmost first, until none has a rank.
+
+        One queue serves all pieces, which lie end to end with a barrier between; a bucket's positions merge at once,
+        from left to right where they overlap. If a merge brings forth a pair of lower rank than its own, which an
+        inconsistent rank file may have, the order inside that piece would matter: it is done once more
+        with one merge at a time (exact).
+        """
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        total = int(size.sum()) + len(pieces) + 1
+        # Slot 0 and the slot after each piece are barriers.
+        barrier = np.concatenate([[0], np.cumsum(size + 1)])
+        tok = np.full(total, self.n, np.int32)
+        inside = np.ones(total, bool)
+        inside[barrier] = False
+        tok[inside] = self.byte_ids[np.frombuffer(b"".join(pieces), np.uint8)]
+        after, before = np.arange(1, total + 1, dtype=np.int32), np.arange(-1, total - 1, dtype=np.int32)
+        here = np.append(self.pair_rank(tok[:-1], tok[1:]), np.int32(-1))
+        queue = RankQueue(self.n)
+        start = np.flatnonzero(here >= 0).astype(np.int32)
+        queue.push_all(here[start], start)
+        again: set[int] = set()
         while (entry := queue.pop()) is not None:
             rank, p = entry
-            if here[p] != rank:
-                continue  # stale
+            p = p[here[p] == rank]  # the others are stale
+            if not len(p):
+                continue
+            if exact and len(p) > 1:
+                queue.push(rank, p[1:])
+                p = p[:1]
             q = after[p]
-            end = after[p] = after[q]
-            here[q] = here[p] = None
-            if end < n:
-                before[end] = p
-                here[p] = new = ranks.get(piece[p : after[end]])
-                if new is not None:
-                    queue.push(new, p)
+            if len(p) > 1 and (overlap := q[:-1] == p[1:]).any():
+                # In a run of overlapping pairs every other one merges.
+                first = np.append(True, ~overlap)
+                number = np.arange(len(p))
+                p = p[(number - np.maximum.accumulate(np.where(first, number, 0))) % 2 == 0]
+                q = after[p]
+            end = after[q]
+            tok[p] = rank
+            after[p] = end
+            before[end] = p
+            here[q] = -1
+            inside[q] = False
             left = before[p]
-            if left >= 0:
-                here[left] = new = ranks.get(piece[left:end])
-                if new is not None:
-                    queue.push(new, left)
-        out, i = [], 0
-        while i < n:
-            out.append(ranks[piece[i : after[i]]])
-            i = after[i]
+            if len(p) > 1:
+                left = left[np.append(True, left[1:] != p[:-1])]
+            changed = np.concatenate([left, p])
+            new = self.pair_rank(tok[changed], tok[after[changed]])
+            here[changed] = new
+            has = new >= 0
+            new, changed = new[has], changed[has]
+            if not exact and len(new) and new.min() < rank:
+                again.update((barrier.searchsorted(changed[new < rank]) - 1).tolist())
+            queue.push_all(new, changed)
+        ids = tok[inside].astype("<u4").tobytes()
+        ends = (4 * np.append(0, np.cumsum(inside))[barrier]).tolist()
+        out = [ids[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+        for i in again:
+            out[i] = self.merge([pieces[i]], exact=True)[0]
         return out
 
-    def match_ids(self, match: str) -> bytes:
-        found = self.matches.get(match)
-        if found is None:
-            if len(self.matches) >= self.LIMIT:
-                self.matches.clear()
-            found = array("I", self.merge(match.encode())).tobytes()
-            if len(match) < 64:
-                self.matches[match] = found
-        return found
-
-    def text_ids(self, text: str) -> bytes:
-        return b"".join(map(self.match_ids, self.pattern.findall(text)))
-
-    def chunk_ids(self, chunk: str) -> bytes:
-        found = self.chunks.get(chunk)
-        if found is None:
-            if len(self.chunks) >= self.LIMIT:
-                self.chunks.clear()
-            found = self.text_ids(chunk)
-            if len(chunk) < 64:
-                self.chunks[chunk] = found
-        return found
+    def matches(self, chunk: str) -> list[str]:
+        """The pattern's matches in a chunk; without the pattern for letters, and for letters and signs behind them."""
+        if self.by_space and chunk.isascii() and chunk:
+            word = chunk.rstrip(SIGNS)
+            if word and (word[1:] if word[0] == " " else word).isalpha():
+                return [word, chunk[len(word) :]] if len(word) < len(chunk) else [chunk]
+        return self.pattern.findall(chunk)
+
+    def encode(self, chunks: list[str]) -> list[bytes]:
+        """Ids of each chunk; new matches of all of them merge together."""
+        out = [self.known.get(c) for c in chunks]
+        new = {c: self.matches(c) for c, found in zip(chunks, out, strict=True) if found is None}
+        if not new:
+            return out
+        wanted = dict.fromkeys(m for parts in new.values() for m in parts)
+        ids = {m: self.known.get(m) for m in wanted}
+        fresh = [m for m, found in ids.items() if found is None]
+        for first in range(0, len(fresh), self.LIMIT):
+            some = fresh[first : first + self.LIMIT]
+            ids.update(zip(some, self.merge([m.encode() for m in some]), strict=True))
+        for m in fresh:
+            if len(m) < 64:
+                self.known.put(m, ids[m])
+        for c, parts in new.items():
+            if c not in ids:
+                ids[c] = b"".join([ids[m] for m in parts])
+                if len(c) < 64:
+                    self.known.put(c, ids[c])
+        return [ids[c] if found is None else found for c, found in zip(chunks, out, strict=True)]
 
     def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a string array's texts, and how many each has. Null counts as empty.
@@ -171,7 +254,7 @@ class ByteBpe:
             whole = np.flatnonzero(pc.match_substring_regex(texts, self.bad_space).to_numpy(zero_copy_only=False))
         else:
             whole = np.arange(len(texts))
-        odd = {int(i): self.text_ids(texts[int(i)].as_py()) for i in whole}
+        odd = dict(zip(whole.tolist(), self.encode([texts[int(i)].as_py() for i in whole]), strict=True))
         if odd:
             mask = np.zeros(len(texts), bool)
             mask[whole] = True
@@ -181,10 +264,10 @@ class ByteBpe:
         items = lists.flatten()
         firsts = items.take(pa.array(offsets[:-1])).to_pylist()
         coded = items.dictionary_encode()
-        found = [self.chunk_ids(" " + x) for x in coded.dictionary.to_pylist()]
+        found = self.encode([" " + x for x in coded.dictionary.to_pylist()])
         index = coded.indices.to_numpy().copy()
         index[offsets[:-1]] = len(found) + np.arange(len(firsts))
-        found += [odd[i] if i in odd else self.chunk_ids(x) if x else b"" for i, x in enumerate(firsts)]
+        found += [odd.get(i, ids) for i, ids in enumerate(self.encode(firsts))]
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
         ids = pa.ListArray.from_arrays(pa.array(starts), pa.array(np.frombuffer(b"".join(found), "<u4")))
