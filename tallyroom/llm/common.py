@@ -15,10 +15,12 @@ _LOCAL: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, a temporary one on a local master, and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if "dir" not in _LOCAL:
         _LOCAL["dir"] = tempfile.mkdtemp(prefix="tallyroom-")
     return _LOCAL["dir"]
@@ -29,6 +31,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base, self._n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        self._tables: list[DataFrame] = []
 
     def keep(self, df: DataFrame, name: str, schema: str | None = None) -> DataFrame:
         """Writes df and reads it back."""
@@ -38,6 +41,13 @@ class Scratch:
         reader = self.spark.read.schema(df.schema)
         out = reader.parquet(path)
         out._scratch_path = path
+        self._tables.append(out)
+        return out
+
+    def finish(self, df: DataFrame, name: str) -> DataFrame:
+        """Writes a result, reads it back, and deletes all other tables of the run."""
+        out = self.keep(df, name)
+        self.drop(*(t for t in self._tables if t is not out))
         return out
 
     def drop(self, *tables: DataFrame) -> None:
@@ -46,6 +56,7 @@ class Scratch:
         for t in tables:
             path = jvm.org.apache.hadoop.fs.Path(t._scratch_path)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._tables = [x for x in self._tables if x is not t]
 
 
 def rows_by_id(docs: DataFrame, id_col: str, ids: DataFrame, how: str) -> DataFrame:

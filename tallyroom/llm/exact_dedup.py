@@ -30,12 +30,16 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return rows.mapInArrow(_digests, DIGEST_SCHEMA)
 
 
+#: A text that more than one in so many rows has is joined apart: there are no more such texts than this.
+HOT_SHARE = 8_192
+
+
 class DigestIndex:
-    """A table of (digest, keep_id, group_size), bucketed and sorted by digest: one row for each text seen.
+    """A table of (digest, keep_id, run), bucketed and sorted by digest: one row for each text seen.
 
-    ``add`` joins a batch's groups with the table by sort-merge on the buckets: neither side of the table is
-    shuffled, new digests are appended, and the texts that the table has already are reported as known. A
-    text's surviving row is chosen in the batch that brought it first; later batches lose to it.
+    ``add`` joins a batch's groups with the table by a sort-merge anti-join on the buckets: the table's side is neither
+    shuffled nor sorted, and new digests are appended. A text's surviving row is chosen in the batch that
+    brought it first; later batches lose to it.
     """
 
     def __init__(self, spark: SparkSession, table: str, buckets: int = 64):
@@ -47,9 +51,12 @@ class DigestIndex:
     def read(self) -> DataFrame:
         return self.spark.table(self.table)
 
-    def new_groups(self, hashed: DataFrame) -> DataFrame:
-        """Groups of equal texts in the batch that the index doesn't have; the row with the largest id stays."""
-        groups = hashed.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
+    def new_groups(self, groups: DataFrame) -> DataFrame:
+        """The groups whose text the index doesn't have."""
+        groups = groups.repartition(self.buckets, "digest")
         if self.exists():
             groups = groups.join(self.read().select("digest").hint("merge"), "digest", "left_anti")
         return groups
@@ -58,40 +65,72 @@ class DigestIndex:
         writer = groups.repartition(self.buckets, "digest").write.format("parquet").option("compression", "zstd")
         writer.bucketBy(self.buckets, "digest").sortBy("digest").mode("append").saveAsTable(self.table)
 
-    def add(self, hashed: DataFrame) -> DataFrame:
-        """Adds a batch of (doc_id, digest): one row per document with keep_id (null: an earlier batch has the text), group_size in the batch, kept.
+    def add(self, hashed: DataFrame, run: str, scratch: Scratch) -> DataFrame:
+        """Adds a batch of (doc_id, digest); gives its groups of equal texts: digest, keep_id (the largest id), group_size.
 
-        The batch's groups are written before the index changes, so that a repeated run of the result
-        reads what was decided and not the index as it is by then.
+        The groups, and which of them are new, are written before the index changes: a task that runs again reads
+        what was decided and not the index as it is by then.
         """
-        scratch = Scratch(self.spark, "digests")
-        hashed = scratch.keep(hashed, "hashed")
-        groups = scratch.keep(self.new_groups(hashed), "groups")
-        self.append(groups)
-        # Groups of one are most rows, and their documents need no join: a group of one is its own answer.
-        return resolve(hashed, groups)
-
+        groups = hashed.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        groups = scratch.keep(groups, "groups")
+        self.append(scratch.keep(self.new_groups(groups).select("digest", "keep_id", F.lit(run).alias("run")), "new"))
+        return groups
 
-def resolve(hashed: DataFrame, groups: DataFrame) -> DataFrame:
-    """Per document: the surviving row of its text. Both sides are shuffled by digest, so that AQE can split a hot one."""
-    g = groups.select("digest", "keep_id", "group_size")
-    return hashed.join(g.hint("merge"), "digest", "left").select(
-        "doc_id", "keep_id", "group_size", (F.col("group_size").isNotNull() & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
-    )
 
+def resolve(hashed: DataFrame, index: DigestIndex, groups: DataFrame, run: str, scratch: Scratch) -> DataFrame:
+    """Per document: the surviving row of its text by the index (null if an earlier run brought the text), and how many rows of this run have it.
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: DigestIndex | None = None) -> DataFrame:
+    Documents meet the texts by digest. A text that over 1 / HOT_SHARE of the rows have would bring them all to one task; there are
+    at most HOT_SHARE such texts, and those are broadcast.
+    """
+    sizes = groups.groupBy("digest").agg(F.sum("group_size").alias("group_size")).repartition(index.buckets, "digest")
+    own = index.read().where(F.col("run") == run).select("digest", "keep_id", F.lit(True).alias("new"))
+    texts = scratch.keep(sizes.join(own.hint("merge"), "digest", "left"), "texts")
+    total = texts.agg(F.sum("group_size")).first()[0] or 0
+    hot = texts.where(F.col("group_size") * HOT_SHARE > total)
+    rest = hashed.join(F.broadcast(hot.select("digest")), "digest", "left_anti")
+    found = hashed.join(F.broadcast(hot), "digest").unionByName(rest.join(texts.hint("merge"), "digest"))
+    kept = F.coalesce("new", F.lit(False)) & F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    return found.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def batches_of(hashed: DataFrame, batches: int) -> list[DataFrame]:
+    """The rows in so many batches of about equal size, by falling doc_id; rows without an id come last."""
+    cuts = hashed.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 1000)).first()[0] if batches > 1 else None
+    limits = sorted(set(cuts or []), reverse=True)
+    out, above = [], None
+    for low in [*limits, None]:
+        high_enough = F.lit(True) if low is None else F.col("doc_id") >= low
+        low_enough = F.lit(True) if above is None else F.coalesce(F.col("doc_id") < above, F.lit(low is None))
+        out.append(hashed.where(high_enough & low_enough))
+        above = low
+    return out
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: DigestIndex | None = None, batches: int = 2) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
-    Texts are equal when identical after lower-casing A-Z. Null texts count as empty. Of equal texts in a batch the
+    Texts are equal when identical after lower-casing A-Z. Null texts count as empty. Of equal texts the
     row with the largest id stays; with repeated ids, each such row is reported as kept, and a text that only rows
     without an id have keeps those. Extra columns are not
-    read. An empty table gives an empty result. With an index given, texts that earlier batches brought have
-    keep_id null and are not kept; without, a new index of this run is used.
+    read. An empty table gives an empty result. Documents go through the index in batches of falling id, so that the
+    batch that brings a text first has the row that stays. With an index given, texts that earlier calls brought have
+    keep_id null and are not kept; without, an index of this call alone is used and dropped at the end.
     """
     spark = docs.sparkSession
-    index = index or DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}", max(8, fan_out(docs)))
-    return index.add(digests(docs, id_col, text_col))
+    # A digest takes a small part of its text: fewer buckets than the documents have partitions.
+    own = index or DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}", max(8, fan_out(docs) // 8))
+    scratch, run = Scratch(spark, "digests"), uuid.uuid4().hex
+    hashed = scratch.keep(digests(docs, id_col, text_col), "hashed")
+    try:
+        groups = [own.add(batch, run, scratch) for batch in batches_of(hashed, batches)]
+        every = groups[0]
+        for g in groups[1:]:
+            every = every.unionByName(g)
+        return scratch.finish(resolve(hashed, own, every, run, scratch), "rows")
+    finally:
+        if index is None:
+            own.drop()
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

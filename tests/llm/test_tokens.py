@@ -193,4 +193,35 @@ def test_index_grows_by_batches(spark):
     assert not got[21].kept and got[21].keep_id is None
     assert got[23].kept and not got[22].kept and got[22].keep_id == 23
     assert index.read().count() == index.read().select("digest").distinct().count() == 4
-    spark.sql("DROP TABLE digest_index_test")
+    index.drop()
+
+
+def test_batches_of_falling_ids_and_a_hot_text(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "HOT_SHARE", 3)
+    rng = np.random.default_rng(6)
+    rows = [(int(i), ("hot text" if rng.random() < 0.5 else f"text {rng.integers(0, 40)}").title(), "", "") for i in rng.permutation(300)]
+    rows += [(None, "Hot Text", "", ""), (None, "only here", "", ""), (7, "twice", "", ""), (7, "Twice", "", "")]
+    tables = lambda: {t.name for t in spark.catalog.listTables()}
+    before = tables()
+    for batches in (1, 2, 5):
+        got = exact_dedup.exact_groups(cases.docs(spark, rows), batches=batches).collect()
+        best, size = {}, {}
+        for i, t, *_ in rows:
+            k = t.lower()
+            best[k] = i if best.get(k) is None else max(best[k], i if i is not None else best[k])
+            size[k] = size.get(k, 0) + 1
+        want = sorted((repr(i), repr(best[t.lower()]), size[t.lower()], i == best[t.lower()]) for i, t, *_ in rows)
+        assert sorted((repr(r.doc_id), repr(r.keep_id), r.group_size, r.kept) for r in got) == want
+    assert tables() == before
+
+
+def test_anti_join_reads_the_index_by_its_buckets(spark):
+    index = exact_dedup.DigestIndex(spark, "digest_index_plan", 4)
+    exact_dedup.exact_groups(cases.docs(spark), index=index)
+    groups = exact_dedup.digests(cases.docs(spark)).groupBy("digest").count()
+    plan = index.new_groups(groups)._jdf.queryExecution().executedPlan().toString()
+    index.drop()
+    assert "SortMergeJoin" in plan and "LeftAnti" in plan
+    right = plan[plan.index("SortMergeJoin") :].split("Scan parquet")[1]
+    side = plan[: plan.index("digest_index_plan")].rsplit("\n", 6)
+    assert "Bucketed: true" in right and not any("Exchange" in line for line in side[-3:])
