@@ -61,28 +61,31 @@ def _block(number: int, ids: list[np.ndarray], words: list[np.ndarray]) -> pa.Re
     return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([x], pa.binary()) for x in row)], names=["block", "doc_ids", "sizes", "words"])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    number, size, ids, words = TaskContext.get().partitionId() << 32, 0, [], []
-    for batch in batches:
-        texts = batch.column(1)
-        texts = texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary())
-        for doc_id, text in zip(batch.column(0).fill_null(NULL_ID).to_pylist(), texts, strict=True):
-            text = text.as_py() or b""
-            ids.append(doc_id)
-            words.append(hash_words(words_of(text)))
-            size += len(text) + 64
-            if size >= BLOCK_BYTES:
-                yield _block(number, ids, words)
-                number, size, ids, words = number + 1, 0, [], []
-    if ids:
-        yield _block(number, ids, words)
-    release_memory()
-
-
-def build(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per block: its documents' ids (null: NULL_ID), their numbers of words, and the words' hashes."""
+def _blocks(block_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, size, ids, words = TaskContext.get().partitionId() << 32, 0, [], []
+        for batch in batches:
+            texts = batch.column(1)
+            texts = texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary())
+            for doc_id, text in zip(batch.column(0).fill_null(NULL_ID).to_pylist(), texts, strict=True):
+                text = text.as_py() or b""
+                ids.append(doc_id)
+                words.append(hash_words(words_of(text)))
+                size += len(text) + 64
+                if size >= block_bytes:
+                    yield _block(number, ids, words)
+                    number, size, ids, words = number + 1, 0, [], []
+        if ids:
+            yield _block(number, ids, words)
+        release_memory()
+
+    return run
+
+
+def build(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row per block of about block_bytes of text: its documents' ids (null: NULL_ID), their numbers of words, and the words' hashes."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_blocks, BLOCK_SCHEMA)
+    return rows.mapInArrow(_blocks(block_bytes), BLOCK_SCHEMA)
 
 
 def unpack(doc_ids: bytes, sizes: bytes, words: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,7 +127,7 @@ def _add_up(table: pa.Table) -> pa.Table:
     keys = [unpack_keys(x) for x in table["keys"].to_pylist()]
     counts = [spread(x, np.uint32) for x in table["counts"].to_pylist()]
     _, place = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(place, np.concatenate(counts))[place].astype(np.uint32)
+    total = np.bincount(place, np.concatenate(counts))[place].astype(np.uint64)
     ends = np.cumsum([len(k) for k in keys])
     answers = [squeeze(part) for part in np.split(total, ends[:-1])]
     return pa.table({"block": table["block"], "bucket": table["bucket"], "counts": pa.array(answers, pa.binary())})
@@ -138,9 +141,9 @@ def totals(asked: DataFrame) -> DataFrame:
 def answer(table: pa.Table, n: int) -> np.ndarray:
     """A block's answers, in the order of its keys."""
     if not table.num_rows:
-        return np.zeros(n, np.uint32)
+        return np.zeros(n, np.uint64)
     order = pc.sort_indices(table["bucket"])
-    out = np.concatenate([spread(x, np.uint32) for x in table["counts"].take(order).to_pylist()])
+    out = np.concatenate([spread(x, np.uint64) for x in table["counts"].take(order).to_pylist()])
     if len(out) != n:
         raise ValueError(f"a block of {n} keys got {len(out)} counts")
     return out

@@ -2,11 +2,13 @@
 
 A context of up to DEPTH words is a state of the tree if, each of its training positions left out in turn, its smoothed
 next-word distribution predicts these positions better than the state that it would fall back to: the divergence
-test. The same sums choose how strongly each state is smoothed towards that one. A text's score multiplies
-the next-word probabilities of the longest suffix states.
+test. The same sums choose how strongly each state is smoothed towards that one. A context after which training texts
+always go on with one word is not lengthened: its longer contexts go on with the same word, so nothing diverges. A text's
+score multiplies the next-word probabilities of the longest suffix states.
 
-Counts and divergences are summed over all training texts by exchanges of packed keys (blocks.py), one per depth. The tree
-itself is never gathered: blocks get the counts and verdicts for their own contexts back.
+Each depth is one exchange of packed keys (blocks.py): blocks of documents send what follows their contexts, with
+counts and fallback probabilities, to the bucket that a context's hash names; the bucket sees all of a context's next words,
+adds up, tests, and answers each block. The tree itself is never gathered.
 """
 
 from __future__ import annotations
@@ -22,20 +24,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyroom.llm import blocks
-from tallyroom.llm.common import Scratch, chain, crc_mod, fan_out, mix
+from tallyroom.llm.common import Scratch, chain, crc_mod, fan_out, mix, release_memory
 
-DEPTH = 2
+DEPTH = 4
 MODULUS, HELD_OUT = 5, 1
 #: A context must have been seen so often. That drops no state: one seen once, left out, has no counts and gains nothing.
 LEAST = 2
 #: Strengths of smoothing that a state may have, in words; and by how many nats it must be better than its fallback.
-STRENGTHS = np.array([2.0, 30.0, 400.0, 6000.0])
+STRENGTHS = np.array([0.5, 3.0, 30.0, 400.0, 6000.0])
 MARGIN = 1.0
+#: A context with so many training positions, or with more than one in 2**HOT_BITS of all, is dealt over all buckets by its next
+#: words. There are at most 2**HOT_BITS of the latter kind, and only their verdicts come to the driver.
+HOT_LEAST, HOT_BITS = 1 << 18, 20
 _END, _START = np.uint64(0x51ED270B8D5C5A3D), np.uint64(0x2545F4914F6CDD1D)
 
-ASK = "kind int, bucket int, block long, keys binary, sums binary"
-ANSWER = "kind int, bucket int, block long, totals binary"
-VERDICT = 100  # kind of the divergence sums of depth d: VERDICT + d; kind d: counts of sequences of d + 1 words
+ASK = "hot int, bucket int, block long, contexts binary, sizes binary, words binary, counts binary, fallback binary, seen binary"
+ANSWER = "depth int, hot int, bucket int, block long, totals binary, verdicts binary"
 
 
 def held_out(doc_id: int) -> bool:
@@ -43,143 +47,220 @@ def held_out(doc_id: int) -> bool:
     return zlib.crc32(text) % MODULUS == HELD_OUT
 
 
+class Stats:
+    """Training tokens, distinct ones, training texts, and what makes a context hot."""
+
+    def __init__(self, tokens: int, distinct: int, docs: int):
+        self.tokens, self.distinct, self.docs = tokens, distinct, docs
+        self.hot = max(HOT_LEAST, tokens >> HOT_BITS)
+        #: Per depth the sorted keys of hot contexts and their verdicts.
+        self.verdicts: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def word_probability(self, counts: np.ndarray, left_out: int) -> np.ndarray:
+        return (np.maximum(counts.astype(np.float64) - left_out, 0) + 0.5) / (self.tokens - left_out + 0.5 * (self.distinct + 1))
+
+
+class Entries:
+    """The distinct (context, next word) of some positions of a block, in the order in which they are sent.
+
+    First those of ordinary contexts by bucket, context and word, then those of hot ones, whose bucket the word
+    takes part in.
+    """
+
+    def __init__(self, keys: np.ndarray, contexts: np.ndarray, hot: np.ndarray, buckets: int):
+        self.keys, first, place = np.unique(keys, return_index=True, return_inverse=True)
+        self.contexts, is_hot = contexts[first], hot[first]
+        shift = np.uint64(64 - (buckets.bit_length() - 1))
+        usual, other = np.flatnonzero(~is_hot), np.flatnonzero(is_hot)
+        usual = usual[np.argsort(self.contexts[usual], kind="stable")]
+        of = self.keys[other] >> shift
+        other = other[np.lexsort((self.contexts[other], of))]
+        self.order = np.concatenate([usual, other])
+        self.keys, self.contexts, self.first = self.keys[self.order], self.contexts[self.order], first[self.order]
+        back = np.empty(len(self.order), np.int64)
+        back[self.order] = np.arange(len(self.order))
+        #: Of each position, its entry.
+        self.place = back[place]
+        self.hot = np.arange(len(self.order)) >= len(usual)
+        self.bucket = (np.where(self.hot, self.keys, self.contexts) >> shift).astype(np.int64) if buckets > 1 else np.zeros(len(self.order), np.int64)
+        n = len(self.order)
+        change = np.append(True, (np.diff(self.bucket) != 0) | (self.hot[1:] != self.hot[:-1])) if n else np.zeros(0, bool)
+        #: Where rows start and end, and where runs of one context in one row do.
+        self.rows = np.append(np.flatnonzero(change), n)
+        self.runs = np.append(np.flatnonzero(change | np.append(True, self.contexts[1:] != self.contexts[:-1])) if n else np.zeros(0, np.int64), n)
+
+    def send(self, block: int, counts: np.ndarray, fallback: np.ndarray, seen: np.ndarray) -> pa.RecordBatch:
+        columns: list[list] = [[] for _ in range(9)]
+        words = self.keys >> np.uint64(16)
+        step = words - np.concatenate([np.zeros(1, np.uint64), words[:-1]])
+        step[self.runs[:-1]] = words[self.runs[:-1]]
+        sizes = np.diff(self.runs).astype(np.uint32)
+        run_at = np.searchsorted(self.runs, self.rows)
+        for a, b, r, s in zip(self.rows[:-1].tolist(), self.rows[1:].tolist(), run_at[:-1].tolist(), run_at[1:].tolist(), strict=True):
+            row = (int(self.hot[a]), int(self.bucket[a]), block, blocks.pack_keys(self.contexts[self.runs[r:s]]), blocks.squeeze(sizes[r:s]), blocks.squeeze(step[a:b]), blocks.squeeze(counts[a:b]), blocks.squeeze(fallback[a:b]))
+            row += (blocks.squeeze(seen[self.runs[r:s]]) if self.hot[a] else None,)
+            for column, value in zip(columns, row, strict=True):
+                column.append(value)
+        types = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 6]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[x.split()[0] for x in ASK.split(", ")])
+
+
 class Positions:
     """Every position of a block's documents, the end included, with what the answers so far say about it."""
 
-    def __init__(self, row: dict, answers: pa.Table | None, stats: tuple[int, int, int] | None):
+    def __init__(self, row: dict, answers: pa.Table | None, stats: Stats | None, buckets: int):
         self.doc_ids, starts, words = blocks.unpack(row["doc_ids"], row["sizes"], row["words"])
         self.block, n = row["block"], len(self.doc_ids)
+        self.answers, self.stats, self.buckets = answers, stats, buckets
         self.starts = starts + np.arange(n + 1)  # one end per document
-        symbols = np.full(int(self.starts[-1]), _END, np.uint64)
+        self.symbols = np.full(int(self.starts[-1]), _END, np.uint64)
         size = np.diff(starts)
-        symbols[np.arange(len(words)) + np.repeat(np.arange(n), size)] = words
-        self.offset = np.arange(len(symbols)) - np.repeat(self.starts[:-1], size + 1)
+        self.symbols[np.arange(len(words)) + np.repeat(np.arange(n), size)] = words
+        self.offset = np.arange(len(self.symbols)) - np.repeat(self.starts[:-1], size + 1)
         self.train = np.repeat(np.array([not held_out(i) for i in self.doc_ids.tolist()], bool), size + 1)
-        self.symbols, self.answers, self.stats = symbols, answers, stats
-        #: keys[d]: of the d + 1 symbols up to each position; contexts[d]: of the d symbols before it.
-        self.keys, self.contexts = [mix(symbols)], [None]
-        for depth in range(1, DEPTH + 1):
-            before = np.roll(self.keys[depth - 1], 1)
-            before[self.offset == 0] = _START
-            self.contexts.append(before)
-            self.keys.append(chain(before, symbols))
-
-    def answer(self, kind: int, keys: np.ndarray, dtype) -> np.ndarray:
-        """For each of the distinct keys that were asked for."""
-        table = self.answers.filter(pc.equal(self.answers["kind"], kind))
-        parts = [blocks.spread(x, dtype) for x in table["totals"].take(pc.sort_indices(table["bucket"])).to_pylist()]
-        out = np.concatenate(parts) if parts else np.zeros(0, dtype)
-        if len(out) != len(keys):
-            raise ValueError(f"block {self.block} asked for {len(keys)} keys of kind {kind} and got {len(out)}")
-        return out
+        self.vocabulary, self.code = np.unique(self.symbols, return_inverse=True)
+
+    def ask_words(self) -> pa.RecordBatch:
+        return blocks.ask(self.vocabulary, np.bincount(self.code, self.train, len(self.vocabulary)).astype(np.uint32), self.block, self.buckets)
+
+    def _answer(self, depth: int) -> tuple[list[bytes], list[bytes]]:
+        table = self.answers.filter(pc.equal(self.answers["depth"], depth))
+        table = table.take(pc.sort_indices(table, sort_keys=[("hot", "ascending"), ("bucket", "ascending")]))
+        return table["totals"].to_pylist(), table["verdicts"].to_pylist()
+
+    def read(self, depth: int, left_out: int) -> None:
+        """Answers up to a depth: the probability of each position's word in the longest state of so many words before it, its
+        own counts less left_out; and where the next depth's contexts can diverge."""
+        totals, _ = self._answer(0)
+        counts = np.concatenate([blocks.spread(x, np.uint64) for x in totals]).astype(np.int64)
+        if len(counts) != len(self.vocabulary):
+            raise ValueError(f"block {self.block} asked for {len(self.vocabulary)} words and got {len(counts)}")
+        self.word_count = counts[self.code]
+        self.p = self.stats.word_probability(self.word_count, left_out)
+        count, keys = self.word_count, mix(self.symbols)
+        going, sure = np.ones(len(self.symbols), bool), np.zeros(len(self.symbols), bool)
+        for d in range(1, depth + 2):
+            # Contexts of d symbols, the start of the text being one, and how often training texts have them.
+            context, seen = np.roll(keys, 1), np.roll(count, 1)
+            context[self.offset == 0], seen[self.offset == 0] = _START, self.stats.docs if d == 1 else 0
+            keys = chain(context, self.symbols)
+            self.at = np.flatnonzero(going & (seen >= LEAST) & (self.offset >= d - 1))
+            self.context, self.seen = context[self.at], seen[self.at]
+            self.entries = Entries(keys[self.at], self.context, self.seen >= self.stats.hot, self.buckets)
+            if d > depth:
+                return
+            totals, verdicts = self._answer(d)
+            total = np.concatenate([blocks.spread(x, np.uint64) for x in totals]).astype(np.int64) if totals else np.zeros(0, np.int64)
+            if len(total) != len(self.entries.keys):
+                raise ValueError(f"block {self.block} asked for {len(self.entries.keys)} keys of depth {d} and got {len(total)}")
+            runs = np.diff(self.entries.runs)
+            verdict = np.repeat(np.concatenate([blocks.spread(x, np.uint8) for x in verdicts]) if verdicts else np.zeros(0, np.uint8), runs)
+            if self.entries.hot.any():
+                known, its = self.stats.verdicts[d]
+                verdict[self.entries.hot] = its[np.searchsorted(known, self.entries.contexts[self.entries.hot])]
+            found = total[self.entries.place]
+            strength = np.append(0.0, STRENGTHS)[verdict[self.entries.place]]
+            use = strength > 0
+            at, s = self.at[use], strength[use]
+            self.p[at] = (np.maximum(found[use] - left_out, 0) + s * self.p[at]) / (self.seen[use] - left_out + s)
+            # Where a shorter context is always followed by this word, so is this one: as often as it is seen itself.
+            count = np.where(sure & (self.offset >= d - 1), seen, 0)
+            count[self.at] = found
+            going = np.zeros(len(self.symbols), bool)
+            going[self.at] = found < self.seen
+            sure[self.at] = found == self.seen
+
+    def ask(self) -> pa.RecordBatch:
+        """What follows the contexts of the next depth: counts, and the fallback's probability of the word, without this position."""
+        e = self.entries
+        counts = np.bincount(e.place, self.train[self.at], len(e.keys)).astype(np.uint32)
+        fallback = np.where(counts > 0, self.p[self.at][e.first], 0).astype(np.float32)
+        return e.send(self.block, counts, fallback, self.seen[e.first])
+
+
+def divergence(count: np.ndarray, seen: np.ndarray, fallback: np.ndarray, context: np.ndarray, n: int) -> np.ndarray:
+    """Per context and strength: the sum over its training positions of the log ratio to the fallback, each position left out."""
+    sums = np.zeros((n, len(STRENGTHS)))
+    for k, s in enumerate(STRENGTHS.tolist()):
+        sums[:, k] = np.bincount(context, count * np.log((count - 1 + s * fallback) / (seen - 1 + s) / fallback), n)
+    return sums
+
+
+def verdicts(sums: np.ndarray) -> np.ndarray:
+    """1 and up: the best strength; 0: no state."""
+    return np.where(sums.max(axis=1) > MARGIN, sums.argmax(axis=1) + 1, 0).astype(np.uint8) if len(sums) else np.zeros(0, np.uint8)
+
+
+#: As blocks: a bucket's tokens and distinct words, and its sums of hot contexts.
+WORD_SUMS, HOT_SUMS = -1, -2
+
+
+def _add_up(depth: int):
+    """One bucket: the blocks' counts of each (context, word) added up, and a verdict for each context. Hot contexts, of which the
+    bucket has a part, give a row of sums."""
+
+    def run(table: pa.Table) -> pa.Table:
+        hot, bucket = table["hot"][0].as_py(), table["bucket"][0].as_py()
+        contexts, lengths, words, counts, fallbacks = [], [], [], [], []
+        for packed, sizes, steps, count, fallback in zip(*(table[c].to_pylist() for c in ("contexts", "sizes", "words", "counts", "fallback")), strict=True):
+            contexts.append(blocks.unpack_keys(packed))
+            lengths.append(blocks.spread(sizes, np.uint32).astype(np.int64))
+            step = blocks.spread(steps, np.uint64)
+            starts = np.cumsum(lengths[-1]) - lengths[-1]
+            total = np.cumsum(step, dtype=np.uint64)
+            # Differences start anew at each context.
+            words.append(total - np.repeat(total[starts] - step[starts], lengths[-1]))
+            counts.append(blocks.spread(count, np.uint32))
+            fallbacks.append(blocks.spread(fallback, np.float32))
+        rows = [len(x) for x in words]
+        runs = np.concatenate(lengths)
+        each, run_of = np.unique(np.concatenate(contexts), return_inverse=True)
+        context = np.repeat(run_of, runs)
+        keys, first, place = np.unique(chain(each[context], np.concatenate(words)), return_index=True, return_inverse=True)
+        count = np.concatenate(counts)
+        total = np.bincount(place, count, len(keys)).astype(np.int64)
+        fallback = np.zeros(len(keys))
+        has = count > 0
+        fallback[place[has]] = np.concatenate(fallbacks)[has]
+        used = np.flatnonzero(total)
+        of = context[first][used]
+        block, extra = table["block"].to_pylist(), []
+        if hot:
+            seen = np.zeros(len(each), np.int64)
+            seen[run_of] = np.concatenate([blocks.spread(x, np.int64) for x in table["seen"].to_pylist()])
+        else:
+            seen = np.bincount(of, total[used], len(each))
+        sums = divergence(total[used].astype(np.float64), seen[of], fallback[used], of, len(each))
+        own = np.zeros(len(each), np.uint8) if hot else verdicts(sums)
+        answers = [blocks.squeeze(x) for x in np.split(total[place], np.cumsum(rows)[:-1])]
+        said = [blocks.squeeze(x) for x in np.split(own[run_of], np.cumsum([len(x) for x in contexts])[:-1])]
+        if hot:
+            block, answers, said = [*block, HOT_SUMS], [*answers, each.tobytes()], [*said, sums.tobytes()]
+        n = len(block)
+        columns = [pa.array([depth] * n, pa.int32()), pa.array([hot] * n, pa.int32()), pa.array([bucket] * n, pa.int32()), pa.array(block, pa.int64()), pa.array(answers, pa.binary()), pa.array(said, pa.binary())]
+        return pa.Table.from_arrays(columns, names=["depth", "hot", "bucket", "block", "totals", "verdicts"])
+
+    return run
+
 
-    def read(self, depth: int) -> None:
-        """Counts of all sequences up to depth + 1 symbols. A context counts where it was seen LEAST times at least."""
-        n_train, _, n_docs = self.stats
-        self.counts, self.seen, self.alive = [], [None], [np.ones(len(self.symbols), bool)]
-        for d in range(depth + 1):
-            if d:
-                seen = np.roll(self.counts[d - 1], 1).astype(np.float64)
-                seen[self.offset == 0] = n_docs if d == 1 else 0
-                self.seen.append(seen)
-                self.alive.append((seen >= LEAST) & (self.offset >= d - 1))
-            asked = self.asked(d)
-            keys, place = np.unique(self.keys[d][asked], return_inverse=True)
-            counts = np.zeros(len(self.symbols), np.uint32)
-            counts[asked] = self.answer(d, keys, np.uint32)[place]
-            self.counts.append(counts)
-
-    def asked(self, depth: int) -> np.ndarray:
-        """Positions whose sequences of depth + 1 symbols are counted: depths 0 and 1 all, before anything is known."""
-        return np.ones(len(self.symbols), bool) if depth < 2 else self.alive[depth]
-
-    def tested(self, depth: int) -> np.ndarray:
-        return self.alive[depth] & self.train
-
-    def verdicts(self, depth: int) -> None:
-        """The strength of each position's contexts up to depth; 0 where the tree has no such state."""
-        self.strength = [None]
-        for d in range(1, depth + 1):
-            of = self.alive[d]
-            keys, place = np.unique(self.contexts[d][of], return_inverse=True)
-            found = np.zeros(len(self.symbols))
-            found[of] = np.append(0.0, STRENGTHS)[self.answer(VERDICT + d, keys, np.uint8)[place]]
-            self.strength.append(found)
-
-    def probability(self, depth: int, left_out: int) -> np.ndarray:
-        """Of each position's symbol in the longest state of up to depth symbols before it; left_out: its own counts less that."""
-        n, v, _ = self.stats
-        p = (np.maximum(self.counts[0].astype(np.float64) - left_out, 0) + 0.5) / (n - left_out + 0.5 * (v + 1))
-        for d in range(1, depth + 1):
-            use = self.strength[d] > 0
-            p[use] = ((np.maximum(self.counts[d][use].astype(np.float64) - left_out, 0) + self.strength[d][use] * p[use])) / (self.seen[d][use] - left_out + self.strength[d][use])
-        return p
-
-    def ask_counts(self, depth: int, buckets: int) -> Iterator[pa.RecordBatch]:
-        asked = self.asked(depth)
-        keys, place = np.unique(self.keys[depth][asked], return_inverse=True)
-        yield _ask(depth, self.block, keys, np.bincount(place, self.train[asked], len(keys)).astype(np.uint32), buckets)
-
-    def ask_verdicts(self, depth: int, buckets: int) -> Iterator[pa.RecordBatch]:
-        """Sums over a context's training positions of the log ratio to its fallback, for each strength."""
-        keys, place = np.unique(self.contexts[depth][self.alive[depth]], return_inverse=True)
-        at = np.flatnonzero(self.alive[depth])
-        of = self.train[at]
-        at, place = at[of], place[of]
-        fallback = self.probability(depth - 1, 1)[at]
-        seen, count = self.seen[depth][at] - 1, self.counts[depth][at].astype(np.float64) - 1
-        sums = np.zeros((len(keys), len(STRENGTHS)), np.float32)
-        for k, s in enumerate(STRENGTHS.tolist()):
-            sums[:, k] = np.bincount(place, np.log((count + s * fallback) / (seen + s) / fallback), len(keys))
-        # No other block adds to contexts that occur here alone: their verdict is known, and is sent as zeros and one mark.
-        own = np.zeros(len(keys), bool)
-        own[place] = np.bincount(place, minlength=len(keys))[place] == seen + 1
-        best = sums[own].argmax(axis=1)
-        marks = (np.arange(len(STRENGTHS)) == best[:, None]) & (sums[own].max(axis=1) > MARGIN)[:, None]
-        sums[own] = marks * np.float32(2 * MARGIN)
-        # Seven bits of mantissa are plenty for a sum of sums, and the planes of zeros below cost nothing.
-        sums = (sums.view(np.uint32) & np.uint32(0xFFFF0000)).view(np.float32)
-        yield _ask(VERDICT + depth, self.block, keys, sums, buckets)
-
-
-def _ask(kind: int, block: int, keys: np.ndarray, sums: np.ndarray, buckets: int) -> pa.RecordBatch:
-    at = blocks.bounds(keys, buckets)
-    used = np.flatnonzero(np.diff(at))
-    packed = [blocks.pack_keys(keys[at[b] : at[b + 1]]) for b in used]
-    values = [blocks.squeeze(np.ascontiguousarray(sums[at[b] : at[b + 1]]).ravel()) for b in used]
-    columns = [pa.array(np.full(len(used), kind, np.int32)), pa.array(used.astype(np.int32)), pa.array(np.full(len(used), block, np.int64)), pa.array(packed, pa.binary()), pa.array(values, pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, names=["kind", "bucket", "block", "keys", "sums"])
-
-
-def _add_up(table: pa.Table) -> pa.Table:
-    """One bucket of one kind. Counts add up; of divergences the best strength is chosen, or none. Words also give a row of totals."""
-    kind, bucket = table["kind"][0].as_py(), table["bucket"][0].as_py()
+def _add_up_words(table: pa.Table) -> pa.Table:
+    """One bucket of words: the blocks' counts added up, and a row of the bucket's tokens and distinct training words."""
     keys = [blocks.unpack_keys(x) for x in table["keys"].to_pylist()]
-    ends = np.cumsum([len(k) for k in keys])
     distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
-    if kind < VERDICT:
-        sums = np.concatenate([blocks.spread(x, np.uint32) for x in table["sums"].to_pylist()])
-        total = np.bincount(place, sums, len(distinct)).astype(np.uint32)
-    else:
-        sums = np.concatenate([blocks.spread(x, np.float32) for x in table["sums"].to_pylist()]).reshape(-1, len(STRENGTHS))
-        score = np.stack([np.bincount(place, s, len(distinct)) for s in sums.T.astype(np.float64)], axis=1)
-        total = np.where(score.max(axis=1) > MARGIN, score.argmax(axis=1) + 1, 0).astype(np.uint8)
-    answers = [blocks.squeeze(part) for part in np.split(total[place], ends[:-1])]
-    block = table["block"].to_pylist()
-    if kind == 0:
-        block.append(-1)
-        answers.append(blocks.squeeze(np.array([int(total.sum()), int((total > 0).sum())], np.int64)))
-    n = len(block)
-    return pa.table({"kind": pa.array([kind] * n, pa.int32()), "bucket": pa.array([bucket] * n, pa.int32()), "block": pa.array(block, pa.int64()), "totals": pa.array(answers, pa.binary())})
-
-
-def _start(buckets: int):
+    total = np.bincount(place, np.concatenate([blocks.spread(x, np.uint32) for x in table["counts"].to_pylist()]), len(distinct)).astype(np.int64)
+    answers = [blocks.squeeze(x) for x in np.split(total[place], np.cumsum([len(k) for k in keys])[:-1])]
+    block = [*table["block"].to_pylist(), WORD_SUMS]
+    answers.append(np.array([total.sum(), (total > 0).sum()], np.int64).tobytes())
+    n, bucket = len(block), table["bucket"][0].as_py()
+    columns = [pa.array([0] * n, pa.int32()), pa.array([0] * n, pa.int32()), pa.array([bucket] * n, pa.int32()), pa.array(block, pa.int64()), pa.array(answers, pa.binary()), pa.array([None] * n, pa.binary())]
+    return pa.Table.from_arrays(columns, names=["depth", "hot", "bucket", "block", "totals", "verdicts"])
+
+
+def _ask_words(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                at = Positions(dict(zip(batch.schema.names, values, strict=True)), None, None)
-                yield from at.ask_counts(0, buckets)
-                yield from at.ask_counts(1, buckets)
+                yield Positions(dict(zip(batch.schema.names, values, strict=True)), None, None, buckets).ask_words()
 
     return run
 
@@ -188,74 +269,91 @@ def _row(table: pa.Table) -> dict:
     return {name: table[name][0].as_py() for name in table.column_names}
 
 
-def _grow(depth: int, buckets: int, stats: tuple[int, int, int]):
-    """What blocks ask once the counts for contexts of depth are known: verdicts on these, counts for the next depth."""
+def _ask(depth: int, buckets: int, stats: Stats):
+    """What blocks ask once the shorter contexts are known."""
 
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
-        at = Positions(_row(block), answers, stats)
-        at.read(depth)
-        at.verdicts(depth - 1)
-        out = list(at.ask_verdicts(depth, buckets))
-        if depth < DEPTH:
-            seen = np.roll(at.counts[depth], 1).astype(np.float64)
-            seen[at.offset == 0] = 0
-            at.alive.append((seen >= LEAST) & (at.offset >= depth))
-            out += at.ask_counts(depth + 1, buckets)
-        return pa.Table.from_batches(out)
+        at = Positions(_row(block), answers, stats, buckets)
+        at.read(depth - 1, 1)
+        out = pa.Table.from_batches([at.ask()])
+        release_memory()
+        return out
 
     return run
 
 
+HOT_ROWS = "context long, " + ", ".join(f"s{k} double" for k in range(len(STRENGTHS)))
+
+
+def _hot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for contexts, sums in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            each = np.frombuffer(sums, np.float64).reshape(-1, len(STRENGTHS))
+            columns = [pa.array(np.frombuffer(contexts, np.int64)), *(pa.array(np.ascontiguousarray(each[:, k])) for k in range(len(STRENGTHS)))]
+            yield pa.RecordBatch.from_arrays(columns, names=["context", *(f"s{k}" for k in range(len(STRENGTHS)))])
+
+
+def _hot_verdicts(answers: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys of hot contexts, at most 2**HOT_BITS or tokens / HOT_LEAST of them, and their verdicts over all buckets."""
+    rows = answers.where(F.col("block") == HOT_SUMS).select("totals", "verdicts").mapInArrow(_hot_rows, HOT_ROWS)
+    found = rows.groupBy("context").agg(*(F.sum(f"s{k}").alias(f"s{k}") for k in range(len(STRENGTHS)))).collect()
+    contexts = np.array([r.context for r in found], np.int64).view(np.uint64)
+    order = np.argsort(contexts)
+    return contexts[order], verdicts(np.array([tuple(r)[1:] for r in found]).reshape(-1, len(STRENGTHS)))[order]
+
+
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _scores(stats: tuple[int, int, int]):
+def _scores(stats: Stats, buckets: int):
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
-        at = Positions(_row(block), answers, stats)
-        at.read(DEPTH)
-        at.verdicts(DEPTH)
-        base = np.log10((at.counts[0] + 0.5) / (stats[0] + 0.5 * (stats[1] + 1)))
+        at = Positions(_row(block), answers, stats, buckets)
+        at.read(DEPTH, 0)
         per_doc = lambda x: np.add.reduceat(x, at.starts[:-1])  # noqa: E731  each document has its end
-        return pa.table(
+        out = pa.table(
             {
                 "doc_id": pa.array(at.doc_ids, mask=at.doc_ids == blocks.NULL_ID),
                 "held_out": pa.array([held_out(i) for i in at.doc_ids.tolist()]),
                 "n_tokens": pa.array(np.diff(at.starts)),
-                "n_known": pa.array(per_doc((at.counts[0] > 0).astype(np.int64))),
-                "train_tokens": pa.array(np.full(len(at.doc_ids), stats[0], np.int64)),
-                "base_score": pa.array(per_doc(base)),
-                "score": pa.array(per_doc(np.log10(at.probability(DEPTH, 0)))),
+                "n_known": pa.array(per_doc((at.word_count > 0).astype(np.int64))),
+                "train_tokens": pa.array(np.full(len(at.doc_ids), stats.tokens, np.int64)),
+                "base_score": pa.array(per_doc(np.log10(stats.word_probability(at.word_count, 0)))),
+                "score": pa.array(per_doc(np.log10(at.p))),
             }
         )
+        release_memory()
+        return out
 
     return run
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = blocks.BLOCK_BYTES) -> DataFrame:
     """Per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities of the text).
 
     Words stand between white space after lower-casing A-Z; each text has an end token; null counts as empty. The tree
     learns from rows whose crc32(id as text) mod 5 is not 1; rows without an id learn as the empty id. Words
     that no training text has are one symbol, as in the base score. Repeated rows count and score repeatedly. An
-    empty table gives none. Extra columns are not read.
+    empty table gives none. Extra columns are not read. Texts are cut into blocks of about block_bytes, whole documents each.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffix-tree")
     n_docs = docs.where(crc_mod(F.col(id_col), MODULUS) != HELD_OUT).count()
     name = f"suffix_tree_{uuid.uuid4().hex}"
     # Bucketed by block, the documents stay where they are in every round: only questions and answers are shuffled.
-    writer = blocks.build(docs, id_col, text_col).write.format("parquet").option("compression", "none")
+    writer = blocks.build(docs, id_col, text_col, block_bytes).write.format("parquet").option("compression", "none")
     writer.bucketBy(fan_out(docs), "block").saveAsTable(name)
     try:
         table = spark.table(name)
         buckets = blocks.bucket_count(table.count())
-        total = lambda asked: asked.groupBy("kind", "bucket").applyInArrow(_add_up, ANSWER)
-        answers = scratch.keep(total(table.mapInArrow(_start(buckets), ASK)), "answers")
-        sums = [blocks.spread(r.totals, np.int64) for r in answers.where("block = -1").select("totals").collect()]  # one per bucket
-        stats = (int(sum(s[0] for s in sums)), int(sum(s[1] for s in sums)), n_docs)
+        answers = scratch.keep(table.mapInArrow(_ask_words(buckets), blocks.ASK).groupBy("bucket").applyInArrow(_add_up_words, ANSWER), "answers")
+        sums = [np.frombuffer(r.totals, np.int64) for r in answers.where(F.col("block") == WORD_SUMS).select("totals").collect()]  # one per bucket
+        stats = Stats(int(sum(s[0] for s in sums)), int(sum(s[1] for s in sums)), n_docs)
         together = lambda run, schema: table.groupBy("block").cogroup(answers.where("block >= 0").groupBy("block")).applyInArrow(run, schema)
         for depth in range(1, DEPTH + 1):
-            answers = answers.union(scratch.keep(total(together(_grow(depth, buckets, stats), ASK)), "answers"))
-        return scratch.keep(together(_scores(stats), SCORES), "scores")
+            asked = together(_ask(depth, buckets, stats), ASK)
+            new = scratch.keep(asked.groupBy("hot", "bucket").applyInArrow(_add_up(depth), ANSWER), "answers")
+            stats.verdicts[depth] = _hot_verdicts(new)
+            answers = answers.union(new)
+        return scratch.finish(together(_scores(stats, buckets), SCORES), "scores")
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
