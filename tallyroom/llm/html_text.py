@@ -28,6 +28,8 @@ BARRIER = frozenset("html body article main section div blockquote ul ol dl tabl
 NEVER = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion promoted banner cookie cookies consent gdpr notice notices notification alert popup modal overlay toast comment comments commentlist disqus respond replies reply nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar sidenav share sharing social related recommended recommendations newsletter subscribe subscription signup login pagination pager widget widgets skip masthead topbar toolbar paywall outbrain taboola complementary contentinfo dialog search discussion feedback".split()
 )
+#: Of these, an article may have parts of its own by such a name.
+DOUBTFUL = frozenset("related discussion feedback search complementary dialog".split())
 UNLESS_CONTENT = frozenset("header footer head foot site top bottom aside side rail links tags meta byline".split())
 CONTENT = frozenset("article content main post entry story body text".split())
 #: Attributes that have one of these as a whole name are never dropped for another name.
@@ -41,18 +43,18 @@ SIGMA, RADIUS = 1.0, 2
 
 
 class _Element:
-    __slots__ = ("article", "named", "number", "skip", "tag")
+    __slots__ = ("article", "doubt", "named", "number", "skip", "tag")
 
-    def __init__(self, tag: str, number: int, skip: str | None, named: tuple[int, ...], article: bool):
-        self.tag, self.number, self.skip, self.named, self.article = tag, number, skip, named, article
+    def __init__(self, tag: str, number: int, skip: str | None, named: tuple[int, ...], article: bool, doubt: bool):
+        self.tag, self.number, self.skip, self.named, self.article, self.doubt = tag, number, skip, named, article, doubt
 
 
 class _Line:
-    __slots__ = ("article", "heading", "links", "named", "parts", "path", "skip", "tags")
+    __slots__ = ("article", "doubt", "heading", "links", "named", "parts", "path", "skip", "tags")
 
-    def __init__(self, path, skip, heading, named, article):
+    def __init__(self, path, skip, heading, named, article, doubt):
         self.parts, self.tags, self.links, self.path, self.skip, self.heading = [], 0, 0, path, skip, heading
-        self.named, self.article = named, article
+        self.named, self.article, self.doubt = named, article, doubt
 
 
 def _words(value: str) -> list[str]:
@@ -122,15 +124,16 @@ class LineParser(HTMLParser):
             self.line.tags += 1
         skip = self.stack[-1].skip if self.stack else None
         own = self._reason(tag, attrs)
-        if tag in ("article", "main") and not own and skip in ("div", "header") and not self.seen_article:
+        if tag in ("article", "main") and own in (None, "doubt") and skip in ("div", "header") and not self.seen_article:
             skip = None  # a wrapper that nobody closed
         if tag in ("article", "main"):
-            self.seen_article = self.seen_article or not (own or skip)
+            self.seen_article = self.seen_article or own in (None, "doubt") and not skip
         number, above = len(self.tags), self.stack[-1] if self.stack else None
         named = above.named if above else ()
         if own == "div":
             named = (*named, number)
-        self.stack.append(_Element(tag, number, skip or own, named, tag in ("article", "main") or bool(above and above.article)))
+        doubt = bool(above and above.doubt) or own == "doubt"
+        self.stack.append(_Element(tag, number, skip or (None if own == "doubt" else own), named, tag in ("article", "main") or bool(above and above.article), doubt))
         self.tags.append(tag)
         if tag == "a":
             self.in_link += 1
@@ -150,6 +153,8 @@ class LineParser(HTMLParser):
         if any(len(words) == 1 and words & CONTENT_NAMES for words in names):
             return None
         never = [words for words in names if words & NEVER and words <= NEVER | PARTS]
+        if never and inside and set().union(*never) & NEVER <= DOUBTFUL:
+            return "doubt"
         if never:
             return "comment" if set().union(*never) & {"comment", "comments", "commentlist", "disqus", "replies", "discussion"} else "div"
         if not inside and not any(words & CONTENT for words in names) and any(words & UNLESS_CONTENT and words <= NEVER | PARTS for words in names):
@@ -188,8 +193,8 @@ class LineParser(HTMLParser):
                 return
             top = self.stack[-1].skip if self.stack else None
             path = tuple(e.number for e in self.stack if e.tag in SCOPES)
-            named, article = (self.stack[-1].named, self.stack[-1].article) if self.stack else ((), False)
-            self.line = _Line(path, top, any(e.tag in HEADINGS for e in self.stack[-3:]), named, article)
+            named, article, doubt = (self.stack[-1].named, self.stack[-1].article, self.stack[-1].doubt) if self.stack else ((), False, False)
+            self.line = _Line(path, top, any(e.tag in HEADINGS for e in self.stack[-3:]), named, article, doubt)
             self.line.tags, self.pending = self.pending, 0
             self.lines.append(self.line)
         self.line.parts.append(data)
@@ -204,6 +209,35 @@ def smooth(ratios: np.ndarray, sigma: float = SIGMA, radius: int = RADIUS) -> np
     return wide / np.convolve(np.ones(len(ratios)), weights)[radius : radius + len(ratios)]
 
 
+#: What a doubtful name leaves of a line's ratio.
+DOUBT = 0.25
+
+
+def levels(ratio: np.ndarray, lowered: np.ndarray, doubt: np.ndarray) -> np.ndarray:
+    """Smoothed text-to-tag ratios. The lines of menus, adverts and the like are lowered below zero before, by half
+    as much again as the largest ratio in reach, so that no neighbours lift them; doubtful ones keep a quarter, so that these decide."""
+    own = np.where(lowered, 0.0, np.where(doubt, DOUBT * ratio, ratio))
+    reach = np.pad(own, RADIUS)
+    largest = np.max([reach[k : k + len(own)] for k in range(2 * RADIUS + 1)], axis=0)
+    return smooth(np.where(lowered, -1.5 * largest, own))
+
+
+def clusters(level: np.ndarray, ratio: np.ndarray) -> np.ndarray:
+    """The lines in clusters: runs of lines whose level reaches the threshold, half the mean of the levels above zero, each
+    from its first to its last line with half the threshold on its own: smoothing spills over the ends."""
+    above = level[level > 0]
+    out = np.zeros(len(level), bool)
+    if not len(above):
+        return out
+    threshold = 0.5 * above.mean()
+    high = np.flatnonzero(np.diff(np.concatenate([[False], level >= threshold, [False]]).astype(np.int8)))
+    for start, end in zip(high[::2].tolist(), high[1::2].tolist(), strict=True):
+        own = np.flatnonzero(ratio[start:end] >= 0.5 * threshold)
+        if len(own):
+            out[start + own[0] : start + own[-1] + 1] = True
+    return out
+
+
 def _parse(html: str, **rules) -> tuple[LineParser, list[tuple[_Line, str]]]:
     parser = LineParser(**rules)
     parser.feed(html)
@@ -232,11 +266,12 @@ def _lines(html: str) -> tuple[LineParser, list[tuple[_Line, str]]]:
 def main_text(html: str | None) -> str:
     """The article of a page; white space inside a block is one space, and so is what joins blocks.
 
-    Lines whose smoothed text-to-tag ratio reaches the threshold (half the mean, over lines that may hold main text)
-    form clusters. An article or main element with at least three quarters of the clusters' text is the article, and
-    all its lines count that no menu, header, footer, sidebar, notice, advert, form or comment section
-    holds. Elsewhere all clusters count, with all such lines of the innermost container that holds them; of the containers
-    around it, and between the first cluster and the last, those that aren't links alone; and headings right before them.
+    Lines whose smoothed text-to-tag ratio reaches a threshold form clusters. Menus, headers, footers, sidebars, notices,
+    adverts, forms and comment sections have their ratio lowered by their tags and names; link text counts as none. The
+    innermost article or main element with at least three quarters of the clusters' levels is the content region; elsewhere
+    it is the innermost container of all clusters, what isn't links alone in the containers around it and between the first
+    cluster and the last, and headings right before them. In the region all lines count that are not lowered, short ones too, and
+    lowered or doubtful ones where they reach a cluster.
     """
     if not html:
         return ""
@@ -245,28 +280,31 @@ def main_text(html: str | None) -> str:
     if not free.any():
         return ""
     size = np.array([len(text) for _, text in lines], float)
-    ratio = np.where(free, (size - [min(x.links, len(text)) for x, text in lines]) / [max(1, x.tags) for x, _ in lines], 0.0)
-    level = smooth(ratio)
-    chosen = free & (level >= 0.5 * level[free].mean()) & (ratio > 0)
+    ratio = (size - [min(x.links, len(text)) for x, text in lines]) / [max(1, x.tags) for x, _ in lines]
+    doubt = np.array([x.doubt for x, _ in lines], bool)
+    level = levels(ratio, ~free, doubt)
+    chosen = clusters(level, ratio)
     if not chosen.any():
-        chosen = free
+        level, chosen = np.where(free, 1.0, 0.0), free
+    counts = (free & ~doubt) | chosen
     mass: dict[int, float] = {}
     for i in np.flatnonzero(chosen):
         for number in lines[i][0].path:
-            mass[number] = mass.get(number, 0) + size[i]
-    total = size[chosen].sum()
+            mass[number] = mass.get(number, 0) + level[i]
+    total = level[chosen].sum()
     articles = [number for number, m in mass.items() if m >= 0.75 * total and parser.tags[number] in ("article", "main")]
     if articles:  # the innermost article, or else the innermost main element
         best = max(articles, key=lambda number: (parser.tags[number] == "article", number))
-        return " ".join(text for k, (x, text) in enumerate(lines) if free[k] and best in x.path)
+        return " ".join(text for k, (x, text) in enumerate(lines) if counts[k] and best in x.path)
     where = np.flatnonzero(chosen)
-    worth = [bool(free[k]) and (x.heading or x.links < 0.8 * len(text)) for k, (x, text) in enumerate(lines)]
+    worth = [bool(counts[k]) and (x.heading or x.links < 0.8 * len(text)) for k, (x, text) in enumerate(lines)]
     # All clusters lie in these, outermost first; the page itself is none of them.
-    holders = [number for number in lines[where[0]][0].path if mass[number] >= total and parser.tags[number] not in ("html", "body")]
+    within = set(lines[where[0]][0].path).intersection(*(lines[k][0].path for k in where))
+    holders = [number for number in lines[where[0]][0].path if number in within and parser.tags[number] not in ("html", "body")]
     inner = holders[-1] if holders else None
     best = set(where.tolist())
     if inner is not None:
-        best |= {k for k, (x, _) in enumerate(lines) if free[k] and inner in x.path}
+        best |= {k for k, (x, _) in enumerate(lines) if counts[k] and inner in x.path}
         best |= {k for k, (x, _) in enumerate(lines) if worth[k] and holders[0] in x.path}
     first, last = min(best), max(best)
     while first and free[first - 1] and lines[first - 1][0].heading:

@@ -1,6 +1,9 @@
+import math
+
 import numpy as np
 import pytest
 
+from tallyroom.llm import html_text
 from tallyroom.llm.html_text import extract, main_text, smooth
 
 SOUP = """<html><head><title>T</title><style>p{}</style></head><body><div id=top><a href=/>Home</a> <a href=/x>News</a></div>
@@ -108,3 +111,78 @@ LEAD = "This lead stands before the body and tells in some more words what the w
 )
 def test_what_stands_beside_the_largest_container_counts(html, text):
     assert main_text(html) == text
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        f'<body><div class="content has-sidebar">{BODY}</div>',
+        f'<body><article class="post comments-open">{BODY}</article>',
+        f'<body><article class="category-social post">{BODY}</article>',
+        f'<body><main class="topic-reply-page">{BODY}</main>',
+        f'<body><article>{BODY.replace("<p>A sec", '<p class="related-work">A sec')}</article>',
+        f'<body><article><section id="discussion">{BODY}</section></article>',
+    ],
+)
+def test_names_of_articles_and_their_parts(html):
+    assert main_text(html) == PLAIN
+
+
+def test_doubtful_names_follow_their_neighbours():
+    """A part called 'related' stays among paragraphs of its kind, and goes where its text is thin."""
+    part = '<div class="related"><p>Some more text of about the length that paragraphs have.</p></div>'
+    thin = '<div class="related"><ul><li><b>x</b> <a href="/">One</a></li><li><b>y</b> <a href="/">Two</a></li><li><b>z</b> <a href="/">Three</a></li></ul></div>'
+    assert main_text(f"<body><article>{BODY}{part}{BODY}</article>") == f"{PLAIN} Some more text of about the length that paragraphs have. {PLAIN}"
+    assert "y Two" not in main_text(f"<body><article>{BODY}{thin}</article>")
+
+
+def plain_levels(lines):
+    """Ratio, smoothing and clusters line by line; lines: (characters, of links, tags, lowered)."""
+    ratio = [0.0 if low else (n - links) / max(1, tags) for n, links, tags, low in lines]
+    near = lambda k: [j for j in range(k - 2, k + 3) if 0 <= j < len(lines)]
+    used = [-1.5 * max(ratio[j] for j in near(k)) if lines[k][3] else ratio[k] for k in range(len(lines))]
+    level = []
+    for k in range(len(lines)):
+        weight = {j: math.exp(-((j - k) ** 2) / 2) for j in near(k)}
+        level.append(sum(weight[j] * used[j] for j in weight) / sum(weight.values()))
+    above = [x for x in level if x > 0]
+    threshold = 0.5 * sum(above) / len(above) if above else math.inf
+    high = [x >= threshold for x in level]
+    alone = [h and (n - links) / max(1, tags) >= threshold / 2 for h, (n, links, tags, _) in zip(high, lines)]
+    run = lambda k, step: k + step if 0 <= k + step < len(lines) and high[k + step] else None
+    reaches = lambda k, step: k is not None and (alone[k] or reaches(run(k, step), step))
+    return level, [high[k] and reaches(k, -1) and reaches(k, 1) for k in range(len(lines))]
+
+
+def test_levels_and_clusters_equal_plain_loops():
+    rng = np.random.default_rng(11)
+    for _ in range(300):
+        n = int(rng.integers(1, 30))
+        lines = [(int(rng.integers(1, 900)), 0, int(rng.integers(0, 6)), bool(rng.random() < 0.3)) for _ in range(n)]
+        if all(x[3] for x in lines):
+            continue
+        ratio = np.array([(a - b) / max(1, c) for a, b, c, _ in lines])
+        low = np.array([x[3] for x in lines])
+        level = html_text.levels(ratio, low, np.zeros(n, bool))
+        want, chosen = plain_levels(lines)
+        assert np.allclose(level, want) and html_text.clusters(level, ratio).tolist() == chosen
+        assert (level[low] <= 1e-9).all()
+
+
+def test_clusters_decide_the_region(monkeypatch):
+    """Without names and article elements: of three blocks the dense one is the article; with other levels it isn't."""
+    thin = "".join(f'<li><b>n</b> <i>{k}</i> <a href="/{k}">place {k}</a></li>' for k in range(8))
+    page = f"<body><div><ul>{thin}</ul></div><div>{BODY * 3}</div><div><ul>{thin}</ul></div>"
+    want = " ".join([PLAIN] * 3)
+    assert main_text(page) == want
+    rng = np.random.default_rng(1)
+    monkeypatch.setattr(html_text, "smooth", lambda ratios: rng.random(len(ratios)))
+    assert main_text(page) != want
+
+
+def test_levels_decide_on_the_given_pages(spark, sf, monkeypatch):
+    pages = [r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    before = [main_text(h) for h in pages]
+    rng = np.random.default_rng(1)
+    monkeypatch.setattr(html_text, "smooth", lambda ratios: rng.random(len(ratios)))
+    assert sum(a != b for a, b in zip(before, map(main_text, pages))) > len(pages) / 2
