@@ -240,14 +240,15 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: st
 
     The model is fitted on at most sample labelled rows. Null texts count as empty; these have features too and score
     by them. Without labels of both classes, every row scores the base rate. Rows with equal texts score alike.
-    Extra columns are not read.
+    Of labelled rows with one id, the one with the smallest features is learnt from. Extra columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "quality")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     table = scratch.keep(rows.mapInArrow(_features, "doc_id long, x array<float>"), "features")
     train = bounded_sample(training_labels(labels, label, MODULUS, HELD_OUT), sample)
-    picked = table.join(F.broadcast(train), "doc_id").select("doc_id", "label", "x").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    picked = table.join(F.broadcast(train), "doc_id").groupBy("doc_id").agg(F.min(F.struct("x", "label")).alias("v")).select("doc_id", "v.*").orderBy("doc_id").collect()
     x = np.array([r.x for r in picked], np.float32).reshape(-1, len(FEATURES))
     model = fit(x, np.array([r.label for r in picked], float))
     out = table.mapInArrow(_score(model), "doc_id long, score double")
-    return out.select("doc_id", (crc_mod(F.col("doc_id"), MODULUS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    out = out.select("doc_id", (crc_mod(F.col("doc_id"), MODULUS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scratch.finish(out, "scores")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,13 +17,15 @@ from pyspark.sql import functions as F
 from tallyroom.llm.common import Scratch, chain, crc_mod, hash_words, mix, release_memory, words_of
 from tallyroom.llm.labelled import Calibration, bounded_sample, training_labels
 
-#: Labelled rows of each class from which terms are chosen, and examples in the index.
-TERM_SAMPLE, EXAMPLES = 3_072, 16_384
-VOCABULARY = 4_096
-LIFT = 4.0
+#: Labelled rows of each class from which marking terms are chosen; of each class in the index; of both for calibration.
+TERM_SAMPLE, EXAMPLES, CALIBRATION = 3_072, 1_024, 16_384
+#: Words are hashed to so many bits: weights and document frequencies of all terms are arrays of one size at any input.
+HASH_BITS = 18
+#: A marking term is LIFT times as frequent with one label, and weighs so many times its TF-IDF; at most so many such terms.
+LIFT, MARK_WEIGHT, VOCABULARY = 4.0, 6.0, 4_096
 PREFIXES = (4, 5, 6)
 NEIGHBOURS = 15
-BLOCK = 64
+BLOCK = 32
 MODULUS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 _LETTERS = re.compile(r"[^\W\d_]+")
 SLICE_BYTES = 6_000_000
@@ -32,11 +35,15 @@ def terms_of(chunk: str) -> list[str]:
     """Terms of a chunk between white space: its words of letters in lower case, and their beginnings, marked by *."""
     out = []
     for word in _LETTERS.findall(chunk.lower()):
-        out.append(word[:40])
+        out.append(word)
         out += [word[:k] + "*" for k in PREFIXES if len(word) > k]
     return out
 
 
+def term_id(term: str) -> int:
+    return zlib.crc32(term.encode()) & ((1 << HASH_BITS) - 1)
+
+
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per partition: term, and the documents of each class that have it."""
     counts: tuple[Counter, Counter] = (Counter(), Counter())
@@ -85,12 +92,12 @@ def choose_terms(docs: DataFrame, labels: DataFrame, vocabulary: int = VOCABULAR
 
 
 class Vectoriser:
-    """Term frequencies of the vocabulary's terms in whole texts, chunk by distinct chunk."""
+    """Term frequencies of all words in whole texts, chunk by distinct chunk; of beginnings of words only marking ones count."""
 
     LIMIT = 400_000
 
-    def __init__(self, terms: list[str]):
-        self.number = {t: i for i, t in enumerate(terms)}
+    def __init__(self, marks: Iterable[str]):
+        self.marks = frozenset(t for t in marks if t.endswith("*"))
         self.known: dict[str, tuple[int, ...]] = {}
 
     def of_chunk(self, chunk: str) -> tuple[int, ...]:
@@ -98,7 +105,7 @@ class Vectoriser:
         if found is None:
             if len(self.known) >= self.LIMIT:
                 self.known.clear()
-            found = tuple(self.number[t] for t in terms_of(chunk) if t in self.number)
+            found = tuple(term_id(t) for t in terms_of(chunk) if t[-1] != "*" or t in self.marks)
             if len(chunk) < 64:
                 self.known[chunk] = found
         return found
@@ -117,8 +124,8 @@ class Vectoriser:
         start = np.cumsum(size) - size
         n = size[chunk]
         terms = flat[np.repeat(start[chunk], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)]
-        keys, tf = np.unique(np.repeat(rows, n) * len(self.number) + terms, return_counts=True)
-        return keys // max(1, len(self.number)), keys % max(1, len(self.number)), tf
+        keys, tf = np.unique(np.repeat(rows, n) << HASH_BITS | terms, return_counts=True)
+        return keys >> HASH_BITS, keys & ((1 << HASH_BITS) - 1), tf
 
 
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
@@ -201,48 +208,63 @@ class BlockMaxIndex:
         return best_at, best
 
 
-def unit_vector(terms, tf, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def unit_vector(terms, tf, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """weight: of each term, its inverse document frequency, and MARK_WEIGHT times that if it is a marking one."""
     terms = np.asarray(terms, np.int64)
-    weight = (1 + np.log(np.asarray(tf, float))) * idf[terms]
-    norm = np.sqrt((weight**2).sum())
-    return terms, weight / norm if norm else weight
+    values = (1 + np.log(np.asarray(tf, float))) * weight[terms]
+    norm = np.sqrt((values**2).sum())
+    return terms, values / norm if norm else values
 
 
 def vote(index: BlockMaxIndex, at: np.ndarray, similarity: np.ndarray) -> float:
-    """Share of label 1 among the neighbours, each weighted by one over its distance."""
+    """Share of label 1 among the neighbours, each weighted by one over its distance; one more vote is the mean of all examples."""
     weight = 1 / (1.02 - np.minimum(similarity, 1))
-    return float((weight * index.labels[at]).sum() / weight.sum())
+    return float(((weight * index.labels[at]).sum() + index.labels.mean()) / (weight.sum() + 1))
 
 
 @dataclass
 class Model:
     """What a task needs to find a vector's neighbours and vote."""
 
-    idf: np.ndarray
+    weight: np.ndarray
     index: BlockMaxIndex
-    empty: float  # score of texts without terms
     k: int
 
     def raw(self, doc_id: int | None, terms, tf) -> tuple[float | None, np.ndarray, np.ndarray]:
         """The vote of the neighbours, itself excepted; None without any."""
         if not len(terms):
             return None, np.zeros(0, np.int64), np.zeros(0)
-        at, similarity = self.index.search(*unit_vector(terms, tf, self.idf), self.k, doc_id)
+        at, similarity = self.index.search(*unit_vector(terms, tf, self.weight), self.k, doc_id)
         return (vote(self.index, at, similarity) if len(at) else None), at, similarity
 
 
-def fit(vectors: DataFrame, sample: DataFrame, terms: list[str], k: int = NEIGHBOURS) -> Model:
-    """Document frequencies of all rows, and an index over the sample's vectors."""
+def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per partition: term, and how many documents have it."""
+    counts = np.zeros(1 << HASH_BITS, np.int64)
+    for batch in batches:
+        counts += np.bincount(batch.column(0).flatten().to_numpy(), minlength=len(counts))
+    used = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(counts[used])], names=["term", "n"])
+
+
+def term_weights(vectors: DataFrame, marks: list[str]) -> np.ndarray:
+    """Inverse document frequencies over all rows, one entry per hashed term; marking terms weigh more."""
     n = vectors.count()
-    df = np.zeros(len(terms))
-    for r in vectors.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # one row per term
-        df[r["t"]] = r["count"]
-    idf = np.log((1 + n) / (1 + df)) + 1
-    rows = vectors.join(F.broadcast(sample), "doc_id").select("doc_id", "label", "terms", "tf").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
-    used = [r for r in rows if r.terms]
-    index = BlockMaxIndex(np.array([r.doc_id for r in used], np.int64), np.array([r.label for r in used], float), [unit_vector(r.terms, r.tf, idf) for r in used], len(terms))
-    none = [r.label for r in rows if not r.terms] or [r.label for r in rows]
-    return Model(idf, index, (sum(none) + 0.5) / (len(none) + 1), k)
+    rows = vectors.select("terms").mapInArrow(_document_counts, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(1 << HASH_BITS)
+    df[rows["term"].to_numpy()] = rows["n"].to_numpy()
+    weight = np.log((1 + n) / (1 + df)) + 0.01
+    weight[[term_id(t) for t in marks]] *= MARK_WEIGHT
+    return weight
+
+
+def fit(vectors: DataFrame, sample: DataFrame, weight: np.ndarray, k: int = NEIGHBOURS) -> Model:
+    """An index over the sample's vectors. Of rows with one id, that with the smallest vector is the example."""
+    first = vectors.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min(F.struct("terms", "tf", "label")).alias("v"))
+    used = [(r.doc_id, r.v.label, unit_vector(r.v.terms, r.v.tf, weight)) for r in first.where("size(v.terms) > 0").collect()]
+    # Blocks hold examples of one label that share their heaviest term, which keeps the blocks' bounds low.
+    used.sort(key=lambda r: (r[1], int(r[2][0][r[2][1].argmax()]), r[0]))
+    return Model(weight, BlockMaxIndex(np.array([r[0] for r in used], np.int64), np.array([r[1] for r in used], float), [r[2] for r in used], len(weight)), k)
 
 
 VOTES = "doc_id long, raw double, evidence_ids array<long>, evidence_similarity array<double>"
@@ -276,25 +298,28 @@ def _calibrated(calibrate: Calibration, empty: float):
 def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: doc_id, held_out, score, predicted, evidence_ids and evidence_similarity (the nearest examples, nearest first).
 
-    Terms are words and beginnings of words that go with the label, chosen on a bounded sample of labelled rows;
-    document frequencies come from all rows. A text without any of them, null and empty ones included, scores
-    what such examples do. A document is no neighbour of itself. Without labels of both classes, every row scores
+    Vectors are over all words of the whole text, TF-IDF with document frequencies from all rows. Words and beginnings of
+    words that go with the label, chosen on a bounded sample of labelled rows, weigh MARK_WEIGHT times as much. Examples
+    are a bounded sample too, as many of each class. A text without words, null and empty ones included, scores
+    what such texts do in the calibration sample; one that shares no word with any example likewise. A document is no
+    neighbour of itself. Without labels of both classes, every row scores
     the base rate. Rows with equal ids and texts score alike. Extra columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "toxicity")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # Examples, votes and their calibration are of the training labels alone.
     train = scratch.keep(training_labels(labels, label, MODULUS, HELD_OUT), "labels")
-    chosen = bounded_sample(train.where("label = 0"), TERM_SAMPLE).union(bounded_sample(train.where("label = 1"), TERM_SAMPLE))
-    terms = choose_terms(rows, chosen)
-    vectors = scratch.keep(rows.mapInArrow(_vectors(terms), "doc_id long, terms array<int>, tf array<int>"), "vectors")
-    sample = bounded_sample(train, EXAMPLES)
-    model = fit(vectors, sample, terms)
+    of_each = lambda limit: bounded_sample(train.where("label = 0"), limit).union(bounded_sample(train.where("label = 1"), limit))
+    marks = choose_terms(rows, of_each(TERM_SAMPLE))
+    vectors = scratch.keep(rows.mapInArrow(_vectors(marks), "doc_id long, terms array<int>, tf array<int>"), "vectors")
+    model = fit(vectors, of_each(EXAMPLES), term_weights(vectors, marks))
     votes = scratch.keep(vectors.mapInArrow(_votes(model), VOTES), "votes")
     # No example is its own neighbour, so the examples' votes are what each gets when left out.
-    seen = votes.where("raw is not null").join(F.broadcast(sample), "doc_id").select("raw", "label").collect()
-    calibrate = Calibration(np.array([r.raw for r in seen]), np.array([r.label for r in seen]))
-    out = votes.mapInArrow(_calibrated(calibrate, model.empty), "doc_id long, score double, evidence_ids array<long>, evidence_similarity array<double>")
-    return out.select(
-        "doc_id", (crc_mod(F.col("doc_id"), MODULUS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence_ids", "evidence_similarity"
-    )
+    seen = votes.join(F.broadcast(bounded_sample(train, CALIBRATION)), "doc_id").select("raw", "label").collect()
+    voted = [r for r in seen if r.raw is not None]
+    calibrate = Calibration(np.array([r.raw for r in voted]), np.array([r.label for r in voted]))
+    rest = [r.label for r in seen if r.raw is None] or [r.label for r in seen]
+    out = votes.mapInArrow(_calibrated(calibrate, (sum(rest) + 0.5) / (len(rest) + 1)), "doc_id long, score double, evidence_ids array<long>, evidence_similarity array<double>")
+    held = crc_mod(F.col("doc_id"), MODULUS) == HELD_OUT
+    out = out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence_ids", "evidence_similarity")
+    return scratch.finish(out, "scores")

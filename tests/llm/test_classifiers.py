@@ -40,9 +40,11 @@ def test_block_max_search_is_exact():
 
 
 def test_vectoriser_counts_terms():
-    terms = ["idio*", "idiot", "scum"]
-    rows, term, tf = toxicity.Vectoriser(terms).batch(pa.array(["Idiot! idiot's scum", None, "", "idiots   x"]))
-    assert list(zip(rows.tolist(), term.tolist(), tf.tolist())) == [(0, 0, 2), (0, 1, 2), (0, 2, 1), (3, 0, 1)]
+    """All words, and those beginnings that mark a label."""
+    rows, term, tf = toxicity.Vectoriser(["idio*", "scum"]).batch(pa.array(["Idiot! idiot's scum", None, "", "idiots   x"]))
+    of = toxicity.term_id
+    want = {(0, of("idio*"), 2), (0, of("idiot"), 2), (0, of("s"), 1), (0, of("scum"), 1), (3, of("idio*"), 1), (3, of("idiots"), 1), (3, of("x"), 1)}
+    assert set(zip(rows.tolist(), term.tolist(), tf.tolist())) == want
 
 
 def corpus(spark):
@@ -114,3 +116,96 @@ def test_row_with_the_smallest_id_stands_for_near_copies(spark):
         docs = spark.createDataFrame(rows, "doc_id long, text string, label int").coalesce(1)
         terms = toxicity.choose_terms(docs.drop("label"), docs.select("doc_id", "label"))
         assert "zgood" in terms and "zbad" not in terms
+
+
+def dense_toxicity(docs, labels, marks):
+    """The whole result by dense vectors: cosine with every example, vote of the nearest, isotonic calibration."""
+    import re
+    import zlib
+    from collections import Counter
+
+    train = {}
+    for i, _, y in labels:
+        if i is not None and y in (0, 1) and zlib.crc32(str(i).encode()) % 4 != 2:
+            train[i] = max(y, train.get(i, 0))
+    bags = []
+    for _, text in docs:
+        words = re.findall(r"[^\W\d_]+", (text or "").lower())
+        bags.append(Counter(toxicity.term_id(t) for w in words for t in [w, *(w[:k] + "*" for k in (4, 5, 6) if len(w) > k and w[:k] + "*" in marks)]))
+    df = Counter(t for b in bags for t in b)
+    marked = {toxicity.term_id(t) for t in marks}
+    weight = lambda t: (np.log((1 + len(docs)) / (1 + df[t])) + 0.01) * (toxicity.MARK_WEIGHT if t in marked else 1)
+    column = {t: k for k, t in enumerate(sorted(df))}
+    x = np.zeros((len(docs), len(column)))
+    for r, b in enumerate(bags):
+        for t, n in b.items():
+            x[r, column[t]] = (1 + np.log(n)) * weight(t)
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    x = x / np.where(norm > 0, norm, 1)
+    at = {i: r for r, (i, _) in reversed(list(enumerate(docs)))}
+    examples = [i for i in train if i in at and bags[at[i]]]
+    raw = []
+    for r, (i, _) in enumerate(docs):
+        near = sorted(((-float(x[r] @ x[at[e]]), e) for e in examples if e != i and x[r] @ x[at[e]] > 0))[: toxicity.NEIGHBOURS]
+        w = np.array([1 / (1.02 - min(1, -s)) for s, _ in near])
+        mean = np.mean([train[e] for e in examples])
+        raw.append(float(((w * [train[e] for _, e in near]).sum() + mean) / (w.sum() + 1)) if near else None)
+    seen = [(raw[r], train[i]) for r, (i, _) in enumerate(docs) if i in train]
+    voted = [s for s in seen if s[0] is not None]
+    calibrate = Calibration(np.array([s[0] for s in voted]), np.array([s[1] for s in voted]))
+    rest = [y for v, y in seen if v is None] or [y for _, y in seen]
+    empty = (sum(rest) + 0.5) / (len(rest) + 1)
+    return [empty if v is None else float(calibrate(np.array([v]))[0]) for v in raw]
+
+
+def test_toxicity_equals_dense_cosine(spark):
+    """The whole result, against every example compared with every text."""
+    df, labels, _ = corpus(spark)
+    rows = [(r.doc_id, r.text) for r in df.where("doc_id < 400 or doc_id >= 2000 or doc_id is null").collect()]
+    labelled = [(r.doc_id, r.quality, r.toxic) for r in labels.collect()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    train = [(i, y) for i, _, y in labelled if i is not None and y in (0, 1) and crc(i) % 4 != 2]
+    marks = toxicity.choose_terms(docs, spark.createDataFrame(train, "doc_id long, label int"))
+    assert {"vilest", "scumbag", "grimble"} <= set(marks)
+    want = dense_toxicity(rows, labelled, set(marks))
+    key = lambda r: (r[0] is None, r[0], r[1])
+    got = sorted(((r.doc_id, r.score) for r in toxicity.score(docs, labels).collect()), key=key)
+    assert len({round(s, 9) for _, s in got}) > 20
+    for g, w in zip(got, sorted(((i, s) for (i, _), s in zip(rows, want)), key=key), strict=True):
+        assert g[0] == w[0] and g[1] == pytest.approx(w[1], abs=1e-6), (g, w)
+
+
+def crc(i):
+    import zlib
+
+    return zlib.crc32(str(i).encode())
+
+
+def test_quality_equals_a_plain_sum_of_tables(spark):
+    """The whole result: the tables of a model fitted on the same rows, looked up feature by feature and pair by pair."""
+    df, labels, _ = corpus(spark)
+    rows = [(r.doc_id, r.text) for r in df.collect()]
+    truth = {r.doc_id: r.quality for r in labels.collect() if r.quality is not None}
+    x = quality.features(pa.array([t for _, t in rows]))
+    learnt = sorted({i: k for k, (i, _) in reversed(list(enumerate(rows))) if i is not None and i in truth and crc(i) % 5 != 0}.items())
+    model = quality.fit(x[[k for _, k in learnt]], np.array([truth[i] for i, _ in learnt], float))
+    key = lambda r: (r[0] is None, r[0], r[1])
+    want = []
+    for (i, _), f in zip(rows, x):
+        at = lambda edges, v: sum(1 for e in edges if e <= v)
+        z = model.intercept + sum(t[at(e, v)] for t, e, v in zip(model.tables, model.edges, f))
+        z += sum(t[at(model.pair_edges[a], f[a]), at(model.pair_edges[b], f[b])] for (a, b), t in zip(model.pairs, model.pair_tables))
+        want.append((i, 1 / (1 + np.exp(-z))))
+    got = sorted(((r.doc_id, r.score) for r in quality.score(df, labels).collect()), key=key)
+    for g, w in zip(got, sorted(want, key=key), strict=True):
+        assert g[0] == w[0] and g[1] == pytest.approx(w[1], abs=1e-6), (g, w)
+
+
+def test_rows_with_one_id_and_other_texts(spark):
+    """Which text is learnt from depends on the texts alone, not on the order of rows."""
+    rng = np.random.default_rng(3)
+    rows = [(i % 60, " ".join(rng.choice(["aa", "bb", "cc", "vile", "DD!!"], 12))) for i in range(180)]
+    labels = spark.createDataFrame([(i, i % 2, int(i % 3 == 0)) for i in range(60)], "doc_id long, quality int, toxic int")
+    for module in (toxicity, quality):
+        one, two = (sorted(map(tuple, module.score(spark.createDataFrame(r, "doc_id long, text string"), labels).select("doc_id", "score").collect())) for r in (rows, rows[::-1]))
+        assert one == two
