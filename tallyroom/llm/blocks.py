@@ -88,12 +88,19 @@ def build(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_
     return rows.mapInArrow(_blocks(block_bytes), BLOCK_SCHEMA)
 
 
-def unpack(doc_ids: bytes, sizes: bytes, words: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document ids, where each document's words start (one more than there are documents), hashes."""
+def unpack_coded(doc_ids: bytes, sizes: bytes, words: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Document ids, where each document's words start (one more than there are documents), the block's sorted distinct hashes,
+    and of each word its place among these."""
     a, b, c = np.frombuffer(words, "<u4", 3).tolist()
     vocabulary, order = unpack_keys(words[12 : 12 + a]), spread(words[12 + a : 12 + a + b], np.uint32)
     codes = spread(words[12 + a + b : 12 + a + b + c], np.uint32)
-    return np.frombuffer(doc_ids, np.int64), np.concatenate([[0], np.cumsum(np.frombuffer(sizes, np.uint32), dtype=np.int64)]), vocabulary[order][codes]
+    return np.frombuffer(doc_ids, np.int64), np.concatenate([[0], np.cumsum(np.frombuffer(sizes, np.uint32), dtype=np.int64)]), vocabulary, order.astype(np.int64)[codes]
+
+
+def unpack(doc_ids: bytes, sizes: bytes, words: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document ids, where each document's words start, and the words' hashes."""
+    ids, starts, vocabulary, code = unpack_coded(doc_ids, sizes, words)
+    return ids, starts, vocabulary[code]
 
 
 def bucket_count(n_blocks: int, least: int = 16) -> int:

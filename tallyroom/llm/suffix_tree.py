@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tallyroom.llm import blocks
 from tallyroom.llm.common import Scratch, chain, crc_mod, fan_out, mix, release_memory
 
-DEPTH = 4
+DEPTH = 3
 MODULUS, HELD_OUT = 5, 1
 #: A context must have been seen so often. That drops no state: one seen once, left out, has no counts and gains nothing.
 LEAST = 2
@@ -38,7 +38,7 @@ MARGIN = 1.0
 HOT_LEAST, HOT_BITS = 1 << 18, 20
 _END, _START = np.uint64(0x51ED270B8D5C5A3D), np.uint64(0x2545F4914F6CDD1D)
 
-ASK = "hot int, bucket int, block long, contexts binary, sizes binary, words binary, counts binary, fallback binary, seen binary"
+ASK = "hot int, bucket int, block long, contexts binary, seen binary, sizes binary, words binary, counts binary, fallback binary"
 ANSWER = "depth int, hot int, bucket int, block long, totals binary, verdicts binary"
 
 
@@ -56,49 +56,72 @@ class Stats:
         #: Per depth the sorted keys of hot contexts and their verdicts.
         self.verdicts: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
+    def hot_verdicts(self, depth: int, contexts: np.ndarray) -> np.ndarray:
+        known, verdict = self.verdicts[depth]
+        at = np.minimum(np.searchsorted(known, contexts), max(0, len(known) - 1))
+        return np.where(known[at] == contexts, verdict[at], 0) if len(known) else np.zeros(len(contexts), np.int64)
+
     def word_probability(self, counts: np.ndarray, left_out: int) -> np.ndarray:
         return (np.maximum(counts.astype(np.float64) - left_out, 0) + 0.5) / (self.tokens - left_out + 0.5 * (self.distinct + 1))
 
 
 class Entries:
-    """The distinct (context, next word) of some positions of a block, in the order in which they are sent.
+    """What a block asks about some positions: the distinct contexts, and the distinct (context, next word) whose count it can't tell.
 
-    First those of ordinary contexts by bucket, context and word, then those of hot ones, whose bucket the word
-    takes part in.
+    A training position whose word the shorter context has once, has it once after the longer one; a held-out one whose word
+    the shorter context never has, never. If no two training positions of a context can have the same word, it
+    gains nothing, is no state, and isn't asked for. Ordinary contexts are sent by bucket and key, each with its
+    words; hot ones only with words, by a bucket that the word takes part in.
     """
 
-    def __init__(self, keys: np.ndarray, contexts: np.ndarray, hot: np.ndarray, buckets: int):
-        self.keys, first, place = np.unique(keys, return_index=True, return_inverse=True)
-        self.contexts, is_hot = contexts[first], hot[first]
+    def __init__(self, keys: np.ndarray, contexts: np.ndarray, seen: np.ndarray, train: np.ndarray, shorter: np.ndarray, hot: int, buckets: int):
+        known = shorter == train
+        self.found = train.astype(np.int64)
+        every, first, of = np.unique(contexts, return_index=True, return_inverse=True)
+        single = np.bincount(of, known & train, len(every))
+        seen = seen[first]
+        ask, is_hot = seen - single >= 2, seen >= hot
+        self.open = np.flatnonzero(ask[of] & ~known)
+        asked, at, place = np.unique(keys[self.open], return_index=True, return_inverse=True)
+        context = of[self.open[at]]
         shift = np.uint64(64 - (buckets.bit_length() - 1))
-        usual, other = np.flatnonzero(~is_hot), np.flatnonzero(is_hot)
-        usual = usual[np.argsort(self.contexts[usual], kind="stable")]
-        of = self.keys[other] >> shift
-        other = other[np.lexsort((self.contexts[other], of))]
-        self.order = np.concatenate([usual, other])
-        self.keys, self.contexts, self.first = self.keys[self.order], self.contexts[self.order], first[self.order]
-        back = np.empty(len(self.order), np.int64)
-        back[self.order] = np.arange(len(self.order))
-        #: Of each position, its entry.
+        bucket = lambda x: (x >> shift).astype(np.int64) if buckets > 1 else np.zeros(len(x), np.int64)
+        # Ordinary contexts in the order of their keys, which is that of their buckets; then hot ones by bucket of the entry.
+        usual, other = np.flatnonzero(~is_hot[context]), np.flatnonzero(is_hot[context])
+        usual = usual[np.argsort(context[usual], kind="stable")]
+        other = other[np.lexsort((context[other], bucket(asked[other])))]
+        order = np.concatenate([usual, other])
+        self.keys, self.first = asked[order], self.open[at[order]]
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        #: Of each open position, its entry.
         self.place = back[place]
-        self.hot = np.arange(len(self.order)) >= len(usual)
-        self.bucket = (np.where(self.hot, self.keys, self.contexts) >> shift).astype(np.int64) if buckets > 1 else np.zeros(len(self.order), np.int64)
-        n = len(self.order)
-        change = np.append(True, (np.diff(self.bucket) != 0) | (self.hot[1:] != self.hot[:-1])) if n else np.zeros(0, bool)
-        #: Where rows start and end, and where runs of one context in one row do.
-        self.rows = np.append(np.flatnonzero(change), n)
-        self.runs = np.append(np.flatnonzero(change | np.append(True, self.contexts[1:] != self.contexts[:-1])) if n else np.zeros(0, np.int64), n)
-
-    def send(self, block: int, counts: np.ndarray, fallback: np.ndarray, seen: np.ndarray) -> pa.RecordBatch:
+        plain = np.flatnonzero(ask & ~is_hot)
+        of_other = context[other]
+        start = np.append(True, (np.diff(of_other) != 0) | (np.diff(bucket(asked[other])) != 0)) if len(other) else np.zeros(0, bool)
+        runs = of_other[start]
+        self.contexts, self.seen = np.concatenate([every[plain], every[runs]]), np.concatenate([seen[plain], seen[runs]])
+        self.sizes = np.concatenate([np.bincount(context[usual], minlength=len(every))[plain], np.diff(np.append(np.flatnonzero(start), len(other)))]).astype(np.int64)
+        self.hot = np.arange(len(self.contexts)) >= len(plain)
+        self.bucket = np.concatenate([bucket(every[plain]), bucket(asked[other])[start]])
+        #: Of each position, where its context stands among the sent ones (-1: not sent there), and whether it is a hot one.
+        where = np.full(len(every), -1)
+        where[plain] = np.arange(len(plain))
+        self.context_at, self.is_hot = where[of], (ask & is_hot)[of]
+        n = len(self.contexts)
+        #: Rows, each of one bucket, in contexts; and where a context's words start.
+        self.rows = np.append(np.flatnonzero(np.append(True, (np.diff(self.bucket) != 0) | (self.hot[1:] != self.hot[:-1]))), n) if n else np.zeros(1, np.int64)
+        self.starts = np.append(0, np.cumsum(self.sizes))
+
+    def send(self, block: int, counts: np.ndarray, fallback: np.ndarray) -> pa.RecordBatch:
         columns: list[list] = [[] for _ in range(9)]
         words = self.keys >> np.uint64(16)
-        step = words - np.concatenate([np.zeros(1, np.uint64), words[:-1]])
-        step[self.runs[:-1]] = words[self.runs[:-1]]
-        sizes = np.diff(self.runs).astype(np.uint32)
-        run_at = np.searchsorted(self.runs, self.rows)
-        for a, b, r, s in zip(self.rows[:-1].tolist(), self.rows[1:].tolist(), run_at[:-1].tolist(), run_at[1:].tolist(), strict=True):
-            row = (int(self.hot[a]), int(self.bucket[a]), block, blocks.pack_keys(self.contexts[self.runs[r:s]]), blocks.squeeze(sizes[r:s]), blocks.squeeze(step[a:b]), blocks.squeeze(counts[a:b]), blocks.squeeze(fallback[a:b]))
-            row += (blocks.squeeze(seen[self.runs[r:s]]) if self.hot[a] else None,)
+        step = words - np.concatenate([np.zeros(1, np.uint64), words[:-1]])[: len(words)]
+        heads = self.starts[:-1][self.sizes > 0]
+        step[heads] = words[heads]
+        for r, q in zip(self.rows[:-1].tolist(), self.rows[1:].tolist(), strict=True):
+            a, b = int(self.starts[r]), int(self.starts[q])
+            row = (int(self.hot[r]), int(self.bucket[r]), block, blocks.pack_keys(self.contexts[r:q]), *(blocks.squeeze(x) for x in (self.seen[r:q], self.sizes[r:q], step[a:b], counts[a:b], fallback[a:b])))
             for column, value in zip(columns, row, strict=True):
                 column.append(value)
         types = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 6]
@@ -109,16 +132,18 @@ class Positions:
     """Every position of a block's documents, the end included, with what the answers so far say about it."""
 
     def __init__(self, row: dict, answers: pa.Table | None, stats: Stats | None, buckets: int):
-        self.doc_ids, starts, words = blocks.unpack(row["doc_ids"], row["sizes"], row["words"])
+        self.doc_ids, starts, vocabulary, code = blocks.unpack_coded(row["doc_ids"], row["sizes"], row["words"])
         self.block, n = row["block"], len(self.doc_ids)
         self.answers, self.stats, self.buckets = answers, stats, buckets
         self.starts = starts + np.arange(n + 1)  # one end per document
-        self.symbols = np.full(int(self.starts[-1]), _END, np.uint64)
+        end = int(np.searchsorted(vocabulary, _END))
+        self.vocabulary = np.insert(vocabulary, end, _END)
+        self.code = np.full(int(self.starts[-1]), end, np.int64)
         size = np.diff(starts)
-        self.symbols[np.arange(len(words)) + np.repeat(np.arange(n), size)] = words
+        self.code[np.arange(len(code)) + np.repeat(np.arange(n), size)] = code + (code >= end)
+        self.symbols = self.vocabulary[self.code]
         self.offset = np.arange(len(self.symbols)) - np.repeat(self.starts[:-1], size + 1)
         self.train = np.repeat(np.array([not held_out(i) for i in self.doc_ids.tolist()], bool), size + 1)
-        self.vocabulary, self.code = np.unique(self.symbols, return_inverse=True)
 
     def ask_words(self) -> pa.RecordBatch:
         return blocks.ask(self.vocabulary, np.bincount(self.code, self.train, len(self.vocabulary)).astype(np.uint32), self.block, self.buckets)
@@ -145,21 +170,20 @@ class Positions:
             context[self.offset == 0], seen[self.offset == 0] = _START, self.stats.docs if d == 1 else 0
             keys = chain(context, self.symbols)
             self.at = np.flatnonzero(going & (seen >= LEAST) & (self.offset >= d - 1))
-            self.context, self.seen = context[self.at], seen[self.at]
-            self.entries = Entries(keys[self.at], self.context, self.seen >= self.stats.hot, self.buckets)
+            self.seen = seen[self.at]
+            e = self.entries = Entries(keys[self.at], context[self.at], self.seen, self.train[self.at], count[self.at], self.stats.hot, self.buckets)
             if d > depth:
                 return
             totals, verdicts = self._answer(d)
-            total = np.concatenate([blocks.spread(x, np.uint64) for x in totals]).astype(np.int64) if totals else np.zeros(0, np.int64)
-            if len(total) != len(self.entries.keys):
-                raise ValueError(f"block {self.block} asked for {len(self.entries.keys)} keys of depth {d} and got {len(total)}")
-            runs = np.diff(self.entries.runs)
-            verdict = np.repeat(np.concatenate([blocks.spread(x, np.uint8) for x in verdicts]) if verdicts else np.zeros(0, np.uint8), runs)
-            if self.entries.hot.any():
-                known, its = self.stats.verdicts[d]
-                verdict[self.entries.hot] = its[np.searchsorted(known, self.entries.contexts[self.entries.hot])]
-            found = total[self.entries.place]
-            strength = np.append(0.0, STRENGTHS)[verdict[self.entries.place]]
+            total = np.concatenate([blocks.spread(x, np.int64) for x in totals]) if totals else np.zeros(0, np.int64)
+            verdict = np.concatenate([blocks.spread(x, np.uint8) for x in verdicts]) if verdicts else np.zeros(0, np.uint8)
+            if len(total) != len(e.keys) or len(verdict) != len(e.contexts):
+                raise ValueError(f"block {self.block} asked for {len(e.contexts)} contexts and {len(e.keys)} words of depth {d} and got {len(verdict)} and {len(total)}")
+            found = e.found.copy()
+            found[e.open] = total[e.place]
+            strength = np.append(0.0, STRENGTHS)[np.where(e.context_at >= 0, np.append(verdict, 0)[e.context_at], 0)]
+            if e.is_hot.any():
+                strength[e.is_hot] = np.append(0.0, STRENGTHS)[self.stats.hot_verdicts(d, context[self.at[e.is_hot]])]
             use = strength > 0
             at, s = self.at[use], strength[use]
             self.p[at] = (np.maximum(found[use] - left_out, 0) + s * self.p[at]) / (self.seen[use] - left_out + s)
@@ -173,19 +197,24 @@ class Positions:
     def ask(self) -> pa.RecordBatch:
         """What follows the contexts of the next depth: counts, and the fallback's probability of the word, without this position."""
         e = self.entries
-        counts = np.bincount(e.place, self.train[self.at], len(e.keys)).astype(np.uint32)
-        fallback = np.where(counts > 0, self.p[self.at][e.first], 0).astype(np.float32)
-        return e.send(self.block, counts, fallback, self.seen[e.first])
+        counts = np.bincount(e.place, self.train[self.at[e.open]], len(e.keys)).astype(np.uint32)
+        fallback = np.where(counts > 0, self.p[self.at[e.first]], 0).astype(np.float32)
+        return e.send(self.block, counts, fallback)
 
 
 def divergence(count: np.ndarray, seen: np.ndarray, fallback: np.ndarray, context: np.ndarray, n: int) -> np.ndarray:
     """Per context and strength: the sum over its training positions of the log ratio to the fallback, each position left out."""
     sums = np.zeros((n, len(STRENGTHS)))
     for k, s in enumerate(STRENGTHS.tolist()):
-        sums[:, k] = np.bincount(context, count * np.log((count - 1 + s * fallback) / (seen - 1 + s) / fallback), n)
+        sums[:, k] = np.bincount(context, count * np.log((count - 1 + s * fallback) / (seen[context] - 1 + s) / fallback), n)
     return sums
 
 
+def of_singles(singles: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """The same sums over positions whose word the context has once: left out, it has none, and the fallback's probability cancels."""
+    return singles[:, None] * np.log(STRENGTHS / (np.maximum(seen, 1)[:, None] - 1 + STRENGTHS))
+
+
 def verdicts(sums: np.ndarray) -> np.ndarray:
     """1 and up: the best strength; 0: no state."""
     return np.where(sums.max(axis=1) > MARGIN, sums.argmax(axis=1) + 1, 0).astype(np.uint8) if len(sums) else np.zeros(0, np.uint8)
@@ -196,26 +225,27 @@ WORD_SUMS, HOT_SUMS = -1, -2
 
 
 def _add_up(depth: int):
-    """One bucket: the blocks' counts of each (context, word) added up, and a verdict for each context. Hot contexts, of which the
-    bucket has a part, give a row of sums."""
+    """One bucket: the blocks' counts of each (context, word) added up, and a verdict for each context. Words that no block
+    sends occur once. Hot contexts, of which the bucket has a part, give a row of sums."""
 
     def run(table: pa.Table) -> pa.Table:
         hot, bucket = table["hot"][0].as_py(), table["bucket"][0].as_py()
-        contexts, lengths, words, counts, fallbacks = [], [], [], [], []
-        for packed, sizes, steps, count, fallback in zip(*(table[c].to_pylist() for c in ("contexts", "sizes", "words", "counts", "fallback")), strict=True):
+        contexts, seens, lengths, words, counts, fallbacks = [], [], [], [], [], []
+        for packed, seen, sizes, steps, count, fallback in zip(*(table[c].to_pylist() for c in ("contexts", "seen", "sizes", "words", "counts", "fallback")), strict=True):
             contexts.append(blocks.unpack_keys(packed))
-            lengths.append(blocks.spread(sizes, np.uint32).astype(np.int64))
+            seens.append(blocks.spread(seen, np.int64))
+            size = blocks.spread(sizes, np.int64)
+            lengths.append(size)
             step = blocks.spread(steps, np.uint64)
-            starts = np.cumsum(lengths[-1]) - lengths[-1]
             total = np.cumsum(step, dtype=np.uint64)
             # Differences start anew at each context.
-            words.append(total - np.repeat(total[starts] - step[starts], lengths[-1]))
+            starts = (np.cumsum(size) - size)[size > 0]
+            words.append(total - np.repeat(total[starts] - step[starts], size[size > 0]))
             counts.append(blocks.spread(count, np.uint32))
             fallbacks.append(blocks.spread(fallback, np.float32))
-        rows = [len(x) for x in words]
-        runs = np.concatenate(lengths)
-        each, run_of = np.unique(np.concatenate(contexts), return_inverse=True)
-        context = np.repeat(run_of, runs)
+        each, at, run_of = np.unique(np.concatenate(contexts), return_index=True, return_inverse=True)
+        seen = np.concatenate(seens)[at]
+        context = np.repeat(run_of, np.concatenate(lengths))
         keys, first, place = np.unique(chain(each[context], np.concatenate(words)), return_index=True, return_inverse=True)
         count = np.concatenate(counts)
         total = np.bincount(place, count, len(keys)).astype(np.int64)
@@ -224,18 +254,14 @@ def _add_up(depth: int):
         fallback[place[has]] = np.concatenate(fallbacks)[has]
         used = np.flatnonzero(total)
         of = context[first][used]
-        block, extra = table["block"].to_pylist(), []
-        if hot:
-            seen = np.zeros(len(each), np.int64)
-            seen[run_of] = np.concatenate([blocks.spread(x, np.int64) for x in table["seen"].to_pylist()])
-        else:
-            seen = np.bincount(of, total[used], len(each))
-        sums = divergence(total[used].astype(np.float64), seen[of], fallback[used], of, len(each))
-        own = np.zeros(len(each), np.uint8) if hot else verdicts(sums)
-        answers = [blocks.squeeze(x) for x in np.split(total[place], np.cumsum(rows)[:-1])]
+        sums = divergence(total[used].astype(np.float64), seen, fallback[used], of, len(each))
+        sent = np.bincount(of, total[used], len(each)).astype(np.int64)
+        own = np.zeros(len(each), np.uint8) if hot else verdicts(sums + of_singles(seen - sent, seen))
+        answers = [blocks.squeeze(x) for x in np.split(total[place], np.cumsum([len(x) for x in words])[:-1])]
         said = [blocks.squeeze(x) for x in np.split(own[run_of], np.cumsum([len(x) for x in contexts])[:-1])]
+        block = table["block"].to_pylist()
         if hot:
-            block, answers, said = [*block, HOT_SUMS], [*answers, each.tobytes()], [*said, sums.tobytes()]
+            block, answers, said = [*block, HOT_SUMS], [*answers, np.stack([each.view(np.int64), seen, sent]).tobytes()], [*said, sums.T.tobytes()]
         n = len(block)
         columns = [pa.array([depth] * n, pa.int32()), pa.array([hot] * n, pa.int32()), pa.array([bucket] * n, pa.int32()), pa.array(block, pa.int64()), pa.array(answers, pa.binary()), pa.array(said, pa.binary())]
         return pa.Table.from_arrays(columns, names=["depth", "hot", "bucket", "block", "totals", "verdicts"])
@@ -282,24 +308,25 @@ def _ask(depth: int, buckets: int, stats: Stats):
     return run
 
 
-HOT_ROWS = "context long, " + ", ".join(f"s{k} double" for k in range(len(STRENGTHS)))
+HOT_ROWS = "context long, seen long, sent long, " + ", ".join(f"s{k} double" for k in range(len(STRENGTHS)))
 
 
 def _hot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for contexts, sums in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            each = np.frombuffer(sums, np.float64).reshape(-1, len(STRENGTHS))
-            columns = [pa.array(np.frombuffer(contexts, np.int64)), *(pa.array(np.ascontiguousarray(each[:, k])) for k in range(len(STRENGTHS)))]
-            yield pa.RecordBatch.from_arrays(columns, names=["context", *(f"s{k}" for k in range(len(STRENGTHS)))])
+        for heads, sums in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            columns = [*np.frombuffer(heads, np.int64).reshape(3, -1), *np.frombuffer(sums, np.float64).reshape(len(STRENGTHS), -1)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[x.split()[0] for x in HOT_ROWS.split(", ")])
 
 
 def _hot_verdicts(answers: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Sorted keys of hot contexts, at most 2**HOT_BITS or tokens / HOT_LEAST of them, and their verdicts over all buckets."""
     rows = answers.where(F.col("block") == HOT_SUMS).select("totals", "verdicts").mapInArrow(_hot_rows, HOT_ROWS)
-    found = rows.groupBy("context").agg(*(F.sum(f"s{k}").alias(f"s{k}") for k in range(len(STRENGTHS)))).collect()
-    contexts = np.array([r.context for r in found], np.int64).view(np.uint64)
-    order = np.argsort(contexts)
-    return contexts[order], verdicts(np.array([tuple(r)[1:] for r in found]).reshape(-1, len(STRENGTHS)))[order]
+    sums = (F.sum(f"s{k}").alias(f"s{k}") for k in range(len(STRENGTHS)))
+    found = rows.groupBy("context").agg(F.max("seen").alias("seen"), F.sum("sent").alias("sent"), *sums).collect()
+    context, seen, sent = (np.array([r[k] for r in found], np.int64) for k in range(3))
+    order = np.argsort(context.view(np.uint64))
+    every = np.array([tuple(r)[3:] for r in found]).reshape(-1, len(STRENGTHS)) + of_singles(seen - sent, seen)
+    return context.view(np.uint64)[order], verdicts(every)[order]
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
