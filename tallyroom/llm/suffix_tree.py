@@ -68,19 +68,18 @@ class Stats:
 class Entries:
     """What a block asks about some positions: the distinct contexts, and the distinct (context, next word) whose count it can't tell.
 
-    A training position whose word the shorter context has once, has it once after the longer one; a held-out one whose word
-    the shorter context never has, never. If no two training positions of a context can have the same word, it
-    gains nothing, is no state, and isn't asked for. Ordinary contexts are sent by bucket and key, each with its
-    words; hot ones only with words, by a bucket that the word takes part in.
+    A word that the shorter context never has, the longer one never has; a word that it has once is single: at
+    most once after the longer one. If no two training positions of a context can have the same word, it gains nothing, is no
+    state, and isn't asked for. Ordinary contexts are sent by bucket and key, each with its words; hot ones only with words,
+    by a bucket that the word takes part in.
     """
 
     def __init__(self, keys: np.ndarray, contexts: np.ndarray, seen: np.ndarray, train: np.ndarray, shorter: np.ndarray, hot: int, buckets: int):
-        known = shorter == train
-        self.found = train.astype(np.int64)
+        known, single = ~train & (shorter == 0), train & (shorter == 1)
+        self.found = train.astype(np.int64)  # where nothing is asked: at most once, and the context is no state
         every, first, of = np.unique(contexts, return_index=True, return_inverse=True)
-        single = np.bincount(of, known & train, len(every))
         seen = seen[first]
-        ask, is_hot = seen - single >= 2, seen >= hot
+        ask, is_hot = seen - np.bincount(of, single, len(every)) >= 2, seen >= hot
         self.open = np.flatnonzero(ask[of] & ~known)
         asked, at, place = np.unique(keys[self.open], return_index=True, return_inverse=True)
         context = of[self.open[at]]
@@ -92,6 +91,7 @@ class Entries:
         other = other[np.lexsort((context[other], bucket(asked[other])))]
         order = np.concatenate([usual, other])
         self.keys, self.first = asked[order], self.open[at[order]]
+        self.single = shorter[self.first] <= 1
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))
         #: Of each open position, its entry.
@@ -114,14 +114,17 @@ class Entries:
         self.starts = np.append(0, np.cumsum(self.sizes))
 
     def send(self, block: int, counts: np.ndarray, fallback: np.ndarray) -> pa.RecordBatch:
+        """Counts, the last bit of each marking single words; the fallback's probabilities of the other words with a count."""
         columns: list[list] = [[] for _ in range(9)]
         words = self.keys >> np.uint64(16)
         step = words - np.concatenate([np.zeros(1, np.uint64), words[:-1]])[: len(words)]
         heads = self.starts[:-1][self.sizes > 0]
         step[heads] = words[heads]
+        told = (counts > 0) & ~self.single
+        coded = (counts << np.uint32(1)) | self.single
         for r, q in zip(self.rows[:-1].tolist(), self.rows[1:].tolist(), strict=True):
             a, b = int(self.starts[r]), int(self.starts[q])
-            row = (int(self.hot[r]), int(self.bucket[r]), block, blocks.pack_keys(self.contexts[r:q]), *(blocks.squeeze(x) for x in (self.seen[r:q], self.sizes[r:q], step[a:b], counts[a:b], fallback[a:b])))
+            row = (int(self.hot[r]), int(self.bucket[r]), block, blocks.pack_keys(self.contexts[r:q]), *(blocks.squeeze(x) for x in (self.seen[r:q], self.sizes[r:q], step[a:b], coded[a:b], fallback[a:b][told[a:b]])))
             for column, value in zip(columns, row, strict=True):
                 column.append(value)
         types = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 6]
@@ -198,8 +201,7 @@ class Positions:
         """What follows the contexts of the next depth: counts, and the fallback's probability of the word, without this position."""
         e = self.entries
         counts = np.bincount(e.place, self.train[self.at[e.open]], len(e.keys)).astype(np.uint32)
-        fallback = np.where(counts > 0, self.p[self.at[e.first]], 0).astype(np.float32)
-        return e.send(self.block, counts, fallback)
+        return e.send(self.block, counts, self.p[self.at[e.first]].astype(np.float32))
 
 
 def divergence(count: np.ndarray, seen: np.ndarray, fallback: np.ndarray, context: np.ndarray, n: int) -> np.ndarray:
@@ -225,8 +227,8 @@ WORD_SUMS, HOT_SUMS = -1, -2
 
 
 def _add_up(depth: int):
-    """One bucket: the blocks' counts of each (context, word) added up, and a verdict for each context. Words that no block
-    sends occur once. Hot contexts, of which the bucket has a part, give a row of sums."""
+    """One bucket: the blocks' counts of each (context, word) added up, and a verdict for each context. Hot contexts, of
+    which the bucket has a part, give a row of sums."""
 
     def run(table: pa.Table) -> pa.Table:
         hot, bucket = table["hot"][0].as_py(), table["bucket"][0].as_py()
@@ -241,18 +243,20 @@ def _add_up(depth: int):
             # Differences start anew at each context.
             starts = (np.cumsum(size) - size)[size > 0]
             words.append(total - np.repeat(total[starts] - step[starts], size[size > 0]))
-            counts.append(blocks.spread(count, np.uint32))
-            fallbacks.append(blocks.spread(fallback, np.float32))
+            coded = blocks.spread(count, np.uint32)
+            counts.append(coded >> np.uint32(1))
+            told = (coded > 1) & (coded & 1 == 0)
+            fallbacks.append(np.zeros(len(coded)))
+            fallbacks[-1][told] = blocks.spread(fallback, np.float32)
         each, at, run_of = np.unique(np.concatenate(contexts), return_index=True, return_inverse=True)
         seen = np.concatenate(seens)[at]
         context = np.repeat(run_of, np.concatenate(lengths))
         keys, first, place = np.unique(chain(each[context], np.concatenate(words)), return_index=True, return_inverse=True)
         count = np.concatenate(counts)
         total = np.bincount(place, count, len(keys)).astype(np.int64)
-        fallback = np.zeros(len(keys))
-        has = count > 0
-        fallback[place[has]] = np.concatenate(fallbacks)[has]
-        used = np.flatnonzero(total)
+        fallback, sent_by = np.zeros(len(keys)), np.concatenate(fallbacks)
+        fallback[place[sent_by > 0]] = sent_by[sent_by > 0]
+        used = np.flatnonzero(fallback)  # the others are single
         of = context[first][used]
         sums = divergence(total[used].astype(np.float64), seen, fallback[used], of, len(each))
         sent = np.bincount(of, total[used], len(each)).astype(np.int64)

@@ -102,6 +102,15 @@ def test_documents_that_occur_twice_stand_out(spark):
     assert twice and once and min(twice) > max(once)
 
 
+def test_given_documents_equal_brute_force(spark, sf):
+    """Held-out texts too have words that occur once: their contexts and counts come from other blocks."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want, _ = brute([(r.doc_id, r.text) for r in docs.collect()])
+    got = {r.doc_id: tuple(r) for r in suffix_tree.score(docs, block_bytes=60_000).collect()}
+    for w in want:
+        assert got[w[0]][:5] == w[:5] and got[w[0]][5:] == pytest.approx(w[5:], rel=1e-5), (got[w[0]], w)
+
+
 def test_odd_tables(spark):
     assert suffix_tree.score(cases.docs(spark, [])).count() == 0
     assert suffix_tree.score(cases.docs(spark)).count() == len(cases.ROWS)
