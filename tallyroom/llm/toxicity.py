@@ -166,45 +166,56 @@ class BlockMaxIndex:
         term = np.concatenate([t for t, _ in vectors]) if vectors else np.zeros(0, np.int64)
         weight = np.concatenate([w for _, w in vectors]) if vectors else np.zeros(0)
         order = np.lexsort((example, term))
-        self.example, self.weight = example[order], weight[order]
-        self.start = np.searchsorted(term[order], np.arange(n_terms + 1))
+        self.example, self.weight = example[order].astype(np.int32), weight[order]
         keys, first = np.unique(term[order] * max(1, self.blocks) + self.example // BLOCK, return_index=True)
-        self.block, self.bound, self.at = keys % max(1, self.blocks), np.maximum.reduceat(self.weight, first) if len(first) else self.weight, np.append(first, len(term))
-        self.block_start = np.searchsorted(keys // max(1, self.blocks), np.arange(n_terms + 1))
+        self.block, self.bound = (keys % max(1, self.blocks)).astype(np.int32), np.maximum.reduceat(self.weight, first) if len(first) else self.weight
+        self.at = np.append(first, len(term)).astype(np.int32)
+        self.block_start = np.searchsorted(keys // max(1, self.blocks), np.arange(n_terms + 1)).astype(np.int32)
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Positions and similarities of the k nearest examples with a similarity over 0; ties go to the smaller id."""
-        first, last = self.block_start[terms], self.block_start[terms + 1]
-        n = last - first
-        entries = np.repeat(first, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)  # of (term, block)
-        weight = np.repeat(weights, n)
+        first = self.block_start[terms]
+        n = self.block_start[terms + 1] - first
+        used = np.flatnonzero(n)
+        first, n = first[used], n[used]
+        entries = np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum()), dtype=np.int32)  # of (term, block)
+        weight = np.repeat(weights[used], n)
         block = self.block[entries]
         bound = np.bincount(block, weight * self.bound[entries], self.blocks)
-        best_at, best = np.zeros(0, np.int64), np.zeros(0)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        at, step = 0, 8
+        # Entries in the order in which their blocks are read.
+        rank = np.full(self.blocks, len(order), np.uint16 if self.blocks < 65_535 else np.int32)
+        rank[order] = np.arange(len(order))
+        rank = rank[block]
+        by_rank = np.argsort(rank, kind="stable")
+        ends = np.searchsorted(rank[by_rank], np.arange(len(order) + 1))
+        entries, weight = entries[by_rank], weight[by_rank]
+        best_at, best = np.zeros(0, np.int64), np.zeros(0)
+        at, step = 0, 4
         while at < len(order):
             if len(best) >= k and bound[order[at]] < best[-1] - 1e-12:
                 break
-            some = order[at : at + step]
-            at, step = at + step, step * 2
-            place = np.full(self.blocks, -1)
-            place[some] = np.arange(len(some))
-            of = np.flatnonzero(place[block] >= 0)
-            start, size = self.at[entries[of]], self.at[entries[of] + 1] - self.at[entries[of]]
-            postings = np.repeat(start, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-            example = self.example[postings]
-            score = np.bincount(place[example // BLOCK] * BLOCK + example % BLOCK, np.repeat(weight[of], size) * self.weight[postings], len(some) * BLOCK)
-            found = np.flatnonzero(score > 0)
-            where = some[found // BLOCK] * BLOCK + found % BLOCK
-            score = score[found]
+            last = min(len(order), at + step)
+            if len(best) >= k:  # no further than a block can matter
+                last = at + int(np.searchsorted(-bound[order[at:last]], -(best[-1] - 1e-12), "right"))
+            some = entries[ends[at] : ends[last]]
+            start = self.at[some]
+            size = self.at[some + 1] - start
+            postings = np.repeat(start - np.cumsum(size) + size, size) + np.arange(int(size.sum()), dtype=np.int32)
+            score = np.bincount(self.example[postings], np.repeat(weight[ends[at] : ends[last]], size) * self.weight[postings], len(self.ids))
+            at, step = last, step * 2
+            where = np.flatnonzero(score > 0)
+            score = score[where]
             if without is not None:
                 other = self.ids[where] != without
                 where, score = where[other], score[other]
+            if len(best) >= k:
+                near = score >= best[-1]
+                where, score = where[near], score[near]
             best_at, best = np.concatenate([best_at, where]), np.concatenate([best, score])
-            rank = np.lexsort((self.ids[best_at], -best))[:k]
-            best_at, best = best_at[rank], best[rank]
+            top = np.lexsort((self.ids[best_at], -best))[:k]
+            best_at, best = best_at[top], best[top]
         return best_at, best
 
 
@@ -262,8 +273,8 @@ def fit(vectors: DataFrame, sample: DataFrame, weight: np.ndarray, k: int = NEIG
     """An index over the sample's vectors. Of rows with one id, that with the smallest vector is the example."""
     first = vectors.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min(F.struct("terms", "tf", "label")).alias("v"))
     used = [(r.doc_id, r.v.label, unit_vector(r.v.terms, r.v.tf, weight)) for r in first.where("size(v.terms) > 0").collect()]
-    # Blocks hold examples of one label that share their heaviest term, which keeps the blocks' bounds low.
-    used.sort(key=lambda r: (r[1], int(r[2][0][r[2][1].argmax()]), r[0]))
+    # Blocks hold examples of one label that share their most common term, so mostly of one language, which keeps the blocks' bounds low.
+    used.sort(key=lambda r: (r[1], int(r[2][0][weight[r[2][0]].argmin()]), int(r[2][0][r[2][1].argmax()]), r[0]))
     return Model(weight, BlockMaxIndex(np.array([r[0] for r in used], np.int64), np.array([r[1] for r in used], float), [r[2] for r in used], len(weight)), k)
 
 
@@ -274,8 +285,12 @@ def _votes(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raws, near, similar = [], [], []
-            for doc_id, terms, tf in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                raw, at, similarity = model.raw(doc_id, terms, tf)
+            ends = np.asarray(batch.column(1).offsets).tolist()
+            every, counts = np.asarray(batch.column(1).values), np.asarray(batch.column(2).values)
+            tf_ends = np.asarray(batch.column(2).offsets).tolist()
+            for i, doc_id in enumerate(batch.column(0).to_pylist()):
+                tf = counts[tf_ends[i] : tf_ends[i + 1]]
+                raw, at, similarity = model.raw(doc_id, every[ends[i] : ends[i + 1]], tf)
                 raws.append(raw)
                 near.append(model.index.ids[at].tolist())
                 similar.append(similarity.tolist())
