@@ -66,6 +66,22 @@ def rows_by_id(docs: DataFrame, id_col: str, ids: DataFrame, how: str) -> DataFr
     return docs.join(ids, docs[id_col].eqNullSafe(ids[name]), how)
 
 
+#: A group that more than one in so many rows belong to is joined apart: there are no more such groups than this.
+HOT_SHARE = 8_192
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str, total: int) -> DataFrame:
+    """rows with their groups' columns (null where there is none); size: the column of groups that counts their rows, of total.
+
+    Both sides meet by a sort-merge join on the key, but for groups of over 1 / HOT_SHARE of all rows, which would
+    bring these to one task: there are at most HOT_SHARE, and those are broadcast.
+    """
+    is_hot = F.col(size) * HOT_SHARE > total
+    hot, usual = groups.where(is_hot), groups.where(~is_hot)
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti")
+    return rows.join(F.broadcast(hot), on).unionByName(rest.join(usual.hint("merge"), on, "left"))
+
+
 def input_partitions(df: DataFrame) -> int:
     """Partitions of a scan; follows the input's size, as spark.sql.files.maxPartitionBytes cuts it."""
     return max(1, df.rdd.getNumPartitions())

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyroom.llm.common import Scratch, byte_rows, fan_out, rows_by_id
+from tallyroom.llm.common import Scratch, byte_rows, fan_out, join_groups, rows_by_id
 
 DIGEST_SCHEMA = "doc_id long, digest binary"
 
@@ -30,10 +30,6 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return rows.mapInArrow(_digests, DIGEST_SCHEMA)
 
 
-#: A text that more than one in so many rows has is joined apart: there are no more such texts than this.
-HOT_SHARE = 8_192
-
-
 class DigestIndex:
     """A table of (digest, keep_id, run), bucketed and sorted by digest: one row for each text seen.
 
@@ -78,18 +74,12 @@ class DigestIndex:
 
 
 def resolve(hashed: DataFrame, index: DigestIndex, groups: DataFrame, run: str, scratch: Scratch) -> DataFrame:
-    """Per document: the surviving row of its text by the index (null if an earlier run brought the text), and how many rows of this run have it.
-
-    Documents meet the texts by digest. A text that over 1 / HOT_SHARE of the rows have would bring them all to one task; there are
-    at most HOT_SHARE such texts, and those are broadcast.
-    """
+    """Per document: the surviving row of its text by the index (null if an earlier run brought the text), and how many rows of this run have it."""
     sizes = groups.groupBy("digest").agg(F.sum("group_size").alias("group_size")).repartition(index.buckets, "digest")
     own = index.read().where(F.col("run") == run).select("digest", "keep_id", F.lit(True).alias("new"))
     texts = scratch.keep(sizes.join(own.hint("merge"), "digest", "left"), "texts")
     total = texts.agg(F.sum("group_size")).first()[0] or 0
-    hot = texts.where(F.col("group_size") * HOT_SHARE > total)
-    rest = hashed.join(F.broadcast(hot.select("digest")), "digest", "left_anti")
-    found = hashed.join(F.broadcast(hot), "digest").unionByName(rest.join(texts.hint("merge"), "digest"))
+    found = join_groups(hashed, texts, ["digest"], "group_size", total)
     kept = F.coalesce("new", F.lit(False)) & F.col("doc_id").eqNullSafe(F.col("keep_id"))
     return found.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyroom.llm import blocks
-from tallyroom.llm.common import Scratch, components, mix, rows_by_id, shingle_keys
+from tallyroom.llm.common import Scratch, components, join_groups, mix, rows_by_id, shingle_keys
 
 #: Documents that are compared in one group.
 GROUP = 512
@@ -37,12 +37,12 @@ def _ask(size: int, buckets: int):
     return run
 
 
-DOCUMENTS = "doc_id long, n long, sig0 long, sig1 long, prefix array<long>, keys binary"
+DOCUMENTS = "doc_id long, n long, sig0 long, sig1 long, prefix array<long>, ranks array<int>, keys binary"
 
 
 def _prefixes(size: int, threshold: Fraction):
     """Per document: the size of its set, a 128-bit signature of it, and, in order of rising document frequency, those of its
-    prefix tokens that another document has; the set itself if there are any."""
+    prefix tokens that another document has, with their ranks in the set; the set itself if there are any."""
 
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
         row = {name: block[name][0].as_py() for name in block.column_names}
@@ -57,7 +57,8 @@ def _prefixes(size: int, threshold: Fraction):
         order = np.lexsort((every, frequency, owner))
         rank = np.arange(len(every)) - np.repeat(ends - sizes, sizes)
         limit = np.array([prefix_length(int(n), threshold) for n in sizes])
-        used = order[(rank < limit[owner]) & (frequency[order] > 1)]
+        chosen = (rank < limit[owner]) & (frequency[order] > 1)
+        used = order[chosen]
         prefix_ends = np.searchsorted(owner[used], np.arange(len(sets) + 1))
         has = np.diff(prefix_ends) > 0
         with np.errstate(over="ignore"):
@@ -65,14 +66,15 @@ def _prefixes(size: int, threshold: Fraction):
             at = np.minimum(ends - sizes, len(every))
             sig = [np.where(sizes > 0, np.add.reduceat(np.append(f(every), np.uint64(0)), at), np.uint64(0)) for f in (mix, lambda x: mix(x ^ np.uint64(0xA5A5A5A5A5A5A5A5)))]
         del padded
-        prefix = pa.ListArray.from_arrays(pa.array(prefix_ends.astype(np.int32)), pa.array(every[used].view(np.int64)))
+        lists = [pa.ListArray.from_arrays(pa.array(prefix_ends.astype(np.int32)), pa.array(x)) for x in (every[used].view(np.int64), rank[np.flatnonzero(chosen)].astype(np.int32))]
         return pa.table(
             {
                 "doc_id": pa.array(doc_ids, mask=doc_ids == blocks.NULL_ID),
                 "n": pa.array(sizes),
                 "sig0": pa.array(sig[0].view(np.int64)),
                 "sig1": pa.array(sig[1].view(np.int64)),
-                "prefix": prefix,
+                "prefix": lists[0],
+                "ranks": lists[1],
                 "keys": pa.array([s.tobytes() if h else None for s, h in zip(sets, has.tolist(), strict=True)], pa.binary()),
             }
         )
@@ -119,12 +121,11 @@ class Forest:
         self.parent[max(i, j)] = min(i, j)
 
 
-def links(sets: list[np.ndarray], rare: list[np.ndarray], threshold: Fraction, known: list[int] | None = None, of_interest: np.ndarray | None = None) -> list[tuple[int, int]]:
+def links(sets: list[np.ndarray], rare: list[np.ndarray], threshold: Fraction, known: list[int] | None = None) -> list[tuple[int, int]]:
     """Links of at least the threshold that connect whatever links connect: pairs already connected aren't compared.
 
     A pair is compared only if it shares prefix tokens under all three orders: rising document frequency (rare),
     rising and falling hash; and if its sizes allow the threshold. known: positions with equal values are connected.
-    of_interest: only pairs with one of these.
     """
     n = len(sets)
     size = np.array([len(s) for s in sets], np.int64)
@@ -133,8 +134,6 @@ def links(sets: list[np.ndarray], rare: list[np.ndarray], threshold: Fraction, k
     p = [prefix_length(int(k), threshold) for k in size]
     for tokens in (rare, [s[:k] for s, k in zip(sets, p, strict=True)], [s[len(s) - k :] for s, k in zip(sets, p, strict=True)]):
         pairs &= _shared(tokens)
-    if of_interest is not None:
-        pairs &= of_interest[:, None] | of_interest[None, :]
     forest, out = Forest(n), []
     if known is not None:
         first: dict[int, int] = {}
@@ -159,19 +158,54 @@ def links(sets: list[np.ndarray], rare: list[np.ndarray], threshold: Fraction, k
     return out
 
 
-def _compare(threshold: Fraction, only_interest: bool):
+def _compare(threshold: Fraction):
     def run(table: pa.Table) -> pa.Table:
         ids = table["doc_id"].to_numpy()
         sets = [np.frombuffer(x, np.uint64) for x in table["keys"].to_pylist()]
         rare = [np.array(x, np.int64).view(np.uint64) for x in table["prefix"].to_pylist()]
-        interest = table["interest"].to_numpy(zero_copy_only=False) if only_interest else None
-        found = links(sets, rare, threshold, table["label"].to_pylist(), interest)
+        found = links(sets, rare, threshold)
         return pa.table({"a": pa.array(ids[[i for i, _ in found]], pa.int64()), "b": pa.array(ids[[j for _, j in found]], pa.int64())})
 
     return run
 
 
-def groups(docs: DataFrame, words: int = 5, threshold: float | str | Fraction = "0.8", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def candidate_pairs(large: DataFrame, threshold: Fraction) -> DataFrame:
+    """Pairs (a, b) of documents of different labels that may link, one of each not in its family's main part.
+
+    They share a prefix token in the order of rising document frequency, and neither the sizes nor the token's ranks rule the
+    link out: with it as their first common token, they have no more in common than what is left of the shorter rest.
+    """
+    num, den = threshold.numerator, threshold.denominator
+    tokens = F.explode(F.arrays_zip("prefix", "ranks")).alias("t")
+    posting = large.select("doc_id", "n", "label", (F.col("label") == F.col("main")).alias("is_main"), tokens)
+    side = lambda s: posting.select(F.col("t.prefix").alias("token"), F.col("t.ranks").alias(f"rank_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "label", "is_main")))
+    pairs = side("a").where("not is_main_a").join(side("b"), "token").where("label_a <> label_b and (is_main_b or doc_id_a < doc_id_b)")
+    most = 1 + F.least(F.col("n_a") - F.col("rank_a"), F.col("n_b") - F.col("rank_b")) - 1
+    sizes = F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num
+    pairs = pairs.where(sizes & (most * den >= (F.col("n_a") + F.col("n_b") - most) * num))
+    return pairs.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
+
+
+def _verify(threshold: Fraction):
+    """Of candidate pairs, those that share prefix tokens under the two hash orders as well and have the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                p, q = prefix_length(len(s), threshold), prefix_length(len(t), threshold)
+                if not (np.isin(s[:p], t[:q]).any() and np.isin(s[len(s) - p :], t[len(t) - q :]).any()):
+                    keep.append(False)
+                    continue
+                common = int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum())
+                keep.append(threshold.denominator * common >= threshold.numerator * (len(s) + len(t) - common))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
+
+    return run
+
+
+def groups(docs: DataFrame, words: int = 5, threshold: float | str | Fraction = "0.8", id_col: str = "doc_id", text_col: str = "text", block_bytes: int = blocks.BLOCK_BYTES) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id, copies (rows with the same set that count as one class).
 
     Two documents link when the Jaccard similarity of their sets of word shingles is at least the threshold; a
@@ -187,19 +221,23 @@ def groups(docs: DataFrame, words: int = 5, threshold: float | str | Fraction =
        components of the stars hold every link.
     4. Inside them, groups of bounded size are compared: pairs must share prefix tokens under two further orders as well,
        then are verified exactly; pairs that are connected already are not. Larger components are cut into chunks: each is
-       compared with itself and a hub; then whatever isn't in the component's main part yet is compared with all of it.
+       compared with itself and a hub. What isn't in the component's main part then is joined on prefix tokens with all of the
+       component, and the candidates are verified likewise.
     """
     threshold = Fraction(str(threshold))
     scratch = Scratch(docs.sparkSession, "jaccard")
-    table = scratch.keep(blocks.build(docs, id_col, text_col), "blocks")
+    table = scratch.keep(blocks.build(docs, id_col, text_col, block_bytes), "blocks")
     buckets = blocks.bucket_count(table.count())
     answers = blocks.totals(table.mapInArrow(_ask(words, buckets), blocks.ASK))
     sets = scratch.keep(blocks.with_answers(table, answers, _prefixes(words, threshold), DOCUMENTS), "sets")
     scratch.drop(table)
 
     posted = sets.where(F.col("keys").isNotNull() & F.col("doc_id").isNotNull())
-    classes = posted.groupBy("sig0", "sig1", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    members = scratch.keep(posted.select("doc_id", "sig0", "sig1", "n").join(classes, ["sig0", "sig1", "n"]).select("doc_id", "rep", "copies"), "members")
+    same = ["sig0", "sig1", "n"]
+    classes = posted.groupBy(same).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    classes = scratch.keep(classes, "classes")
+    members = join_groups(posted.select("doc_id", *same), classes, same, "copies", posted.count())
+    members = scratch.keep(members.select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies")), "members")
     reps = members.where("doc_id = rep").select("doc_id").distinct()
     of_class = posted.join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id", "sig0", "sig1"])
 
@@ -211,11 +249,11 @@ def groups(docs: DataFrame, words: int = 5, threshold: float | str | Fraction =
 
     sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("size")).select("family", F.ceil(F.col("size") / F.lit(GROUP)).cast("int").alias("chunks"))
     dealt = families.join(sizes, "family").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    rows = of_class.select("doc_id", "n", "prefix", "keys").join(dealt.withColumnRenamed("node", "doc_id"), "doc_id")
+    rows = of_class.select("doc_id", "n", "prefix", "ranks", "keys").join(dealt.withColumnRenamed("node", "doc_id"), "doc_id")
     rows = scratch.keep(rows, "rows")
     own = F.when(F.col("chunk") == 0, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("chunk"))  # chunk 0 is the hub
-    first = rows.withColumn("group", F.explode(own)).select("family", "group", "doc_id", "keys", "prefix", F.col("doc_id").alias("label"))
-    found = scratch.keep(first.groupBy("family", "group").applyInArrow(_compare(threshold, False), "a long, b long"), "links")
+    first = rows.withColumn("group", F.explode(own)).select("family", "group", "doc_id", "keys", "prefix")
+    found = scratch.keep(first.groupBy("family", "group").applyInArrow(_compare(threshold), "a long, b long"), "links")
 
     if not rows.where("chunks > 1").limit(1).isEmpty():
         label = components(found, scratch)
@@ -223,22 +261,19 @@ def groups(docs: DataFrame, words: int = 5, threshold: float | str | Fraction =
         counts = large.groupBy("family", "label").count()
         main = counts.groupBy("family").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
         large = scratch.keep(large.join(main, "family"), "large")
-        rest = large.where("label <> main")
-        shares = rest.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / F.lit(GROUP)).cast("int").alias("shares"))
-        columns = ["family", "group", "share", "doc_id", "keys", "prefix", "label", "interest"]
-        left = rest.join(shares, "family").withColumn("share", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("shares")).cast("int"))
-        left = left.withColumn("group", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("interest", F.lit(True)).select(columns)
-        right = large.join(shares, "family").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
-        right = right.withColumn("group", F.col("chunk")).withColumn("interest", F.lit(False)).select(columns)
-        more = left.union(right).groupBy("family", "group", "share").applyInArrow(_compare(threshold, True), "a long, b long")
+        sets_of = lambda s: large.select(F.col("doc_id").alias(s), F.col("keys").alias(f"keys_{s}")).dropDuplicates([s, f"keys_{s}"])
+        pairs = scratch.keep(candidate_pairs(large, threshold), "pairs")
+        both = pairs.join(sets_of("a"), "a").join(sets_of("b"), "b").select("a", "b", "keys_a", "keys_b")
+        more = both.mapInArrow(_verify(threshold), "a long, b long")
         found = scratch.keep(found.union(more), "links")
 
     label = components(found, scratch)
     named = members.join(label, members.rep == label.node, "left").select("doc_id", F.coalesce("component", "rep").alias("component"), "copies")
     named = named.groupBy("doc_id").agg(F.min("component").alias("component"), F.max("copies").alias("copies"))
-    return sets.select("doc_id", "n").join(named, "doc_id", "left").select(
+    out = sets.select("doc_id", "n").join(named, "doc_id", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("copies", F.lit(1)).cast("long").alias("copies")
     )
+    return scratch.finish(out, "groups")
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, threshold: float | str | Fraction = "0.8", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyroom.llm import blocks, ngram_jaccard
+from tallyroom.llm import blocks, common, ngram_jaccard
 from tallyroom.llm.common import Scratch, components
 from tests.llm import cases
 
@@ -51,13 +51,38 @@ def corpus(seed, n=140):
 @pytest.mark.parametrize("size, num, den, group", [(3, 90, 100, 512), (5, 8, 10, 512), (3, 7, 10, 8), (2, 1, 2, 5)])
 def test_groups_equal_brute_force(spark, monkeypatch, size, num, den, group):
     monkeypatch.setattr(ngram_jaccard, "GROUP", group)
-    monkeypatch.setattr(blocks, "BLOCK_BYTES", 3000)
     rows = corpus(size + group) + [r for r in cases.ROWS if r[0] is None or r[0] < 5] + [cases.ROWS[6], cases.ROWS[7]]
-    got = ngram_jaccard.groups(cases.docs(spark, rows), size, Fraction(num, den)).collect()
+    got = ngram_jaccard.groups(cases.docs(spark, rows), size, Fraction(num, den), block_bytes=3000).collect()
     assert len(got) == len(rows)
     assert {(r.doc_id, r.n_shingles): r.component_id for r in got} == brute(rows, size, num, den)
 
 
+@pytest.mark.parametrize("group", [16, 512])
+def test_one_family_of_dissimilar_documents(spark, monkeypatch, group):
+    """Short texts over few words: shared tokens tie all of them together, yet few link, and few pairs are candidates."""
+    monkeypatch.setattr(ngram_jaccard, "GROUP", group)
+    rng = np.random.default_rng(2)
+    words = [f"v{k}" for k in range(9)]
+    rows = [(i, " ".join(rng.choice(words, 12)), "", "") for i in range(1500)]
+    rows += [(2000 + i, rows[i][1] + " v1", "", "") for i in range(0, 60, 2)]
+    seen = []
+    candidates = ngram_jaccard.candidate_pairs
+    monkeypatch.setattr(ngram_jaccard, "candidate_pairs", lambda large, t: seen.append((large.count(), candidates(large, t).count())) or candidates(large, t))
+    got = ngram_jaccard.groups(cases.docs(spark, rows), 3, "0.9").collect()
+    want = brute(rows, 3, 90, 100)
+    assert {(r.doc_id, r.n_shingles): r.component_id for r in got} == want
+    assert sum(c != i for (i, _), c in want.items()) >= 30
+    assert seen and seen[0][0] > 1000 and seen[0][1] < 20 * seen[0][0], seen
+
+
+def test_one_large_class_of_equal_sets(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_SHARE", 3)
+    rows = corpus(9, 60) + [(5000 + i, "a text that a third of all documents have word by word", "", "") for i in range(80)]
+    rows += [(6000, "a text that a third of all documents have word by word too", "", ""), (6000, "other", "", "")]
+    got = ngram_jaccard.groups(cases.docs(spark, rows), 3, "0.8").collect()
+    assert {(r.doc_id, r.n_shingles): r.component_id for r in got if r.doc_id != 6000} == {k: v for k, v in brute(rows, 3, 8, 10).items() if k[0] != 6000}
+
+
 def test_odd_rows(spark):
     got = ngram_jaccard.groups(cases.docs(spark), 3, "0.9").collect()
     assert {(r.doc_id, r.n_shingles): r.component_id for r in got} == brute(cases.ROWS, 3, 9, 10)

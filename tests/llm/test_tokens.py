@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tallyroom.llm import exact_dedup, packing, token_file, word_bpe
+from tallyroom.llm import common, exact_dedup, packing, token_file, word_bpe
 from tallyroom.llm.common import Scratch
 from tests.llm import cases
 
@@ -197,7 +197,7 @@ def test_index_grows_by_batches(spark):
 
 
 def test_batches_of_falling_ids_and_a_hot_text(spark, monkeypatch):
-    monkeypatch.setattr(exact_dedup, "HOT_SHARE", 3)
+    monkeypatch.setattr(common, "HOT_SHARE", 3)
     rng = np.random.default_rng(6)
     rows = [(int(i), ("hot text" if rng.random() < 0.5 else f"text {rng.integers(0, 40)}").title(), "", "") for i in rng.permutation(300)]
     rows += [(None, "Hot Text", "", ""), (None, "only here", "", ""), (7, "twice", "", ""), (7, "Twice", "", "")]
