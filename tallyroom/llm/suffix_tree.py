@@ -2,9 +2,9 @@
 
 A context of up to DEPTH words is a state of the tree if, each of its training positions left out in turn, its smoothed
 next-word distribution predicts these positions better than the state that it would fall back to: the divergence
-test. The same sums choose how strongly each state is smoothed towards that one. A context after which training texts
-always go on with one word is not lengthened: its longer contexts go on with the same word, so nothing diverges. A text's
-score multiplies the next-word probabilities of the longest suffix states.
+test. The same sums choose how strongly each state is smoothed towards that one. The tree grows from states: a context that is none
+is not lengthened, nor is one after which training texts always go on with one word, as its longer contexts go on with the
+same. A text's score multiplies the next-word probabilities of the longest suffix states.
 
 Each depth is one exchange of packed keys (blocks.py): blocks of documents send what follows their contexts, with
 counts and fallback probabilities, to the bucket that a context's hash names; the bucket sees all of a context's next words,
@@ -36,6 +36,8 @@ MARGIN = 1.0
 #: A context with so many training positions, or with more than one in 2**HOT_BITS of all, is dealt over all buckets by its next
 #: words. There are at most 2**HOT_BITS of the latter kind, and only their verdicts come to the driver.
 HOT_LEAST, HOT_BITS = 1 << 18, 20
+#: Of a word's hash, the bits that tell the next words of one context apart: all but so many.
+WORD_SHIFT = 20
 _END, _START = np.uint64(0x51ED270B8D5C5A3D), np.uint64(0x2545F4914F6CDD1D)
 
 ASK = "hot int, bucket int, block long, contexts binary, seen binary, sizes binary, words binary, counts binary, fallback binary"
@@ -65,49 +67,74 @@ class Stats:
         return (np.maximum(counts.astype(np.float64) - left_out, 0) + 0.5) / (self.tokens - left_out + 0.5 * (self.distinct + 1))
 
 
+def dense(a: np.ndarray, n_a: int, b: np.ndarray, n_b: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of pairs (a, b) from 0 on in the order of the pairs, and one position of each; a < n_a, b < n_b."""
+    of_b, of_place = int(n_b).bit_length(), len(a).bit_length()
+    if int(n_a).bit_length() + of_b + of_place > 64:  # a block of one very long document
+        _, first, numbers = np.unique(a.astype(np.uint64) << np.uint64(of_b) | b.astype(np.uint64), return_index=True, return_inverse=True)
+        return numbers, first
+    packed = (a.astype(np.uint64) << np.uint64(of_b) | b.astype(np.uint64)) << np.uint64(of_place) | np.arange(len(a), dtype=np.uint64)
+    packed.sort()
+    place = (packed & np.uint64((1 << of_place) - 1)).astype(np.int64)
+    packed >>= np.uint64(of_place)
+    new = np.ones(len(a), bool)
+    np.not_equal(packed[1:], packed[:-1], out=new[1:])
+    numbers = np.empty(len(a), np.int64)
+    numbers[place] = np.cumsum(new) - 1
+    return numbers, place[new]
+
+
 class Entries:
     """What a block asks about some positions: the distinct contexts, and the distinct (context, next word) whose count it can't tell.
 
     A word that the shorter context never has, the longer one never has; a word that it has once is single: at
     most once after the longer one. If no two training positions of a context can have the same word, it gains nothing, is no
     state, and isn't asked for. Ordinary contexts are sent by bucket and key, each with its words; hot ones only with words,
-    by a bucket that the word takes part in.
+    by a bucket that the word takes part in. Contexts have numbers in the block, words their places in its vocabulary.
     """
 
-    def __init__(self, keys: np.ndarray, contexts: np.ndarray, seen: np.ndarray, train: np.ndarray, shorter: np.ndarray, hot: int, buckets: int):
+    def __init__(self, number: np.ndarray, numbers: int, code: np.ndarray, vocabulary: np.ndarray, contexts: np.ndarray, seen: np.ndarray, train: np.ndarray, shorter: np.ndarray, hot: int, buckets: int):
         known, single = ~train & (shorter == 0), train & (shorter == 1)
         self.found = train.astype(np.int64)  # where nothing is asked: at most once, and the context is no state
-        every, first, of = np.unique(contexts, return_index=True, return_inverse=True)
-        seen = seen[first]
+        at = np.full(numbers, -1)
+        at[number] = np.arange(len(number))
+        has = np.flatnonzero(at >= 0)
+        first = at[has]
+        at[has] = np.arange(len(has))
+        of = at[number]
+        every, seen = contexts[first], seen[first]
         ask, is_hot = seen - np.bincount(of, single, len(every)) >= 2, seen >= hot
-        self.open = np.flatnonzero(ask[of] & ~known)
-        asked, at, place = np.unique(keys[self.open], return_index=True, return_inverse=True)
-        context = of[self.open[at]]
+        # Ordinary contexts in the order of their keys, which is that of their buckets; then hot ones.
+        plain, other = np.flatnonzero(ask & ~is_hot), np.flatnonzero(ask & is_hot)
+        plain = plain[np.argsort(every[plain])]
+        asked = np.concatenate([plain, other])
+        rank = np.full(len(every), len(asked))
+        rank[asked] = np.arange(len(asked))
+        self.open = np.flatnonzero((rank[of] < len(asked)) & ~known)
+        self.place, one = dense(rank[of[self.open]], len(asked), code[self.open], len(vocabulary))
+        self.first = self.open[one]
+        context, word = rank[of[self.first]], code[self.first]
         shift = np.uint64(64 - (buckets.bit_length() - 1))
         bucket = lambda x: (x >> shift).astype(np.int64) if buckets > 1 else np.zeros(len(x), np.int64)
-        # Ordinary contexts in the order of their keys, which is that of their buckets; then hot ones by bucket of the entry.
-        usual, other = np.flatnonzero(~is_hot[context]), np.flatnonzero(is_hot[context])
-        usual = usual[np.argsort(context[usual], kind="stable")]
-        other = other[np.lexsort((context[other], bucket(asked[other])))]
-        order = np.concatenate([usual, other])
-        self.keys, self.first = asked[order], self.open[at[order]]
-        self.single = shorter[self.first] <= 1
-        back = np.empty(len(order), np.int64)
-        back[order] = np.arange(len(order))
-        #: Of each open position, its entry.
-        self.place = back[place]
-        plain = np.flatnonzero(ask & ~is_hot)
-        of_other = context[other]
-        start = np.append(True, (np.diff(of_other) != 0) | (np.diff(bucket(asked[other])) != 0)) if len(other) else np.zeros(0, bool)
-        runs = of_other[start]
+        n_usual = int(np.searchsorted(context, len(plain)))
+        spread = bucket(chain(every[asked[context[n_usual:]]], vocabulary[word[n_usual:]]))
+        order = n_usual + np.argsort(spread, kind="stable")
+        if len(order):
+            context[n_usual:], word[n_usual:], self.first[n_usual:] = context[order], word[order], self.first[order]
+            back = np.arange(len(context))
+            back[order] = np.arange(n_usual, len(context))
+            self.place, spread = back[self.place], spread[order - n_usual]
+        #: The words' hashes, and whether the shorter context has them once at most.
+        self.words, self.single = vocabulary[word], shorter[self.first] <= 1
+        start = np.append(True, (np.diff(context[n_usual:]) != 0) | (np.diff(spread) != 0)) if len(order) else np.zeros(0, bool)
+        runs = asked[context[n_usual:][start]]
         self.contexts, self.seen = np.concatenate([every[plain], every[runs]]), np.concatenate([seen[plain], seen[runs]])
-        self.sizes = np.concatenate([np.bincount(context[usual], minlength=len(every))[plain], np.diff(np.append(np.flatnonzero(start), len(other)))]).astype(np.int64)
+        self.sizes = np.concatenate([np.bincount(context[:n_usual], minlength=len(plain)), np.diff(np.append(np.flatnonzero(start), len(order)))]).astype(np.int64)
         self.hot = np.arange(len(self.contexts)) >= len(plain)
-        self.bucket = np.concatenate([bucket(every[plain]), bucket(asked[other])[start]])
-        #: Of each position, where its context stands among the sent ones (-1: not sent there), and whether it is a hot one.
-        where = np.full(len(every), -1)
-        where[plain] = np.arange(len(plain))
-        self.context_at, self.is_hot = where[of], (ask & is_hot)[of]
+        self.bucket = np.concatenate([bucket(every[plain]), spread[start]])
+        #: Of each position, where its context stands among the ordinary ones (-1: not there), and whether it is a hot one.
+        self.context_at = np.where(rank < len(plain), rank, -1)[of]
+        self.is_hot = (ask & is_hot)[of]
         n = len(self.contexts)
         #: Rows, each of one bucket, in contexts; and where a context's words start.
         self.rows = np.append(np.flatnonzero(np.append(True, (np.diff(self.bucket) != 0) | (self.hot[1:] != self.hot[:-1]))), n) if n else np.zeros(1, np.int64)
@@ -116,7 +143,7 @@ class Entries:
     def send(self, block: int, counts: np.ndarray, fallback: np.ndarray) -> pa.RecordBatch:
         """Counts, the last bit of each marking single words; the fallback's probabilities of the other words with a count."""
         columns: list[list] = [[] for _ in range(9)]
-        words = self.keys >> np.uint64(16)
+        words = self.words >> np.uint64(WORD_SHIFT)
         step = words - np.concatenate([np.zeros(1, np.uint64), words[:-1]])[: len(words)]
         heads = self.starts[:-1][self.sizes > 0]
         step[heads] = words[heads]
@@ -138,6 +165,7 @@ class Positions:
         self.doc_ids, starts, vocabulary, code = blocks.unpack_coded(row["doc_ids"], row["sizes"], row["words"])
         self.block, n = row["block"], len(self.doc_ids)
         self.answers, self.stats, self.buckets = answers, stats, buckets
+        self.p = self.word_count = None
         self.starts = starts + np.arange(n + 1)  # one end per document
         end = int(np.searchsorted(vocabulary, _END))
         self.vocabulary = np.insert(vocabulary, end, _END)
@@ -165,23 +193,24 @@ class Positions:
             raise ValueError(f"block {self.block} asked for {len(self.vocabulary)} words and got {len(counts)}")
         self.word_count = counts[self.code]
         self.p = self.stats.word_probability(self.word_count, left_out)
-        count, keys = self.word_count, mix(self.symbols)
+        count, keys, number, numbers = self.word_count, mix(self.symbols), self.code, len(self.vocabulary)
         going, sure = np.ones(len(self.symbols), bool), np.zeros(len(self.symbols), bool)
+        start = self.starts[:-1]
         for d in range(1, depth + 2):
             # Contexts of d symbols, the start of the text being one, and how often training texts have them.
-            context, seen = np.roll(keys, 1), np.roll(count, 1)
-            context[self.offset == 0], seen[self.offset == 0] = _START, self.stats.docs if d == 1 else 0
+            context, seen, number = np.roll(keys, 1), np.roll(count, 1), np.roll(number, 1)
+            context[start], seen[start], number[start] = _START, self.stats.docs if d == 1 else 0, numbers
             keys = chain(context, self.symbols)
             self.at = np.flatnonzero(going & (seen >= LEAST) & (self.offset >= d - 1))
             self.seen = seen[self.at]
-            e = self.entries = Entries(keys[self.at], context[self.at], self.seen, self.train[self.at], count[self.at], self.stats.hot, self.buckets)
+            e = self.entries = Entries(number[self.at], numbers + 1, self.code[self.at], self.vocabulary, context[self.at], self.seen, self.train[self.at], count[self.at], self.stats.hot, self.buckets)
             if d > depth:
                 return
             totals, verdicts = self._answer(d)
             total = np.concatenate([blocks.spread(x, np.int64) for x in totals]) if totals else np.zeros(0, np.int64)
             verdict = np.concatenate([blocks.spread(x, np.uint8) for x in verdicts]) if verdicts else np.zeros(0, np.uint8)
-            if len(total) != len(e.keys) or len(verdict) != len(e.contexts):
-                raise ValueError(f"block {self.block} asked for {len(e.contexts)} contexts and {len(e.keys)} words of depth {d} and got {len(verdict)} and {len(total)}")
+            if len(total) != len(e.words) or len(verdict) != len(e.contexts):
+                raise ValueError(f"block {self.block} asked for {len(e.contexts)} contexts and {len(e.words)} words of depth {d} and got {len(verdict)} and {len(total)}")
             found = e.found.copy()
             found[e.open] = total[e.place]
             strength = np.append(0.0, STRENGTHS)[np.where(e.context_at >= 0, np.append(verdict, 0)[e.context_at], 0)]
@@ -190,18 +219,24 @@ class Positions:
             use = strength > 0
             at, s = self.at[use], strength[use]
             self.p[at] = (np.maximum(found[use] - left_out, 0) + s * self.p[at]) / (self.seen[use] - left_out + s)
+            if d == DEPTH:
+                return
             # Where a shorter context is always followed by this word, so is this one: as often as it is seen itself.
             count = np.where(sure & (self.offset >= d - 1), seen, 0)
             count[self.at] = found
             going = np.zeros(len(self.symbols), bool)
-            going[self.at] = found < self.seen
+            going[self.at] = use & (found < self.seen)
             sure[self.at] = found == self.seen
+            number, one = dense(number, numbers + 1, self.code, len(self.vocabulary))
+            numbers = len(one)
 
-    def ask(self) -> pa.RecordBatch:
-        """What follows the contexts of the next depth: counts, and the fallback's probability of the word, without this position."""
+    def ask(self, depth: int) -> pa.RecordBatch:
+        """What follows the contexts of the next depth: counts, and the fallback's probability of the word, without this position; for
+        contexts of one word its count, which says the same."""
         e = self.entries
-        counts = np.bincount(e.place, self.train[self.at[e.open]], len(e.keys)).astype(np.uint32)
-        return e.send(self.block, counts, self.p[self.at[e.first]].astype(np.float32))
+        counts = np.bincount(e.place, self.train[self.at[e.open]], len(e.words)).astype(np.uint32)
+        first = self.at[e.first]
+        return e.send(self.block, counts, self.word_count[first] if depth == 1 else self.p[first].astype(np.float32))
 
 
 def divergence(count: np.ndarray, seen: np.ndarray, fallback: np.ndarray, context: np.ndarray, n: int) -> np.ndarray:
@@ -226,7 +261,7 @@ def verdicts(sums: np.ndarray) -> np.ndarray:
 WORD_SUMS, HOT_SUMS = -1, -2
 
 
-def _add_up(depth: int):
+def _add_up(depth: int, stats: Stats):
     """One bucket: the blocks' counts of each (context, word) added up, and a verdict for each context. Hot contexts, of
     which the bucket has a part, give a row of sums."""
 
@@ -247,7 +282,7 @@ def _add_up(depth: int):
             counts.append(coded >> np.uint32(1))
             told = (coded > 1) & (coded & 1 == 0)
             fallbacks.append(np.zeros(len(coded)))
-            fallbacks[-1][told] = blocks.spread(fallback, np.float32)
+            fallbacks[-1][told] = stats.word_probability(blocks.spread(fallback, np.int64), 1) if depth == 1 else blocks.spread(fallback, np.float32)
         each, at, run_of = np.unique(np.concatenate(contexts), return_index=True, return_inverse=True)
         seen = np.concatenate(seens)[at]
         context = np.repeat(run_of, np.concatenate(lengths))
@@ -305,7 +340,7 @@ def _ask(depth: int, buckets: int, stats: Stats):
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
         at = Positions(_row(block), answers, stats, buckets)
         at.read(depth - 1, 1)
-        out = pa.Table.from_batches([at.ask()])
+        out = pa.Table.from_batches([at.ask(depth)])
         release_memory()
         return out
 
@@ -382,7 +417,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
         together = lambda run, schema: table.groupBy("block").cogroup(answers.where("block >= 0").groupBy("block")).applyInArrow(run, schema)
         for depth in range(1, DEPTH + 1):
             asked = together(_ask(depth, buckets, stats), ASK)
-            new = scratch.keep(asked.groupBy("hot", "bucket").applyInArrow(_add_up(depth), ANSWER), "answers")
+            new = scratch.keep(asked.groupBy("hot", "bucket").applyInArrow(_add_up(depth, stats), ANSWER), "answers")
             stats.verdicts[depth] = _hot_verdicts(new)
             answers = answers.union(new)
         return scratch.finish(together(_scores(stats, buckets), SCORES), "scores")

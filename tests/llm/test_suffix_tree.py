@@ -33,8 +33,15 @@ def brute(rows):
     unigrams = {g[0]: c for g, c in grams.items() if len(g) == 1}
     n, v = sum(unigrams.values()), len(unigrams)
     n_docs = sum(not is_held(i) for i, _ in docs)
-    seen = lambda c: n_docs if c == (START,) else grams[c]
-    strength = {}
+    strength, tested = {}, set()
+
+    def seen(c):
+        """How often training texts have the context, as far as shorter contexts tell: 0 if none of them was lengthened so far."""
+        if len(c) == 1:
+            return n_docs if c == (START,) else grams[c]
+        if c[:-1] in tested:
+            return grams[c]
+        return seen(c[:-1]) if any(c[-d - 1 : -1] in tested and grams[c[-d - 1 :]] == seen(c[-d - 1 : -1]) for d in range(1, len(c) - 1)) else 0
 
     def p(context, word, depth, out):
         q = (max(unigrams.get(word, 0) - out, 0) + 0.5) / (n - out + 0.5 * (v + 1))
@@ -56,7 +63,8 @@ def brute(rows):
             s = [START, *w]
             for k in range(1, len(s)):
                 c = tuple(s[k - depth : k]) if k >= depth else None
-                if c and seen(c) >= suffix_tree.LEAST and not any(sure(c[-d:]) for d in range(1, depth)):
+                if c and seen(c) >= suffix_tree.LEAST and (depth == 1 or c[1:] in strength and not sure(c[1:])):
+                    tested.add(c)
                     q = p(tuple(s[:k]), s[k], depth - 1, 1)
                     for j, m in enumerate(suffix_tree.STRENGTHS):
                         sums[c][j] += math.log((grams[(*c, s[k])] - 1 + m * q) / (seen(c) - 1 + m) / q)
@@ -81,7 +89,7 @@ def test_equals_brute_force(spark, monkeypatch, block_bytes, hot):
     rows = [(i, " ".join(rng.choice(lines, int(rng.integers(0, 6)))) + " z" * int(rng.integers(0, 3)), "", "") for i in range(150)]
     rows += cases.ROWS
     want, strength = brute(rows)
-    assert {len(c) for c in strength} >= {1, 2, 3}
+    assert {len(c) for c in strength} == {1, 2, 3}
     key = lambda r: (r[0] is not None, r[0] or 0, r[2])
     docs = cases.docs(spark, rows)
     assert blocks.build(docs.coalesce(1), "doc_id", "text", block_bytes).count() == (1 if block_bytes > 10**6 else pytest.approx(60, abs=50))
@@ -111,6 +119,15 @@ def test_given_documents_equal_brute_force(spark, sf):
         assert got[w[0]][:5] == w[:5] and got[w[0]][5:] == pytest.approx(w[5:], rel=1e-5), (got[w[0]], w)
 
 
+def test_numbers_of_pairs():
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(0, 50, 3000), rng.integers(0, 70, 3000)
+    for n_a, n_b in ((50, 70), (2**31, 2**31)):  # the latter has no room for places
+        number, first = suffix_tree.dense(a, n_a, b, n_b)
+        pairs = sorted(set(zip(a.tolist(), b.tolist())))
+        assert [pairs[k] for k in number] == list(zip(a.tolist(), b.tolist())) and [(a[i], b[i]) for i in first] == pairs
+
+
 def test_odd_tables(spark):
     assert suffix_tree.score(cases.docs(spark, [])).count() == 0
     assert suffix_tree.score(cases.docs(spark)).count() == len(cases.ROWS)
