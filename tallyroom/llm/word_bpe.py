@@ -23,7 +23,7 @@ def default_path() -> str:
 
 
 class WordBpe:
-    """Encodes whole texts exactly as the library does with add_special_tokens=False, special strings as ordinary text.
+    """Encodes whole texts exactly as the library does with add_special_tokens=False; special strings in a text are their own ids.
 
     A tokenizer that drops white space before its merges never joins symbols across it, so a text's ids are the
     ids of its white-space-separated chunks in order. Each distinct chunk goes through the library once
@@ -31,14 +31,13 @@ class WordBpe:
     that Python and the library disagree about as white space, go through the library whole.
     """
 
-    LIMIT = 500_000
+    LIMIT = 400_000
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.vocab_size = self.tokenizer.get_vocab_size()
         with open(path, encoding="utf-8") as f:
@@ -121,6 +120,8 @@ def _drops_white_space(spec: dict) -> bool:
         and first.get("behavior") == "Removed"
         and first.get("invert") is True
         and "|[^\\s\\p{L}\\p{N}]+" in first["pattern"].get("Regex", "")
+        # Special strings are found before anything else: inside a chunk, and never in one of letters and signs behind them.
+        and all(re.fullmatch(r"<\|\w+\|>", t["content"]) and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) for t in spec.get("added_tokens") or [])
     )
 
 
@@ -133,26 +134,33 @@ def _is_latin1(text: str) -> bool:
     return True
 
 
-class _Chunks(dict):
-    def __init__(self, owner: WordBpe):
-        super().__init__()
-        self.owner = owner
+class _Chunks:
+    """Ids of chunks in two generations: when the young one is full, it becomes the old one, whose entries go."""
 
-    def __missing__(self, chunk: str) -> bytes:
+    def __init__(self, owner: WordBpe):
+        self.owner, self.young, self.old = owner, {}, {}
+
+    def __getitem__(self, chunk: str) -> bytes:
+        found = self.young.get(chunk)
+        if found is None:
+            found = self.old.get(chunk)
+            if found is None:
+                found = self._encode(chunk)
+            if len(self.young) >= self.owner.LIMIT:
+                self.old, self.young = self.young, {}
+            self.young[chunk] = found
+        return found
+
+    def _encode(self, chunk: str) -> bytes:
         if not chunk:
             return b""
-        if len(self) >= self.owner.LIMIT:
-            self.clear()
         lower = chunk.lower()
         word = lower.rstrip(_SIGNS)
         if not word.isalpha() or not (word.isascii() or _is_latin1(word)) or not (chunk.isascii() or _is_latin1(chunk)):
-            value = self.owner.library(chunk)
-        elif word != chunk:
-            value = self[word] + (self[lower[len(word) :]] if len(word) < len(lower) else b"")
-        else:
-            value = self.owner.letters(word)
-        self[chunk] = value
-        return value
+            return self.owner.library(chunk)
+        if word != chunk:
+            return self[word] + (self[lower[len(word) :]] if len(word) < len(lower) else b"")
+        return self.owner.letters(word)
 
 
 @lru_cache(maxsize=4)
