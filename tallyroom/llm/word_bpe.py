@@ -61,7 +61,7 @@ class WordBpe:
         lists = pc.ascii_split_whitespace(texts)
         coded = lists.flatten().dictionary_encode()
         index = coded.indices.to_numpy()
-        found = list(map(self.chunks.__getitem__, coded.dictionary.to_pylist()))
+        found = self.chunks.of(coded.dictionary.to_pylist())
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
         ids = pa.ListArray.from_arrays(pa.array(starts), pa.array(np.frombuffer(b"".join(found), "<u4")))
@@ -151,6 +151,13 @@ class _Chunks:
             self.young[chunk] = found
         return found
 
+    def of(self, chunks: list[str]) -> list[bytes]:
+        found = list(map(self.young.get, chunks))
+        for i, ids in enumerate(found):
+            if ids is None:
+                found[i] = self[chunks[i]]
+        return found
+
     def _encode(self, chunk: str) -> bytes:
         if not chunk:
             return b""
