@@ -13,11 +13,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyroom.llm.common import hash_words, release_memory, words_of
+from tallyroom.llm.common import release_memory, slices
 
 BLOCK_BYTES = 8_000_000
 BLOCK_SCHEMA = "block long, doc_ids binary, sizes binary, words binary"
@@ -61,20 +62,36 @@ def _block(number: int, ids: list[np.ndarray], words: list[np.ndarray]) -> pa.Re
     return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([x], pa.binary()) for x in row)], names=["block", "doc_ids", "sizes", "words"])
 
 
+def _hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of string texts, and where each text's start; every distinct word is hashed once.
+
+    Arrow lower-cases A-Z and splits at ASCII white space, as words_of does.
+    """
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    coded = lists.flatten().dictionary_encode()
+    words = coded.dictionary.cast(pa.large_binary() if pa.types.is_large_string(coded.dictionary.type) else pa.binary()).to_pylist()
+    code = coded.indices.to_numpy()
+    offsets = np.asarray(lists.offsets)
+    full = np.fromiter(map(bool, words), bool, len(words))[code]  # white space at either end leaves an empty string
+    starts = np.concatenate([[0], np.cumsum(full)])[offsets - offsets[0]]
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))[code[full]], starts
+
+
 def _blocks(block_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, size, ids, words = TaskContext.get().partitionId() << 32, 0, [], []
         for batch in batches:
-            texts = batch.column(1)
-            texts = texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary())
-            for doc_id, text in zip(batch.column(0).fill_null(NULL_ID).to_pylist(), texts, strict=True):
-                text = text.as_py() or b""
-                ids.append(doc_id)
-                words.append(hash_words(words_of(text)))
-                size += len(text) + 64
-                if size >= block_bytes:
-                    yield _block(number, ids, words)
-                    number, size, ids, words = number + 1, 0, [], []
+            texts = batch.column(1).fill_null("")
+            lengths = pc.binary_length(texts).to_numpy()
+            for first, last in slices(texts):
+                hashes, starts = _hashed_words(texts.slice(first, last - first))
+                for k, doc_id in enumerate(batch.column(0).slice(first, last - first).fill_null(NULL_ID).to_pylist()):
+                    ids.append(doc_id)
+                    words.append(hashes[starts[k] : starts[k + 1]])
+                    size += int(lengths[first + k]) + 64
+                    if size >= block_bytes:
+                        yield _block(number, ids, words)
+                        number, size, ids, words = number + 1, 0, [], []
         if ids:
             yield _block(number, ids, words)
         release_memory()

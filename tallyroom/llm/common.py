@@ -177,6 +177,18 @@ def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def slices(texts, limit: int = 6_000_000) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of a string array with about limit bytes of text each, one row at least."""
+    import pyarrow.compute as pc
+
+    size = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy())
+    start = 0
+    while start < len(size):
+        end = max(start + 1, int(np.searchsorted(size, (size[start - 1] if start else 0) + limit, "right")))
+        yield start, end
+        start = end
+
+
 def release_memory() -> None:
     """Gives what a task has freed back to the system: the worker process lives on, next to its executor's heap."""
     import ctypes

@@ -11,9 +11,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyroom.llm.common import Scratch, crc_mod, release_memory
+from tallyroom.llm.common import Scratch, crc_mod, release_memory, slices
 from tallyroom.llm.labelled import bounded_sample, training_labels
-from tallyroom.llm.toxicity import slices
+
 
 SAMPLE = 16_384
 MODULUS, HELD_OUT, THRESHOLD = 5, 0, 0.3

@@ -27,6 +27,8 @@ from tallyroom.llm import blocks
 from tallyroom.llm.common import Scratch, chain, crc_mod, fan_out, mix, release_memory
 
 DEPTH = 3
+#: Each depth asks in so many parts, by bucket: what one part shuffles is gone before the last.
+PARTS = (3, 3, 1)
 MODULUS, HELD_OUT = 5, 1
 #: A context must have been seen so often. That drops no state: one seen once, left out, has no counts and gains nothing.
 LEAST = 2
@@ -140,8 +142,8 @@ class Entries:
         self.rows = np.append(np.flatnonzero(np.append(True, (np.diff(self.bucket) != 0) | (self.hot[1:] != self.hot[:-1]))), n) if n else np.zeros(1, np.int64)
         self.starts = np.append(0, np.cumsum(self.sizes))
 
-    def send(self, block: int, counts: np.ndarray, fallback: np.ndarray) -> pa.RecordBatch:
-        """Counts, the last bit of each marking single words; the fallback's probabilities of the other words with a count."""
+    def send(self, block: int, counts: np.ndarray, fallback: np.ndarray, part: int, parts: int) -> pa.RecordBatch:
+        """The rows of one part of the buckets. Counts, the last bit of each marking single words; the fallback's probabilities of the other words with a count."""
         columns: list[list] = [[] for _ in range(9)]
         words = self.words >> np.uint64(WORD_SHIFT)
         step = words - np.concatenate([np.zeros(1, np.uint64), words[:-1]])[: len(words)]
@@ -150,6 +152,8 @@ class Entries:
         told = (counts > 0) & ~self.single
         coded = (counts << np.uint32(1)) | self.single
         for r, q in zip(self.rows[:-1].tolist(), self.rows[1:].tolist(), strict=True):
+            if self.bucket[r] % parts != part:
+                continue
             a, b = int(self.starts[r]), int(self.starts[q])
             row = (int(self.hot[r]), int(self.bucket[r]), block, blocks.pack_keys(self.contexts[r:q]), *(blocks.squeeze(x) for x in (self.seen[r:q], self.sizes[r:q], step[a:b], coded[a:b], fallback[a:b][told[a:b]])))
             for column, value in zip(columns, row, strict=True):
@@ -230,13 +234,13 @@ class Positions:
             number, one = dense(number, numbers + 1, self.code, len(self.vocabulary))
             numbers = len(one)
 
-    def ask(self, depth: int) -> pa.RecordBatch:
+    def ask(self, depth: int, part: int = 0, parts: int = 1) -> pa.RecordBatch:
         """What follows the contexts of the next depth: counts, and the fallback's probability of the word, without this position; for
         contexts of one word its count, which says the same."""
         e = self.entries
         counts = np.bincount(e.place, self.train[self.at[e.open]], len(e.words)).astype(np.uint32)
         first = self.at[e.first]
-        return e.send(self.block, counts, self.word_count[first] if depth == 1 else self.p[first].astype(np.float32))
+        return e.send(self.block, counts, self.word_count[first] if depth == 1 else self.p[first].astype(np.float32), part, parts)
 
 
 def divergence(count: np.ndarray, seen: np.ndarray, fallback: np.ndarray, context: np.ndarray, n: int) -> np.ndarray:
@@ -334,13 +338,13 @@ def _row(table: pa.Table) -> dict:
     return {name: table[name][0].as_py() for name in table.column_names}
 
 
-def _ask(depth: int, buckets: int, stats: Stats):
+def _ask(depth: int, buckets: int, stats: Stats, part: int):
     """What blocks ask once the shorter contexts are known."""
 
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
         at = Positions(_row(block), answers, stats, buckets)
         at.read(depth - 1, 1)
-        out = pa.Table.from_batches([at.ask(depth)])
+        out = pa.Table.from_batches([at.ask(depth, part, PARTS[depth - 1])])
         release_memory()
         return out
 
@@ -414,12 +418,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
         answers = scratch.keep(table.mapInArrow(_ask_words(buckets), blocks.ASK).groupBy("bucket").applyInArrow(_add_up_words, ANSWER), "answers")
         sums = [np.frombuffer(r.totals, np.int64) for r in answers.where(F.col("block") == WORD_SUMS).select("totals").collect()]  # one per bucket
         stats = Stats(int(sum(s[0] for s in sums)), int(sum(s[1] for s in sums)), n_docs)
-        together = lambda run, schema: table.groupBy("block").cogroup(answers.where("block >= 0").groupBy("block")).applyInArrow(run, schema)
         for depth in range(1, DEPTH + 1):
-            asked = together(_ask(depth, buckets, stats), ASK)
-            new = scratch.keep(asked.groupBy("hot", "bucket").applyInArrow(_add_up(depth, stats), ANSWER), "answers")
-            stats.verdicts[depth] = _hot_verdicts(new)
-            answers = answers.union(new)
-        return scratch.finish(together(_scores(stats, buckets), SCORES), "scores")
+            so_far, hot = answers, None
+            for part in range(PARTS[depth - 1]):
+                asked = table.groupBy("block").cogroup(so_far.where("block >= 0").groupBy("block")).applyInArrow(_ask(depth, buckets, stats, part), ASK)
+                new = scratch.keep(asked.groupBy("hot", "bucket").applyInArrow(_add_up(depth, stats), ANSWER), "answers")
+                answers, hot = answers.union(new), new if hot is None else hot.union(new)
+            stats.verdicts[depth] = _hot_verdicts(hot)
+        scored = table.groupBy("block").cogroup(answers.where("block >= 0").groupBy("block")).applyInArrow(_scores(stats, buckets), SCORES)
+        return scratch.finish(scored, "scores")
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")

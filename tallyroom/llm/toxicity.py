@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyroom.llm.common import Scratch, chain, crc_mod, hash_words, mix, release_memory, words_of
+from tallyroom.llm.common import Scratch, chain, crc_mod, hash_words, mix, release_memory, slices, words_of
 from tallyroom.llm.labelled import Calibration, bounded_sample, training_labels
 
 #: Labelled rows of each class from which marking terms are chosen; of each class in the index; of both for calibration.
@@ -128,16 +128,6 @@ class Vectoriser:
         return keys >> HASH_BITS, keys & ((1 << HASH_BITS) - 1), tf
 
 
-def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with about limit bytes of text each, one row at least."""
-    size = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy())
-    start = 0
-    while start < len(size):
-        end = max(start + 1, int(np.searchsorted(size, (size[start - 1] if start else 0) + limit, "right")))
-        yield start, end
-        start = end
-
-
 def _vectors(terms: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectoriser = Vectoriser(terms)
