@@ -42,13 +42,14 @@ def label_host_verdict(rows: DataFrame, aliases: DataFrame, syndication: DataFra
 def clear_collisions(rows: DataFrame, partition: tuple[str, ...] = ("panel",), url: str = "url", seq: str = "id") -> DataFrame:
     """url_kept: null where an earlier row bound the link to a headline that isn't the same story. Only links that pass the screens claim."""
     u = F.col(url)
-    claims = (links.link_safety(u) == "ok") & (links.link_shape(u) == "article")
+    claims = F.coalesce((links.link_safety(u) == "ok") & (links.link_shape(u) == "article"), F.lit(False))
+    # Rows without a claim are no part of any window: they are many, and would be one group.
+    able, rest = rows.where(claims), rows.where(~claims)
     w = Window.partitionBy(*partition, url).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
-    first = F.first(F.when(claims, F.col("title")), ignorenulls=True).over(w)
-    owner = F.first(F.when(claims, F.col(seq)), ignorenulls=True).over(w)
-    out = rows.withColumns({"_first": first, "_owner": owner})
-    loses = u.isNotNull() & F.col("_owner").isNotNull() & (F.col("_owner") < F.col(seq)) & ~text.same_story(F.col("title"), F.col("_first"))
-    return out.withColumn("url_kept", F.when(loses, None).otherwise(u)).drop("_first", "_owner")
+    out = able.withColumns({"_first": F.first("title").over(w), "_owner": F.first(seq).over(w)})
+    loses = (F.col("_owner") < F.col(seq)) & ~text.same_story(F.col("title"), F.col("_first"))
+    kept = out.withColumn("url_kept", F.when(loses, None).otherwise(u)).drop("_first", "_owner")
+    return kept.unionByName(rest.withColumn("url_kept", u))
 
 
 def apply_verdicts(rows: DataFrame, audit: DataFrame, url: str = "url") -> DataFrame:

@@ -38,7 +38,7 @@ def news(spark: SparkSession, sf_dir: str, days: int = 365) -> DataFrame:
     return d.select(
         i.alias("id"),
         F.col("lang").alias("panel"),
-        F.substring(F.element_at(F.split("text", "\n", 2), 1), 1, 120).alias("title"),
+        F.element_at(F.split("text", "\n", 2), 1).alias("title"),
         F.date_add(F.lit("2024-01-01").cast("date"), (i % days).cast("int")).alias("date"),
         F.col("source").alias("source_label"),
         F.when(F.col("toxic") == 1, "high").when(F.col("quality") == 0, "low").otherwise("medium").alias("severity"),
@@ -75,7 +75,7 @@ def _pick(values: list[str], expr: str) -> str:
 
 def news_sql(days: int = 365) -> str:
     return f"""news AS (
-        SELECT d.doc_id AS id, lang AS panel, substr(split_part(text, chr(10), 1), 1, 120) AS title,
+        SELECT d.doc_id AS id, lang AS panel, split_part(text, chr(10), 1) AS title,
                DATE '2024-01-01' + CAST(d.doc_id % {days} AS INTEGER) AS date, source AS source_label,
                CASE WHEN toxic = 1 THEN 'high' WHEN quality = 0 THEN 'low' ELSE 'medium' END AS severity,
                {_pick(CATEGORIES, 'd.doc_id % 6 + 1')} AS category,

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyroom.functions import classify, rules, text
+from tallyroom.functions import classify, links, rules, text
 from tallyroom.operators import audits, linkjobs, prices
 from tallyroom.operators import feed as feed_ops
+from tallyroom.plans import rule_sql
 from tallyroom.plans.adapters import bars, crawl, index, news, table
-from tallyroom.plans.queries import QUERIES, register
+from tallyroom.plans.queries import CRAWL_LINKS, QUERIES, crawl_links, register
 from tallyroom.sources import feeds
 
 HEADLINES = [
@@ -33,39 +34,23 @@ def _blended(spark, sf):
     return news(spark, sf).withColumns({"title": F.concat_ws(" ", literal, "title"), "literal": literal})
 
 
-def _literal_sql(answers: list[str | None]) -> str:
-    values = ", ".join("NULL" if a is None else f"'{a}'" for a in answers)
-    return f"list_extract([{values}], CAST(id % {len(answers)} + 1 AS INTEGER))"
+#: The same rows in SQL: t is the literal and the row's own title.
+_BLEND = ", b AS (SELECT id, list_extract([" + ", ".join(f"'{h}'" for h in HEADLINES) + f"], CAST(id % {len(HEADLINES)} + 1 AS INTEGER)) || ' ' || title AS t FROM news)"
 
 
-#: What the rules say of each headline above.
-TITLE_CATEGORIES = ["TOURISM", "OIL", "FX", "RATES", "GOV_POLICY", "MACRO", "INDUSTRY", "GOV_POLICY", "COMPANY", "INDUSTRY", "MACRO"]
-ASW_CATEGORIES = ["MACRO", "MACRO", "MACRO", "RATES", "GOV_POLICY", "COMPETITOR", "INDUSTRY", "GOV_POLICY", "COMPANY", "MACRO", "COMPANY"]
-BUCKETS = ["macro", "other", "other", "macro", "macro", "company", "other", "other", "company", "company", "company"]
-EVENTS = [None, None, None, "interest", None, "project", None, None, None, None, "presale"]
-
-
-@register("news", f"SELECT id, {_literal_sql(TITLE_CATEGORIES)} AS on_title, {_literal_sql(ASW_CATEGORIES)} AS on_asw FROM news")
+@register("news", f"{_BLEND} SELECT id, {rule_sql.category('t', 'TITLE')} AS on_title, {rule_sql.category('t', 'ASW')} AS on_asw FROM b")
 def categories(spark, sf):
-    t = F.col("literal")
+    t = F.col("title")
     no_hint = F.lit(None).cast("string")
     return _blended(spark, sf).select("id", classify.category(t, no_hint, F.lit("TITLE")).alias("on_title"), classify.category(t, no_hint, F.lit("ASW")).alias("on_asw"))
 
 
-@register("news", f"SELECT id, {_literal_sql(BUCKETS)} AS bucket, {_literal_sql(EVENTS)} AS event FROM news")
+@register("news", f"{_BLEND} SELECT id, {rule_sql.remark_bucket('t')} AS bucket, {rule_sql.event_type('t')} AS event FROM b")
 def remark_buckets(spark, sf):
-    t = F.col("literal")
+    t = F.col("title")
     return _blended(spark, sf).select("id", rules.remark_bucket(t).alias("bucket"), rules.event_type(t).alias("event"))
 
 
-def policy_fingerprints(spark, sf):
-    t = F.col("literal")
-    return _blended(spark, sf).select("id", classify.event_fingerprint(t).alias("fingerprint"), F.array_join(classify.numbers_in(t), ",").alias("numbers"))
-
-
-QUERIES["policy_fingerprints"] = policy_fingerprints
-
-
 @register(None, """WITH c AS (SELECT conv_id, turn, conv_id * 1000 + turn AS id FROM conversations)
     SELECT id, 0 AS block_no, CASE WHEN conv_id % 2 = 0 THEN 'COMPANY' ELSE 'MACRO' END AS category, 'Head ' || id AS headline, 'short text' AS summary, 'HIGH' AS impact_level, 'high' AS severity, 'Bangkok Post' AS source,
            'https://a.co/news/' || id AS url, NULL::VARCHAR AS confidence, DATE '2026-08-15' AS date FROM c""")
@@ -99,34 +84,58 @@ def redate(spark, sf):
     return linkjobs.redate(news(spark, sf).withColumn("found", found)).select("id", "status", "new_date")
 
 
-@register("crawl", """, v AS (SELECT id, CASE id % 6 WHEN 0 THEN 200 WHEN 1 THEN 404 WHEN 2 THEN 403 WHEN 3 THEN 429 WHEN 4 THEN 500 END AS s FROM crawl)
-    SELECT id, CASE WHEN s IS NULL THEN 'timeout' WHEN s = 200 THEN 'valid' WHEN s = 404 THEN 'dead' WHEN s = 403 THEN 'blocked' WHEN s = 429 THEN 'rate_limited' ELSE 'unknown' END AS verdict FROM v""")
+_TITLE = r"regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"
+
+
+@register("crawl", f"""{CRAWL_LINKS}, v AS (SELECT id, link, CASE id % 11 WHEN 0 THEN NULL WHEN 1 THEN 404 WHEN 2 THEN 403 WHEN 3 THEN 429 WHEN 4 THEN 500 ELSE 200 END AS s, CASE WHEN id % 11 = 5 THEN 'Page not found - ' ELSE '' END || {_TITLE} AS t FROM l)
+    SELECT id, CASE WHEN s IS NULL THEN 'timeout' WHEN {rule_sql.link_safety('link')} = 'unsafe' THEN 'unsafe' WHEN s = 404 THEN 'dead' WHEN s = 403 THEN 'blocked' WHEN s = 429 THEN 'rate_limited' WHEN s = 500 THEN 'unknown'
+        WHEN {rule_sql.test('t', linkjobs.NOT_FOUND.replace(chr(92) + 'b404' + chr(92) + 'b', '(?:^|[^A-Za-z0-9_])404(?:$|[^A-Za-z0-9_])'))} THEN 'soft_404' WHEN {rule_sql.link_shape('link')} = 'homepage' THEN 'homepage' ELSE 'valid' END AS verdict FROM v""")
 def crawl_verdicts(spark, sf):
-    k = F.col("id") % 6
-    status = F.when(k == 0, 200).when(k == 1, 404).when(k == 2, 403).when(k == 3, 429).when(k == 4, 500)
-    url = F.concat(F.lit("https://a.co/news/1000"), F.col("id").cast("string"))
-    return crawl(spark, sf).select("id", linkjobs.crawl_verdict(status, F.when(k == 5, "timeout"), url, F.lit("a title")).alias("verdict"))
+    """Pages' own links and titles; codes and errors, which the table lacks, by id."""
+    k = F.col("id") % 11
+    status = F.when(k == 0, None).when(k == 1, 404).when(k == 2, 403).when(k == 3, 429).when(k == 4, 500).otherwise(200)
+    title = F.concat(F.when(k == 5, "Page not found - ").otherwise(""), F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1))
+    return crawl_links(spark, sf).select("id", linkjobs.crawl_verdict(status, F.when(k == 0, "timeout"), F.col("link"), title).alias("verdict"))
 
 
-@register("crawl", "SELECT id, CASE id % 3 WHEN 0 THEN 'match' WHEN 1 THEN 'mismatch' ELSE 'unknown' END AS verdict FROM crawl")
-def label_host_verdicts(spark, sf):
+def _labelled(spark, sf):
+    """Links with labels that name their host, its parent's alias, or neither."""
     k = F.col("id") % 3
-    rows = crawl(spark, sf).select("id", F.when(k == 2, "https://elsewhere.co/news/1").otherwise("https://m.bangkokpost.com/news/1").alias("url"), F.when(k == 0, "Bangkok Post").otherwise("Some Paper").alias("source_label"))
-    aliases = spark.createDataFrame([("bangkokpost.com", "Bangkok Post"), ("naewna.com", "Naewna")], "host string, alias string")
-    return linkjobs.label_host_verdict(rows, aliases, spark.createDataFrame([("msn.com",)], "host string"))
+    first = F.upper(F.element_at(F.split(links.host_of(F.col("url")), r"\."), 1))
+    label = F.when(k == 0, F.concat(first, F.lit(" Daily"))).when(k == 1, "The Example Post").otherwise("Some Paper")
+    return crawl_links(spark, sf).select("id", F.lit("p").alias("panel"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("title"), "link", "url", label.alias("source_label"))
 
 
-@register("news", """, n AS (SELECT id, panel, 'story number ' || (id % 2) || ' told here' AS title, 'https://a.co/news/1234' || (id % 50) AS url FROM news),
-    f AS (SELECT *, first_value(title) OVER (PARTITION BY panel, url ORDER BY id) AS ft FROM n) SELECT id, url AS url_kept FROM f""")
+_LABELLED = f", h AS (SELECT id, link, {rule_sql.host('url')} AS own, {rule_sql.host('link')} AS host FROM l), lab AS (SELECT *, CASE id % 3 WHEN 0 THEN upper(split_part(own, '.', 1)) || ' Daily' WHEN 1 THEN 'The Example Post' ELSE 'Some Paper' END AS label, regexp_matches(host, '(^|\\.)example\\.com$') AS listed FROM h)"
+#: A label matches by the first part of its host, or of the listed parent, or by the parent's alias; a listed host with another label is a mismatch.
+_VERDICT = "CASE WHEN contains(lower(label), CASE WHEN listed THEN 'example' ELSE split_part(host, '.', 1) END) OR (listed AND contains(lower(label), 'example')) THEN 'match' WHEN listed THEN 'mismatch' ELSE 'unknown' END"
+
+
+def _publishers(spark):
+    return spark.createDataFrame([("example.com", "Example")], "host string, alias string"), spark.createDataFrame([("msn.com",)], "host string")
+
+
+@register("crawl", f"{CRAWL_LINKS}{_LABELLED} SELECT id, {_VERDICT} AS verdict FROM lab")
+def label_host_verdicts(spark, sf):
+    return linkjobs.label_host_verdict(_labelled(spark, sf), *_publishers(spark), url="link")
+
+
+_CLAIMED = "SELECT *, first_value(title) OVER (PARTITION BY panel, url ORDER BY id) AS ft, first_value(id) OVER (PARTITION BY panel, url ORDER BY id) AS fi FROM n"
+
+
+@register("news", f""", n AS (SELECT id, panel, 'one two three four five six seven eight ' || title AS title, 'https://a.co/news/1234' || (id % 50) AS url FROM news WHERE title IS NOT NULL),
+    f AS ({_CLAIMED}) SELECT id, CASE WHEN id = fi OR {rule_sql.same_story('title', 'ft', text.STORY_STOP)} THEN url END AS url_kept FROM f""")
 def url_collisions_same_story(spark, sf):
-    rows = news(spark, sf).select("id", "panel", F.concat(F.lit("story number "), F.col("id") % 2, F.lit(" told here")).alias("title"), F.concat(F.lit("https://a.co/news/1234"), F.col("id") % 50).alias("url"))
+    rows = news(spark, sf).where("title is not null").select("id", "panel", F.concat(F.lit("one two three four five six seven eight "), F.col("title")).alias("title"), F.concat(F.lit("https://a.co/news/1234"), F.col("id") % 50).alias("url"))
     return linkjobs.clear_collisions(rows).select("id", "url_kept")
 
 
-@register("news", """, n AS (SELECT id, panel, CASE WHEN id % 3 = 0 THEN 'alpha beta gamma' ELSE 'delta epsilon zeta' END AS title, 'https://a.co/news/1234' || (id % 50) AS url FROM news),
-    f AS (SELECT *, first_value(title) OVER (PARTITION BY panel, url ORDER BY id) AS ft FROM n) SELECT id, CASE WHEN ft = title THEN url END AS url_kept FROM f""")
+@register("news", f""", n AS (SELECT id, panel, title, CASE WHEN id % 4 > 0 THEN 'https://a.co/news/1234' || (id % 50) END AS url FROM news WHERE title IS NOT NULL),
+    f AS ({_CLAIMED}) SELECT id, CASE WHEN id = fi OR {rule_sql.same_story('title', 'ft', text.STORY_STOP)} THEN url END AS url_kept FROM f""")
 def url_collisions(spark, sf):
-    rows = news(spark, sf).select("id", "panel", F.when(F.col("id") % 3 == 0, "alpha beta gamma").otherwise("delta epsilon zeta").alias("title"), F.concat(F.lit("https://a.co/news/1234"), F.col("id") % 50).alias("url"))
+    """Rows' own titles; a quarter of the rows has no link."""
+    url = F.when(F.col("id") % 4 > 0, F.concat(F.lit("https://a.co/news/1234"), F.col("id") % 50))
+    rows = news(spark, sf).where("title is not null").select("id", "panel", "title", url.alias("url"))
     return linkjobs.clear_collisions(rows).select("id", "url_kept")
 
 
@@ -199,27 +208,29 @@ def title_mismatches(spark, sf):
     return audits.title_verdicts(n.join(other, "id").select("id", F.col("title").alias("headline"), "page_title", F.lit("a.co").alias("host")))
 
 
-@register("news", """, n AS (SELECT id % 4 AS k FROM news) SELECT CASE k WHEN 0 THEN 'unsafe' WHEN 1 THEN 'homepage' WHEN 2 THEN 'mismatch' ELSE 'ok' END AS reason, count(*) AS n, count(*) FILTER (k = 3) AS kept FROM n GROUP BY ALL""")
+@register("crawl", f"""{CRAWL_LINKS}{_LABELLED}, r AS (SELECT CASE WHEN {rule_sql.link_safety('link')} = 'unsafe' THEN 'unsafe' WHEN {rule_sql.link_shape('link')} = 'homepage' THEN 'homepage' WHEN {_VERDICT} = 'mismatch' THEN 'mismatch'
+    WHEN first_value(id) OVER (PARTITION BY link ORDER BY id) <> id THEN 'collision' ELSE 'ok' END AS reason FROM lab) SELECT reason, count(*) AS n, count(*) FILTER (reason = 'ok') AS kept FROM r GROUP BY ALL""")
 def link_vet_report(spark, sf):
-    k = F.col("id") % 4
-    path = F.concat(F.lit("news/1000"), F.col("id").cast("string"))
-    url = F.when(k == 0, "http://10.0.0.1/x").when(k == 1, "https://bangkokpost.com/").otherwise(F.concat(F.lit("https://bangkokpost.com/"), path))
-    rows = news(spark, sf).select("id", "panel", "title", url.alias("url"), F.when(k == 2, "Naewna").otherwise("Bangkok Post").alias("source_label"))
-    aliases = spark.createDataFrame([("bangkokpost.com", "Bangkok Post"), ("naewna.com", "Naewna")], "host string, alias string")
-    return audits.vet_report(audits.link_vet(rows, aliases, spark.createDataFrame([("msn.com",)], "host string")))
+    rows = _labelled(spark, sf).drop("url").withColumnRenamed("link", "url")
+    return audits.vet_report(audits.link_vet(rows, *_publishers(spark)))
 
 
-@register("news", "SELECT id, CASE WHEN id % 2 = 0 THEN 'https://m.b.co/news/1000' || id END AS url_kept FROM news")
+@register("crawl", f"""{CRAWL_LINKS}, g AS (SELECT id, link, {rule_sql.host('link')} AS host, CASE WHEN id % 2 = 0 THEN regexp_replace({rule_sql.host('url')}, '^[^.]+[.]', '') ELSE 'other.org' END AS cited FROM l)
+    SELECT id, CASE WHEN {rule_sql.link_safety('link')} = 'ok' AND {rule_sql.link_shape('link')} = 'article' AND (host = cited OR ends_with(host, '.' || cited) OR ends_with(cited, '.' || host)) THEN link END AS url_kept FROM g""")
 def grounded_links(spark, sf):
-    url = F.concat(F.lit("https://m.b.co/news/1000"), F.col("id").cast("string"))
-    rows = news(spark, sf).select("id", url.alias("url"), F.when(F.col("id") % 2 == 0, F.array(F.lit("b.co"))).otherwise(F.array(F.lit("c.co"))).alias("cited_hosts"))
+    """Pages' links against the parent of their own host, or another one."""
+    cited = F.when(F.col("id") % 2 == 0, F.regexp_replace(links.host_of(F.col("url")), "^[^.]+[.]", "")).otherwise("other.org")
+    rows = crawl_links(spark, sf).select("id", F.col("link").alias("url"), F.array(cited).alias("cited_hosts"))
     return audits.grounded_links(rows).select("id", "url_kept")
 
 
-@register("news", "SELECT id, CASE WHEN id % 2 = 0 THEN 1 ELSE 0 END AS position FROM news")
+@register("news", """, n AS (SELECT id, coalesce(lower(source_label), '') AS s, lower('src' || (id % 3)) AS a, lower('src' || (id % 19) || ' online') AS b FROM news)
+    SELECT id, CASE WHEN s <> '' AND (contains(s, a) OR contains(a, s)) THEN 0 WHEN s <> '' AND (contains(s, b) OR contains(b, s)) THEN 1 ELSE 0 END AS position FROM n""")
 def best_chunks(spark, sf):
-    items = news(spark, sf).select("id", F.when(F.col("id") % 2 == 0, "Bangkok Post Online").otherwise("Nobody").alias("source"))
-    chunks = items.select("id", F.posexplode(F.array(F.lit("Naewna"), F.lit("Bangkok Post"))).alias("position", "title")).withColumn("uri", F.lit("u"))
+    """Rows' own source labels against two grounding chunks."""
+    number = lambda m: F.concat(F.lit("src"), (F.col("id") % m).cast("string"))
+    items = news(spark, sf).select("id", F.col("source_label").alias("source"))
+    chunks = items.select("id", F.posexplode(F.array(number(3), F.concat(number(19), F.lit(" online")))).alias("position", "title")).withColumn("uri", F.lit("u"))
     return audits.best_chunk(items, chunks).select("id", "position")
 
 

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyroom.functions import dates, links, rules, text
+from tallyroom.functions import classify, dates, links, rules, text
 from tallyroom.operators import dedup, feed, prices, tables
+from tallyroom.plans import rule_sql
 from tallyroom.plans.adapters import bars, crawl, index, news, runs, ticks, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -578,30 +579,71 @@ def sanitized_urls(spark, sf):
     return crawl(spark, sf).select("id", links.sanitize_url(dirty).alias("clean"))
 
 
+def crawl_links(spark, sf):
+    """Pages with a link: their own, or one of their host with a form that screens look for."""
+    k, host = F.col("id") % 7, links.host_of(F.col("url"))
+    of_host = lambda *parts: F.concat(F.lit("https://"), host, *(p if not isinstance(p, str) else F.lit(p) for p in parts))
+    n = F.col("id").cast("string")
+    link = (
+        F.when(k == 1, F.concat(F.lit("http://10.0."), (F.col("id") % 200).cast("string"), F.lit(".7/news/12345")))
+        .when(k == 2, F.concat(F.lit("https://user:pw@"), host, F.lit("/news/12345")))
+        .when(k == 3, of_host("/"))
+        .when(k == 4, of_host("/category/", n))
+        .when(k == 5, of_host("/news/", (F.col("id") + 100000).cast("string"), "?utm_source=a&b=2&a=1"))
+        .when(k == 6, of_host("//2024//05/some-long-slug-", n, "/#top"))
+        .otherwise(F.col("url"))
+    )
+    return crawl(spark, sf).withColumn("link", link)
+
+
+_HOST = rule_sql.host("url")
+CRAWL_LINKS = f""", l AS (SELECT *, CASE id % 7 WHEN 1 THEN 'http://10.0.' || (id % 200) || '.7/news/12345' WHEN 2 THEN 'https://user:pw@' || {_HOST} || '/news/12345' WHEN 3 THEN 'https://' || {_HOST} || '/'
+    WHEN 4 THEN 'https://' || {_HOST} || '/category/' || id WHEN 5 THEN 'https://' || {_HOST} || '/news/' || (id + 100000) || '?utm_source=a&b=2&a=1' WHEN 6 THEN 'https://' || {_HOST} || '//2024//05/some-long-slug-' || id || '/#top' ELSE url END AS link FROM crawl)"""
+
+
+@register("crawl", f"{CRAWL_LINKS} SELECT id, {rule_sql.canonical_url('link')} AS canonical FROM l")
 def canonical_urls(spark, sf):
-    return crawl(spark, sf).select("id", links.canonical_url(F.col("url")).alias("canonical"))
+    return crawl_links(spark, sf).select("id", links.canonical_url(F.col("link")).alias("canonical"))
 
 
+@register("crawl", f"{CRAWL_LINKS} SELECT id, {rule_sql.link_shape('link')} AS shape, {rule_sql.link_safety('link')} AS safety FROM l")
 def link_shapes(spark, sf):
-    u = F.col("url")
-    return crawl(spark, sf).select("id", links.link_shape(u).alias("shape"), links.link_safety(u).alias("safety"))
+    u = F.col("link")
+    return crawl_links(spark, sf).select("id", links.link_shape(u).alias("shape"), links.link_safety(u).alias("safety"))
+
 
+#: A policy measure that the reference's event rules know, in front of three titles of four; the others name none.
+POLICY = ["รัฐต่ออายุลดค่าโอน", "กนง. คงอัตราดอกเบี้ยนโยบาย", "ครม. เตรียมขยายมาตรการ LTV"]
 
-QUERIES |= {f.__name__: f for f in (canonical_urls, link_shapes)}
 
+def _policy_news(spark, sf):
+    lead = F.element_at(F.array(*map(F.lit, POLICY)), (F.col("id") % 4).cast("int"))
+    n = news(spark, sf)
+    titled = F.when(F.col("id") % 4 == 0, F.col("title")).otherwise(F.concat_ws(" ", lead, "title"))
+    return n.withColumn("title", titled).withColumn("fingerprint", classify.event_fingerprint(titled))
+
+
+_LEAD = "CASE WHEN id % 4 = 0 THEN title ELSE list_extract([" + ", ".join(f"'{x}'" for x in POLICY) + "], CAST(id % 4 AS INTEGER)) || ' ' || title END"
+_EVENTS = f", t AS (SELECT * REPLACE ({_LEAD} AS title) FROM news), e AS (SELECT *, {rule_sql.fingerprint('title')} AS fingerprint FROM t)"
 
-@register("news", """, w AS (SELECT panel, category AS fingerprint, id, date, CASE WHEN date - lag(date) OVER (PARTITION BY panel, category ORDER BY date, id) > 14 THEN 1 ELSE 0 END AS g FROM news)
+
+@register("news", _EVENTS + """, w AS (SELECT panel, fingerprint, id, date, CASE WHEN date - lag(date) OVER (PARTITION BY panel, fingerprint ORDER BY date, id) > 14 THEN 1 ELSE 0 END AS g FROM e WHERE fingerprint IS NOT NULL)
     SELECT id, sum(g) OVER (PARTITION BY panel, fingerprint ORDER BY date, id ROWS UNBOUNDED PRECEDING)::BIGINT AS run FROM w""")
 def event_runs(spark, sf):
-    return dedup.event_runs(news(spark, sf).withColumn("fingerprint", F.col("category"))).select("id", "run")
+    return dedup.event_runs(_policy_news(spark, sf)).select("id", "run")
 
 
-@register("news", """, w AS (SELECT panel, category AS fingerprint, id, date, title, CASE WHEN date - lag(date) OVER (PARTITION BY panel, category ORDER BY date, id) > 2 THEN 1 ELSE 0 END AS g FROM news),
+@register("news", _EVENTS + """, w AS (SELECT panel, fingerprint, id, date, title, CASE WHEN date - lag(date) OVER (PARTITION BY panel, fingerprint ORDER BY date, id) > 2 THEN 1 ELSE 0 END AS g FROM e WHERE fingerprint IS NOT NULL),
     r AS (SELECT *, sum(g) OVER (PARTITION BY panel, fingerprint ORDER BY date, id ROWS UNBOUNDED PRECEDING)::BIGINT AS run FROM w),
-    k AS (SELECT *, row_number() OVER (PARTITION BY panel, fingerprint, run ORDER BY date, length(title) DESC, id) AS rn FROM r)
-    SELECT panel, fingerprint, run, min(id) FILTER (rn = 1) AS keep, string_agg(id, ',' ORDER BY id) FILTER (rn > 1) AS duplicates, min(date) AS first_date, max(date) AS last_date FROM k GROUP BY ALL HAVING count(*) > 1""")
+    k AS (SELECT *, first_value(id) OVER (PARTITION BY panel, fingerprint, run ORDER BY date, length(title) DESC, id) AS keep, min(date) OVER (PARTITION BY panel, fingerprint, run) AS first_date, max(date) OVER (PARTITION BY panel, fingerprint, run) AS last_date FROM r)
+    SELECT panel, fingerprint, run, keep, id AS duplicate, first_date, last_date FROM k WHERE id <> keep""")
 def event_clusters(spark, sf):
-    return dedup.event_clusters(news(spark, sf).withColumn("fingerprint", F.col("category")), 2).withColumn("duplicates", F.array_join(F.transform("duplicates", lambda x: x.cast("string")), ","))
+    return dedup.event_clusters(_policy_news(spark, sf), 2)
+
+
+@register("news", _EVENTS + " SELECT id, fingerprint FROM e")
+def policy_fingerprints(spark, sf):
+    return _policy_news(spark, sf).select("id", "fingerprint")
 
 
 @register("news30", f""", n AS (SELECT id, panel, date, {_DEDUP} AS norm, {_NUMBERS} AS nums FROM news), g AS (SELECT *, {_GRAMS} AS s FROM n),

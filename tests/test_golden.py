@@ -45,9 +45,10 @@ def test_event_fingerprints(spark):
 def test_event_clusters(spark):
     d = datetime.date
     rows = [(3, d(2026, 8, 4), "a"), (1, d(2026, 8, 2), "a"), (2, d(2026, 8, 4), "a"), (7, d(2025, 6, 1), "b"), (8, d(2026, 6, 1), "b")]
+    rows += [(20 + i, d(2026, 8, 4), None) for i in range(3)]  # no policy measure: grouped with nothing
     df = spark.createDataFrame(rows, "id int, date date, fingerprint string").withColumns({"panel": F.lit("p"), "title": F.lit("t")})
     got = dedup.event_clusters(df).collect()
-    assert [(r.keep, r.duplicates) for r in got] == [(1, [2, 3])]
+    assert sorted((r.keep, r.duplicate) for r in got) == [(1, 2), (1, 3)]
 
 
 def test_numbers(spark):
@@ -88,6 +89,20 @@ def test_near_duplicates_against_brute_force(spark, sf):
     assert sorted(r.id for r in dedup.first_kept(news(spark, sf, 10).select("id"), pairs).collect()) == kept
 
 
+def test_hours_between_headlines(spark):
+    ts = lambda h: datetime.datetime(2026, 1, 1) + datetime.timedelta(hours=h)
+    df = spark.createDataFrame([(i, "p", "Company lifts presale target to eleven million", ts(h), "s") for i, h in enumerate((0, 30, 70))], "id long, panel string, title string, date timestamp, source_label string")
+    pairs = lambda hours: sorted((r.a, r.b) for r in dedup.near_dup_pairs(dedup.headline_keys(df), hours).collect())
+    assert pairs(12) == [] and pairs(36) == [(0, 1)] and pairs(48) == [(0, 1), (1, 2)] and len(pairs(96)) == 3
+
+
+def test_long_chains_of_copies_are_resolved(spark):
+    """Each row matches the next: every other one stays, however long the chain."""
+    ids = spark.range(31)
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(30)], "a long, b long")
+    assert sorted(r.id for r in dedup.first_kept(ids, pairs).collect()) == list(range(0, 31, 2))
+
+
 def test_rescale(spark):
     d = datetime.date
     points = lambda *v: spark.createDataFrame([(d(2026, 8, 11 + i), float(x)) for i, x in enumerate(v)], "date date, close double")
