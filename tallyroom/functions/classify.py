@@ -178,3 +178,47 @@ def remarks(company: Column, sector: Column, macro: Column) -> Column:
     pick = lambda c: F.nullif(F.trim(c), F.lit(""))
     bucket = F.when(pick(company).isNotNull(), "company").when(pick(sector).isNotNull(), "sector").when(pick(macro).isNotNull(), "macro")
     return F.struct(F.coalesce(pick(company), pick(sector), pick(macro)).alias("remark"), bucket.alias("category"))
+
+
+_B, _E = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
+#: Which company a headline names, and the spellings of which a result must have one; the first that matches.
+ALIAS_RULES = [
+    ("(?i)ASW|Assetwise|แอสเซทไวส์|แอสเสทไวส์", ["ASW", "Assetwise", "แอสเซทไวส์", "แอสเสทไวส์"]),
+    (rf"(?i){_B}AP{_E}.*Thailand|เอพี\s*ไทยแลนด์|แอ็น\s*ไทยแลนด์", ["AP", "เอพี", "แอ็น"]),
+    (f"(?i){_B}LH{_E}|แลนด์แอนด์เฮ้าส์", ["LH", "แลนด์แอนด์เฮ้าส์", "แลนด์ แอนด์ เฮ้าส์"]),
+    (rf"(?i){_B}ORN{_E}|นาวี่\s*แอสเซท", ["ORN", "นาวี่"]),
+    ("(?i)SPALI|ศุภาลัย", ["SPALI", "ศุภาลัย"]),
+    ("(?i)SIRI|แสนสิริ", ["SIRI", "แสนสิริ"]),
+    ("(?i)NOBLE|โนเบล|โนเบิล", ["NOBLE", "โนเบล", "โนเบิล"]),
+    (f"(?i){_B}ORI{_E}|ออริจิ้น", ["ORI", "ออริจิ้น"]),
+    (f"(?i){_B}QH{_E}|ควอลิตี้เฮ้าส์|ควอลิตี้เฮาส์", ["QH", "ควอลิตี้เฮ้าส์", "ควอลิตี้เฮาส์"]),
+    ("(?i)PRUK|พฤกษา", ["PRUK", "PSH", "พฤกษา"]),
+    ("(?i)PROUD|พรู๊ด", ["PROUD", "พรู๊ด"]),
+    (rf"(?i){_B}PS{_E}\s*Property|เพอร์เฟค|Perfect", ["PF", "เพอร์เฟค", "Perfect"]),
+    ("(?i)SENA|เซนา", ["SENA", "เซนา"]),
+    (f"(?i){_B}BTS{_E}|บีทีเอส", ["BTS", "บีทีเอส"]),
+    ("(?i)ANAN|อนันดา", ["ANAN", "อนันดา"]),
+    (rf"(?i){_B}LPN{_E}|แอล\.พี\.เอ็น|ลาดพร้าว\s*เน็ท", ["LPN", "แอล.พี.เอ็น", "แอลพีเอ็น"]),
+    (f"(?i){_B}SPF{_E}|ศรีสวัสดิ์", ["SPF", "ศรีสวัสดิ์"]),
+    (f"(?i){_B}AF{_E}|อาร์เอฟ", ["RF", "AF", "อาร์เอฟ"]),
+    (f"(?i){_B}DRE{_E}|ดิแอสเซท", ["DRE", "ดิแอสเซท"]),
+    (rf"(?i){_B}RML{_E}|ราชมงคล\s*พร็อพเพอร์ตี้", ["RML", "ราชมงคล"]),
+    (rf"(?i){_B}B\*M{_E}|แบม", ["BM", "แบม"]),
+    (rf"(?i){_B}LALIN{_E}|ลลิล\s*พร็อพเพอร์ตี้", ["LALIN", "ลลิล"]),
+    (f"(?i){_B}MBK{_E}|เอ็มบีเค", ["MBK", "เอ็มบีเค"]),
+    (rf"(?i){_B}S&P{_E}|ศุภกิจ\s*พร็อพเพอร์ตี้", ["SP", "ศุภกิจ"]),
+    (rf"(?i){_B}STEC{_E}|สิงหะ\s*พร็อพเพอร์ตี้", ["STEC", "สิงหะ"]),
+    (f"(?i){_B}CHAN{_E}|ชน", ["CHAN", "ชน"]),
+    (f"(?i){_B}RABBIT{_E}|แรบบิท", ["RABBIT", "แรบบิท"]),
+    (f"(?i){_B}ROJANA{_E}|โรจนะ", ["ROJANA", "โรจนะ"]),
+    ("(?i)TRIS|ทริส", ["TRIS", "ทริส"]),
+    (f"(?i)ธปท|BOT{_E}", ["ธปท", "BOT", "ธนาคารแห่งประเทศไทย"]),
+    ("(?i)กนง", ["กนง"]),
+    ("(?i)Fed|เฟด", ["Fed", "เฟด"]),
+]
+
+
+def required_aliases(c: Column) -> Column:
+    """Spellings of the company that a headline names; none if it names no known one."""
+    cases = [F.when(c.rlike(p), F.array(*map(F.lit, names))) for p, names in ALIAS_RULES]
+    return F.coalesce(*cases, F.array().cast("array<string>"))

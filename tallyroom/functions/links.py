@@ -76,3 +76,12 @@ def link_safety(c: Column) -> Column:
     named = host.rlike(r"^(localhost|.*\.(local|internal|localhost)|metadata(\..*)?)$") | host.rlike(r"^\[?(::1|fe80:|f[cd][0-9a-f]{2}:)")
     bad = ~c.rlike("(?i)^https?://") | host.isNull() | F.try_parse_url(c, F.lit("USERINFO")).isNotNull() | (numeric & private) | named | c.rlike(REDIRECT)
     return F.when(F.coalesce(bad, F.lit(True)), "unsafe").otherwise("ok")
+
+
+def publisher_url(c: Column) -> Column:
+    """The publisher's link inside a click tracker's url parameter, or the link itself; '' where neither is usable."""
+    plain = F.coalesce(c, F.lit(""))
+    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        plain = F.replace(plain, F.lit(entity), F.lit(sign))
+    inner = F.try_url_decode(F.regexp_extract(plain, "[?&]url=([^&]+)", 1))
+    return F.when(is_usable_link(inner), inner).when(is_usable_link(plain), plain).otherwise("")

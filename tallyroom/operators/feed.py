@@ -231,3 +231,31 @@ def actionable(df: DataFrame, statuses: list[str], forbidden: tuple[str, ...] =
 def shared_urls(df: DataFrame, url: str = "url", title: str = "title") -> DataFrame:
     """Links that stand with more than one headline."""
     return df.groupBy(url).agg(F.count_distinct(title).alias("titles"), F.count(F.lit(1)).alias("n")).where("titles > 1")
+
+
+def read_digest(digests: DataFrame, date=None, key: str = "panel") -> DataFrame:
+    """Each panel's digest of a date, or its latest."""
+    if date is not None:
+        return digests.where(F.col("date") == F.lit(date).cast("date"))
+    last = digests.groupBy(key).agg(F.max("date").alias("date"))
+    return digests.join(last, [key, "date"], "left_semi")
+
+
+def read_digests(digests: DataFrame, key: str = "panel") -> DataFrame:
+    """All digests, by date."""
+    return digests.orderBy(key, "date")
+
+
+def reclassify(df: DataFrame, rules: list[tuple[Column, str]], otherwise: str, promotions: list[tuple[str, Column, str]] = ()) -> DataFrame:
+    """category_before and category of stored rows: the first rule that holds, or otherwise; then each promotion
+    (from, condition, to) in turn. Rules see the stored category, which a second run finds replaced."""
+    first = F.coalesce(*(F.when(condition, F.lit(label)) for condition, label in rules), F.lit(otherwise))
+    out = df.withColumn("category_before", F.col("category")).withColumn("category", first)
+    for old, condition, new in promotions:
+        out = out.withColumn("category", F.when((F.col("category") == old) & F.coalesce(condition, F.lit(False)), new).otherwise(F.col("category")))
+    return out
+
+
+def category_moves(reclassified: DataFrame) -> DataFrame:
+    """Rows per stored and new category."""
+    return reclassified.groupBy("category_before", "category").agg(F.count(F.lit(1)).alias("n"))

@@ -79,3 +79,17 @@ def delete_rows(target: DataFrame, ids: DataFrame, previewed: int | None = None,
 def ensure_columns(df: DataFrame, spec: dict[str, tuple[str, object]]) -> DataFrame:
     """Missing columns with their type and default; existing values are never rewritten."""
     return df.withColumns({name: F.lit(default).cast(kind) for name, (kind, default) in spec.items() if name not in df.columns})
+
+
+def upsert_digest(target: DataFrame, updates: DataFrame, on: tuple[str, ...] = ("panel", "date"), order: str = "generated_at") -> DataFrame:
+    """Digests after an upsert: each key's last update replaces the stored row whole, empty columns included."""
+    w = Window.partitionBy(*on).orderBy(F.desc_nulls_last(order))
+    last = updates.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select(*target.columns)
+    return target.join(last.select(*on), list(on), "left_anti").unionByName(last)
+
+
+def link_defaults(rows: DataFrame) -> DataFrame:
+    """Link columns of rows to insert: unchecked without a status, no attempts, verified as given or where the status is valid."""
+    status = F.coalesce("source_url_status", F.lit("unchecked"))
+    verified = F.coalesce("url_verified", F.coalesce(F.col("source_url_status") == "valid", F.lit(False)))
+    return rows.withColumns({"url_verified": verified, "source_url_status": status, "source_url_check_attempts": F.coalesce("source_url_check_attempts", F.lit(0))})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyroom.functions import classify, links, rules, text
-from tallyroom.operators import audits, linkjobs, prices
+from tallyroom.operators import audits, linkjobs, prices, tables
 from tallyroom.operators import feed as feed_ops
 from tallyroom.plans import rule_sql
 from tallyroom.plans.adapters import bars, crawl, index, news, table
@@ -235,3 +235,92 @@ def best_chunks(spark, sf):
 
 
 QUERIES["title_mismatches"] = title_mismatches
+
+
+def _digests(spark, sf):
+    """A digest per panel and date: the titles' number and first title of the day."""
+    return news(spark, sf).groupBy("panel", "date").agg(F.min_by("title", "id").alias("headline"), F.count(F.lit(1)).cast("int").alias("source_count"), F.max("fetched_at").alias("generated_at"))
+
+
+_DIGESTS = ", d AS (SELECT panel, date, arg_min(title, id) AS headline, count(*)::INTEGER AS source_count, max(fetched_at) AS generated_at FROM news GROUP BY panel, date)"
+
+
+@register("news", f"{_DIGESTS} SELECT * FROM d WHERE (panel, date) IN (SELECT (panel, max(date)) FROM d GROUP BY panel)")
+def latest_digests(spark, sf):
+    return feed_ops.read_digest(_digests(spark, sf))
+
+
+@register("news", f"{_DIGESTS} SELECT * FROM d WHERE date = DATE '2024-03-01'")
+def digests_of_a_day(spark, sf):
+    return feed_ops.read_digest(_digests(spark, sf), "2024-03-01")
+
+
+@register("news", f"{_DIGESTS} SELECT * FROM d")
+def all_digests(spark, sf):
+    return feed_ops.read_digests(_digests(spark, sf))
+
+
+@register("news", """, t AS (SELECT panel, date, arg_min(title, id) AS headline, count(*)::INTEGER AS source_count, max(fetched_at) AS generated_at FROM news WHERE date < DATE '2024-09-01' GROUP BY panel, date),
+    u AS (SELECT panel, date, CASE WHEN id % 2 = 0 THEN title END AS headline, 1 AS source_count, fetched_at AS generated_at, row_number() OVER (PARTITION BY panel, date ORDER BY fetched_at DESC) AS rn FROM news WHERE date >= DATE '2024-06-01')
+    SELECT panel, date, headline, source_count, generated_at FROM u WHERE rn = 1 UNION ALL SELECT * FROM t WHERE date < DATE '2024-06-01' OR NOT EXISTS (SELECT 1 FROM u WHERE u.panel IS NOT DISTINCT FROM t.panel AND u.date = t.date)""")
+def upsert_digests(spark, sf):
+    """Digests of the first months, and updates from June on of which a key's last one wins, without a headline too."""
+    n = news(spark, sf)
+    stored = n.where("date < DATE '2024-09-01'").groupBy("panel", "date").agg(F.min_by("title", "id").alias("headline"), F.count(F.lit(1)).cast("int").alias("source_count"), F.max("fetched_at").alias("generated_at"))
+    updates = n.where("date >= DATE '2024-06-01'").select("panel", "date", F.when(F.col("id") % 2 == 0, F.col("title")).alias("headline"), F.lit(1).alias("source_count"), F.col("fetched_at").alias("generated_at"))
+    return tables.upsert_digest(stored, updates)
+
+
+@register("news", """SELECT id, CASE WHEN id % 3 > 0 THEN hidden ELSE id % 5 = 1 END AS url_verified, CASE WHEN id % 5 = 1 THEN 'valid' WHEN id % 5 = 2 THEN 'dead' ELSE 'unchecked' END AS source_url_status,
+    CASE WHEN id % 2 = 0 THEN 3 ELSE 0 END AS source_url_check_attempts FROM news""")
+def insert_defaults(spark, sf):
+    """Given values stay: the row's hidden mark serves as a caller's own verified mark on two rows of three."""
+    k = F.col("id") % 5
+    rows = news(spark, sf).select("id", F.when(F.col("id") % 3 > 0, F.col("hidden")).alias("url_verified"), F.when(k == 1, "valid").when(k == 2, "dead").alias("source_url_status"), F.when(F.col("id") % 2 == 0, 3).alias("source_url_check_attempts"))
+    return tables.link_defaults(rows)
+
+
+_ALIASES = "CASE " + " ".join(f"WHEN {rule_sql.test('t', p)} THEN '{','.join(names)}'" for p, names in classify.ALIAS_RULES) + " ELSE '' END"
+
+
+@register("news", f"{_BLEND} SELECT id, {_ALIASES} AS aliases FROM b")
+def required_aliases(spark, sf):
+    return _blended(spark, sf).select("id", F.array_join(classify.required_aliases(F.col("title")), ",").alias("aliases"))
+
+
+@register("crawl", f"""{CRAWL_LINKS}, c AS (SELECT id, CASE WHEN id % 3 = 0 THEN 'http://www.b.co/apiclick.aspx?ref=x&amp;url=' || replace(replace(link, ':', '%3a'), '/', '%2f') || '&amp;c=1' WHEN id % 3 = 1 THEN link ELSE 'http://b.co/?url=none' END AS c, link FROM l)
+    SELECT id, CASE WHEN id % 3 = 2 THEN c WHEN regexp_matches(CASE WHEN id % 3 = 0 THEN split_part(link, '&', 1) ELSE link END, '^https?://[^/]+/?$') THEN CASE WHEN id % 3 = 0 THEN replace(c, '&amp;', '&') ELSE '' END ELSE CASE WHEN id % 3 = 0 THEN split_part(link, '&', 1) ELSE link END END AS publisher FROM c""")
+def publisher_urls(spark, sf):
+    """Links behind a click tracker, bare ones, and a tracker without a link."""
+    k = F.col("id") % 3
+    tracked = F.concat(F.lit("http://www.b.co/apiclick.aspx?ref=x&amp;url="), F.replace(F.replace("link", F.lit(":"), F.lit("%3a")), F.lit("/"), F.lit("%2f")), F.lit("&amp;c=1"))
+    c = F.when(k == 0, tracked).when(k == 1, F.col("link")).otherwise("http://b.co/?url=none")
+    return crawl_links(spark, sf).select("id", links.publisher_url(c).alias("publisher"))
+
+
+def _retitled(t, company):
+    gov = ["(?i)LTV|ค่าโอน|ค่าจดจำนอง|สมาคมบ้านจัดสรร|มาตรการอสังหาฯ", "ลดค่าธรรมเนียม.*(โอน|จดจำนอง|จดทะเบียน|อสังหาฯ|ที่อยู่อาศัย)"]
+    return [(company, "COMPANY"), (t.rlike(classify.RATES), "RATES"), (t.rlike(gov[0]) | t.rlike(gov[1]), "GOV_POLICY"), (F.col("category") == "OIL", "ENERGY"), (t.rlike(classify.ASW_INDUSTRY), "INDUSTRY")]
+
+
+_COMPANY = "(?i)ASW|Assetwise|แอสเซทไวส์|แอสเสทไวส์"
+
+
+@register("news", f"""{_BLEND}, x AS (SELECT n.id, n.category AS old, b.t FROM news n JOIN b USING (id)), y AS (SELECT old, CASE WHEN {rule_sql.test('t', _COMPANY)} THEN 'COMPANY' WHEN {rule_sql.test('t', classify.RATES)} THEN 'RATES'
+    WHEN {rule_sql.test('t', '(?i)LTV|ค่าโอน|ค่าจดจำนอง|สมาคมบ้านจัดสรร|มาตรการอสังหาฯ')} OR {rule_sql.test('t', 'ลดค่าธรรมเนียม.*(โอน|จดจำนอง|จดทะเบียน|อสังหาฯ|ที่อยู่อาศัย)')} THEN 'GOV_POLICY' WHEN old = 'OIL' THEN 'ENERGY' WHEN {rule_sql.test('t', classify.ASW_INDUSTRY)} THEN 'INDUSTRY'
+    ELSE CASE WHEN {rule_sql.test('t', 'ภูเก็ต|(?i)phuket')} THEN 'TOURISM' ELSE 'MACRO' END END AS new FROM x) SELECT old AS category_before, new AS category, count(*) AS n FROM y GROUP BY ALL""")
+def reclassify_feed(spark, sf):
+    """All stored rows by title and stored category, then a promotion out of the rest; rows per move."""
+    t = F.col("title")
+    moved = feed_ops.reclassify(_blended(spark, sf), _retitled(t, t.rlike(_COMPANY)), "MACRO", [("MACRO", t.rlike("(?i)ภูเก็ต|phuket"), "TOURISM")])
+    return feed_ops.category_moves(moved)
+
+
+@register("news", """, r AS (SELECT id, CASE id % 3 WHEN 0 THEN 'bullish (x)' WHEN 1 THEN 'Bearish' ELSE 'HIGH' END AS tone, title AS a, panel AS b FROM news WHERE title IS NOT NULL AND panel IS NOT NULL AND NOT contains(title, '•') AND trim(title) = title AND NOT regexp_matches(title, '^[-\\s]') AND title <> '')
+    SELECT id, a || chr(10) || b AS points, CASE id % 3 WHEN 0 THEN 'bullish' WHEN 1 THEN 'bearish' ELSE 'neutral' END AS tone FROM r""")
+def brief_sections(spark, sf):
+    """Briefs whose points stand on one line behind bullet signs, the row's own title among them."""
+    n = news(spark, sf).where(~F.contains("title", F.lit("•")) & (F.trim("title") == F.col("title")) & ~F.col("title").rlike(r"^[-\s]") & (F.col("title") != "") & F.col("panel").isNotNull())
+    k = F.col("id") % 3
+    brief = F.concat(F.lit("KEY_POINTS: • "), F.col("title"), F.lit(" • "), F.col("panel"), F.lit("\nTONE: "), F.when(k == 0, "bullish (x)").when(k == 1, "Bearish").otherwise("HIGH"), F.lit("\nEND: x"))
+    return n.select("id", feeds.bullets(feeds.section(brief, "KEY_POINTS")).alias("points"), feeds.tone(feeds.section(brief, "TONE")).alias("tone"))

@@ -92,3 +92,21 @@ def published_date(html: Column, url: Column) -> Column:
     ]
     good = [F.try_to_date(F.nullif(f, F.lit("")), "yyyy-MM-dd") for f in found]
     return F.coalesce(*(F.when(F.year(g).between(2000, 2100), g) for g in good))
+
+
+def section(text: Column, key: str) -> Column:
+    """A field's value of several lines: up to the next line that starts with a key in capitals; '' without the field."""
+    return F.trim(F.regexp_replace(F.regexp_extract(F.coalesce(text, F.lit("")), rf"{key}:\s*((?s:.*?))(?=\n[A-Z_]+:|\z)", 1), r"^\s+|\s+$", ""))
+
+
+def bullets(c: Column) -> Column:
+    """Bullets on lines of their own; a single line is split at bullet signs, or else at spaced dashes."""
+    text = F.regexp_replace(F.coalesce(c, F.lit("")), r"^\s+|\s+$", "")
+    clean = lambda parts: F.array_join(F.filter(F.transform(parts, lambda x: F.regexp_replace(F.regexp_replace(x, r"^[-•\s]+", ""), r"\s+$", "")), lambda x: x != ""), "\n")
+    return F.when(F.contains(text, F.lit("\n")), text).when(F.contains(text, F.lit("•")), clean(F.split(text, "•"))).when(text.rlike(r"\s+-\s+"), clean(F.split(text, r"\s+-\s+"))).otherwise(text)
+
+
+def tone(c: Column) -> Column:
+    """bullish, bearish or neutral, by how the value begins."""
+    low = F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    return F.when(F.startswith(low, F.lit("bull")), "bullish").when(F.startswith(low, F.lit("bear")), "bearish").otherwise("neutral")
