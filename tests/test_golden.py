@@ -242,3 +242,53 @@ def test_url_claims_last_over_batches(spark):
     assert {r.id: r.url_kept for r in out.collect()} == {4: None, 5: u} and later.count() == 2
     out, later = claim_urls(batch((6, "p", u, "delta epsilon zeta")), claims, "2026-03-01")
     assert [r.url_kept for r in out.collect()] == [u]
+
+
+def test_brief_sections(spark):
+    text = "KEY_POINTS: headline1 • headline2 • headline3\nTONE: MEDIUM\nLAST_WEEK:\n- one\n- two\nEND: x"
+    assert column(spark, [text], lambda c: feeds.bullets(feeds.section(c, "KEY_POINTS"))) == ["headline1\nheadline2\nheadline3"]
+    assert column(spark, [text], lambda c: feeds.bullets(feeds.section(c, "LAST_WEEK"))) == ["- one\n- two"]
+    assert column(spark, [text], lambda c: feeds.tone(feeds.section(c, "TONE"))) == ["neutral"]
+    assert column(spark, ["a - b - c", "plain", None], feeds.bullets) == ["a\nb\nc", "plain", ""]
+    assert column(spark, ["Bullish (x)", "bear", "", None], feeds.tone) == ["bullish", "bearish", "neutral", "neutral"]
+
+
+def test_publisher_urls(spark):
+    tracked = "http://www.b.co/apiclick.aspx?ref=x&amp;url=https%3a%2f%2fa.co%2fnews%2f1&amp;c=1"
+    assert column(spark, [tracked, "https://a.co/news/1", "https://a.co/", "", None], links.publisher_url) == ["https://a.co/news/1", "https://a.co/news/1", "", "", ""]
+
+
+def test_required_aliases(spark):
+    got = column(spark, ["แอสเซทไวส์ เสนอขายหุ้นกู้ชุดใหม่", "SPALI profit", "SNAP rises", None], classify.required_aliases)
+    assert got == [["ASW", "Assetwise", "แอสเซทไวส์", "แอสเสทไวส์"], ["SPALI", "ศุภาลัย"], [], []]
+
+
+def test_digest_upsert_and_reads(spark):
+    d = datetime.date
+    names = "panel string, date date, headline string, generated_at int"
+    target = spark.createDataFrame([("p", d(2026, 1, 1), "old", 1), ("p", d(2026, 1, 2), "stays", 1)], names)
+    updates = spark.createDataFrame([("p", d(2026, 1, 1), "first", 2), ("p", d(2026, 1, 1), None, 3), ("q", d(2026, 1, 1), "new", 2)], names)
+    out = tables.upsert_digest(target, updates)
+    assert sorted((r.panel, r.date.day, r.headline) for r in out.where("headline is not null").collect()) == [("p", 2, "stays"), ("q", 1, "new")]
+    assert out.count() == 3
+    assert sorted((r.panel, r.date.day) for r in feed.read_digest(out).collect()) == [("p", 2), ("q", 1)]
+    assert feed.read_digest(out, "2026-01-01").count() == 2 and feed.read_digests(out).count() == 3
+
+
+def test_second_reclassification_finds_replaced_categories(spark):
+    from pyspark.sql import functions as F
+
+    from tallyroom.operators import feed
+
+    df = spark.createDataFrame([(1, "political", "x"), (2, "other", "phuket"), (3, "other", "rate")], "id int, category string, title string")
+    run = lambda t: feed.reclassify(t, [(F.col("title") == "rate", "RATES"), (F.col("category") == "political", "POLITICS")], "MACRO", [("MACRO", F.col("title") == "phuket", "TOURISM")])
+    once = run(df)
+    assert [r.category for r in once.orderBy("id").collect()] == ["POLITICS", "TOURISM", "RATES"]
+    assert [r.category for r in run(once.drop("category_before")).orderBy("id").collect()] == ["MACRO", "TOURISM", "RATES"]
+    assert feed.category_moves(once).count() == 3
+
+
+def test_links_that_cannot_be_claimed_share_no_window(spark):
+    rows = [(1, "p", "alpha beta gamma", None), (2, "p", "delta epsilon zeta", None), (3, "p", "alpha beta gamma", "https://a.co/news/12345"), (4, "p", "delta epsilon zeta", "https://a.co/news/12345"), (5, "p", "x", "https://a.co/"), (6, "p", "y", "https://a.co/")]
+    got = linkjobs.clear_collisions(spark.createDataFrame(rows, "id int, panel string, title string, url string")).collect()
+    assert {r.id: r.url_kept for r in got} == {1: None, 2: None, 3: rows[2][3], 4: None, 5: rows[4][3], 6: rows[5][3]}
