@@ -9,6 +9,7 @@ from tallyroom.operators import audits, linkjobs, prices, tables
 from tallyroom.operators import feed as feed_ops
 from tallyroom.plans import rule_sql
 from tallyroom.plans.adapters import bars, crawl, index, news, table
+from tallyroom.plans.queries import _NORM as NORM
 from tallyroom.plans.queries import CRAWL_LINKS, QUERIES, crawl_links, register
 from tallyroom.sources import feeds
 
@@ -68,12 +69,14 @@ def page_titles(spark, sf):
     return crawl(spark, sf).select("id", t["title"].alias("title"), t["origin"].alias("origin"))
 
 
+@register("crawl", r"""SELECT id, CASE id % 3 WHEN 0 THEN DATE '2024-05-01' + CAST(id % 9 AS INTEGER) WHEN 1 THEN try_cast(substr(nullif(regexp_extract(html, '([0-9]{4})', 1), ''), 1, 4) || '-02-03' AS DATE) END AS published FROM (SELECT id, CASE WHEN regexp_matches(html, '"datePublished"|published_time|<time') THEN NULL ELSE '20' || lpad(CAST(id % 90 AS VARCHAR), 2, '0') END AS html FROM crawl)""")
 def page_dates(spark, sf):
-    dated = F.concat(F.col("html"), F.lit('<time datetime="2024-05-0'), (F.col("id") % 9 + 1).cast("string"), F.lit('T00:00">'))
-    return crawl(spark, sf).select("id", feeds.published_date(dated, F.col("url")).alias("published"))
-
-
-QUERIES["page_dates"] = page_dates
+    """Pages with a time tag, with a dated path of a year by id, or with neither."""
+    k = F.col("id") % 3
+    year = F.concat(F.lit("20"), F.lpad((F.col("id") % 90).cast("string"), 2, "0"))
+    dated = F.when(k == 0, F.concat("html", F.lit('<time datetime="2024-05-0'), (F.col("id") % 9 + 1).cast("string"), F.lit('T00:00">'))).otherwise(F.col("html"))
+    url = F.when(k == 1, F.concat(F.lit("https://a.co/"), year, F.lit("/02/03/story"))).otherwise(F.col("url"))
+    return crawl(spark, sf).select("id", feeds.published_date(dated, url).alias("published"))
 
 
 @register("news", """, r AS (SELECT id, date, CASE id % 4 WHEN 0 THEN NULL WHEN 1 THEN date WHEN 2 THEN date + 3 ELSE date - 500 END AS found FROM news)
@@ -146,17 +149,31 @@ def verdict_write_back(spark, sf):
     return linkjobs.write_back(linkjobs.apply_verdicts(rows, audit)).select("id", "status", "url", "attempts", "verified")
 
 
+_SHARED = "(SELECT CASE WHEN len(w) > 0 THEN len(list_filter(w, lambda x: contains(b, x)))::DOUBLE / len(w) ELSE 0 END FROM (SELECT list_filter(string_split(a, ' '), lambda x: length(x) >= 4) AS w))"
+_FORMS = f", f AS (SELECT id, title, {NORM} AS a, {NORM.replace('coalesce(title', 'coalesce(other')} AS b, other FROM (SELECT id, title, CASE id % 3 WHEN 0 THEN 'other words ' || title WHEN 1 THEN substr(title, 1, length(title) // 2) ELSE panel END AS other FROM news WHERE title IS NOT NULL AND panel IS NOT NULL))"
+
+
+def _results(spark, sf):
+    """Headlines, and of each what a search might give: all its words and more, the first half of them, or none."""
+    n = news(spark, sf).where("title is not null and panel is not null")
+    k = F.col("id") % 3
+    half = F.substring(F.col("title"), F.lit(1), F.floor(F.length("title") / 2).cast("int"))
+    return n, n.select("id", F.when(k == 0, F.concat(F.lit("other words "), "title")).when(k == 1, half).otherwise(F.col("panel")).alias("title"))
+
+
+@register("news", f"{_FORMS} SELECT id, 1 AS rank, other AS title, 'https://a.co/news/1000' || id AS url FROM f WHERE {_SHARED} >= 0.6")
 def candidates(spark, sf):
-    n = news(spark, sf)
-    results = n.select("id", F.lit(1).alias("rank"), F.concat(F.lit("other words "), F.col("title")).alias("title"), F.concat(F.lit("https://a.co/news/1000"), F.col("id").cast("string")).alias("url"))
+    n, found = _results(spark, sf)
+    results = found.select("id", F.lit(1).alias("rank"), "title", F.concat(F.lit("https://a.co/news/1000"), F.col("id").cast("string")).alias("url"))
     return linkjobs.best_candidate(n.select("id", "title", F.array().cast("array<string>").alias("aliases")), results)
 
 
+@register("news", f"{_FORMS}, s AS (SELECT id, {_SHARED} AS score FROM f) SELECT id, 1 AS rank, 'https://m.b.co/news/2' AS url, score, true AS same FROM s WHERE score >= 0.6")
 def ranked_candidates(spark, sf):
-    n = news(spark, sf)
+    """Two links per result: the second is of the headline's publisher and wins."""
+    n, found = _results(spark, sf)
     hosts = F.array(F.lit("https://a.co/news/1"), F.lit("https://m.b.co/news/2"))
-    results = n.select("id", "title", F.posexplode(hosts).alias("rank", "url"))
-    return linkjobs.rank_candidates(n.select("id", "title", F.lit("b.co").alias("host")), results)
+    return linkjobs.rank_candidates(n.select("id", "title", F.lit("b.co").alias("host")), found.select("id", "title", F.posexplode(hosts).alias("rank", "url")))
 
 
 @register("news", r""", n AS (SELECT id, regexp_replace(lower(title), '[^a-z0-9\x{0E00}-\x{0E7F}]', '', 'g') AS a, regexp_replace(lower(title || ' more text'), '[^a-z0-9\x{0E00}-\x{0E7F}]', '', 'g') AS b FROM news),
@@ -182,6 +199,11 @@ def markup_free_titles(spark, sf):
     return news(spark, sf).select("id", F.concat(F.lit("<![CDATA[<b>"), F.replace("title", F.lit("&"), F.lit("&amp;")), F.lit("</b>]]>")).alias("t"), "title").select("id", F.when(F.trim("title") == text.clean_markup(F.col("t")), F.col("title")).alias("title"))
 
 
+_EVENT_LITERAL = "list_extract([" + ", ".join(f"'{h}'" for h in HEADLINES) + f"], CAST(volume % {len(HEADLINES)} + 1 AS INTEGER))"
+
+
+@register("bars", f""", e AS (SELECT ticker, date, {rule_sql.event_type(_EVENT_LITERAL)} AS event FROM bars), c AS (SELECT ticker, event, count(*) AS n, min(date) AS first_seen FROM e WHERE event IS NOT NULL GROUP BY ALL)
+    SELECT ticker, event, n FROM c QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY n DESC, first_seen, event) = 1""")
 def rule_events(spark, sf):
     """Event class that wins per ticker, over remarks of all bars."""
     literal = F.element_at(F.array(*map(F.lit, HEADLINES)), (F.col("volume") % len(HEADLINES) + 1).cast("int"))
@@ -194,7 +216,7 @@ def rule_summary(spark, sf):
     return prices.rule_summary(rows.withColumn("remark", literal))
 
 
-QUERIES |= {f.__name__: f for f in (candidates, ranked_candidates, rule_events, rule_summary)}
+QUERIES |= {f.__name__: f for f in (rule_summary,)}
 
 
 @register("news", r"""SELECT id, CASE WHEN trim(title) = '' THEN 'title_unknown' WHEN regexp_replace(lower(title), '[^a-z0-9\x{0E00}-\x{0E7F}]', '', 'g') = '' THEN 'title_mismatch_high' ELSE 'match' END AS verdict FROM news WHERE title IS NOT NULL""")
