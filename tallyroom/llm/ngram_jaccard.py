@@ -261,7 +261,7 @@ def groups(docs: DataFrame, words: int = 5, threshold: float | str | Fraction =
         counts = large.groupBy("family", "label").count()
         main = counts.groupBy("family").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
         large = scratch.keep(large.join(main, "family"), "large")
-        sets_of = lambda s: large.select(F.col("doc_id").alias(s), F.col("keys").alias(f"keys_{s}")).dropDuplicates([s, f"keys_{s}"])
+        sets_of = lambda s: large.select(F.col("doc_id").alias(s), F.col("keys").alias(f"keys_{s}"))  # noqa: E731  of_class has each set of an id once
         pairs = scratch.keep(candidate_pairs(large, threshold), "pairs")
         both = pairs.join(sets_of("a"), "a").join(sets_of("b"), "b").select("a", "b", "keys_a", "keys_b")
         more = both.mapInArrow(_verify(threshold), "a long, b long")
