@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyroom.llm import byte_bpe, exact_dedup, html_text, mips, ngram_jaccard, packing, quality, suffix_tree, token_file, toxicity, word_bpe
+from tallyroom.llm import byte_bpe, exact_dedup, html_text, kd_search, mips, ngram_jaccard, packing, quality, suffix_tree, token_file, toxicity, word_bpe
 from tallyroom.llm.common import Scratch
 
 
@@ -54,7 +54,11 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_token_files, op3_toxicity, op4_quality, op5_packing, op6_mips, op7_exact_dedup, op8_byte_bpe, op9_suffix_tree, op10_html_text)}
+def op12_kd_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_search.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_token_files, op3_toxicity, op4_quality, op5_packing, op6_mips, op7_exact_dedup, op8_byte_bpe, op9_suffix_tree, op10_html_text, op12_kd_search)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -64,4 +68,16 @@ ORACLE_SQL = {
              g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM h GROUP BY text_sha256)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM h JOIN g USING (text_sha256)
     """,
+    "op12_kd_search": """
+        WITH v AS (
+            SELECT vec_id, max(list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT))) AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 GROUP BY vec_id),
+        d AS (SELECT len(v) AS dim FROM v GROUP BY 1 ORDER BY count(*) DESC, 1 DESC LIMIT 1),
+        w AS (SELECT vec_id, v FROM v JOIN d ON len(v) = dim),
+        s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), x -> x[1] * x[2])) AS BIGINT) AS score
+            FROM w AS q JOIN w AS c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+        QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20
+    """,
 }
