@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyroom.llm import byte_bpe, exact_dedup, html_text, kd_search, mips, ngram_jaccard, packing, quality, suffix_tree, token_file, toxicity, word_bpe
+from tallyroom.llm import byte_bpe, conversation_trie, exact_dedup, html_text, kd_search, mips, ngram_jaccard, packing, quality, suffix_tree, token_file, toxicity, word_bpe
 from tallyroom.llm.common import Scratch
 
 
@@ -58,10 +58,19 @@ def op12_kd_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_search.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_token_files, op3_toxicity, op4_quality, op5_packing, op6_mips, op7_exact_dedup, op8_byte_bpe, op9_suffix_tree, op10_html_text, op12_kd_search)}
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = conversation_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_token_files, op3_toxicity, op4_quality, op5_packing, op6_mips, op7_exact_dedup, op8_byte_bpe, op9_suffix_tree, op10_html_text, op12_kd_search, op13_conversation_trie)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: crc32 of a decimal number, bit by bit: 3988292384 is the reflected polynomial.
+_CRC32 = """xor(4294967295, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], flatten(list_transform(range(length(CAST(conv_id AS VARCHAR))),
+    lambda i: list_transform(range(8), lambda b: (ascii(substr(CAST(conv_id AS VARCHAR), CAST(i + 1 AS INTEGER), 1)) >> CAST(b AS INTEGER)) & 1)))), lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1))))"""
+
 ORACLE_SQL = {
     "op7_exact_dedup": f"""
         WITH h AS (SELECT doc_id, sha256({_LOWER}) AS text_sha256 FROM documents),
@@ -80,4 +89,30 @@ ORACLE_SQL = {
         SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
         QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20
     """,
+    "op13_conversation_trie": f"""
+        WITH t AS (
+            SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k FROM conversations WHERE conv_id IS NOT NULL),
+        n AS (SELECT conv_id, count(*) AS own FROM t GROUP BY conv_id),
+        c AS (
+            SELECT n.conv_id, base, h, least(h, coalesce(b.own, 0)) AS lent FROM (SELECT conv_id, conv_id - conv_id % 100 AS base, {_CRC32} % 6 AS h FROM n) AS n
+            LEFT JOIN (SELECT conv_id AS base, own FROM n) AS b USING (base)),
+        r AS (
+            SELECT c.conv_id, k AS depth, role, text FROM c JOIN t ON t.conv_id = base AND k <= lent
+            UNION ALL SELECT conv_id, k - h + lent, role, text FROM c JOIN t USING (conv_id) WHERE k > h),
+        p AS (
+            SELECT conv_id, depth, length(text) AS chars, list({{'role': role, 'text': text}}) OVER (PARTITION BY conv_id ORDER BY depth) AS path FROM r
+            UNION ALL SELECT conv_id, 0, 0, [] FROM c),
+        l AS (SELECT conv_id, max(depth) AS depth FROM p GROUP BY conv_id),
+        m AS (
+            SELECT path, depth, min(conv_id) AS id, count(*) AS n_convs, max(chars) AS chars,
+                coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE l.depth IS NOT NULL), '') AS ends
+            FROM p LEFT JOIN l USING (conv_id, depth) GROUP BY path, depth),
+        q AS (SELECT p.conv_id, p.depth, m.id FROM p JOIN m USING (path, depth)),
+        u AS (SELECT m.*, q.id AS up FROM m LEFT JOIN q ON q.conv_id = m.id AND q.depth = m.depth - 1),
+        k AS (SELECT up AS id, depth - 1 AS depth, count(*) AS n_children FROM u WHERE depth > 0 GROUP BY ALL),
+        v AS (SELECT u.*, coalesce(n_children, 0) AS n_children FROM u LEFT JOIN k USING (id, depth)),
+        s AS (SELECT q.id, q.depth, count(*) FILTER (WHERE n_children = 0) AS n_leaves, CAST(sum((n_convs - 1) * chars) AS BIGINT) AS saved_tokens FROM v JOIN q ON q.conv_id = v.id AND q.depth <= v.depth GROUP BY ALL)
+        SELECT id AS conv_id, depth, up AS parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, sha256(ends) AS ends_sha256 FROM v JOIN s USING (id, depth)
+    """,
 }
