@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyroom.llm import byte_bpe, conversation_trie, exact_dedup, html_text, kd_search, mips, ngram_jaccard, packing, quality, suffix_tree, token_file, toxicity, word_bpe
+from tallyroom.llm import byte_bpe, collocations, conversation_trie, exact_dedup, html_text, kd_search, mips, ngram_jaccard, packing, quality, suffix_tree, token_file, toxicity, word_bpe
 from tallyroom.llm.common import Scratch
 
 
@@ -54,6 +54,10 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
 def op12_kd_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_search.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -63,7 +67,7 @@ def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_token_files, op3_toxicity, op4_quality, op5_packing, op6_mips, op7_exact_dedup, op8_byte_bpe, op9_suffix_tree, op10_html_text, op12_kd_search, op13_conversation_trie)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_token_files, op3_toxicity, op4_quality, op5_packing, op6_mips, op7_exact_dedup, op8_byte_bpe, op9_suffix_tree, op10_html_text, op11_collocations, op12_kd_search, op13_conversation_trie)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -115,4 +119,24 @@ ORACLE_SQL = {
         s AS (SELECT q.id, q.depth, count(*) FILTER (WHERE n_children = 0) AS n_leaves, CAST(sum((n_convs - 1) * chars) AS BIGINT) AS saved_tokens FROM v JOIN q ON q.conv_id = v.id AND q.depth <= v.depth GROUP BY ALL)
         SELECT id AS conv_id, depth, up AS parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, sha256(ends) AS ends_sha256 FROM v JOIN s USING (id, depth)
     """,
+    "op11_collocations": rf"""
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+        n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+        f AS (
+            SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f
+            FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest(range(1, 5)) AS k)) GROUP BY ALL HAVING count(*) >= 30),
+        x AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+        c AS (SELECT lang, phrase, f AS a, j, array_to_string(w[1:j], ' ') AS head, array_to_string(w[j + 1:], ' ') AS rest FROM (SELECT *, unnest(range(1, k)) AS j FROM x)),
+        s AS (
+            SELECT c.lang, c.phrase, a, l.f AS l, r.f AS r, CAST((CAST(2000000 AS HUGEINT) * a) // (l.f + r.f) AS BIGINT) AS score, j
+            FROM c JOIN f AS l ON l.lang = c.lang AND l.phrase = head JOIN f AS r ON r.lang = c.lang AND r.phrase = rest
+            QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, j) = 1),
+        u AS (
+            SELECT lang, phrase, max(f) AS f FROM (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, f
+                FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM x))) GROUP BY ALL)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+        FROM s JOIN n USING (lang) LEFT JOIN u USING (lang, phrase) WHERE u.f IS NULL OR 100 * u.f < 80 * a
+        QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+    """,
 }
