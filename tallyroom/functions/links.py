@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallyroom.functions.text import let
+
 #: Parameters that only track, listing paths, and redirectors.
 TRACKING = r"^(utm_[a-z_]+|fbclid|gclid|mc_cid|mc_eid|igshid)$"
 LISTING = r"(?i)^/(home|index(\.[a-z]+)?|(category|categories|tag|tags|topic|topics|search|section|author)(/.*)?)/?$"
@@ -39,10 +41,17 @@ def is_blob_title(c: Column) -> Column:
 def sanitize_url(c: Column) -> Column:
     """The first token without trailing separators and unopened brackets; '' if it is no web link, NONE, or a redirect."""
     s = F.regexp_replace(F.regexp_extract(F.coalesce(c, F.lit("")), r"^\s*(\S*)", 1), r"[,;.]+$", "")
-    for opening, closing in (("(", r"\)+$"), ("[", r"\]+$"), ("{", r"\}+$")):
-        s = F.when(~F.contains(s, F.lit(opening)), F.regexp_replace(s, closing, "")).otherwise(s)
-    good = s.rlike("(?i)^https?://") & ~s.rlike(f"(?i){REDIRECT}") & (F.upper(s) != "NONE") & F.try_parse_url(s, F.lit("HOST")).isNotNull()
-    return F.when(F.coalesce(good, F.lit(False)), s).otherwise("")
+    # Each step is bound, so that none is computed again wherever the next one uses it.
+    closed = lambda opening, closing: lambda x: F.when(~F.contains(x, F.lit(opening)), F.regexp_replace(x, closing, "")).otherwise(x)
+    for pair in (("(", r"\)+$"), ("[", r"\]+$"), ("{", r"\}+$")):
+        s = let(s, closed(*pair))
+    good = lambda x: x.rlike("(?i)^https?://") & ~x.rlike(f"(?i){REDIRECT}") & (F.upper(x) != "NONE") & F.try_parse_url(x, F.lit("HOST")).isNotNull()
+    return let(s, lambda x: F.when(F.coalesce(good(x), F.lit(False)), x).otherwise(""))
+
+
+def stored_url(c: Column) -> Column:
+    """What a feed stores of a raw link: cleaned, and then in its canonical form, so that duplicate checks compare like with like; '' as sanitize_url."""
+    return let(sanitize_url(c), lambda x: F.when(x == "", x).otherwise(canonical_url(x)))
 
 
 def canonical_url(c: Column) -> Column:

@@ -64,3 +64,40 @@ def keyword_score(c: Column, boosts: list[tuple[str, int]], base: Column, drops:
         return total
     dropped = reduce(lambda t, w: t | F.contains(c, F.lit(w)), drops, F.lit(False))
     return F.when(dropped & ~(direct if direct is not None else F.lit(False)), 0).otherwise(total)
+
+
+#: What a headline's words are worth (direct: the company or its subsidiary itself), and words of other sectors, which drop
+#: it: tickers as they are written, brand names in any case, Thai words anywhere.
+DIRECT_BOOSTS = [("ASW", 50), ("Assetwise", 50), ("แอสเซทไวส์", 50), ("ร่มโพธิ์", 50), ("rhom bho", 50), ("เดอะ ไทเทิล", 40)]
+BOOSTS = [
+    ("อสังหาริมทรัพย์", 25), ("อสังหาฯ", 25), ("ที่อยู่อาศัย", 25), ("บ้านจัดสรร", 20), ("คอนโดมิเนียม", 25), ("คอนโด", 15), ("ทาวน์เฮาส์", 20), ("หมู่บ้าน", 10), ("ที่ดิน", 15),
+    ("ดีเวลลอปเปอร์", 20), ("โครงการบ้าน", 15), ("ราคาบ้าน", 15),
+    ("แลนด์แอนด์เฮ้าส์", 20), ("เอพี", 20), ("ศุภาลัย", 20), ("สิริ เวนเชอร์", 20), ("โนเบิล", 20), ("ออริจิ้น", 20), ("อนันดา", 20), ("แอล.พี.เอ็น", 20), ("ควอลิตี้เฮาส์", 20), ("ดับบลิวเอชเอ", 20),
+    ("กนง.", 20), ("คณะกรรมการนโยบายการเงิน", 25), ("ดอกเบี้ยนโยบาย", 20), ("สินเชื่อบ้าน", 20), ("LTV", 25), ("อัตราดอกเบี้ย", 15),
+    ("ครม.", 15), ("คณะรัฐมนตรี", 15), ("เงินเฟ้อ", 10), ("GDP", 10), ("ภาวะเศรษฐกิจ", 10), ("REIC", 25), ("ดัชนีความเชื่อมั่น", 10),
+]
+DROP_TICKERS = [
+    "BAY", "KBANK", "SCB", "KTB", "TTB", "TISCO", "KKP", "KTC", "AEONTS", "PTT", "PTTEP", "TOP", "BANPU", "BCP", "IRPC", "ESSO", "SPRC", "GPSC", "AIS", "DTAC", "TRUE", "INTUCH", "JAS", "NT",
+    "CPF", "CPALL", "OISHI", "TU", "MINT", "STA", "HMPRO", "MAKRO", "CRC", "RS", "COM7", "BJC", "GLOBAL", "BDMS", "BH", "CHG", "SCC", "TOA",
+]
+DROP_BRANDS = ["KBank", "Krungsri", "cardX", "Bitcoin", "Crypto"]
+DROP_WORDS = [
+    "กสิกรไทย", "กรุงศรี", "กรุงไทย", "ไทยพาณิชย์", "ทหารไทยธนชาต", "บัตรเครดิต", "สินเชื่อส่วนบุคคล", "สินเชื่อรายย่อย", "น้ำมัน", "ปิโตรเคมี", "โรงกลั่น", "ก๊าซธรรมชาติ", "LNG", "โทรคมนาคม",
+    "อาหารแช่แข็ง", "อาหารสัตว์", "ค้าปลีก", "ห้างสรรพสินค้า", "โรงพยาบาล", "น้ำตาล", "เหล็ก", "ปูนซิเมนต์", "ทองคำ", "คริปโต", "กองทุนรวม", "ประกันภัย",
+]
+
+
+def whole_word(words: list[str], flags: str = "") -> str:
+    """A pattern for any of the words, between characters that are not Latin letters, digits or underscores."""
+    return rf"{flags}(?<![A-Za-z0-9_])(?:{'|'.join(words)})(?![A-Za-z0-9_])"
+
+
+def relevance_score(title: Column, base: Column | int = 0) -> Column:
+    """base and the boosts of all keywords in the title, in any case; 0 if a word of another sector is in it and no direct mention. A null title counts as empty."""
+    text = F.coalesce(title, F.lit(""))
+    low = F.lower(text)
+    total = lambda table: reduce(lambda t, b: t + F.when(F.contains(low, F.lit(b[0].lower())), b[1]).otherwise(0), table, F.lit(0))
+    direct = total(DIRECT_BOOSTS)
+    dropped = reduce(lambda t, w: t | F.contains(low, F.lit(w.lower())), DROP_WORDS, text.rlike(whole_word(DROP_TICKERS)) | text.rlike(whole_word(DROP_BRANDS, "(?i)")))
+    base = base if isinstance(base, Column) else F.lit(base)
+    return F.when(dropped & (direct == 0), 0).otherwise(base + direct + total(BOOSTS))

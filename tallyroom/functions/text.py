@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,10 +39,20 @@ def normalize_for_dedup(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(out, DEDUP_PUNCTUATION, " "), r"\s+", "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once however often body uses it, in lambdas too."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def ngrams(c: Column, n: int) -> Column:
+    """All character n-grams in order, [] for shorter texts: the text is cut into characters once, so that the time is linear in its length."""
+    cut = lambda chars: F.transform(F.sequence(F.lit(0), F.size(chars) - n), lambda i: F.concat(*(F.get(chars, i + k) for k in range(n))))
+    return F.when(F.length(c) >= n, let(F.split(c, ""), cut)).otherwise(F.array().cast("array<string>"))
+
+
 def shingles(c: Column, n: int = 3) -> Column:
     """Distinct character n-grams."""
-    at = F.sequence(F.lit(1), F.greatest(F.length(c) - (n - 1), F.lit(1)))
-    return F.when(F.length(c) >= n, F.array_distinct(F.transform(at, lambda i: F.substring(c, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(ngrams(c, n))
 
 
 def numeric_anchors(c: Column) -> Column:
@@ -89,10 +101,16 @@ def story_tokens(c: Column) -> Column:
 
 def same_story(a: Column, b: Column) -> Column:
     """Two tokens at least in common, and three fifths of the shorter headline's; repeats in a count."""
-    x, y = story_tokens(a), story_tokens(b)
-    shared = F.size(F.filter(x, lambda t: F.array_contains(y, t)))
-    enough = shared / F.least(F.size(x), F.size(y)) >= 0.6
-    return F.when((F.size(x) > 0) & (F.size(y) > 0), enough & (shared >= 2)).otherwise(False)
+
+
+    def compared(p: Column) -> Column:
+        x, y = p["x"], p["y"]
+        common = F.array_intersect(x, y)  # hashed; only where tokens repeat is each one of x looked up
+        shared = F.when(F.size(F.array_distinct(x)) == F.size(x), F.size(common)).otherwise(F.size(F.filter(x, lambda t: F.array_contains(common, t))))
+        enough = shared / F.least(F.size(x), F.size(y)) >= 0.6
+        return F.when((F.size(x) > 0) & (F.size(y) > 0), enough & (shared >= 2)).otherwise(False)
+
+    return let(F.struct(story_tokens(a).alias("x"), story_tokens(b).alias("y")), compared)
 
 
 def distinctive_keywords(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyroom.functions import classify, links
+from tallyroom.functions import classify, links, publishers, text
 from tallyroom.operators.linkjobs import clear_collisions, dice_bigram, label_host_verdict
 
 #: Page titles that name no story, and what score and overlap make a match.
@@ -52,31 +52,61 @@ def entities_in(c: Column) -> Column:
 
 
 def is_generic_title(c: Column, host: Column) -> Column:
-    """No title, a site's own name, a placeholder, or up to four characters without Thai."""
+    """No title, a site's or publisher's own name, a placeholder, nothing but a suffix, or up to four characters without Thai."""
     low, bare = F.lower(F.trim(F.coalesce(c, F.lit("")))), F.lower(classify.strip_site_suffix(c))
     word = F.element_at(F.split(F.regexp_replace(F.lower(F.coalesce(host, F.lit(""))), r"^www\.", ""), r"\."), 1)
     letters = lambda x: F.regexp_replace(x, "[^a-z0-9]", "")
     own = (word != "") & (letters(low) == letters(word))
-    return (low == "") | low.isin(GENERIC) | bare.isin(GENERIC) | own | ((F.length(low) <= 4) & ~low.rlike(r"[\x{0E00}-\x{0E7F}]"))
+    named = publishers.is_publisher_name(low) | publishers.is_publisher_name(bare)
+    return (low == "") | (bare == "") | low.isin(GENERIC) | bare.isin(GENERIC) | named | own | ((F.length(low) <= 4) & ~low.rlike(r"[\x{0E00}-\x{0E7F}]"))
 
 
-def lcs_containment(pairs: DataFrame, left: str = "a", right: str = "b", key: str = "id") -> DataFrame:
-    """(key, containment): longest common run of characters over the shorter text; 1 if one holds the other.
+def longest_run(a: Column, b: Column) -> Column:
+    """Length of the longest run of characters that both texts have.
 
-    Character pairs of both texts are joined on the pair; a common run is an island of neighbours on one diagonal.
+    Runs of 2^k characters are known by hashes of their halves, for every place of a text; a length is then built bit by bit from the
+    largest down, kept whenever some run of that length is in both. Time grows as length times its logarithm, for repetitive texts
+    too, and nothing leaves the row. Hashes have 64 bits.
     """
-    forms = pairs.select(key, classify.compare_form(F.col(left)).alias("a"), classify.compare_form(F.col(right)).alias("b"))
-    forms = forms.select(key, F.when(F.length("a") <= F.length("b"), F.struct(F.col("a").alias("s"), F.col("b").alias("l"))).otherwise(F.struct(F.col("b").alias("s"), F.col("a").alias("l"))).alias("x")).select(key, "x.s", "x.l")
-    held = F.contains("l", F.col("s")) & (F.col("s") != "")
-    open_ = forms.where(~held & (F.length("s") > 0))
-    grams = lambda c, limit: F.transform(F.sequence(F.lit(1), F.greatest(F.least(F.length(c), F.lit(limit)) - 1, F.lit(1))), lambda i: F.struct(i.alias("p"), F.substring(c, i, F.lit(2)).alias("g")))
-    side = lambda c, limit, p: open_.select(key, F.explode(grams(F.col(c), limit)).alias("x")).select(key, F.col("x.p").alias(p), F.col("x.g").alias("g")).where(F.length("g") == 2)
-    hits = side("s", 300, "i").join(side("l", 600, "j"), [key, "g"]).select(key, "i", (F.col("i") - F.col("j")).alias("d"))
-    w = Window.partitionBy(key, "d").orderBy("i")
-    runs = hits.withColumn("island", F.col("i") - F.row_number().over(w)).groupBy(key, "d", "island").agg(F.count(F.lit(1)).alias("n")).groupBy(key).agg((F.max("n") + 1).alias("run"))
-    one = F.size(F.array_intersect(F.split("s", ""), F.split("l", ""))) > 0
-    best = F.coalesce("run", F.when(one, 1).otherwise(0))
-    return forms.join(runs, key, "left").select(key, F.when(F.col("s") == "", 0.0).when(held, 1.0).otherwise(best / F.length("s")).alias("containment"))
+    places = lambda h, last, f: F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), f)).otherwise(F.array().cast("array<long>"))
+
+    def doubled(h: Column, k: Column) -> Column:
+        half = F.call_function("shiftleft", F.lit(1), k - 1)
+        return places(h, F.size(h) - 1 - half, lambda i: F.xxhash64(F.get(h, i), F.get(h, i + half)))
+
+    def levels(text: Column, top: Column) -> Column:
+        first = F.array(F.transform(F.split(text, ""), lambda c: F.xxhash64(c))).cast("array<array<long>>")
+        return F.when(top > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(top, F.lit(1))), first, lambda acc, k: F.concat(acc, F.array(doubled(F.element_at(acc, -1), k))))).otherwise(first)
+
+    def longer(h: Column, now: Column, n: Column, k: Column) -> Column:
+        """Hashes of the runs of n + 2^k characters, from those of n and of 2^k."""
+        return places(now, F.size(h) - 1 - n, lambda i: F.xxhash64(F.get(now, i), F.get(h, i + n)))
+
+    def step(acc: Column, k: Column, x: Column) -> Column:
+        tried = F.struct(longer(F.get(x["a"], k), acc["a"], acc["n"], k).alias("a"), longer(F.get(x["b"], k), acc["b"], acc["n"], k).alias("b"), (acc["n"] + F.call_function("shiftleft", F.lit(1), k)).alias("n"))
+        return text.let(tried, lambda t: F.when(F.arrays_overlap(t["a"], t["b"]), t).otherwise(acc))
+
+    empty = lambda c: F.array_repeat(F.lit(0).cast("long"), F.length(c) + 1)
+    top = F.floor(F.log2(F.greatest(F.least(F.length(a), F.length(b)), F.lit(1)).cast("double"))).cast("int")
+    start = F.struct(empty(a).alias("a"), empty(b).alias("b"), F.lit(0).alias("n")).cast("struct<a: array<long>, b: array<long>, n: int>")
+    run = text.let(top, lambda t: text.let(F.struct(levels(a, t).alias("a"), levels(b, t).alias("b")), lambda x: F.aggregate(F.reverse(F.sequence(F.lit(0), t)), start, lambda acc, k: step(acc, k, x))["n"]))
+    return F.when((F.length(a) > 0) & (F.length(b) > 0), run).otherwise(0)
+
+
+def lcs_ratio(left: Column, right: Column) -> Column:
+    """Longest common run of characters of the compared forms over the shorter one; 1 if one holds the other, 0 if either is empty. Whole texts."""
+
+    def compared(x: Column) -> Column:
+        shorter = F.when(F.length(x["a"]) <= F.length(x["b"]), x["a"]).otherwise(x["b"])
+        held = F.contains(x["a"], x["b"]) | F.contains(x["b"], x["a"])
+        return F.when(F.length(shorter) == 0, 0.0).when(held, 1.0).otherwise(longest_run(x["a"], x["b"]) / F.length(shorter))
+
+    return text.let(F.struct(classify.compare_form(left).alias("a"), classify.compare_form(right).alias("b")), compared)
+
+
+def lcs_containment(pairs: DataFrame, left: str = "a", right: str = "b", key: str = "id") -> DataFrame:
+    """(key, containment): lcs_ratio of each pair."""
+    return pairs.select(key, lcs_ratio(F.col(left), F.col(right)).alias("containment"))
 
 
 def title_verdicts(rows: DataFrame) -> DataFrame:
@@ -131,3 +161,35 @@ def claim_urls(batch: DataFrame, claims: DataFrame, today, keep_days: int = 30)
     out = both.where("id >= 0")
     fresh = out.where("url_kept is not null").groupBy("panel", "url").agg(F.min_by("title", "id").alias("title")).withColumn("claimed_on", day)
     return out, live.unionByName(fresh.join(live.select("panel", "url"), ["panel", "url"], "left_anti"))
+
+
+def claims_in_order(rows: DataFrame, owners: DataFrame | None = None, keep_days: int = 30) -> tuple[DataFrame, DataFrame]:
+    """rows (id, panel, url, title, date) with url_kept, and the owners after them (panel, url, id, title, claimed_on).
+
+    Per panel the first headline by (date, id) claims a link and keeps it for keep_days after that day; the first one later claims it anew. A row keeps
+    its link if it owns it or tells its owner's story. Rows dated before the known owner's day are held against that owner. Rows whose
+    link can't be claimed, or without a date, keep it as it is.
+
+    What is folded per link is one entry per day, however many rows share the link: owners are looked up by (panel, link, day).
+    """
+    u = F.col("url")
+    claims = F.coalesce((links.link_safety(u) == "ok") & (links.link_shape(u) == "article") & F.col("date").isNotNull(), F.lit(False))
+    if owners is None:
+        owners = rows.select("panel", "url", "id", "title", F.col("date").alias("claimed_on")).where(F.lit(False))
+    known = owners.groupBy("panel", "url").agg(F.max(F.struct(F.col("claimed_on").alias("date"), "id", "title")).alias("_known"))
+    able = rows.where(claims).join(known, ["panel", "url"], "left").withColumn("_day", F.greatest("date", "_known.date"))
+    entry = F.struct(F.lit(1).alias("fresh"), "id", "title")
+    days = able.groupBy("panel", "url", F.col("_day").alias("date")).agg(F.min(entry).alias("x"), F.first("_known").alias("_known"))
+    entries = F.sort_array(F.collect_list(F.struct("date", "x.fresh", "x.id", "x.title")))
+    per_link = days.groupBy("panel", "url").agg(entries.alias("days"), F.first("_known").alias("_known"))
+    start = F.expr("if(_known is null, array(), array(named_struct('date', _known.date, 'fresh', 0, 'id', _known.id, 'title', _known.title)))").cast(per_link.schema["days"].dataType)
+    late = lambda acc, x: (F.size(acc) == 0) | (x["date"] > F.date_add(F.element_at(acc, -1)["date"], keep_days))
+    folded = per_link.select("panel", "url", "days", F.aggregate("days", start, lambda acc, x: F.when(late(acc, x), F.concat(acc, F.array(x))).otherwise(acc)).alias("owners"))
+    owner = F.transform("days", lambda x: F.struct(x["date"].alias("_day"), F.element_at(F.filter("owners", lambda o: o["date"] <= x["date"]), -1).alias("_owner")))
+    held = folded.select("panel", "url", F.explode(owner).alias("x")).select("panel", "url", "x.*")
+    out = able.join(held, ["panel", "url", "_day"])
+    keeps = (F.col("id") == F.col("_owner.id")) | text.same_story(F.col("title"), F.col("_owner.title"))
+    columns = [*rows.columns, "url_kept"]
+    kept = out.withColumn("url_kept", F.when(keeps, u)).select(*columns).unionByName(rows.where(~claims).withColumn("url_kept", u).select(*columns))
+    after = folded.select("panel", "url", F.explode("owners").alias("o")).where("o.fresh = 1").select("panel", "url", "o.id", "o.title", F.col("o.date").alias("claimed_on"))
+    return kept, after

@@ -259,3 +259,21 @@ def reclassify(df: DataFrame, rules: list[tuple[Column, str]], otherwise: str, p
 def category_moves(reclassified: DataFrame) -> DataFrame:
     """Rows per stored and new category."""
     return reclassified.groupBy("category_before", "category").agg(F.count(F.lit(1)).alias("n"))
+
+
+def keyword_hits(rows: DataFrame, keywords: DataFrame, title: str = "title", key: str = "id") -> DataFrame:
+    """(key, keyword, and keywords' other columns): the keywords that each row's title contains, in any case, once each.
+
+    For dictionaries of any size: keywords are looked up by their first characters (PREFIX at most), which are joined with the titles'
+    distinct windows of these lengths; what is found is checked on the whole title. Empty keywords are in no title. Keys are unique.
+    """
+    folded = keywords.where(F.length("keyword") > 0).withColumn("_start", F.substring(F.lower("keyword"), 1, PREFIX))
+    lengths = sorted(r[0] for r in folded.select(F.length("_start")).distinct().collect())  # PREFIX numbers at most
+    titles = rows.select(key, F.lower(F.coalesce(title, F.lit(""))).alias("_title"))
+    windows = F.array_distinct(F.flatten(F.array(*(text.ngrams(F.col("_title"), n) for n in lengths)))) if lengths else F.array().cast("array<string>")
+    begun = titles.select(key, F.explode(windows).alias("_start")).join(folded, "_start").drop("_start")
+    return begun.join(titles, key).where(F.contains("_title", F.lower("keyword"))).drop("_title")
+
+
+#: Characters of a keyword by which it is looked up.
+PREFIX = 4

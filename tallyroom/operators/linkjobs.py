@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyroom.functions import classify, links, text
+from tallyroom.functions.publishers import suffixes
 
 #: Verdicts that prove a link wrong, those that say nothing, and hosts that carry others' stories.
 PROVEN_WRONG = ("dead", "homepage", "unsafe", "soft_404", "mismatch")
@@ -23,12 +24,12 @@ def label_host_verdict(rows: DataFrame, aliases: DataFrame, syndication: DataFra
     aliases: (host, alias). Hosts climb to their parents; labels that credit several get the best verdict of their parts.
     """
     host = links.host_of(F.col(url))
-    climb = F.transform(F.sequence(F.lit(1), F.greatest(F.size(F.split(host, r"\.")) - 1, F.lit(1))), lambda i: F.array_join(F.slice(F.split(host, r"\."), i, F.lit(10)), "."))
+    climb = suffixes(host)
     credit = F.filter(F.transform(F.split(F.regexp_replace(F.coalesce(label, F.lit("")), r"^[*\s]+", ""), r"\s*[/,;|]\s*|\s+และ\s+"), F.trim), lambda x: x != "")
     parts = rows.select("id", host.alias("host"), climb.alias("hosts"), F.explode_outer(credit).alias("label"))
     known = aliases.groupBy("host").agg(F.collect_list("alias").alias("names"))
     carriers = syndication.select("host").distinct().withColumn("carrier", F.lit(True))
-    each = parts.select("*", F.posexplode_outer("hosts").alias("i", "parent")).join(F.broadcast(known.withColumnRenamed("host", "parent")), "parent", "left").join(F.broadcast(carriers.withColumnRenamed("host", "parent")), "parent", "left")
+    each = parts.select("*", F.posexplode_outer("hosts").alias("i", "parent")).join(known.withColumnRenamed("host", "parent"), "parent", "left").join(carriers.withColumnRenamed("host", "parent"), "parent", "left")
     best = each.groupBy("id", "host", "label").agg(F.min_by(F.struct("parent", "names"), F.when(F.col("names").isNotNull(), F.col("i"))).alias("k"), F.bool_or(F.coalesce("carrier", F.lit(False))).alias("carried"))
     base = F.trim(F.regexp_replace("label", r"(?i)\s+on\s+(MSN|LINE|Flipboard|Yahoo)\s*$", ""))
     word = F.element_at(F.split(F.coalesce("k.parent", "host"), r"\."), 1)
@@ -116,8 +117,7 @@ def redate(rows: DataFrame, far_days: int = 400) -> DataFrame:
 def dice_bigram(pairs: DataFrame, left: str = "a", right: str = "b", key: str = "id") -> DataFrame:
     """(key, dice): multiset Dice similarity of character pairs; equal texts 1, texts under two characters 0."""
     forms = pairs.select(key, classify.compare_form(F.col(left)).alias("a"), classify.compare_form(F.col(right)).alias("b"))
-    grams = lambda c: F.when(F.length(c) >= 2, F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2))))
-    count = lambda s: forms.select(key, F.explode(grams(F.col(s))).alias("g")).groupBy(key, "g").agg(F.count(F.lit(1)).alias(s))
+    count = lambda s: forms.select(key, F.explode(text.ngrams(F.col(s), 2)).alias("g")).groupBy(key, "g").agg(F.count(F.lit(1)).alias(s))
     shared = count("a").withColumnRenamed("a", "na").join(count("b").withColumnRenamed("b", "nb"), [key, "g"]).groupBy(key).agg(F.sum(F.least("na", "nb")).alias("shared"))
     total = F.length("a") + F.length("b") - 2
     score = F.when((F.col("a") == F.col("b")) & (F.col("a") != ""), 1.0).when((F.length("a") < 2) | (F.length("b") < 2), 0.0).otherwise(2.0 * F.coalesce("shared", F.lit(0)) / total)

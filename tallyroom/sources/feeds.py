@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyroom.functions import links
 from tallyroom.functions.dates import first_date
 from tallyroom.functions.text import clean_markup
 
@@ -68,15 +69,67 @@ def load_records(completions: DataFrame, categories: list[str], run_date) -> Dat
 
 
 def repair_blob_title(title: Column) -> Column:
-    """What stands before the first marker in a title that swallowed its record."""
-    return F.trim(F.regexp_replace(title, "(?s)" + MARKER + ".*$", ""))
+    """What stands before the first marker in a title that swallowed its record, without the bracket that the marker's own leaves."""
+    return _unbracketed(F.regexp_replace(title, "(?s)" + MARKER + ".*$", ""))
+
+
+def _unbracketed(c: Column) -> Column:
+    return F.trim(F.regexp_replace(F.regexp_replace(c, r"^\s+|\s+$", ""), r"^\[|\]$", ""))
+
+
+def swallowed(title: Column, key: str) -> Column:
+    """The value of a field inside a title, over line ends up to the next marker; null if there is none."""
+    value = F.regexp_extract(title, rf"(?s)(?<![A-Za-z0-9_]){key}\s*:\s*(.+)", 1)
+    return F.nullif(_unbracketed(F.regexp_replace(value, "(?s)" + MARKER + ".*$", "")), F.lit(""))
+
+
+def repair_records(rows: DataFrame) -> DataFrame:
+    """rows (title, summary, url) whose titles hold a whole record, mended: the headline alone, and the summary and link rescued from
+    the title where the row has none of its own. Other rows, and titles with nothing before the marker, stay as they are; repaired tells."""
+    headline = repair_blob_title(F.col("title"))
+    broken = links.is_blob_title(F.col("title")) & (headline != "") & (headline != F.col("title"))
+    empty = lambda c: F.nullif(F.col(c), F.lit(""))
+    link = F.nullif(links.stored_url(swallowed(F.col("title"), "URL")), F.lit(""))
+    mended = {"title": headline, "summary": F.coalesce(empty("summary"), swallowed(F.col("title"), "SUMMARY")), "url": F.coalesce(empty("url"), link, F.col("url"))}
+    broken = F.coalesce(broken, F.lit(False))
+    return rows.withColumns({**{c: F.when(broken, v).otherwise(F.col(c)) for c, v in mended.items()}, "repaired": broken})
+
+
+#: What of a JSON-LD node may hold the article, what kinds of nodes are articles by name, and how deep it may lie.
+LD_INNER = ["@graph", "mainEntity", "mainEntityOfPage", "itemListElement"]
+LD_ARTICLE = "(?i)Article|BlogPosting"
+LD_DEPTH = 6
+
+
+def json_ld_headline(html: Column) -> Column:
+    """The first headline (or name of an article) in a page's JSON-LD blocks, in reading order and down to LD_DEPTH; null without one.
+
+    Blocks become variants. Each step puts the inner nodes of every node without a headline in its place, so that
+    what stands first stays first: lists, graphs and nested objects in any mix. Blocks that don't parse are passed over.
+    """
+    named = lambda v, k: F.when(F.schema_of_variant(F.try_variant_get(v, f"$['{k}']", "variant")) == "STRING", F.nullif(F.trim(F.try_variant_get(v, f"$['{k}']", "string")), F.lit("")))
+    node = lambda v: F.struct(F.lit(None).cast("string").alias("t"), v.alias("v"))
+
+    def opened(x: Column) -> Column:
+        v = x["v"]
+        kind = F.to_json(F.try_variant_get(v, "$['@type']", "variant"))
+        t = F.coalesce(named(v, "headline"), F.when(kind.rlike(LD_ARTICLE), named(v, "name")))
+        inner = F.filter(F.array(*(F.try_variant_get(v, f"$['{k}']", "variant") for k in LD_INNER)), lambda y: y.isNotNull())
+        found = F.array(F.struct(t.alias("t"), v.alias("v")))
+        items = F.try_variant_get(v, "$", "array<variant>")
+        return F.when(x["t"].isNotNull(), F.array(x)).when(items.isNotNull(), F.transform(items, node)).when(t.isNotNull(), found).otherwise(F.transform(inner, node))
+
+    blocks = F.regexp_extract_all(html, F.lit(r"(?is)<script[^>]+type=[\"']application/ld\+json[\"'][^>]*>(.*?)</script>"), F.lit(1))
+    nodes = F.filter(F.transform(blocks, lambda b: node(F.try_parse_json(b))), lambda x: x["v"].isNotNull())
+    for _ in range(LD_DEPTH + 1):
+        nodes = F.flatten(F.transform(nodes, opened))
+    return F.get(F.filter(nodes, lambda x: x["t"].isNotNull()), 0)["t"]
 
 
 def page_title(html: Column) -> Column:
     """Title of a page and where it came from: Open Graph, Twitter, JSON-LD, title, first heading."""
     attr = lambda name, key: F.coalesce(*(F.nullif(F.regexp_extract(html, p, 1), F.lit("")) for p in (rf"(?is)<meta[^>]+{name}=[\"']{key}[\"'][^>]+content=[\"']([^\"']+)", rf"(?is)<meta[^>]+content=[\"']([^\"']+)[\"'][^>]+{name}=[\"']{key}[\"']")))
-    ld = F.nullif(F.regexp_extract(html, r"(?is)<script[^>]+application/ld\+json[^>]*>(.*?)</script>", 1), F.lit(""))
-    headline = F.coalesce(F.get_json_object(ld, "$.headline"), F.get_json_object(ld, "$.mainEntity.headline"), F.nullif(F.regexp_extract(F.get_json_object(ld, "$.@graph[*].headline"), r'^\[?"((?:[^"\\]|\\.)*)"', 1), F.lit("")))
+    headline = F.when(F.contains(html, F.lit("ld+json")), json_ld_headline(html))
     tag = lambda t: F.nullif(clean_markup(F.regexp_extract(html, rf"(?is)<{t}[^>]*>(.*?)</{t}>", 1)), F.lit(""))
     steps = [("og", attr("property", "og:title")), ("twitter", attr("name", "twitter:title")), ("json_ld", headline), ("title", tag("title")), ("h1", tag("h1"))]
     return F.coalesce(*(F.when(c.isNotNull(), F.struct(clean_markup(c).alias("title"), F.lit(k).alias("origin"))) for k, c in steps))
