@@ -51,3 +51,10 @@ def first_date(*texts: Column) -> Column:
 def period_gate(c: Column, year: Column, today) -> Column:
     """Whether a date lies between October of the year before and March of the year after, and not in the future."""
     return (c >= F.make_date(year - 1, F.lit(10), F.lit(1))) & (c <= F.make_date(year + 1, F.lit(3), F.lit(31))) & (c <= F.lit(today).cast("date"))
+
+
+def item_date(c: Column) -> Column:
+    """The date that a historical item states: YYYY-MM-DD, or YYYY-MM for the middle of the month (day 15); brackets go; null for anything else."""
+    text = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"[\[\]]", ""))
+    text = F.when(text.rlike(r"^[0-9]{4}-[0-9]{2}$"), F.concat(text, F.lit("-15"))).otherwise(text)
+    return F.when(text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.try_to_date(text, "yyyy-MM-dd"))

@@ -32,9 +32,15 @@ def first_match(c: Column, rules: list[tuple[str, str]], otherwise: str | None =
     return cases.otherwise(otherwise)
 
 
-def remark_bucket(c: Column) -> Column:
-    """Bucket of a remark, 'other' without a rule; null for an empty one."""
-    return F.when(F.trim(F.coalesce(c, F.lit(""))) != "", first_match(F.trim(c), REMARK_RULES, "other"))
+def remark_bucket(c: Column, otherwise: str = "other") -> Column:
+    """Bucket of a remark, otherwise without a rule; null for an empty one."""
+    return F.when(F.trim(F.coalesce(c, F.lit(""))) != "", first_match(F.trim(c), REMARK_RULES, otherwise))
+
+
+def remark_columns(c: Column) -> Column:
+    """One remark as three columns (company, sector, macro): it stands in its bucket's, in the company's where no rule matches."""
+    bucket = remark_bucket(c, "company")
+    return F.struct(*(F.when(bucket == k, F.trim(c)).alias(k) for k in ("company", "sector", "macro")))
 
 
 def event_type(c: Column) -> Column:
@@ -57,6 +63,18 @@ def impact_level(severity: Column) -> Column:
     return F.when(severity == "high", "HIGH").when(severity == "medium", "MEDIUM").when(severity == "low", "LOW")
 
 
+def severity_of(impact_level: Column) -> Column:
+    """The severity that an impact level stands for; null for unknown levels."""
+    low = F.lower(F.trim(impact_level))
+    return F.when(low.isin("high", "medium", "low"), low)
+
+
+def filled_levels(severity: Column, level: Column) -> Column:
+    """Severity and impact level, each filled from the other where it is missing, and medium where both are."""
+    known = F.coalesce(severity, severity_of(level), F.lit("medium"))
+    return F.struct(known.alias("severity"), F.coalesce(level, impact_level(known)).alias("impact_level"))
+
+
 def keyword_score(c: Column, boosts: list[tuple[str, int]], base: Column, drops: list[str] = (), direct: Column | None = None) -> Column:
     """Sum of the boosts of the keywords that the text has, plus base; 0 with a drop word, unless it is a direct mention."""
     total = reduce(lambda t, b: t + F.when(F.contains(c, F.lit(b[0])), b[1]).otherwise(0), boosts, base)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -185,12 +187,18 @@ def digest_date(news: DataFrame, date) -> DataFrame:
     return rows.select("panel", F.coalesce("own", "latest").alias("date"))
 
 
-def expand_by_panel(rows: DataFrame, panels: str = "panels", capped: str | None = None) -> DataFrame:
-    """One row per target panel; on the capped panel severity is medium at most and pins are cleared."""
+def expand_by_panel(rows: DataFrame, panels: str = "panels", capped: str | None = None, category: Callable[[Column, str], Column] | None = None, named: tuple[str, ...] = ()) -> DataFrame:
+    """One row per target panel; on the capped panel severity is medium at most and pins are cleared.
+
+    category(panel, name): what a row is on one of the named panels; on others, and where it gives null, it keeps its own.
+    """
     out = rows.withColumn("panel", F.explode(panels)).drop(panels)
     on_capped = F.col("panel") == F.lit(capped)
     severity = F.when(on_capped & (F.col("severity") == "high"), "medium").otherwise(F.col("severity"))
-    return out.withColumns({"severity": severity, "show_pin": F.when(on_capped, False).otherwise(F.col("show_pin"))})
+    out = out.withColumns({"severity": severity, "show_pin": F.when(on_capped, False).otherwise(F.col("show_pin"))})
+    if category is None:
+        return out
+    return out.withColumn("category", F.coalesce(*(F.when(F.col("panel") == p, category(F.col("panel"), p)) for p in named), F.col("category")))
 
 
 def coerce_category(df: DataFrame, panels: DataFrame, fallback: str = "MACRO") -> DataFrame:

@@ -122,3 +122,24 @@ def dice_bigram(pairs: DataFrame, left: str = "a", right: str = "b", key: str =
     total = F.length("a") + F.length("b") - 2
     score = F.when((F.col("a") == F.col("b")) & (F.col("a") != ""), 1.0).when((F.length("a") < 2) | (F.length("b") < 2), 0.0).otherwise(2.0 * F.coalesce("shared", F.lit(0)) / total)
     return forms.join(shared, key, "left").select(key, score.alias("dice"))
+
+
+def redate_counts(redated: DataFrame) -> DataFrame:
+    """How many rows of redate() have which status."""
+    return redated.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+def crawl_audit(rows: DataFrame, aliases: DataFrame, syndication: DataFrame) -> DataFrame:
+    """(id, verdict) of a crawl log (id, status, error, final_url, page_title, headline, source_label): crawl_verdict, and of the pages that it
+    finds valid, mismatch where the label names another publisher than the host's, else what the page's title says:
+    title_mismatch_high, title_mismatch_medium, title_unknown, or valid where it matches. Ids are unique.
+    """
+    from tallyroom.operators.audits import title_verdicts
+
+    first = rows.withColumn("_first", crawl_verdict(F.col("status"), F.col("error"), F.col("final_url"), F.col("page_title")))
+    open_ = first.where("_first = 'valid'")
+    labels = label_host_verdict(open_.select("id", "source_label", "final_url"), aliases, syndication, url="final_url").withColumnRenamed("verdict", "_label")
+    titles = title_verdicts(open_.select("id", "headline", "page_title", links.host_of(F.col("final_url")).alias("host"))).select("id", F.col("verdict").alias("_title"))
+    judged = first.join(labels, "id", "left").join(titles, "id", "left")
+    later = F.when(F.col("_label") == "mismatch", "mismatch").when(F.col("_title") != "match", F.col("_title")).otherwise("valid")
+    return judged.select("id", F.when(F.col("_first") == "valid", later).otherwise(F.col("_first")).alias("verdict"))

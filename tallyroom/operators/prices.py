@@ -146,36 +146,57 @@ def big_day(rows: DataFrame, least: float = 2.0) -> DataFrame:
     return last_rows(rows.where("close is not null")).select("ticker", "date", "change", F.coalesce(F.abs("change") >= least, F.lit(False)).alias("big"))
 
 
-#: Texts of the rule summary's lines.
+#: Texts of the rule summary's lines in two languages, and what the event classes are called in them.
 SUMMARY = {
-    "big": "Closed with a change of %.2f%%",
-    "volume": "Volume %.1f times its 30-day mean",
-    "event": "Largest move around: %s",
-    "range": "At %.0f%% of its 52-week range",
-    "wins": "%d events of the kind %s",
-    "none": "No events",
+    "th": {
+        "up": "ราคาปิดบวก %.2f%% จากก่อนหน้า",
+        "down": "ราคาปิดลบ %.2f%% จากก่อนหน้า",
+        "volume": "ปริมาณซื้อขายพุ่ง %.2f เท่าของค่าเฉลี่ย 30 วัน",
+        "event": "เหตุการณ์ที่มีผลกระทบมากที่สุด: %s",
+        "range": "ราคาอยู่ที่ %.0f%% ของ 52W range",
+        "wins": "เหตุการณ์หลักในช่วง: %s ×%d",
+        "none": "ไม่พบเหตุการณ์ที่จัดประเภทได้ในช่วงนี้",
+        "no_data": "ไม่มีข้อมูลในช่วงที่เลือก",
+        "labels": {"interest": "ดอกเบี้ย", "presale": "Presale", "earnings": "ผลประกอบการ", "project": "โครงการ", "political": "การเมือง"},
+    },
+    "en": {
+        "up": "Closed up %.2f%% from prior session",
+        "down": "Closed down %.2f%% from prior session",
+        "volume": "Volume surged %.2f× the 30-day average",
+        "event": "Biggest event impact: %s",
+        "range": "Price at %.0f%% of 52W range",
+        "wins": "Key events in range: %s ×%d",
+        "none": "No classifiable events in range",
+        "no_data": "No data in selected range",
+        "labels": {"interest": "Interest rate", "presale": "Presale", "earnings": "Earnings", "project": "Project", "political": "Political"},
+    },
 }
 
 
-def rule_summary(rows: DataFrame) -> DataFrame:
-    """ticker, bullets: the lines of the rules that fire, in order, five at most.
+def rule_summary(rows: DataFrame, lang: str = "th") -> DataFrame:
+    """ticker, bullets: the lines of the rules that fire, in order, five at most, in Thai or English (any other lang: Thai).
 
-    rows: ticker, date, close, change, volume, idx, remark. Tickers without a price have no row.
+    rows: ticker, date, close, change, volume, idx, remark. Tickers without any price have the line that says so.
     """
     from tallyroom.operators.feed import top_event_type
 
-    out = rows.where("close is not null").select("ticker").distinct()
+    t = SUMMARY.get(lang, SUMMARY["th"])
+    priced = rows.where("close is not null")
+    change = F.col("change").cast("double")
+    label = F.coalesce(*(F.when(F.col("event") == k, v) for k, v in t["labels"].items()), F.col("event"))
+    out = rows.groupBy("ticker").agg(F.bool_or(F.col("close").isNotNull()).alias("priced"))
     parts = [
-        big_day(rows).where("big").select("ticker", F.format_string(SUMMARY["big"], F.col("change").cast("double")).alias("big")),
-        volume_surge(rows).where("surge").select("ticker", F.format_string(SUMMARY["volume"], F.col("volume") / F.col("mean_volume")).alias("volume")),
-        event_impact(rows).select("ticker", F.format_string(SUMMARY["event"], "remark").alias("event")),
-        range_position(rows).where("position is not null").select("ticker", F.format_string(SUMMARY["range"], "position").alias("range")),
-        top_event_type(rows.where("close is not null")).select("ticker", F.format_string(SUMMARY["wins"], "n", "event").alias("wins")),
+        big_day(rows).where("big").select("ticker", F.when(change > 0, F.format_string(t["up"], change)).otherwise(F.format_string(t["down"], F.abs(change))).alias("big")),
+        volume_surge(rows).where("surge").select("ticker", F.format_string(t["volume"], F.col("volume") / F.col("mean_volume")).alias("volume")),
+        event_impact(rows).select("ticker", F.format_string(t["event"], "remark").alias("event")),
+        range_position(rows).where("position is not null").select("ticker", F.format_string(t["range"], "position").alias("range")),
+        top_event_type(priced).select("ticker", F.format_string(t["wins"], label, "n").alias("wins")),
     ]
     for part in parts:
         out = out.join(part, "ticker", "left")
     lines = F.filter(F.array("big", "volume", "event", "range", "wins"), lambda x: x.isNotNull())
-    return out.select("ticker", F.when(F.size(lines) > 0, lines).otherwise(F.array(F.lit(SUMMARY["none"]))).alias("bullets"))
+    bullets = F.when(~F.col("priced"), F.array(F.lit(t["no_data"]))).when(F.size(lines) > 0, lines).otherwise(F.array(F.lit(t["none"])))
+    return out.select("ticker", bullets.alias("bullets"))
 
 
 def latest_per_key(bars: DataFrame) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-import tallyroom.plans.story_queries  # noqa: F401  registers its own
+import tallyroom.plans.feed_queries  # noqa: F401  registers its own
+import tallyroom.plans.story_queries  # noqa: F401
 from tallyroom.functions import classify, links, rules, text
 from tallyroom.operators import audits, linkjobs, prices, tables
 from tallyroom.operators import feed as feed_ops

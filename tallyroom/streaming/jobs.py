@@ -32,6 +32,22 @@ def fresh_ticks(ticks: DataFrame, now, hours: int = 24) -> DataFrame:
     return ticks.withColumn("state", F.when(live & (age >= 0), "live").when((F.datediff(local(at), local(F.col("ts"))) == 1) & (age <= hours * 3600), "pending").otherwise("rejected"))
 
 
+def latest_quote(rows: DataFrame, now, hours: int = 24) -> DataFrame:
+    """symbol, price, ts, source of rows (id, symbol, ts, price, kind): the last candle wins over any meta row, also one that came before it.
+
+    A symbol without a candle has its last meta row: meta-fallback on the local day of now, meta-pending before it within hours; older
+    ones count for nothing. Rows without a price are passed over. In a stream (update or complete mode) the state is one row per
+    symbol, so that a late candle replaces a meta row, and a late meta row no candle.
+    """
+    at = F.lit(now).cast("timestamp")
+    local = lambda c: F.to_date(F.from_utc_timestamp(c, "Asia/Bangkok"))
+    age = at.cast("double") - F.col("ts").cast("timestamp").cast("double")
+    source = F.when(F.col("kind") == "candle", "candle").when(local(F.col("ts")) == local(at), "meta-fallback").otherwise("meta-pending")
+    good = rows.where(F.col("price").isNotNull() & ((F.col("kind") == "candle") | (age <= hours * 3600)))
+    best = F.max_by(F.struct("price", "ts", source.alias("source")), F.struct(F.col("kind") == "candle", "ts", "id"))
+    return good.groupBy("symbol").agg(best.alias("q")).select("symbol", "q.*")
+
+
 def dedup_stream(news: DataFrame, lateness: str = "48 hours") -> DataFrame:
     """First row per panel and hash within the lateness bound; the sink's insert-if-absent covers what is older."""
     return news.withWatermark("event_ts", lateness).dropDuplicatesWithinWatermark(["panel", "title_hash"])
