@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyroom.functions import classify, dates, publishers, rules, text
-from tallyroom.operators import audits, feed, linkjobs
+from tallyroom.operators import audits, dedup, feed, linkjobs
 from tallyroom.operators.scratch import Kept
 from tallyroom.plans import rule_sql
 from tallyroom.plans.adapters import bars, crawl, news, ticks
 from tallyroom.plans.queries import _NORM as NORM
-from tallyroom.plans.queries import CRAWL_LINKS, crawl_links, register
+from tallyroom.plans.queries import _EVENTS as EVENTS
+from tallyroom.plans.queries import CRAWL_LINKS, _policy_news, crawl_links, register
 from tallyroom.sources import feeds
 from tallyroom.streaming import jobs
 
@@ -158,3 +159,10 @@ def crawl_audits(spark, sf):
         F.when(k == 3, "Bangkok Post").when(k == 5, "ผลฟุตบอลเมื่อคืน").otherwise(F.concat("t", F.lit(" | Bangkok Post"))).alias("page_title"), F.when(k == 5, "zzqq jjkk").otherwise(F.col("t")).alias("headline"), F.when(k == 2, "สยามรัฐ").otherwise("Bangkok Post").alias("source_label"),
     )
     return linkjobs.crawl_audit(log, publishers.alias_table(spark), publishers.carrier_table(spark))
+
+
+@register("news", EVENTS + """, g AS (SELECT *, CASE WHEN date - lag(date) OVER w > 2 THEN 1 ELSE 0 END AS gap FROM e WHERE fingerprint IS NOT NULL WINDOW w AS (PARTITION BY panel, fingerprint ORDER BY date, id)),
+    r AS (SELECT *, sum(gap) OVER (PARTITION BY panel, fingerprint ORDER BY date, id) AS run FROM g)
+    SELECT panel, fingerprint, arg_min(id, (date, -length(coalesce(title, '')), id)) AS keep, count(*) AS n, min(date) AS first_date, max(date) AS last_date FROM r GROUP BY panel, fingerprint, run""")
+def event_sessions(spark, sf):
+    return dedup.event_sessions(_policy_news(spark, sf), 2)
