@@ -90,8 +90,14 @@ def clean_markup(c: Column) -> Column:
 def token_overlap(a: Column, b: Column, least: int = 4) -> Column:
     """Share of a's tokens of least characters or more that b contains; 0 without such tokens. Both are normal forms."""
     tokens = F.filter(F.split(a, " "), lambda t: F.length(t) >= least)
-    hits = F.size(F.filter(tokens, lambda t: F.contains(b, t)))
-    return F.when(F.size(tokens) > 0, hits / F.size(tokens)).otherwise(0.0)
+
+    def counted(x: Column) -> Column:
+        # Whole tokens of b are found by hash; b is searched for the others alone, once each.
+        missing = F.filter(F.array_except(x["tokens"], F.split(x["b"], " ")), lambda t: ~F.contains(x["b"], t))
+        return let(missing, lambda m: (F.size(x["tokens"]) - F.size(F.filter(x["tokens"], lambda t: F.array_contains(m, t)))) / F.size(x["tokens"]))
+
+    shared = let(F.struct(tokens.alias("tokens"), F.coalesce(b, F.lit("")).alias("b")), counted)
+    return F.when(F.size(tokens) > 0, shared).otherwise(0.0)
 
 
 def story_tokens(c: Column) -> Column:

@@ -102,12 +102,17 @@ def attach_index(rows: DataFrame, idx: DataFrame) -> DataFrame:
     return rows.join(idx.select("date", F.col("close").alias("idx")), "date", "left")
 
 
-def rescale_to_stored(points: DataFrame, stored: DataFrame) -> DataFrame:
-    """points (date, close) times one factor that puts the earliest common date on its stored close; without a usable factor as they are."""
+def rescale_to_stored(points: DataFrame, stored: DataFrame, by: str | None = None) -> DataFrame:
+    """points (date, close) times one factor that puts the earliest common date on its stored close; without a usable factor as they are.
+
+    by: a column of points; each of its values has a factor of its own, also null's. stored has one row per date.
+    """
+    keys = [by] if by else []
     both = points.join(stored.select("date", F.col("close").alias("was")), "date")
-    factor = both.where("close is not null and was is not null").agg(F.min_by(F.try_divide("was", "close"), "date").alias("f"))
+    factor = both.where("close is not null and was is not null").groupBy(*(F.col(k).alias("_by") for k in keys)).agg(F.min_by(F.try_divide("was", "close"), "date").alias("f"))
     good = F.when((F.col("f") > 0) & (F.col("f") < float("inf")), F.col("f")).otherwise(1.0)
-    return points.join(F.broadcast(factor)).select("date", (F.col("close") * good).alias("close"))
+    joined = points.join(factor, F.col(by).eqNullSafe(F.col("_by")), "left") if by else points.join(F.broadcast(factor))  # one row
+    return joined.select(*keys, "date", (F.col("close") * good).alias("close"))
 
 
 def volume_surge(bars: DataFrame, rows: int = 31, times: float = 2.0) -> DataFrame:

@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 import tallyroom.plans.feed_queries  # noqa: F401  registers its own
 import tallyroom.plans.story_queries  # noqa: F401
+import tallyroom.plans.whole_queries  # noqa: F401
 from tallyroom.functions import classify, links, rules, text
 from tallyroom.operators import audits, linkjobs, prices, tables
 from tallyroom.operators import feed as feed_ops
 from tallyroom.plans import rule_sql
-from tallyroom.plans.adapters import bars, crawl, index, news, table
+from tallyroom.plans.adapters import bars, crawl, index, news, table, with_views
 from tallyroom.plans.queries import _NORM as NORM
-from tallyroom.plans.queries import CRAWL_LINKS, QUERIES, crawl_links, register
+from tallyroom.plans.queries import CRAWL_LINKS, ORACLE_SQL, QUERIES, crawl_links, register
 from tallyroom.sources import feeds
 
 HEADLINES = [
@@ -218,7 +219,34 @@ def rule_summary(spark, sf):
     return prices.rule_summary(rows.withColumn("remark", literal))
 
 
-QUERIES |= {f.__name__: f for f in (rule_summary,)}
+def rule_summary_english(spark, sf):
+    rows = prices.attach_index(prices.pct_change(bars(spark, sf)), index(spark, sf))
+    literal = F.element_at(F.array(*map(F.lit, HEADLINES)), (F.col("volume") % len(HEADLINES) + 1).cast("int"))
+    return prices.rule_summary(rows.withColumn("remark", literal), "en")
+
+
+def _summary_sql(lang: str) -> str:
+    """Each rule's line as its own table, joined to the tickers; lists are joined without their nulls."""
+    t = prices.SUMMARY[lang]
+    label = "CASE event " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in t["labels"].items()) + " END"
+    return with_views("bars idx", f""", j AS (SELECT b.*, i.close AS idx, {_EVENT_LITERAL} AS remark, round((b.close - lag(b.close) OVER w) / lag(b.close) OVER w * 100, 4) AS change,
+            avg(b.volume) OVER (PARTITION BY b.ticker ORDER BY b.date ROWS BETWEEN 30 PRECEDING AND CURRENT ROW) AS mv, min(b.close) OVER v AS lo, max(b.close) OVER v AS hi, row_number() OVER (PARTITION BY b.ticker ORDER BY b.date DESC) AS rn
+            FROM bars b LEFT JOIN idx i USING (date) WINDOW w AS (PARTITION BY b.ticker ORDER BY b.date), v AS (PARTITION BY b.ticker ORDER BY b.date ROWS BETWEEN 251 PRECEDING AND CURRENT ROW)),
+        k AS (SELECT *, lag(idx) OVER (PARTITION BY ticker ORDER BY date) AS p FROM j),
+        m AS (SELECT ticker, remark, abs(coalesce(change, 0) - coalesce((idx - p) / p * 100, 0)) AS impact, date FROM k WHERE idx IS NOT NULL),
+        e AS (SELECT ticker, remark FROM m WHERE impact > 0 QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY impact DESC, date) = 1),
+        c AS (SELECT ticker, {rule_sql.event_type('remark')} AS event, count(*) AS n, min(date) AS seen FROM j GROUP BY ALL HAVING event IS NOT NULL),
+        x AS (SELECT ticker, event, n FROM c QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY n DESC, seen, event) = 1),
+        l AS (SELECT ticker, list_filter([
+            CASE WHEN abs(change) >= 2 THEN printf(CASE WHEN change > 0 THEN '{t['up']}' ELSE '{t['down']}' END, abs(change)) END,
+            CASE WHEN volume > 2 * mv THEN printf('{t['volume']}', volume / round(mv, 6)) END, printf('{t['event']}', e.remark),
+            CASE WHEN hi > lo THEN printf('{t['range']}', round((close - lo) / (hi - lo) * 100, 6)) END, CASE WHEN event IS NOT NULL THEN printf('{t['wins']}', {label}, n) END], lambda x: x IS NOT NULL) AS b
+            FROM j LEFT JOIN e USING (ticker) LEFT JOIN x USING (ticker) WHERE rn = 1)
+        SELECT ticker, CASE WHEN len(b) > 0 THEN b ELSE ['{t['none']}'] END AS bullets FROM l""")
+
+
+QUERIES |= {f.__name__: f for f in (rule_summary, rule_summary_english)}
+ORACLE_SQL |= {"rule_summary": _summary_sql("th"), "rule_summary_english": _summary_sql("en")}
 
 
 @register("news", r"""SELECT id, CASE WHEN trim(title) = '' THEN 'title_unknown' WHEN regexp_replace(lower(title), '[^a-z0-9\x{0E00}-\x{0E7F}]', '', 'g') = '' THEN 'title_mismatch_high' ELSE 'match' END AS verdict FROM news WHERE title IS NOT NULL""")

@@ -31,6 +31,12 @@ def test_same_story_counts_repeats(spark):
     assert got == [True, True, False, False, False, False]
 
 
+def test_token_overlap_counts_contained_tokens(spark):
+    rows = [("aaaa bbbb aaaa zzzz", "xaaaax bbbb"), ("abc", "abc"), ("", ""), (None, None), ("aaaa", None), ("longword", "long word"), ("bbbb bbbb", "bbbb")]
+    got = [r[0] for r in spark.createDataFrame(rows, "a string, b string").select(text.token_overlap(F.col("a"), F.col("b"))).collect()]
+    assert got == [0.75, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0]
+
+
 def test_components_and_choice_against_a_loop(spark):
     rng = random.Random(3)
     for fold in (0, 4, 100_000):
