@@ -15,7 +15,7 @@ TITLE_NAMES = ["ร่มโพธิ์", "เดอะ ไทเทิล", "
 TITLE_DEED = r"(?i)title[\s.-]?deeds?|โฉนด\s*TITLE|TITLE\s*โฉนด"
 TITLE_CUE = "(?i)หุ้น|ภูเก็ต|Phuket|อสังหา|คอนโด|วิลล่า|villa|condo|ผลประกอบการ|งบ|กำไร|รายได้|ปันผล|เทรด|ตลาดหลักทรัพย์|ร่มโพธิ์"
 COMPETITOR_NAMES = ["แลนด์แอนด์เฮ้าส์", "แลนด์ แอนด์ เฮ้าส์", "เอพี", "ศุภาลัย", "สิริ เวนเชอร์", "สิริวงศ์พร็อพเพอร์ตี้", "โนเบิล", "ออริจิ้น", "อนันดา", "แอล.พี.เอ็น", "แอลพีเอ็น", "ควอลิตี้เฮาส์", "ดับบลิวเอชเอ"]
-COMPETITOR_TICKERS = "SPALI SIRI NOBLE ORI ANAN LPN WHA QH".split()
+COMPETITOR_TICKERS = ["SPALI", "SIRI", "NOBLE", "ORI", "ANAN", "LPN", "WHA", "QH"]
 
 #: Patterns of the categories, in the order in which they are tried.
 RATES = r"กนง\.|ดอกเบี้ยนโยบาย|อัตราดอกเบี้ย"

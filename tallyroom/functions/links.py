@@ -7,9 +7,15 @@ from pyspark.sql import functions as F
 
 from tallyroom.functions.text import let
 
-#: Parameters that only track, listing paths, and redirectors.
+#: Parameters that only track, and listing paths.
 TRACKING = r"^(utm_[a-z_]+|fbclid|gclid|mc_cid|mc_eid|igshid)$"
 LISTING = r"(?i)^/(home|index(\.[a-z]+)?|(category|categories|tag|tags|topic|topics|search|section|author)(/.*)?)/?$"
+#: An article's number in a query; dated paths, long numbers and slugs; an opaque id; a path of one part.
+ID_QUERY = r"(?i)(^|&)[a-z_]*id=[0-9]+"
+ARTICLE_PATHS = ["/[0-9]{4}/[0-9]{2}/", "[0-9]{5,}", "[^/-]+-[^/-]+-[^/-]+"]
+OPAQUE_ID = "/(?=[A-Za-z0-9_-]*[0-9])(?=[A-Za-z0-9_-]*[A-Z])[A-Za-z0-9_-]{6,}$"
+ONE_PART = "^/[^/]+/?$"
+#: Fixed value: redirectors.
 REDIRECT = "vertexaisearch|grounding-api-redirect"
 
 
@@ -70,9 +76,8 @@ def canonical_url(c: Column) -> Column:
 def link_shape(c: Column) -> Column:
     """homepage: the root, a section index or a listing; article: an id, a dated path, a slug of several parts or an opaque id."""
     path, query = F.coalesce(F.try_parse_url(c, F.lit("PATH")), F.lit("")), F.coalesce(F.try_parse_url(c, F.lit("QUERY")), F.lit(""))
-    article = query.rlike(r"(?i)(^|&)[a-z_]*id=[0-9]+") | path.rlike("/[0-9]{4}/[0-9]{2}/") | path.rlike("[0-9]{5,}") | path.rlike("[^/-]+-[^/-]+-[^/-]+")
-    opaque = path.rlike("/(?=[A-Za-z0-9_-]*[0-9])(?=[A-Za-z0-9_-]*[A-Z])[A-Za-z0-9_-]{6,}$")
-    return F.when(path.rlike(LISTING), "homepage").when(article, "article").when(path.isin("", "/"), "homepage").when(opaque, "article").when(path.rlike("^/[^/]+/?$"), "homepage").otherwise("article")
+    article = query.rlike(ID_QUERY) | path.rlike(ARTICLE_PATHS[0]) | path.rlike(ARTICLE_PATHS[1]) | path.rlike(ARTICLE_PATHS[2])
+    return F.when(path.rlike(LISTING), "homepage").when(article, "article").when(path.isin("", "/"), "homepage").when(path.rlike(OPAQUE_ID), "article").when(path.rlike(ONE_PART), "homepage").otherwise("article")
 
 
 def link_safety(c: Column) -> Column:

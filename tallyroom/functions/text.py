@@ -8,10 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Markers of record blocks, and the words that two stop lists leave out.
-FIELD_MARKERS = "DATE SOURCE SUMMARY CATEGORY IMPACT_LEVEL HEADLINE URL".split()
-STORY_STOP = "the and for with that this from ที่ และ ของ ใน เป็น ให้ จาก กับ ไทย ข่าว หุ้น บริษัท".split()
-KEYWORD_STOP = "the and for with that this from 2569 2568 2567 69 68 67 66".split()
+FIELD_MARKERS = ["DATE", "SOURCE", "SUMMARY", "CATEGORY", "IMPACT_LEVEL", "HEADLINE", "URL"]
+STORY_STOP = ["the", "and", "for", "with", "that", "this", "from", "ที่", "และ", "ของ", "ใน", "เป็น", "ให้", "จาก", "กับ", "ไทย", "ข่าว", "หุ้น", "บริษัท"]
+KEYWORD_STOP = ["the", "and", "for", "with", "that", "this", "from", "2569", "2568", "2567", "69", "68", "67", "66"]
 
+#: What a publisher after a spaced dash is, and which signs each normal form drops.
 SUFFIX = r"\s+-\s+[^-\x{0E00}-\x{0E7F}]+$"
 PUNCTUATION = r"[()\[\]{}\"'`.,!?;:]"
 DEDUP_PUNCTUATION = r"[()\[\]{}\"'`.,!?;:*–—\-_/\\|]"

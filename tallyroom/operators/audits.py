@@ -9,7 +9,7 @@ from tallyroom.functions import classify, links, publishers, text
 from tallyroom.operators.linkjobs import clear_collisions, dice_bigram, label_host_verdict
 
 #: Page titles that name no story, and what score and overlap make a match.
-GENERIC = "msn msn.com home homepage หน้าแรก news ข่าว untitled document loading กำลังโหลด redirecting".split()
+GENERIC = ["msn", "msn.com", "home", "homepage", "หน้าแรก", "news", "ข่าว", "untitled", "document", "loading", "กำลังโหลด", "redirecting"]
 MATCH, MATCH_WITH_EVIDENCE, MISMATCH = 0.55, 0.30, 0.15
 #: Entities that tie a headline to a page.
 ENTITIES = [

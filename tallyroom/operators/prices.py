@@ -10,11 +10,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Holidays of the exchange whose calendar the panels follow, 2025 and 2026.
-HOLIDAYS = (
-    "2025-01-01 2025-02-12 2025-04-07 2025-04-14 2025-04-15 2025-04-16 2025-05-01 2025-05-05 2025-05-12 2025-06-02 2025-07-28 2025-07-29 "
-    "2025-08-11 2025-08-12 2025-10-23 2025-12-05 2025-12-10 2025-12-31 2026-01-01 2026-02-12 2026-04-06 2026-04-13 2026-04-14 2026-04-15 "
-    "2026-05-01 2026-05-04 2026-05-11 2026-06-01 2026-07-28 2026-07-29 2026-08-10 2026-08-11 2026-10-23 2026-12-07 2026-12-10 2026-12-31"
-).split()
+HOLIDAYS = [
+    "2025-01-01", "2025-02-12", "2025-04-07", "2025-04-14", "2025-04-15", "2025-04-16", "2025-05-01", "2025-05-05",
+    "2025-05-12", "2025-06-02", "2025-07-28", "2025-07-29", "2025-08-11", "2025-08-12", "2025-10-23", "2025-12-05",
+    "2025-12-10", "2025-12-31", "2026-01-01", "2026-02-12", "2026-04-06", "2026-04-13", "2026-04-14", "2026-04-15",
+    "2026-05-01", "2026-05-04", "2026-05-11", "2026-06-01", "2026-07-28", "2026-07-29", "2026-08-10", "2026-08-11",
+    "2026-10-23", "2026-12-07", "2026-12-10", "2026-12-31",
+]
 
 
 def _by(*keys: str) -> Window:

@@ -12,7 +12,7 @@ from tallyroom.functions.text import clean_markup
 CHART = """chart struct<result: array<struct<meta: struct<symbol: string, regularMarketPrice: double, regularMarketTime: long>, timestamp: array<long>,
     indicators: struct<quote: array<struct<close: array<double>, volume: array<double>>>, adjclose: array<struct<adjclose: array<double>>>>>>>"""
 #: Fields of a record block, and their values.
-FIELDS = "CATEGORY HEADLINE SUMMARY IMPACT_LEVEL SOURCE URL DATE EVENT_DATE PUBLISH_DATE CONFIDENCE".split()
+FIELDS = ["CATEGORY", "HEADLINE", "SUMMARY", "IMPACT_LEVEL", "SOURCE", "URL", "DATE", "EVENT_DATE", "PUBLISH_DATE", "CONFIDENCE"]
 MARKER = r"\s*\[?(?<![A-Za-z0-9_])(?:" + "|".join(FIELDS) + r")\s*:"
 
 
