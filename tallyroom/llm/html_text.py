@@ -238,6 +238,14 @@ def clusters(level: np.ndarray, ratio: np.ndarray) -> np.ndarray:
     return out
 
 
+def beside(ratio: np.ndarray, free: np.ndarray, doubt: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """Lines near a lowered one, which pulls their level down: they count by their own ratio, if it reaches the mean of the levels above zero."""
+    above = level[level > 0]
+    low = np.pad(~free, RADIUS)
+    near = np.any([low[k : k + len(free)] for k in range(2 * RADIUS + 1)], axis=0)
+    return near & free & ~doubt & (ratio >= (above.mean() if len(above) else np.inf))
+
+
 def _parse(html: str, **rules) -> tuple[LineParser, list[tuple[_Line, str]]]:
     parser = LineParser(**rules)
     parser.feed(html)
@@ -270,7 +278,8 @@ def main_text(html: str | None) -> str:
     adverts, forms and comment sections have their ratio lowered by their tags and names; link text counts as none. The
     innermost article or main element with at least three quarters of the clusters' levels is the content region; elsewhere
     it is the innermost container of all clusters, what isn't links alone in the containers around it and between the first
-    cluster and the last, and headings right before them. In the region all lines count that are not lowered, short ones too, and
+    cluster and the last, and headings right before them. Where all clusters stand right in the body, the region is what stands there, outside of
+    all containers. On pages without article and main elements, a line beside a lowered one counts by its own ratio. In the region all lines count that are not lowered, short ones too, and
     lowered or doubtful ones where they reach a cluster.
     """
     if not html:
@@ -284,6 +293,9 @@ def main_text(html: str | None) -> str:
     doubt = np.array([x.doubt for x, _ in lines], bool)
     level = levels(ratio, ~free, doubt)
     chosen = clusters(level, ratio)
+    pulled = beside(ratio, free, doubt, level) & ~chosen
+    if pulled.any() and not any(x.article for x, _ in lines):  # an article or main element holds its lines together by itself
+        level, chosen = np.where(pulled, ratio, level), chosen | pulled
     if not chosen.any():
         level, chosen = np.where(free, 1.0, 0.0), free
     counts = (free & ~doubt) | chosen
@@ -303,6 +315,9 @@ def main_text(html: str | None) -> str:
     holders = [number for number in lines[where[0]][0].path if number in within and parser.tags[number] not in ("html", "body")]
     inner = holders[-1] if holders else None
     best = set(where.tolist())
+    if inner is None and all(parser.tags[lines[k][0].path[-1]] == "body" for k in where if lines[k][0].path) and all(lines[k][0].path for k in where):
+        # An article right in the page's body: what else stands there, and in no container of its own, is part of it.
+        best |= {k for k, (x, _) in enumerate(lines) if counts[k] and x.path == lines[where[0]][0].path}
     if inner is not None:
         best |= {k for k, (x, _) in enumerate(lines) if counts[k] and inner in x.path}
         best |= {k for k, (x, _) in enumerate(lines) if worth[k] and holders[0] in x.path}

@@ -186,3 +186,21 @@ def test_levels_decide_on_the_given_pages(spark, sf, monkeypatch):
     rng = np.random.default_rng(1)
     monkeypatch.setattr(html_text, "smooth", lambda ratios: rng.random(len(ratios)))
     assert sum(a != b for a, b in zip(before, map(main_text, pages))) > len(pages) / 2
+
+
+def test_prose_beside_an_advert_in_containers_of_its_own():
+    page = f'<body><div><p>{"word " * 52}</p></div><div class="footer">x</div><div><p>{"other " * 44}</p></div></body>'
+    assert html_text.main_text(page) == " ".join(["word"] * 52 + ["other"] * 44)
+
+
+def test_an_article_right_in_the_body_comes_whole():
+    page = f"<html><body><nav>menu</nav><h1>Title here</h1><p>A short lead.</p><p>{'long words ' * 20}</p><p>{'more words ' * 25}</p><p>The end.</p><div class='footer'>foot</div></body></html>"
+    assert html_text.main_text(page) == " ".join(["Title here A short lead."] + ["long words"] * 20 + ["more words"] * 25 + ["The end."])
+
+
+def test_lines_beside_lowered_ones_count_by_their_own_ratio():
+    ratio, free = np.array([80.0, 0.0, 5.0, 90.0, 2.0]), np.array([True, False, True, True, True])
+    none = np.zeros(5, bool)
+    level = html_text.levels(ratio, ~free, none)
+    assert html_text.beside(ratio, free, none, level).tolist() == [True, False, False, True, False]
+    assert not html_text.beside(ratio, np.ones(5, bool), none, level).any()
