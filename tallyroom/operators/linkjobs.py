@@ -11,7 +11,7 @@ from tallyroom.functions.publishers import suffixes
 #: Verdicts that prove a link wrong, those that say nothing, and hosts that carry others' stories.
 PROVEN_WRONG = ("dead", "homepage", "unsafe", "soft_404", "mismatch")
 TRANSIENT = ("blocked", "rate_limited", "unknown", "timeout", "network_error")
-NOT_FOUND = r"(?i)\b404\b|not found|page not found|ไม่พบหน้า"
+NOT_FOUND = r"(?i)(?<![A-Za-z0-9_])404(?![A-Za-z0-9_])|not found|page not found|ไม่พบหน้า"
 
 
 def squash(c: Column) -> Column:

@@ -148,10 +148,12 @@ _TITLE = r"regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"
 _KNOWN = list(publishers.NAMES)
 
 
-@register("crawl", f""", t AS (SELECT id, trim({_TITLE}) AS t FROM crawl), c AS (SELECT id, t, regexp_replace(lower(t), '[^a-z0-9\\x{{0E00}}-\\x{{0E7F}}]', '', 'g') AS f FROM t WHERE length(t) > 4)
-    SELECT id, CASE id % 7 WHEN 0 THEN 'dead' WHEN 1 THEN 'homepage' WHEN 2 THEN 'mismatch' WHEN 3 THEN 'title_unknown' WHEN 4 THEN CASE WHEN f = '' THEN 'title_mismatch_high' ELSE 'valid' END WHEN 5 THEN 'title_mismatch_high' ELSE 'timeout' END AS verdict FROM c""")
+@register("crawl", f""", t AS (SELECT id, trim({_TITLE}, ' ') AS t FROM crawl), c AS (SELECT id, t || ' | Bangkok Post' AS page, regexp_replace(lower(t), '[^a-z0-9\\x{{0E00}}-\\x{{0E7F}}]', '', 'g') AS f FROM t WHERE length(t) > 4)
+    SELECT id, CASE WHEN id % 7 = 0 THEN 'dead' WHEN id % 7 = 6 THEN 'timeout' WHEN id % 7 IN (1, 2, 4) AND {rule_sql.not_found('page')} THEN 'soft_404' WHEN id % 7 = 1 THEN 'homepage' WHEN id % 7 = 2 THEN 'mismatch' WHEN id % 7 = 3 THEN 'title_unknown'
+        WHEN id % 7 = 5 THEN 'title_mismatch_high' WHEN {rule_sql.generic_title('page', 'bangkokpost')} THEN 'title_unknown' WHEN f = '' THEN 'title_mismatch_high' ELSE 'valid' END AS verdict FROM c""")
 def crawl_audits(spark, sf):
-    """Pages with their own titles on a known host: gone, a front page, another publisher's label, a bare site name, the headline itself, a foreign one, no answer."""
+    """Pages with their own titles on a known host: gone, a front page, another publisher's label, a bare site name, the headline itself, a foreign one, no answer.
+    Titles that tell of a missing page, or name no story, come before these."""
     k = F.col("id") % 7
     rows = crawl(spark, sf).select("id", F.trim(F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1)).alias("t")).where("length(t) > 4")
     log = rows.select(

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 
-from tallyroom.functions import classify, rules
+from tallyroom.functions import classify, publishers, rules
+from tallyroom.operators import audits, linkjobs
 
 
 def pattern(p: str) -> str:
@@ -35,6 +36,24 @@ def mentions_title(text: str) -> str:
     return f"({has_any(text, classify.TITLE_NAMES)} OR {test(text, '(?i)rhom' + chr(92) + 's*bho')} OR {brand} OR ({ticker}))"
 
 
+def strip_site_suffix(text: str) -> str:
+    t = f"regexp_replace(regexp_replace(trim({text}, ' '), '[\\s|｜\\-–—:]+$', ''), '^[\\s|｜\\-–—:]+', '')"
+    head = f"trim(regexp_extract({t}, '^(.*?)(?:\\s+[\\-–—]\\s+|\\s*[|｜]\\s*)([^|｜]{{2,40}})$', 1), ' ')"
+    return f"CASE WHEN length({head}) >= 8 THEN {head} ELSE {t} END"
+
+
+def generic_title(text: str, word: str) -> str:
+    """A page title that names no story, on a host with this first word."""
+    names = ", ".join("'" + x.replace("'", "''") + "'" for x in sorted({*audits.GENERIC, *(a.lower() for names in publishers.NAMES.values() for a in names)}))
+    low, bare = f"lower(trim({text}, ' '))", f"lower({strip_site_suffix(text)})"
+    own = f"regexp_replace({low}, '[^a-z0-9]', '', 'g') = '{word}'"
+    return f"({low} = '' OR {bare} = '' OR {low} IN ({names}) OR {bare} IN ({names}) OR {own} OR (length({low}) <= 4 AND NOT regexp_matches({low}, '[\\x{{0E00}}-\\x{{0E7F}}]')))"
+
+
+def not_found(text: str) -> str:
+    return test(text, linkjobs.NOT_FOUND)
+
+
 def category(text: str, panel: str) -> str:
     """Without a hint, for panel TITLE or another."""
     title = mentions_title(text)
