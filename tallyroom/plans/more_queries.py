@@ -249,9 +249,10 @@ QUERIES |= {f.__name__: f for f in (rule_summary, rule_summary_english)}
 ORACLE_SQL |= {"rule_summary": _summary_sql("th"), "rule_summary_english": _summary_sql("en")}
 
 
-@register("news", r"""SELECT id, CASE WHEN trim(title) = '' THEN 'title_unknown' WHEN regexp_replace(lower(title), '[^a-z0-9\x{0E00}-\x{0E7F}]', '', 'g') = '' THEN 'title_mismatch_high' ELSE 'match' END AS verdict FROM news WHERE title IS NOT NULL""")
+@register("news", rf""", p AS (SELECT id, title, title || ' | Bangkok Post' AS page FROM news WHERE title IS NOT NULL)
+    SELECT id, CASE WHEN trim(title, ' ') = '' OR {rule_sql.generic_title('page', 'bangkokpost')} THEN 'title_unknown' WHEN regexp_replace(lower(title), '[^a-z0-9\x{{0E00}}-\x{{0E7F}}]', '', 'g') = '' THEN 'title_mismatch_high' ELSE 'match' END AS verdict FROM p""")
 def title_verdicts(spark, sf):
-    """All headlines against pages with the same title and a site's name after it: one form holds the other."""
+    """All headlines against pages with the same title and a site's name after it: one form holds the other, unless the page's title names no story."""
     rows = news(spark, sf).where("title is not null").select("id", F.col("title").alias("headline"), F.concat("title", F.lit(" | Bangkok Post")).alias("page_title"), F.lit("bangkokpost.com").alias("host"))
     return audits.title_verdicts(rows).select("id", "verdict")
 
