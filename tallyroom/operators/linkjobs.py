@@ -114,14 +114,38 @@ def redate(rows: DataFrame, far_days: int = 400) -> DataFrame:
     return rows.withColumn("status", status).withColumn("new_date", F.when(F.col("status") == "corrected", F.col("found")).otherwise(F.col("date")))
 
 
+def _common(a: Column, b: Column) -> Column:
+    """How many elements two sorted arrays share, repeats counted: one walk along both."""
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("n"))
+
+    def step(p: Column, acc: Column) -> Column:
+        def moved(x: Column) -> Column:
+            at = lambda i, j, n: F.struct((acc["i"] + i).alias("i"), (acc["j"] + j).alias("j"), (acc["n"] + n).alias("n"))
+            return F.when(x["a"] == x["b"], at(1, 1, 1)).when(x["a"] < x["b"], at(1, 0, 0)).when(x["a"] > x["b"], at(0, 1, 0)).otherwise(acc)
+
+        return text.let(F.struct(F.get(p["a"], acc["i"]).alias("a"), F.get(p["b"], acc["j"]).alias("b")), moved)
+
+    walked = lambda p: F.aggregate(F.sequence(F.lit(1), F.size(p["a"]) + F.size(p["b"])), start, lambda acc, _: step(p, acc))["n"]
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), text.let(F.struct(a.alias("a"), b.alias("b")), walked)).otherwise(0)
+
+
+def dice(left: Column, right: Column) -> Column:
+    """Multiset Dice similarity of the character pairs of the compared forms; equal texts 1, texts under two characters 0. Nothing leaves the row."""
+    # A pair as one number: whole arrays of strings would hold a hundred bytes per pair.
+    codes = lambda c: text.let(F.transform(F.split(c, ""), lambda x: F.ascii(x)), lambda u: F.array_sort(F.transform(F.sequence(F.lit(1), F.size(u) - 1), lambda k: F.get(u, k - 1) * 65_536 + F.get(u, k))))
+    pairs = lambda c: F.when(F.length(c) >= 2, codes(c)).otherwise(F.array().cast("array<int>"))
+
+    def compared(x: Column) -> Column:
+        a, b = x["a"], x["b"]
+        short = (F.length(a) < 2) | (F.length(b) < 2)
+        return F.when((a == b) & (a != ""), 1.0).when(short, 0.0).otherwise(2.0 * _common(pairs(a), pairs(b)) / (F.length(a) + F.length(b) - 2))
+
+    return text.let(F.struct(classify.compare_form(left).alias("a"), classify.compare_form(right).alias("b")), compared)
+
+
 def dice_bigram(pairs: DataFrame, left: str = "a", right: str = "b", key: str = "id") -> DataFrame:
-    """(key, dice): multiset Dice similarity of character pairs; equal texts 1, texts under two characters 0."""
-    forms = pairs.select(key, classify.compare_form(F.col(left)).alias("a"), classify.compare_form(F.col(right)).alias("b"))
-    count = lambda s: forms.select(key, F.explode(text.ngrams(F.col(s), 2)).alias("g")).groupBy(key, "g").agg(F.count(F.lit(1)).alias(s))
-    shared = count("a").withColumnRenamed("a", "na").join(count("b").withColumnRenamed("b", "nb"), [key, "g"]).groupBy(key).agg(F.sum(F.least("na", "nb")).alias("shared"))
-    total = F.length("a") + F.length("b") - 2
-    score = F.when((F.col("a") == F.col("b")) & (F.col("a") != ""), 1.0).when((F.length("a") < 2) | (F.length("b") < 2), 0.0).otherwise(2.0 * F.coalesce("shared", F.lit(0)) / total)
-    return forms.join(shared, key, "left").select(key, score.alias("dice"))
+    """(key, dice) of each pair."""
+    return pairs.select(key, dice(F.col(left), F.col(right)).alias("dice"))
 
 
 def redate_counts(redated: DataFrame) -> DataFrame:
