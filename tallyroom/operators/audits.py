@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyroom.functions import classify, links, publishers, text
-from tallyroom.operators.linkjobs import clear_collisions, dice_bigram, label_host_verdict
+from tallyroom.operators.dedup import _spread
+from tallyroom.operators.linkjobs import clear_collisions, dice, label_host_verdict
 
 #: Page titles that name no story, and what score and overlap make a match.
 GENERIC = ["msn", "msn.com", "home", "homepage", "หน้าแรก", "news", "ข่าว", "untitled", "document", "loading", "กำลังโหลด", "redirecting"]
@@ -74,9 +75,13 @@ def longest_run(a: Column, b: Column) -> Column:
         half = F.call_function("shiftleft", F.lit(1), k - 1)
         return places(h, F.size(h) - 1 - half, lambda i: F.xxhash64(F.get(h, i), F.get(h, i + half)))
 
-    def levels(text: Column, top: Column) -> Column:
-        first = F.array(F.transform(F.split(text, ""), lambda c: F.xxhash64(c))).cast("array<array<long>>")
-        return F.when(top > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(top, F.lit(1))), first, lambda acc, k: F.concat(acc, F.array(doubled(F.element_at(acc, -1), k))))).otherwise(first)
+    def levels(top: Column) -> Column:
+        """Of both texts, up to the first level without a common run: longer runs have none either."""
+        first = lambda c: F.array(F.transform(F.split(c, ""), lambda x: F.xxhash64(x))).cast("array<array<long>>")
+        more = lambda acc, k: F.struct(*(F.concat(acc[s], F.array(doubled(F.element_at(acc[s], -1), k))).alias(s) for s in "ab"))
+        shared = lambda acc: F.arrays_overlap(F.element_at(acc["a"], -1), F.element_at(acc["b"], -1))
+        both = F.struct(first(a).alias("a"), first(b).alias("b"))
+        return F.when(top > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(top, F.lit(1))), both, lambda acc, k: F.when(shared(acc), more(acc, k)).otherwise(acc))).otherwise(both)
 
     def longer(h: Column, now: Column, n: Column, k: Column) -> Column:
         """Hashes of the runs of n + 2^k characters, from those of n and of 2^k."""
@@ -89,7 +94,7 @@ def longest_run(a: Column, b: Column) -> Column:
     empty = lambda c: F.array_repeat(F.lit(0).cast("long"), F.length(c) + 1)
     top = F.floor(F.log2(F.greatest(F.least(F.length(a), F.length(b)), F.lit(1)).cast("double"))).cast("int")
     start = F.struct(empty(a).alias("a"), empty(b).alias("b"), F.lit(0).alias("n")).cast("struct<a: array<long>, b: array<long>, n: int>")
-    run = text.let(top, lambda t: text.let(F.struct(levels(a, t).alias("a"), levels(b, t).alias("b")), lambda x: F.aggregate(F.reverse(F.sequence(F.lit(0), t)), start, lambda acc, k: step(acc, k, x))["n"]))
+    run = text.let(top, lambda t: text.let(levels(t), lambda x: F.aggregate(F.reverse(F.sequence(F.lit(0), F.size(x["a"]) - 1)), start, lambda acc, k: step(acc, k, x))["n"]))
     return F.when((F.length(a) > 0) & (F.length(b) > 0), run).otherwise(0)
 
 
@@ -111,8 +116,11 @@ def lcs_containment(pairs: DataFrame, left: str = "a", right: str = "b", key: st
 
 def title_verdicts(rows: DataFrame) -> DataFrame:
     """(id, verdict, score) of headlines against page titles. rows: id, headline, page_title, host."""
-    clean = rows.select("id", F.col("headline").alias("a"), classify.strip_site_suffix(F.col("page_title")).alias("b"), (is_generic_title(F.col("page_title"), F.col("host")) | (F.trim(F.coalesce("headline", F.lit(""))) == "")).alias("generic"))
-    scored = clean.join(dice_bigram(clean), "id").join(lcs_containment(clean), "id").withColumn("score", F.greatest("dice", "containment"))
+    # Dealt out: a few bytes of titles take long, so that they must not be put together after a join.
+    clean = _spread(rows, "id").select("id", F.col("headline").alias("a"), classify.strip_site_suffix(F.col("page_title")).alias("b"), (is_generic_title(F.col("page_title"), F.col("host")) | (F.trim(F.coalesce("headline", F.lit(""))) == "")).alias("generic"))
+    # A generic title has no score; where Dice is 1 no run can add to it.
+    best = text.let(dice(F.col("a"), F.col("b")), lambda d: F.when(d >= 1, d).otherwise(F.greatest(d, lcs_ratio(F.col("a"), F.col("b")))))
+    scored = clean.withColumn("score", F.when(~F.col("generic"), best))
     shared = (F.size(F.array_intersect(entities_in(F.col("a")), entities_in(F.col("b")))) > 0) | (F.size(F.array_intersect(classify.numbers_in(F.col("a")), classify.numbers_in(F.col("b")))) > 0)
     verdict = F.when(F.col("generic"), "title_unknown").when(F.col("score") >= MATCH, "match").when((F.col("score") >= MATCH_WITH_EVIDENCE) & shared, "match").when((F.col("score") < MISMATCH) & ~shared, "title_mismatch_high").otherwise("title_mismatch_medium")
     return scored.select("id", verdict.alias("verdict"), F.when(F.col("generic"), 0.0).otherwise(F.round("score", 3)).alias("score"))
