@@ -66,7 +66,7 @@ def route_late(news: DataFrame, today, on_time: Callable[[DataFrame, int], None]
 
 
 #: What the keys of stored headlines hold, next to their partitions: panel, time bucket and batch.
-KEYS = "id {id}, at long, chars int, n int, numbers array<long>, shingles array<long>, k1 long, k2 long, bits array<long>, title_hash string, bucket long, panel string, batch long"
+KEYS = "id {id}, at long, chars int, n int, numbers array<long>, shingles array<long>, k1 long, k2 long, title_hash string, bucket long, panel string, batch long"
 
 
 def _merge(df: DataFrame, path: str, *by: str) -> None:
