@@ -8,6 +8,8 @@ block's own order of keys. A frequent key is one entry per block, so no bucket i
 
 from __future__ import annotations
 
+import contextlib
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyroom.llm.common import release_memory, slices
+from tallyroom.llm.common import fan_out, release_memory, slices
 
 BLOCK_BYTES = 8_000_000
 BLOCK_SCHEMA = "block long, doc_ids binary, sizes binary, words binary"
@@ -105,6 +107,18 @@ def build(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_
     return rows.mapInArrow(_blocks(block_bytes), BLOCK_SCHEMA)
 
 
+@contextlib.contextmanager
+def in_place(docs: DataFrame, id_col: str, text_col: str, block_bytes: int, name: str) -> Iterator[DataFrame]:
+    """The blocks as a table, dropped at the end. Bucketed by block, they stay where they are: only questions and answers are shuffled."""
+    name = f"{name}_{uuid.uuid4().hex}"
+    try:
+        writer = build(docs, id_col, text_col, block_bytes).write.format("parquet").option("compression", "none")
+        writer.bucketBy(fan_out(docs), "block").saveAsTable(name)
+        yield docs.sparkSession.table(name)
+    finally:
+        docs.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def unpack_coded(doc_ids: bytes, sizes: bytes, words: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Document ids, where each document's words start (one more than there are documents), the block's sorted distinct hashes,
     and of each word its place among these."""

@@ -15,6 +15,9 @@ from tallyroom.llm.common import Scratch, components, join_groups, mix, rows_by_
 
 #: Documents that are compared in one group.
 GROUP = 512
+#: Document frequencies are counted by all bits of a shingle's key but the last so many: sorted, the rest takes half the room. Where keys
+#: share it, their frequencies are added: any order that all documents agree on will do, and no shared token seems to be one document's.
+COUNT_SHIFT = 20
 
 
 def prefix_length(n: int, threshold: Fraction) -> int:
@@ -26,12 +29,16 @@ def _sets(words: np.ndarray, starts: np.ndarray, size: int) -> list[np.ndarray]:
     return [shingle_keys(words[a:b], size) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
 
 
-def _ask(size: int, buckets: int):
+def _counted(keys: np.ndarray, shift: int) -> np.ndarray:
+    return keys >> np.uint64(shift) << np.uint64(shift)
+
+
+def _ask(size: int, buckets: int, shift: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, doc_ids, sizes, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 _, starts, hashes = blocks.unpack(doc_ids, sizes, words)
-                keys, counts = np.unique(np.concatenate(_sets(hashes, starts, size)), return_counts=True)
+                keys, counts = np.unique(_counted(np.concatenate(_sets(hashes, starts, size)), shift), return_counts=True)
                 yield blocks.ask(keys, counts, block, buckets)
 
     return run
@@ -40,7 +47,7 @@ def _ask(size: int, buckets: int):
 DOCUMENTS = "doc_id long, n long, sig0 long, sig1 long, prefix array<long>, ranks array<int>, keys binary"
 
 
-def _prefixes(size: int, threshold: Fraction):
+def _prefixes(size: int, threshold: Fraction, shift: int):
     """Per document: the size of its set, a 128-bit signature of it, and, in order of rising document frequency, those of its
     prefix tokens that another document has, with their ranks in the set; the set itself if there are any."""
 
@@ -50,7 +57,7 @@ def _prefixes(size: int, threshold: Fraction):
         sets = _sets(words, starts, size)
         sizes = np.array([len(s) for s in sets], np.int64)
         every = np.concatenate(sets)
-        keys, place = np.unique(every, return_inverse=True)
+        keys, place = np.unique(_counted(every, shift), return_inverse=True)
         frequency = blocks.answer(answers, len(keys))[place]
         ends = np.cumsum(sizes)
         owner = np.repeat(np.arange(len(sets)), sizes)
@@ -226,11 +233,11 @@ def groups(docs: DataFrame, words: int = 5, threshold: float | str | Fraction =
     """
     threshold = Fraction(str(threshold))
     scratch = Scratch(docs.sparkSession, "jaccard")
-    table = scratch.keep(blocks.build(docs, id_col, text_col, block_bytes), "blocks")
-    buckets = blocks.bucket_count(table.count())
-    answers = blocks.totals(table.mapInArrow(_ask(words, buckets), blocks.ASK))
-    sets = scratch.keep(blocks.with_answers(table, answers, _prefixes(words, threshold), DOCUMENTS), "sets")
-    scratch.drop(table)
+    with blocks.in_place(docs, id_col, text_col, block_bytes, "jaccard") as table:
+        buckets = blocks.bucket_count(table.count())
+        answers = scratch.keep(blocks.totals(table.mapInArrow(_ask(words, buckets, COUNT_SHIFT), blocks.ASK)), "answers")
+        sets = scratch.keep(blocks.with_answers(table, answers, _prefixes(words, threshold, COUNT_SHIFT), DOCUMENTS), "sets")
+        scratch.drop(answers)
 
     posted = sets.where(F.col("keys").isNotNull() & F.col("doc_id").isNotNull())
     same = ["sig0", "sig1", "n"]

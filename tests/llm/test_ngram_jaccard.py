@@ -1,4 +1,6 @@
+import time
 from fractions import Fraction
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -75,6 +77,38 @@ def test_one_family_of_dissimilar_documents(spark, monkeypatch, group):
     assert seen and seen[0][0] > 1000 and seen[0][1] < 20 * seen[0][0], seen
 
 
+@pytest.mark.parametrize("shift", [40, 60])
+def test_keys_that_are_counted_together(spark, monkeypatch, shift):
+    """Frequencies only order tokens: with sixteen counters for all of them, the groups are the same."""
+    monkeypatch.setattr(ngram_jaccard, "COUNT_SHIFT", shift)
+    rows = corpus(31)
+    got = ngram_jaccard.groups(cases.docs(spark, rows), 3, "0.8", block_bytes=3000).collect()
+    assert {(r.doc_id, r.n_shingles): r.component_id for r in got} == brute(rows, 3, 8, 10)
+
+
+def test_shuffled_keys_take_half_their_width():
+    rng = np.random.default_rng(4)
+    words, ids = rng.integers(0, 2**64, 300_000, dtype=np.uint64), np.arange(1)
+    row = blocks._block(0, list(ids), [words])
+    (asked,) = ngram_jaccard._ask(5, 16, ngram_jaccard.COUNT_SHIFT)(iter([row]))
+    assert sum(len(k) for k in asked.column(2).to_pylist()) < 4.5 * (len(words) - 4)
+
+
+def test_kept_tables_leave_no_shuffle_files(spark):
+    """What a step shuffled is gone before the next, and the session's setting is as it was."""
+    dirs = [str(d) for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {str(f) for d in dirs for f in Path(d).rglob("shuffle_*.data")}
+    before, setting = files(), spark.conf.get(common.SHUFFLE_CLEANUP)
+    scratch = Scratch(spark, "t")
+    kept = scratch.keep(spark.range(50_000).groupBy(F.col("id") % 1000).count(), "counts")
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and kept.count() == 1000
+    assert spark.conf.get(common.SHUFFLE_CLEANUP) == setting
+
+
 def test_one_large_class_of_equal_sets(spark, monkeypatch):
     monkeypatch.setattr(common, "HOT_SHARE", 3)
     rows = corpus(9, 60) + [(5000 + i, "a text that a third of all documents have word by word", "", "") for i in range(80)]
