@@ -13,7 +13,6 @@ adds up, tests, and answers each block. The tree itself is never gathered.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -24,11 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyroom.llm import blocks
-from tallyroom.llm.common import Scratch, chain, crc_mod, fan_out, mix, release_memory
+from tallyroom.llm.common import Scratch, chain, crc_mod, mix, release_memory
 
 DEPTH = 3
-#: Each depth asks in so many parts, by bucket: what one part shuffles is gone before the last.
-PARTS = (3, 3, 1)
+#: Each depth asks in so many parts, by bucket: what one part shuffles is gone before the next. More parts take less disk, and more time,
+#: as each computes the block's positions anew.
+PARTS = (1, 1, 1)
 MODULUS, HELD_OUT = 5, 1
 #: A context must have been seen so often. That drops no state: one seen once, left out, has no counts and gains nothing.
 LEAST = 2
@@ -38,8 +38,6 @@ MARGIN = 1.0
 #: A context with so many training positions, or with more than one in 2**HOT_BITS of all, is dealt over all buckets by its next
 #: words. There are at most 2**HOT_BITS of the latter kind, and only their verdicts come to the driver.
 HOT_LEAST, HOT_BITS = 1 << 18, 20
-#: Of a word's hash, the bits that tell the next words of one context apart: all but so many.
-WORD_SHIFT = 20
 _END, _START = np.uint64(0x51ED270B8D5C5A3D), np.uint64(0x2545F4914F6CDD1D)
 
 ASK = "hot int, bucket int, block long, contexts binary, seen binary, sizes binary, words binary, counts binary, fallback binary"
@@ -90,12 +88,13 @@ class Entries:
     """What a block asks about some positions: the distinct contexts, and the distinct (context, next word) whose count it can't tell.
 
     A word that the shorter context never has, the longer one never has; a word that it has once is single: at
-    most once after the longer one. If no two training positions of a context can have the same word, it gains nothing, is no
+    most once after the longer one. A training position whose single word follows that context in no held-out text is alone: its
+    own count is all there is, and nobody else asks for it. If no two training positions of a context can have the same word, it gains nothing, is no
     state, and isn't asked for. Ordinary contexts are sent by bucket and key, each with its words; hot ones only with words,
     by a bucket that the word takes part in. Contexts have numbers in the block, words their places in its vocabulary.
     """
 
-    def __init__(self, number: np.ndarray, numbers: int, code: np.ndarray, vocabulary: np.ndarray, contexts: np.ndarray, seen: np.ndarray, train: np.ndarray, shorter: np.ndarray, hot: int, buckets: int):
+    def __init__(self, number: np.ndarray, numbers: int, code: np.ndarray, vocabulary: np.ndarray, names: np.ndarray, contexts: np.ndarray, seen: np.ndarray, train: np.ndarray, shorter: np.ndarray, alone: np.ndarray, hot: int, buckets: int):
         known, single = ~train & (shorter == 0), train & (shorter == 1)
         self.found = train.astype(np.int64)  # where nothing is asked: at most once, and the context is no state
         at = np.full(numbers, -1)
@@ -112,7 +111,7 @@ class Entries:
         asked = np.concatenate([plain, other])
         rank = np.full(len(every), len(asked))
         rank[asked] = np.arange(len(asked))
-        self.open = np.flatnonzero((rank[of] < len(asked)) & ~known)
+        self.open = np.flatnonzero((rank[of] < len(asked)) & ~known & ~alone)
         self.place, one = dense(rank[of[self.open]], len(asked), code[self.open], len(vocabulary))
         self.first = self.open[one]
         context, word = rank[of[self.first]], code[self.first]
@@ -126,8 +125,8 @@ class Entries:
             back = np.arange(len(context))
             back[order] = np.arange(n_usual, len(context))
             self.place, spread = back[self.place], spread[order - n_usual]
-        #: The words' hashes, and whether the shorter context has them once at most.
-        self.words, self.single = vocabulary[word], shorter[self.first] <= 1
+        #: The words' numbers, and whether the shorter context has them once at most.
+        self.words, self.single = names[word], shorter[self.first] <= 1
         start = np.append(True, (np.diff(context[n_usual:]) != 0) | (np.diff(spread) != 0)) if len(order) else np.zeros(0, bool)
         runs = asked[context[n_usual:][start]]
         self.contexts, self.seen = np.concatenate([every[plain], every[runs]]), np.concatenate([seen[plain], seen[runs]])
@@ -142,15 +141,16 @@ class Entries:
         self.rows = np.append(np.flatnonzero(np.append(True, (np.diff(self.bucket) != 0) | (self.hot[1:] != self.hot[:-1]))), n) if n else np.zeros(1, np.int64)
         self.starts = np.append(0, np.cumsum(self.sizes))
 
-    def send(self, block: int, counts: np.ndarray, fallback: np.ndarray, part: int, parts: int) -> pa.RecordBatch:
-        """The rows of one part of the buckets. Counts, the last bit of each marking single words; the fallback's probabilities of the other words with a count."""
+    def send(self, block: int, counts: np.ndarray, held: np.ndarray, fallback: np.ndarray, part: int, parts: int) -> pa.RecordBatch:
+        """The rows of one part of the buckets. Counts, the last two bits of each marking what held-out texts have, and single words; the
+        fallback's probabilities of the other words with a count."""
         columns: list[list] = [[] for _ in range(9)]
-        words = self.words >> np.uint64(WORD_SHIFT)
+        words = self.words
         step = words - np.concatenate([np.zeros(1, np.uint64), words[:-1]])[: len(words)]
         heads = self.starts[:-1][self.sizes > 0]
         step[heads] = words[heads]
         told = (counts > 0) & ~self.single
-        coded = (counts << np.uint32(1)) | self.single
+        coded = (counts << np.uint32(2)) | (held.astype(np.uint32) << np.uint32(1)) | self.single
         for r, q in zip(self.rows[:-1].tolist(), self.rows[1:].tolist(), strict=True):
             if self.bucket[r] % parts != part:
                 continue
@@ -181,7 +181,9 @@ class Positions:
         self.train = np.repeat(np.array([not held_out(i) for i in self.doc_ids.tolist()], bool), size + 1)
 
     def ask_words(self) -> pa.RecordBatch:
-        return blocks.ask(self.vocabulary, np.bincount(self.code, self.train, len(self.vocabulary)).astype(np.uint32), self.block, self.buckets)
+        """Counts of the words; the last bit of each marks what held-out texts have."""
+        count, held = (np.bincount(self.code, x, len(self.vocabulary)).astype(np.uint32) for x in (self.train, ~self.train))
+        return blocks.ask(self.vocabulary, (count << np.uint32(1)) | (held > 0), self.block, self.buckets)
 
     def _answer(self, depth: int) -> tuple[list[bytes], list[bytes]]:
         table = self.answers.filter(pc.equal(self.answers["depth"], depth))
@@ -191,11 +193,18 @@ class Positions:
     def read(self, depth: int, left_out: int) -> None:
         """Answers up to a depth: the probability of each position's word in the longest state of so many words before it, its
         own counts less left_out; and where the next depth's contexts can diverge."""
-        totals, _ = self._answer(0)
-        counts = np.concatenate([blocks.spread(x, np.uint64) for x in totals]).astype(np.int64)
-        if len(counts) != len(self.vocabulary):
-            raise ValueError(f"block {self.block} asked for {len(self.vocabulary)} words and got {len(counts)}")
-        self.word_count = counts[self.code]
+        totals, numbers = self._answer(0)
+        coded = np.concatenate([blocks.spread(x, np.int64) for x in totals])
+        if len(coded) != len(self.vocabulary):
+            raise ValueError(f"block {self.block} asked for {len(self.vocabulary)} words and got {len(coded)}")
+        number = np.concatenate([blocks.spread(x, np.uint64) for x in numbers])
+        order = np.argsort(number)
+        self.numbers, self.vocabulary, coded = number[order], self.vocabulary[order], coded[order]
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        self.code = back[self.code]
+        self.word_count = (coded >> 1)[self.code]
+        alone = self.train & (coded == ONCE)[self.code]
         self.p = self.stats.word_probability(self.word_count, left_out)
         count, keys, number, numbers = self.word_count, mix(self.symbols), self.code, len(self.vocabulary)
         going, sure = np.ones(len(self.symbols), bool), np.zeros(len(self.symbols), bool)
@@ -207,7 +216,7 @@ class Positions:
             keys = chain(context, self.symbols)
             self.at = np.flatnonzero(going & (seen >= LEAST) & (self.offset >= d - 1))
             self.seen = seen[self.at]
-            e = self.entries = Entries(number[self.at], numbers + 1, self.code[self.at], self.vocabulary, context[self.at], self.seen, self.train[self.at], count[self.at], self.stats.hot, self.buckets)
+            e = self.entries = Entries(number[self.at], numbers + 1, self.code[self.at], self.vocabulary, self.numbers, context[self.at], self.seen, self.train[self.at], count[self.at], alone[self.at], self.stats.hot, self.buckets)
             if d > depth:
                 return
             totals, verdicts = self._answer(d)
@@ -216,7 +225,7 @@ class Positions:
             if len(total) != len(e.words) or len(verdict) != len(e.contexts):
                 raise ValueError(f"block {self.block} asked for {len(e.contexts)} contexts and {len(e.words)} words of depth {d} and got {len(verdict)} and {len(total)}")
             found = e.found.copy()
-            found[e.open] = total[e.place]
+            found[e.open] = (total >> 1)[e.place]
             strength = np.append(0.0, STRENGTHS)[np.where(e.context_at >= 0, np.append(verdict, 0)[e.context_at], 0)]
             if e.is_hot.any():
                 strength[e.is_hot] = np.append(0.0, STRENGTHS)[self.stats.hot_verdicts(d, context[self.at[e.is_hot]])]
@@ -228,6 +237,9 @@ class Positions:
             # Where a shorter context is always followed by this word, so is this one: as often as it is seen itself.
             count = np.where(sure & (self.offset >= d - 1), seen, 0)
             count[self.at] = found
+            lone = alone[self.at]
+            lone[e.open] = self.train[self.at[e.open]] & (total == ONCE)[e.place]
+            alone[self.at] = lone
             going = np.zeros(len(self.symbols), bool)
             going[self.at] = use & (found < self.seen)
             sure[self.at] = found == self.seen
@@ -238,9 +250,10 @@ class Positions:
         """What follows the contexts of the next depth: counts, and the fallback's probability of the word, without this position; for
         contexts of one word its count, which says the same."""
         e = self.entries
-        counts = np.bincount(e.place, self.train[self.at[e.open]], len(e.words)).astype(np.uint32)
+        train = self.train[self.at[e.open]]
+        counts, held = (np.bincount(e.place, x, len(e.words)).astype(np.uint32) for x in (train, ~train))
         first = self.at[e.first]
-        return e.send(self.block, counts, self.word_count[first] if depth == 1 else self.p[first].astype(np.float32), part, parts)
+        return e.send(self.block, counts, held > 0, self.word_count[first] if depth == 1 else self.p[first].astype(np.float32), part, parts)
 
 
 def divergence(count: np.ndarray, seen: np.ndarray, fallback: np.ndarray, context: np.ndarray, n: int) -> np.ndarray:
@@ -265,6 +278,14 @@ def verdicts(sums: np.ndarray) -> np.ndarray:
 WORD_SUMS, HOT_SUMS = -1, -2
 
 
+#: An answer: a count, and a bit that marks a count of one which held-out texts ask for too. Without it:
+ONCE = 1 << 1
+
+
+def _marked(total: np.ndarray, held: np.ndarray) -> np.ndarray:
+    return total << 1 | ((total == 1) & (held > 0))
+
+
 def _add_up(depth: int, stats: Stats):
     """One bucket: the blocks' counts of each (context, word) added up, and a verdict for each context. Hot contexts, of
     which the bucket has a part, give a row of sums."""
@@ -283,16 +304,16 @@ def _add_up(depth: int, stats: Stats):
             starts = (np.cumsum(size) - size)[size > 0]
             words.append(total - np.repeat(total[starts] - step[starts], size[size > 0]))
             coded = blocks.spread(count, np.uint32)
-            counts.append(coded >> np.uint32(1))
-            told = (coded > 1) & (coded & 1 == 0)
+            counts.append(coded)
+            told = (coded > 3) & (coded & 1 == 0)
             fallbacks.append(np.zeros(len(coded)))
             fallbacks[-1][told] = stats.word_probability(blocks.spread(fallback, np.int64), 1) if depth == 1 else blocks.spread(fallback, np.float32)
         each, at, run_of = np.unique(np.concatenate(contexts), return_index=True, return_inverse=True)
         seen = np.concatenate(seens)[at]
         context = np.repeat(run_of, np.concatenate(lengths))
         keys, first, place = np.unique(chain(each[context], np.concatenate(words)), return_index=True, return_inverse=True)
-        count = np.concatenate(counts)
-        total = np.bincount(place, count, len(keys)).astype(np.int64)
+        coded = np.concatenate(counts)
+        total, held = (np.bincount(place, x, len(keys)).astype(np.int64) for x in (coded >> np.uint32(2), (coded >> np.uint32(1)) & np.uint32(1)))
         fallback, sent_by = np.zeros(len(keys)), np.concatenate(fallbacks)
         fallback[place[sent_by > 0]] = sent_by[sent_by > 0]
         used = np.flatnonzero(fallback)  # the others are single
@@ -300,7 +321,7 @@ def _add_up(depth: int, stats: Stats):
         sums = divergence(total[used].astype(np.float64), seen, fallback[used], of, len(each))
         sent = np.bincount(of, total[used], len(each)).astype(np.int64)
         own = np.zeros(len(each), np.uint8) if hot else verdicts(sums + of_singles(seen - sent, seen))
-        answers = [blocks.squeeze(x) for x in np.split(total[place], np.cumsum([len(x) for x in words])[:-1])]
+        answers = [blocks.squeeze(x) for x in np.split(_marked(total, held)[place], np.cumsum([len(x) for x in words])[:-1])]
         said = [blocks.squeeze(x) for x in np.split(own[run_of], np.cumsum([len(x) for x in contexts])[:-1])]
         block = table["block"].to_pylist()
         if hot:
@@ -312,17 +333,27 @@ def _add_up(depth: int, stats: Stats):
     return run
 
 
-def _add_up_words(table: pa.Table) -> pa.Table:
-    """One bucket of words: the blocks' counts added up, and a row of the bucket's tokens and distinct training words."""
-    keys = [blocks.unpack_keys(x) for x in table["keys"].to_pylist()]
-    distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(place, np.concatenate([blocks.spread(x, np.uint32) for x in table["counts"].to_pylist()]), len(distinct)).astype(np.int64)
-    answers = [blocks.squeeze(x) for x in np.split(total[place], np.cumsum([len(k) for k in keys])[:-1])]
-    block = [*table["block"].to_pylist(), WORD_SUMS]
-    answers.append(np.array([total.sum(), (total > 0).sum()], np.int64).tobytes())
-    n, bucket = len(block), table["bucket"][0].as_py()
-    columns = [pa.array([0] * n, pa.int32()), pa.array([0] * n, pa.int32()), pa.array([bucket] * n, pa.int32()), pa.array(block, pa.int64()), pa.array(answers, pa.binary()), pa.array([None] * n, pa.binary())]
-    return pa.Table.from_arrays(columns, names=["depth", "hot", "bucket", "block", "totals", "verdicts"])
+def _add_up_words(buckets: int):
+    """One bucket of words: the blocks' counts added up, a number for each word, and a row of the bucket's tokens and distinct training
+    words. No other word has the number; frequent words have small ones, which take less room than hashes where next words are sent."""
+
+    def run(table: pa.Table) -> pa.Table:
+        keys = [blocks.unpack_keys(x) for x in table["keys"].to_pylist()]
+        distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+        coded = np.concatenate([blocks.spread(x, np.uint32) for x in table["counts"].to_pylist()])
+        total, held = (np.bincount(place, x, len(distinct)).astype(np.int64) for x in (coded >> np.uint32(1), coded & np.uint32(1)))
+        answers = [blocks.squeeze(x) for x in np.split(_marked(total, held)[place], np.cumsum([len(k) for k in keys])[:-1])]
+        bucket = table["bucket"][0].as_py()
+        number = np.empty(len(distinct), np.uint64)
+        number[np.argsort(-total, kind="stable")] = np.arange(len(distinct), dtype=np.uint64) * np.uint64(buckets) + np.uint64(bucket)
+        named = [blocks.squeeze(x) for x in np.split(number[place], np.cumsum([len(k) for k in keys])[:-1])]
+        block = [*table["block"].to_pylist(), WORD_SUMS]
+        answers.append(np.array([total.sum(), (total > 0).sum()], np.int64).tobytes())
+        n = len(block)
+        columns = [pa.array([0] * n, pa.int32()), pa.array([0] * n, pa.int32()), pa.array([bucket] * n, pa.int32()), pa.array(block, pa.int64()), pa.array(answers, pa.binary()), pa.array([*named, None], pa.binary())]
+        return pa.Table.from_arrays(columns, names=["depth", "hot", "bucket", "block", "totals", "verdicts"])
+
+    return run
 
 
 def _ask_words(buckets: int):
@@ -405,17 +436,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
     that no training text has are one symbol, as in the base score. Repeated rows count and score repeatedly. An
     empty table gives none. Extra columns are not read. Texts are cut into blocks of about block_bytes, whole documents each.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "suffix-tree")
+    scratch = Scratch(docs.sparkSession, "suffix-tree")
     n_docs = docs.where(crc_mod(F.col(id_col), MODULUS) != HELD_OUT).count()
-    name = f"suffix_tree_{uuid.uuid4().hex}"
-    # Bucketed by block, the documents stay where they are in every round: only questions and answers are shuffled.
-    writer = blocks.build(docs, id_col, text_col, block_bytes).write.format("parquet").option("compression", "none")
-    writer.bucketBy(fan_out(docs), "block").saveAsTable(name)
-    try:
-        table = spark.table(name)
+    with blocks.in_place(docs, id_col, text_col, block_bytes, "suffix_tree") as table:
         buckets = blocks.bucket_count(table.count())
-        answers = scratch.keep(table.mapInArrow(_ask_words(buckets), blocks.ASK).groupBy("bucket").applyInArrow(_add_up_words, ANSWER), "answers")
+        answers = scratch.keep(table.mapInArrow(_ask_words(buckets), blocks.ASK).groupBy("bucket").applyInArrow(_add_up_words(buckets), ANSWER), "answers")
         sums = [np.frombuffer(r.totals, np.int64) for r in answers.where(F.col("block") == WORD_SUMS).select("totals").collect()]  # one per bucket
         stats = Stats(int(sum(s[0] for s in sums)), int(sum(s[1] for s in sums)), n_docs)
         for depth in range(1, DEPTH + 1):
@@ -427,5 +452,3 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
             stats.verdicts[depth] = _hot_verdicts(hot)
         scored = table.groupBy("block").cogroup(answers.where("block >= 0").groupBy("block")).applyInArrow(_scores(stats, buckets), SCORES)
         return scratch.finish(scored, "scores")
-    finally:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")

@@ -151,3 +151,20 @@ def test_no_context_is_too_rare(spark, monkeypatch):
     got = sorted(tuple(r) for r in suffix_tree.score(cases.docs(spark, rows).coalesce(1)).collect())
     for g, w in zip(got, sorted(want), strict=True):
         assert g[:5] == w[:5] and g[5:] == pytest.approx(w[5:], rel=1e-6), (g, w)
+
+
+@pytest.mark.parametrize(("held_text", "singles"), [("b x", 0), ("b u1", 1)])
+def test_only_single_words_that_held_out_texts_have_are_sent(held_text, singles):
+    """Words go by small numbers; a training text's single word goes only if some held-out text has that word."""
+    train, held = (next(i for i in range(99) if is_held(i) == h) for h in (False, True))
+    rows = []
+    for k, (i, text) in enumerate([(train, "b c b c b u1 b u2"), (held, held_text)]):
+        words = np.array([blocks.xxhash.xxh64_intdigest(w) for w in text.encode().split()], np.uint64)
+        rows += blocks._block(k, [i], [words]).to_pylist()
+    asked = blocks.pa.Table.from_batches([suffix_tree.Positions(dict(r), None, None, 1).ask_words() for r in rows])
+    answers = suffix_tree._add_up_words(1)(asked)
+    mine = answers.filter(blocks.pc.equal(answers["block"], 0))
+    at = suffix_tree.Positions(dict(rows[0]), mine, suffix_tree.Stats(9, 5, 1), 1)
+    at.read(0, 1)
+    assert at.entries.single.sum() == singles
+    assert set(at.numbers.tolist()) == set(range(5))
