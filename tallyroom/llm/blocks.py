@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyroom.llm.common import fan_out, release_memory, slices
+from tallyroom.llm.common import fan_out, release_memory, shuffle_files_go, slices
 
 BLOCK_BYTES = 8_000_000
 BLOCK_SCHEMA = "block long, doc_ids binary, sizes binary, words binary"
@@ -52,9 +52,23 @@ def unpack_keys(data: bytes) -> np.ndarray:
     return np.cumsum(spread(data, np.uint64), dtype=np.uint64)
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in the order in which they first occur, where that is, and of each key its place among these. Nothing is sorted."""
+    coded = pa.array(keys).dictionary_encode()
+    values, place = coded.dictionary.to_numpy(), coded.indices.to_numpy().astype(np.int64)
+    first = np.empty(len(values), np.int64)
+    first[place[::-1]] = np.arange(len(keys) - 1, -1, -1)
+    return values, first, place
+
+
 def _block(number: int, ids: list[np.ndarray], words: list[np.ndarray]) -> pa.RecordBatch:
     sizes = np.array([len(w) for w in words], np.uint32)
-    vocabulary, codes, counts = np.unique(np.concatenate(words), return_inverse=True, return_counts=True)
+    values, _, place = distinct(np.concatenate(words))
+    at = np.argsort(values)
+    back = np.empty(len(at), np.int64)
+    back[at] = np.arange(len(at))
+    vocabulary, codes = values[at], back[place]
+    counts = np.bincount(codes, minlength=len(at))
     rank = np.empty(len(counts), np.uint32)
     order = np.argsort(-counts, kind="stable")
     rank[order] = np.arange(len(counts), dtype=np.uint32)
@@ -108,15 +122,20 @@ def build(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_
 
 
 @contextlib.contextmanager
-def in_place(docs: DataFrame, id_col: str, text_col: str, block_bytes: int, name: str) -> Iterator[DataFrame]:
-    """The blocks as a table, dropped at the end. Bucketed by block, they stay where they are: only questions and answers are shuffled."""
+def bucketed(rows: DataFrame, buckets: int, name: str) -> Iterator[DataFrame]:
+    """Rows as a table bucketed by block, dropped at the end. What the write shuffled is gone before."""
     name = f"{name}_{uuid.uuid4().hex}"
     try:
-        writer = build(docs, id_col, text_col, block_bytes).write.format("parquet").option("compression", "none")
-        writer.bucketBy(fan_out(docs), "block").saveAsTable(name)
-        yield docs.sparkSession.table(name)
+        with shuffle_files_go(rows.sparkSession):
+            rows.write.format("parquet").option("compression", "none").bucketBy(buckets, "block").saveAsTable(name)
+        yield rows.sparkSession.table(name)
     finally:
-        docs.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+        rows.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def in_place(docs: DataFrame, id_col: str, text_col: str, block_bytes: int, name: str) -> contextlib.AbstractContextManager[DataFrame]:
+    """The blocks as a table, dropped at the end. Bucketed by block, they stay where they are: only questions and answers are shuffled."""
+    return bucketed(build(docs, id_col, text_col, block_bytes), fan_out(docs), name)
 
 
 def unpack_coded(doc_ids: bytes, sizes: bytes, words: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -168,3 +168,16 @@ def test_only_single_words_that_held_out_texts_have_are_sent(held_text, singles)
     at.read(0, 1)
     assert at.entries.single.sum() == singles
     assert set(at.numbers.tolist()) == set(range(5))
+
+
+def test_contexts_of_two_words_go_by_numbers():
+    """Two numbers take less room than a hash, and come back as they were, in any order; numbers without room for a pair are hashed."""
+    rng = np.random.default_rng(4)
+    stats = suffix_tree.Stats(9, 5, 1, 4_000_000)
+    first, second = (np.minimum(rng.zipf(1.3, 2000), 3_999_999).astype(np.uint64) for _ in range(2))
+    keys = np.unique(stats.longer(2, first, second))
+    for order in (np.arange(len(keys)), rng.permutation(len(keys))):
+        assert stats.unpack(2, stats.pack(2, keys[order])).tolist() == keys[order].tolist()
+    assert len(stats.pack(2, keys)) < 0.6 * len(blocks.pack_keys(np.sort(np.array([blocks.xxhash.xxh64_intdigest(k.tobytes()) for k in keys], np.uint64))))
+    wide = suffix_tree.Stats(9, 5, 1, 2**33)
+    assert not wide.paired(2) and len(np.unique(wide.longer(2, first, second))) == len(keys)
