@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyroom.llm.common import fan_out, release_memory, shuffle_files_go, slices
@@ -133,6 +133,30 @@ def bucketed(rows: DataFrame, buckets: int, name: str) -> Iterator[DataFrame]:
         rows.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
 
 
+class Appended:
+    """A table bucketed by block that grows: rows are shuffled once, as they are appended."""
+
+    def __init__(self, spark: SparkSession, buckets: int, name: str):
+        self.spark, self.buckets, self.name = spark, buckets, name
+
+    def append(self, rows: DataFrame) -> None:
+        with shuffle_files_go(self.spark):
+            there = rows.repartition(self.buckets, "block").write.format("parquet").option("compression", "none")
+            there.bucketBy(self.buckets, "block").mode("append").saveAsTable(self.name)
+
+    def table(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+
+@contextlib.contextmanager
+def appendable(spark: SparkSession, buckets: int, name: str) -> Iterator[Appended]:
+    name = f"{name}_{uuid.uuid4().hex}"
+    try:
+        yield Appended(spark, buckets, name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def in_place(docs: DataFrame, id_col: str, text_col: str, block_bytes: int, name: str) -> contextlib.AbstractContextManager[DataFrame]:
     """The blocks as a table, dropped at the end. Bucketed by block, they stay where they are: only questions and answers are shuffled."""
     return bucketed(build(docs, id_col, text_col, block_bytes), fan_out(docs), name)

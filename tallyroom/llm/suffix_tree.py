@@ -15,6 +15,7 @@ them; blocks are written anew with these and the counts, and the hashes go.
 from __future__ import annotations
 
 import contextlib
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -510,7 +511,7 @@ def _scores(stats: Stats, buckets: int):
 
 
 @contextlib.contextmanager
-def _named(scratch: Scratch, docs: DataFrame, n_docs: int, id_col: str, text_col: str, block_bytes: int) -> Iterator[tuple[DataFrame, Stats, int]]:
+def _named(scratch: Scratch, docs: DataFrame, n_docs: int, places: int, id_col: str, text_col: str, block_bytes: int) -> Iterator[tuple[DataFrame, Stats, int]]:
     """Blocks of numbered words, with the words' counts. The blocks of hashes and their answers are gone."""
     with contextlib.ExitStack() as kept:
         with blocks.in_place(docs, id_col, text_col, block_bytes, "suffix_tree") as hashed:
@@ -519,7 +520,7 @@ def _named(scratch: Scratch, docs: DataFrame, n_docs: int, id_col: str, text_col
             sums = [np.frombuffer(r.totals, np.int64) for r in answers.where(F.col("block") == WORD_SUMS).select("totals").collect()]  # one per bucket
             stats = Stats(int(sum(s[0] for s in sums)), int(sum(s[1] for s in sums)), n_docs, buckets * max((int(s[2]) for s in sums), default=0))
             rows = hashed.groupBy("block").cogroup(answers.where("block >= 0").groupBy("block")).applyInArrow(_name_words(buckets), NAMED)
-            table = kept.enter_context(blocks.bucketed(rows, fan_out(docs), "suffix_tree"))
+            table = kept.enter_context(blocks.bucketed(rows, places, "suffix_tree"))
         scratch.drop(answers)
         yield table, stats, buckets
 
@@ -534,17 +535,19 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
     """
     scratch = Scratch(docs.sparkSession, "suffix-tree")
     n_docs = docs.where(crc_mod(F.col(id_col), MODULUS) != HELD_OUT).count()
-    with _named(scratch, docs, n_docs, id_col, text_col, block_bytes) as (table, stats, buckets):
-        answers = None
+    places = fan_out(docs)
+    with blocks.appendable(docs.sparkSession, places, "suffix_tree_answers") as answers, _named(scratch, docs, n_docs, places, id_col, text_col, block_bytes) as (table, stats, buckets):
+        with_answers = lambda: table.groupBy("block").cogroup(answers.table().groupBy("block"))
         for depth in range(1, DEPTH + 1):
-            so_far, hot = answers, None
+            new = []
             for part in range(PARTS[depth - 1]):
-                if so_far is None:
+                if depth == 1:
                     asked = table.mapInArrow(_ask_first(buckets, stats, part), ASK)
                 else:
-                    asked = table.groupBy("block").cogroup(so_far.where("block >= 0").groupBy("block")).applyInArrow(_ask(depth, buckets, stats, part), ASK)
-                new = scratch.keep(asked.groupBy("hot", "bucket").applyInArrow(_add_up(depth, stats), ANSWER), "answers")
-                answers, hot = new if answers is None else answers.union(new), new if hot is None else hot.union(new)
-            stats.verdicts[depth] = _hot_verdicts(hot)
-        scored = table.groupBy("block").cogroup(answers.where("block >= 0").groupBy("block")).applyInArrow(_scores(stats, buckets), SCORES)
-        return scratch.finish(scored, "scores")
+                    asked = with_answers().applyInArrow(_ask(depth, buckets, stats, part), ASK)
+                new.append(scratch.keep(asked.groupBy("hot", "bucket").applyInArrow(_add_up(depth, stats), ANSWER), "answers"))
+                # Shuffled once, to where the blocks are: all later depths read them there.
+                answers.append(new[-1].where("block >= 0"))
+            stats.verdicts[depth] = _hot_verdicts(functools.reduce(DataFrame.union, new))
+            scratch.drop(*new)
+        return scratch.finish(with_answers().applyInArrow(_scores(stats, buckets), SCORES), "scores")

@@ -181,3 +181,15 @@ def test_contexts_of_two_words_go_by_numbers():
     assert len(stats.pack(2, keys)) < 0.6 * len(blocks.pack_keys(np.sort(np.array([blocks.xxhash.xxh64_intdigest(k.tobytes()) for k in keys], np.uint64))))
     wide = suffix_tree.Stats(9, 5, 1, 2**33)
     assert not wide.paired(2) and len(np.unique(wide.longer(2, first, second))) == len(keys)
+
+
+def test_answers_are_shuffled_once(spark):
+    """Blocks and the answers of all depths lie together: bringing them together shuffles nothing."""
+    rows = spark.range(40).selectExpr("id % 7 AS block", "id AS x")
+    with blocks.bucketed(rows, 8, "t") as table, blocks.appendable(spark, 8, "t") as answers:
+        for _ in range(3):
+            answers.append(rows)
+        both = table.groupBy("block").cogroup(answers.table().groupBy("block"))
+        got = both.applyInArrow(lambda a, b: a.slice(0, 1).set_column(1, "x", blocks.pa.array([len(b)])), "block long, x long")
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+        assert sum(r.x for r in got.collect()) == 120
