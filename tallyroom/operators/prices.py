@@ -28,6 +28,14 @@ def percent(now: Column, before: Column) -> Column:
     return F.try_divide(now - before, before) * 100
 
 
+def rounded_percent(now: Column, before: Column) -> Column:
+    """percent to four decimals, halves away from zero, of prices in whole millionths: no half hangs on the last bit of a quotient of doubles."""
+    p, c = (F.round(x * 1_000_000).cast("long").cast("decimal(20,0)") for x in (now, before))
+    n, d = F.abs(p - c) * 2_000_000 + F.abs(c), F.abs(F.nullif(c, F.lit(0))) * 2
+    size = (n - n % d) / d
+    return F.when((p < c) == (c < 0), size).otherwise(-size).cast("double") / 10_000
+
+
 def pct_change(df: DataFrame, key: str = "ticker") -> DataFrame:
     """change: percent against the row right before, rounded to 4; null if that row has no close."""
     return df.withColumn("change", F.round(percent(F.col("close"), F.lag("close").over(_by(key))), 4))
@@ -267,8 +275,8 @@ def missing_days(bars: DataFrame, days_off: DataFrame) -> DataFrame:
 
 
 def intraday_kpi(ticks: DataFrame, settled: DataFrame, key: str = "symbol") -> DataFrame:
-    """Latest tick per key, the close before its day, and the change in percent."""
-    live = ticks.where("price is not null").groupBy(key).agg(F.max_by(F.struct("price", "ts"), F.struct("ts", "id")).alias("t"))
+    """Latest priced tick per key, the close before its day, and the change in percent, null where that close is null or 0. Keys without a price have nulls."""
+    live = ticks.groupBy(key).agg(F.expr("max_by(struct(price, ts), struct(ts, id)) filter (where price is not null)").alias("t"))
     live = live.select(F.col(key).alias("ticker"), F.col("t.price").alias("price"), F.to_date("t.ts").alias("date"))
     asof = asof_close(live.select("ticker", "date"), settled)
-    return live.join(asof, ["ticker", "date"]).select("ticker", "date", "price", "asof_close", F.round(percent(F.col("price"), F.col("asof_close")), 4).alias("change"))
+    return live.join(asof, ["ticker", "date"], "left").select("ticker", "date", "price", "asof_close", rounded_percent(F.col("price"), F.col("asof_close")).alias("change"))
