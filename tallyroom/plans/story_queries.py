@@ -29,13 +29,13 @@ _PAIRS = """p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.s, b.s)) AS
 
 @register("news30", f"{_STORIES} SELECT id, class FROM m")
 def near_dup_membership(spark, sf):
-    return dedup.near_dup_classes(dedup.headline_keys(news(spark, sf, 30)))[0].select("id", "class")
+    return dedup.near_dup_classes(dedup.headline_keys(dedup.dealt(news(spark, sf, 30))))[0].select("id", "class")
 
 
 @register("news30", f"{_STORIES}, f AS (SELECT * FROM m WHERE id = class), {_PAIRS.format(rows='f')} SELECT a, b, round(jaccard, 6) AS jaccard, round(containment, 6) AS containment FROM q")
 def near_dup_class_pairs(spark, sf):
     """Pairs of classes: with near_dup_membership, all that near_dup_pairs writes out."""
-    return dedup.near_dup_classes(dedup.headline_keys(news(spark, sf, 30)))[1].select("a", "b", F.round("jaccard", 6).alias("jaccard"), F.round("containment", 6).alias("containment"))
+    return dedup.near_dup_classes(dedup.headline_keys(dedup.dealt(news(spark, sf, 30))))[1].select("a", "b", F.round("jaccard", 6).alias("jaccard"), F.round("containment", 6).alias("containment"))
 
 
 #: Rows one by one in id order, with the list of those that stayed.
